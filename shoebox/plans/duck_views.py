@@ -110,3 +110,115 @@ def with_views(sql: str, names: tuple[str, ...]) -> str:
         return sql
     parts = ",\n".join(f"{n} as ({VIEWS[n][1].strip()})" for n in ordered)
     return f"with recursive {parts}\n{sql.strip()}"
+
+
+# --- grouping, step by step -------------------------------------------------------------------
+
+view("screens", """
+select *, pixel_width::bigint * pixel_height as pixel_count, (subtypes & 4) <> 0 as is_screenshot, (subtypes & 8) <> 0 as is_live,
+ (subtypes & 16) <> 0 as is_portrait, (subtypes & 1) <> 0 as is_panorama,
+ (is_video and (upper(filename) like 'RPREPLAY%' or upper(filename) like '%SCREENRECORD%' or filename like '%屏幕录制%')) as is_screen_recording,
+ ((subtypes & 4) <> 0 or (greatest(pixel_width, pixel_height)::double / least(pixel_width, pixel_height) > 1.9
+   and greatest(pixel_width, pixel_height)::double / least(pixel_width, pixel_height) < 2.3)) as is_screen_like
+from assets
+""", ("assets",))
+
+view("images", """
+select s.*, f.dhash, f.phash, f.sharpness from screens s join fingerprints f using (asset_id) where not s.is_video
+""", ("screens", "fingerprints"))
+
+view("copy_pairs", """
+select * from (
+ select a.asset_id as a, b.asset_id as b, bit_count(xor(a.dhash, b.dhash))::int as d, bit_count(xor(a.phash, b.phash))::int as p,
+  case when a.content_hash = b.content_hash and a.pixel_width = b.pixel_width and a.pixel_height = b.pixel_height then 0
+       when not a.is_screen_like and not b.is_screen_like
+        and a.pixel_width::bigint * b.pixel_height = b.pixel_width::bigint * a.pixel_height
+        and bit_count(xor(a.dhash, b.dhash)) <= 2 and bit_count(xor(a.phash, b.phash)) <= 4 then 1 end as tier
+ from images a join images b on a.asset_id < b.asset_id) where tier is not null
+""", ("images",))
+
+view("copy_reach", """
+select a as id, a as root from copy_pairs union select b, b from copy_pairs
+union
+select e.b, r.root from copy_reach r join (select a, b from copy_pairs union all select b, a from copy_pairs) e on r.id = e.a
+""", ("copy_pairs",))
+
+view("copy_groups", """
+select l.label as group_key, max(p.tier)::int as tier from (select id, min(root) as label from copy_reach group by id) l
+join copy_pairs p on p.a = l.id group by l.label
+""", ("copy_reach", "copy_pairs"))
+
+view("copy_members", """
+select l.label as group_key, g.tier, l.id as asset_id from (select id, min(root) as label from copy_reach group by id) l
+join copy_groups g on g.group_key = l.label
+""", ("copy_reach", "copy_groups"))
+
+view("photo_runs", """
+select *, sum(case when keep then 0 else 1 end) over (order by creation_ts, asset_id rows unbounded preceding)::bigint as run from (
+ select *, coalesce(epoch_us(creation_ts) - epoch_us(lag(creation_ts) over o) <= 10000000, false)
+   or coalesce(burst_id = lag(burst_id) over o, false) as keep
+ from images where not is_screen_like and asset_id not in (select asset_id from copy_members)
+ window o as (order by creation_ts, asset_id))
+""", ("images", "copy_members"))
+
+view("run_verdicts", """
+select run, members, first_id, same_stamp, span_seconds,
+ case when bursts = members and n_bursts = 1 then 'vouched' when span_seconds > 60 then 'span' when members > 12 then 'size'
+      when members >= 3 and same_stamp::double / members > 0.6 then 'batch' else 'ok' end as verdict
+from (select run, count(*) as members, count(burst_id) as bursts, count(distinct burst_id) as n_bursts, min(asset_id) as first_id,
+        (epoch_us(max(creation_ts)) - epoch_us(min(creation_ts))) / 1e6 as span_seconds from photo_runs group by run having count(*) > 1)
+join (select run, max(n) as same_stamp from (select run, creation_ts, count(*) as n from photo_runs group by run, creation_ts) group by run) using (run)
+""", ("photo_runs",))
+
+view("moment_pairs", """
+select a.asset_id as a, b.asset_id as b from photo_runs a join photo_runs b on a.run = b.run and a.asset_id < b.asset_id
+join run_verdicts v on v.run = a.run
+where v.verdict in ('vouched', 'ok') and (coalesce(a.burst_id = b.burst_id, false)
+ or (bit_count(xor(a.phash, b.phash)) <= 12 and bit_count(xor(a.dhash, b.dhash)) <= 12))
+""", ("photo_runs", "run_verdicts"))
+
+view("moment_reach", """
+select a as id, a as root from moment_pairs union select b, b from moment_pairs
+union
+select e.b, r.root from moment_reach r join (select a, b from moment_pairs union all select b, a from moment_pairs) e on r.id = e.a
+""", ("moment_pairs",))
+
+view("moment_members", """
+select min(root) as group_key, 2 as tier, id as asset_id from moment_reach group by id
+""", ("moment_reach",))
+
+view("video_members", """
+select min(asset_id) over w as group_key, 0 as tier, asset_id from assets where is_video and byte_size > 0
+window w as (partition by byte_size, trunc(duration * 10), pixel_width, pixel_height) qualify count(*) over w > 1
+""", ("assets",))
+
+view("members", """
+select * from copy_members union all select * from moment_members union all select * from video_members
+""", ("copy_members", "moment_members", "video_members"))
+
+view("scored", """
+select *,
+ case when is_favorite then 1000 else 0 end + case when is_live then 60 else 0 end + case when is_portrait then 50 else 0 end
+ + case when has_location then 25 else 0 end + case when is_screenshot then 0 else 15 end
+ + coalesce(px * 120, 0) + coalesce(size_ratio * 60, 0) + coalesce(sharpness * 70, 0) + coalesce(recent * 40, 0) as score,
+ list_filter([case when is_favorite then 'favorite' end, case when is_live then 'live photo' end, case when is_portrait then 'portrait depth' end,
+  case when has_location then 'has location' end, case when px >= 0.999 and min_px < max_px then 'top resolution' end,
+  case when size_ratio >= 0.999 and min_bytes < max_bytes then 'least quality loss' end,
+  case when sharpness > 0.6 then 'sharpest' end, case when recent >= 0.999 then 'newest' end], lambda x: x is not null) as notes
+from (select *, pixel_count::double / nullif(max_px, 0) as px, byte_size::double / nullif(max_bytes, 0) as size_ratio,
+  case when tier = 2 and newest > oldest then (epoch_us(creation_ts) - epoch_us(oldest))::double / (epoch_us(newest) - epoch_us(oldest)) end as recent
+ from (select m.group_key, m.tier, s.*, f.sharpness, f.dhash, f.phash,
+   max(pixel_count) over g as max_px, min(pixel_count) over g as min_px, max(byte_size) over g as max_bytes, min(byte_size) over g as min_bytes,
+   max(creation_ts) over g as newest, min(creation_ts) over g as oldest
+  from members m join screens s using (asset_id) left join fingerprints f using (asset_id) window g as (partition by m.group_key)))
+""", ("members", "screens", "fingerprints"))
+
+view("grouped", """
+select *, first_value(asset_id) over k as group_id, asset_id = first_value(asset_id) over k as is_keeper,
+ case when len(notes) > 0 then array_to_string(notes[1:2], ' · ') else 'best overall score' end as reason
+from scored window k as (partition by group_key order by round(score, 9) desc, asset_id)
+""", ("scored",))
+
+view("protected", """
+select distinct asset_id from decisions where action = 'whitelist'
+""", ("decisions",))
