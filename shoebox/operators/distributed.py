@@ -37,7 +37,7 @@ def range_sorted(df: DataFrame, keys: list[str], order: list[Column], name: str)
     return materialize(sliced, name)
 
 
-def _carried(slices: DataFrame, keys: list[str]):
+def _carried(keys: list[str]):
     """Window over the slices of a key: at most one row per slice, so it stays small."""
     return Window.partitionBy(*keys).orderBy("_part")
 
@@ -53,27 +53,37 @@ def with_previous(df: DataFrame, keys: list[str], order: list[Column], columns:
         .filter("_next is null")
         .select(*keys, "_part", F.struct(*columns).alias("_tail"))
     )
-    before = tail.select(*keys, "_part", F.lag("_tail").over(_carried(tail, keys)).alias("_before")).filter("_before is not null")
+    before = tail.select(*keys, "_part", F.lag("_tail").over(_carried(keys)).alias("_before")).filter("_before is not null")
     out = out.join(before, [*keys, "_part"], "left")
     for c in columns:
         out = out.withColumn(f"prev_{c}", F.when(F.col("_first"), F.col(f"_before.{c}")).otherwise(F.col(f"prev_{c}")))
     return out.drop("_first", "_before")
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str) -> DataFrame:
-    """Adds the inclusive running sum of ``value``. ``df`` comes from ``range_sorted``."""
+def _running(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str, fold) -> DataFrame:
+    """Inclusive running aggregate: within the slice, then combined with the slices before."""
     local = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.groupBy(*keys, "_part").agg(F.sum(value).alias("_slice"))
-    w = _carried(sums, keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_part", F.coalesce(F.sum("_slice").over(w), F.lit(0)).alias("_offset"))
+    per_slice = df.groupBy(*keys, "_part").agg(fold[0](value).alias("_slice"))
+    before = _carried(keys).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_slice.select(*keys, "_part", fold[0]("_slice").over(before).alias("_before"))
     return (
-        df.withColumn("_local", F.sum(value).over(local))
-        .join(offsets, [*keys, "_part"], "left")
-        .withColumn(out, F.col("_local") + F.coalesce("_offset", F.lit(0)))
-        .drop("_local", "_offset")
+        df.withColumn("_local", fold[0](value).over(local))
+        .join(carried, [*keys, "_part"], "left")
+        .withColumn(out, F.when(F.col("_before").isNull(), F.col("_local")).otherwise(fold[1]("_local", "_before")))
+        .drop("_local", "_before")
     )
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str) -> DataFrame:
+    """Adds the inclusive running sum of ``value``. ``df`` comes from ``range_sorted``."""
+    return _running(df, keys, order, value, out, (F.sum, lambda a, b: F.col(a) + F.col(b)))
+
+
+def running_min(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str) -> DataFrame:
+    """Adds the inclusive running minimum of ``value``. ``df`` comes from ``range_sorted``."""
+    return _running(df, keys, order, value, out, (F.min, F.least))
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str, name: str) -> DataFrame:
     """Row numbers from 1 within each key, without one task per key."""
     sliced = range_sorted(df.withColumn("_one", F.lit(1).cast("bigint")), keys, order, name)

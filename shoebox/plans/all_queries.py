@@ -3,7 +3,10 @@
 from importlib import import_module
 
 MODULES = (
+    "q_catalog",
     "q_grouping",
+    "q_history",
+    "q_queue",
 )
 
 

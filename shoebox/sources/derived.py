@@ -49,7 +49,7 @@ from {lineitem}
 """
 
 DECISIONS = """
-select event_id, ts, user_id as library_id, event_id%400 as asset_id,
+select event_id, cast(ts as timestamp) as ts, user_id as library_id, event_id%400 as asset_id,
  case event_type when 'click' then 'delete' when 'view' then 'keepOnce' when 'purchase' then 'whitelist'
    when 'signup' then 'undo' else 'relabel' end as action,
  cast(floor(value*10000) as bigint) as bytes
@@ -65,7 +65,7 @@ from {events} where event_type='purchase'
 """
 
 READINGS = """
-select cast(0 as bigint) as library_id, o_orderkey as reading_id, o_orderdate as ts,
+select cast(0 as bigint) as library_id, o_orderkey as reading_id, cast(o_orderdate as timestamp) as ts,
  o_orderkey%50000+1 as asset_count, cast(floor(o_totalprice*100) as bigint) as bytes
 from {orders}
 """
