@@ -26,65 +26,86 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def range_sorted(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    """``df`` cut into contiguous slices of the (keys, order) sequence, numbered by ``_part``.
+class Sequence:
+    """Rows of each key in order, for neighbours, running totals and row numbers.
 
-    A key with many rows spans several slices. The slices are written once, so that every
-    later pass sees the same numbers. ``order`` must identify rows within a key.
+    Keys with at most ``bound`` rows use an ordinary window, one task per key. Larger keys are cut into
+    contiguous slices of the (key, order) sequence; a second step over one row per slice
+    carries values across slice edges. Both give the same rows, whatever the key sizes.
+    ``order`` must identify rows within a key.
     """
-    n = shuffle_width(df.sparkSession)
-    sliced = df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
-    return materialize(sliced, name)
-
-
-def _carried(keys: list[str]):
-    """Window over the slices of a key: at most one row per slice, so it stays small."""
-    return Window.partitionBy(*keys).orderBy("_part")
-
-
-def with_previous(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
-    """Adds ``prev_<c>`` from the preceding row of the key. ``df`` comes from ``range_sorted``."""
-    local = Window.partitionBy("_part", *keys).orderBy(*order)
-    first = F.row_number().over(local) == 1
-    out = df.select("*", first.alias("_first"), *[F.lag(c).over(local).alias(f"prev_{c}") for c in columns])
-    # the last row of each (key, slice): its successor within the slice does not exist
-    tail = (
-        df.select(*keys, "_part", *columns, F.lead(F.lit(1)).over(local).alias("_next"))
-        .filter("_next is null")
-        .select(*keys, "_part", F.struct(*columns).alias("_tail"))
-    )
-    before = tail.select(*keys, "_part", F.lag("_tail").over(_carried(keys)).alias("_before")).filter("_before is not null")
-    out = out.join(before, [*keys, "_part"], "left")
-    for c in columns:
-        out = out.withColumn(f"prev_{c}", F.when(F.col("_first"), F.col(f"_before.{c}")).otherwise(F.col(f"prev_{c}")))
-    return out.drop("_first", "_before")
-
-
-def _running(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str, fold) -> DataFrame:
-    """Inclusive running aggregate: within the slice, then combined with the slices before."""
-    local = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    per_slice = df.groupBy(*keys, "_part").agg(fold[0](value).alias("_slice"))
-    before = _carried(keys).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_slice.select(*keys, "_part", fold[0]("_slice").over(before).alias("_before"))
-    return (
-        df.withColumn("_local", fold[0](value).over(local))
-        .join(carried, [*keys, "_part"], "left")
-        .withColumn(out, F.when(F.col("_before").isNull(), F.col("_local")).otherwise(fold[1]("_local", "_before")))
-        .drop("_local", "_before")
-    )
-
-
-def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str) -> DataFrame:
-    """Adds the inclusive running sum of ``value``. ``df`` comes from ``range_sorted``."""
-    return _running(df, keys, order, value, out, (F.sum, lambda a, b: F.col(a) + F.col(b)))
-
-
-def running_min(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str) -> DataFrame:
-    """Adds the inclusive running minimum of ``value``. ``df`` comes from ``range_sorted``."""
-    return _running(df, keys, order, value, out, (F.min, F.least))
-
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str, name: str) -> DataFrame:
-    """Row numbers from 1 within each key, without one task per key."""
-    sliced = range_sorted(df.withColumn("_one", F.lit(1).cast("bigint")), keys, order, name)
-    return running_sum(sliced, keys, order, "_one", out).drop("_one", "_part")
+    def __init__(self, df: DataFrame, keys: list[str], order: list[Column], name: str, bound: int = 1_000_000):
+        self.keys, self.order = keys, order
+        hot = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound).drop("_n"), f"{name}-hot") if keys else None
+        self.sliced = not hot.isEmpty() if keys else df.count() > bound
+        if not self.sliced:
+            self.rows, self.group = df, list(keys)
+            return
+        self.group = ["_part", *keys]
+        big = df.join(hot, keys, "left_semi") if keys else df
+        n = shuffle_width(df.sparkSession)
+        cut = big.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
+        # written once: every later pass must see the same slice numbers
+        self.rows = materialize(cut, f"{name}-slices")
+        if keys:
+            self.rows = self.rows.unionByName(df.join(hot, keys, "left_anti").withColumn("_part", F.lit(0)))
+
+    def _carry(self):
+        """Window over the slices of a key: one row per slice."""
+        return Window.partitionBy(*self.keys).orderBy("_part")
+
+    def previous(self, *columns: str) -> "Sequence":
+        """Adds ``prev_<c>``, null on the first row of a key."""
+        local = Window.partitionBy(*self.group).orderBy(*self.order)
+        lagged = [F.lag(c).over(local).alias(f"prev_{c}") for c in columns]
+        if not self.sliced:
+            self.rows = self.rows.select("*", *lagged)
+            return self
+        out = self.rows.select("*", (F.row_number().over(local) == 1).alias("_first"), *lagged)
+        # the last row of each slice of each key: nothing follows it within the slice
+        tail = (
+            self.rows.select(*self.group, *columns, F.lead(F.lit(1)).over(local).alias("_next"))
+            .filter("_next is null").select(*self.group, F.struct(*columns).alias("_tail"))
+        )
+        before = tail.select(*self.group, F.lag("_tail").over(self._carry()).alias("_before")).filter("_before is not null")
+        out = out.join(before, self.group, "left")
+        for c in columns:
+            out = out.withColumn(f"prev_{c}", F.when(F.col("_first"), F.col(f"_before.{c}")).otherwise(F.col(f"prev_{c}")))
+        self.rows = out.drop("_first", "_before")
+        return self
+
+    def _running(self, value: str, out: str, fold, combine) -> "Sequence":
+        local = Window.partitionBy(*self.group).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+        if not self.sliced:
+            self.rows = self.rows.withColumn(out, fold(value).over(local))
+            return self
+        per_slice = self.rows.groupBy(*self.group).agg(fold(value).alias("_slice"))
+        before = self._carry().rowsBetween(Window.unboundedPreceding, -1)
+        carried = per_slice.select(*self.group, fold("_slice").over(before).alias("_before"))
+        self.rows = (
+            self.rows.withColumn("_local", fold(value).over(local))
+            .join(carried, self.group, "left")
+            .withColumn(out, F.when(F.col("_before").isNull(), F.col("_local")).otherwise(combine("_local", "_before")))
+            .drop("_local", "_before")
+        )
+        return self
+
+    def running_sum(self, value: str, out: str) -> "Sequence":
+        return self._running(value, out, F.sum, lambda a, b: F.col(a) + F.col(b))
+
+    def running_min(self, value: str, out: str) -> "Sequence":
+        return self._running(value, out, F.min, F.least)
+
+    def derive(self, name: str, value: Column) -> "Sequence":
+        self.rows = self.rows.withColumn(name, value)
+        return self
+
+    def result(self) -> DataFrame:
+        return self.rows.drop("_part")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str, name: str, bound: int = 1_000_000) -> DataFrame:
+    """Row numbers from 1 within each key, without one task per large key."""
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    return Sequence(one, keys, order, name, bound).running_sum("_one", out).result().drop("_one")

@@ -8,32 +8,23 @@ from pyspark.sql import functions as F
 from shoebox.functions import scalars
 from shoebox.functions.fixed import TIERS
 from shoebox.operators.components import connected_components
-from shoebox.operators.distributed import range_sorted, running_sum, with_previous
+from shoebox.operators.distributed import Sequence
 
 
 def unclaimed_photos(image_rows: DataFrame, claimed: DataFrame) -> DataFrame:
     return image_rows.filter(~F.col("is_screen_like")).join(claimed.select("asset_id"), "asset_id", "left_anti")
 
 
-def seconds(ts: str) -> F.Column:
-    return F.unix_micros(ts) / F.lit(1e6)
-
-
-def time_runs(photos: DataFrame, window: float = 10.0) -> DataFrame:
-    """Adds ``run``: consecutive photos at most ``window`` seconds apart, or of one burst.
-
-    A library may hold most of the rows, so the sequence is cut into slices, neighbours
-    are looked up across slice edges, and run numbers are slice-local counts plus offsets.
-    """
-    keys, order = ["library_id"], [F.col("creation_ts"), F.col("asset_id")]
+def time_runs(photos: DataFrame, window: float = 10.0, bound: int = 1_000_000) -> DataFrame:
+    """Adds ``run``: consecutive photos at most ``window`` seconds apart, or of one burst."""
     columns = ["library_id", "asset_id", "creation_ts", "burst_id", "dhash", "phash"]
-    sliced = range_sorted(photos.select(*columns), keys, order, "moment-sequence")
-    linked = with_previous(sliced, keys, order, ["creation_ts", "burst_id"])
+    order = [F.col("creation_ts"), F.col("asset_id")]
     gap_ok = F.unix_micros("creation_ts") - F.unix_micros("prev_creation_ts") <= int(round(window * 1e6))
-    same_burst = F.col("burst_id") == F.col("prev_burst_id")
-    starts = ~F.coalesce(gap_ok | F.coalesce(same_burst, F.lit(False)), F.lit(False))
-    flagged = linked.withColumn("_start", starts.cast("bigint"))
-    return running_sum(flagged, keys, order, "_start", "run").select(*columns, "run")
+    same_burst = F.coalesce(F.col("burst_id") == F.col("prev_burst_id"), F.lit(False))
+    starts = ~F.coalesce(gap_ok | same_burst, F.lit(False))
+    sequence = Sequence(photos.select(*columns), ["library_id"], order, "moments", bound)
+    runs = sequence.previous("creation_ts", "burst_id").derive("_start", starts.cast("bigint")).running_sum("_start", "run")
+    return runs.result().select(*columns, "run")
 
 
 def run_verdicts(runs: DataFrame, window: float = 10.0, span_factor: float = 6.0, max_size: int = 12, batch_share: float = 0.6) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions.fixed import GRACE_DAYS, HEAD_ONLY, TIERS
-from shoebox.operators.distributed import numbered, range_sorted, running_min, running_sum, top_k, with_previous
+from shoebox.operators.distributed import Sequence, numbered, top_k
 
 DECISIONS = ("delete", "keepOnce", "whitelist")
 
@@ -30,32 +30,28 @@ def pending_items(decisions: DataFrame, keys: list[str]) -> DataFrame:
     return latest_state(decisions, keys).filter("pending").select(*keys, "marked_at", "bytes")
 
 
-def with_undo(decisions: DataFrame, session: list[str]) -> DataFrame:
-    """Decisions with ``undone``, and undo events with the decision they take back.
+def with_undo(decisions: DataFrame, session: list[str], bound: int = 1_000_000) -> DataFrame:
+    """Decisions with ``undone`` and the undo event that takes them back.
 
     Undo is last-in first-out within a session. The stack depth is a prefix sum reflected at zero
     (an undo on an empty stack does nothing); at one depth, decisions and the undos that
     pop them alternate, so a decision is undone when the next event at its depth is an undo.
-    Both passes run over slices, so a session may be long.
     """
-    order = [F.col("ts"), F.col("event_id")]
     steps = decisions.filter(F.col("action").isin(*DECISIONS, "undo")).select(
         *session, "event_id", "asset_id", "ts", "action", "bytes",
-        F.when(F.col("action") == "undo", -1).otherwise(1).cast("bigint").alias("_step"),
+        F.when(F.col("action") == "undo", -1).otherwise(1).cast("bigint").alias("step"),
     )
-    sliced = range_sorted(steps, session, order, "undo-sequence")
-    depth = running_min(running_sum(sliced, session, order, "_step", "_sum"), session, order, "_sum", "_low")
-    # reflected depth after the event, and the level the event pushes to or pops from
-    after = F.col("_sum") - F.least(F.col("_low"), F.lit(0))
-    linked = with_previous(depth, session, order, ["_low"])
+    walk = Sequence(steps, session, [F.col("ts"), F.col("event_id")], "undo", bound)
+    walk = walk.running_sum("step", "total").running_min("total", "low").previous("low").result()
+    floor = F.least(F.col("low"), F.lit(0))
+    floor_before = F.least(F.coalesce("prev_low", F.lit(0)), F.lit(0))
     # an undo on an empty stack is the one that makes a new negative minimum
-    previous_low = F.least(F.coalesce("prev__low", F.lit(0)), F.lit(0))
-    void = (F.col("action") == "undo") & (F.col("_low") < previous_low)
-    level = F.when(F.col("action") == "undo", after + 1).otherwise(after)
-    effective = linked.filter(~void).withColumn("level", level)
-    back = [F.desc("ts"), F.desc("event_id")]
-    by_level = range_sorted(effective.drop("_part"), [*session, "level"], back, "undo-levels")
-    paired = with_previous(by_level, [*session, "level"], back, ["action", "event_id", "ts"])
+    on_empty = (F.col("action") == "undo") & (floor < floor_before)
+    depth = F.col("total") - floor
+    level = F.when(F.col("action") == "undo", depth + 1).otherwise(depth)
+    effective = walk.filter(~on_empty).withColumn("level", level)
+    backwards = Sequence(effective, [*session, "level"], [F.desc("ts"), F.desc("event_id")], "undo-levels", bound)
+    paired = backwards.previous("action", "event_id", "ts").result()
     undone = F.coalesce(F.col("prev_action") == "undo", F.lit(False))
     return paired.filter("action <> 'undo'").select(
         *session, "event_id", "asset_id", "ts", "action", "bytes",

@@ -6,6 +6,8 @@ MODULES = (
     "q_catalog",
     "q_grouping",
     "q_history",
+    "q_layout",
+    "q_learning",
     "q_queue",
 )
 

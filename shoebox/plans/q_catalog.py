@@ -104,11 +104,10 @@ def gates(lib: Library) -> DataFrame:
 
 
 def _entries(lib: Library) -> DataFrame:
-    """One centroid list per app, from the vectors marked as centroids."""
-    marked = F.when(F.col("is_centroid"), F.col("embedding"))
-    return lib.vectors().groupBy(F.col("app").alias("name"), "revision").agg(
-        F.count(F.lit(1)).alias("sample_count"), F.array_compact(F.collect_list(marked)).alias("centroids")
-    ).withColumn("category", F.lit(None).cast("string"))
+    """The vectors marked as centroids, under their app's name."""
+    sizes = lib.vectors().groupBy("app").agg(F.count(F.lit(1)).alias("sample_count"))
+    marked = lib.vectors().filter("is_centroid").join(sizes, "app")
+    return marked.select(F.col("app").alias("name"), F.lit(None).cast("string").alias("category"), "sample_count", "revision", F.col("embedding").alias("centroid"))
 
 
 @query("snk4", """
@@ -118,7 +117,8 @@ def round_trip(lib: Library) -> DataFrame:
     path = fresh_path(lib.spark, "centroid-library")
     catalog.write_centroids(_entries(lib), path)
     back = catalog.read_centroids(lib.spark, path)
-    return back.select("name", "sample_count", F.size("centroids").cast("bigint").alias("centroids"), F.size(F.col("centroids")[0]).alias("dimension"))
+    per_label = back.groupBy("name", "sample_count")
+    return per_label.agg(F.count(F.lit(1)).alias("centroids"), F.max(F.size("centroid")).alias("dimension"))
 
 
 @query("snk5", """

@@ -87,8 +87,11 @@ def same_revision(rows: DataFrame, revision: int = fixed.EMBEDDING_REVISION) ->
 
 
 def write_centroids(entries: DataFrame, path: str) -> None:
-    """Centroid library: name, category, sample_count, revision, centroids (array of vectors)."""
-    entries.filter(F.size("centroids") > 0).write.mode("overwrite").parquet(path)
+    """Centroid library, one row per centroid: name, category, sample_count, revision, centroid.
+
+    The long form keeps a label with very many centroids splittable.
+    """
+    entries.filter(F.size("centroid") > 0).write.mode("overwrite").parquet(path)
 
 
 def read_centroids(spark: SparkSession, path: str, revision: int = fixed.EMBEDDING_REVISION) -> DataFrame:

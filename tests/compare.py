@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import math
 import sys
 import time
@@ -22,6 +23,7 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
+    assert not isinstance(value, decimal.Decimal), f"decimal result {value}"
     if isinstance(value, float):
         return "nan" if math.isnan(value) else round(value, 6) + 0.0
     if isinstance(value, (list, tuple)):
