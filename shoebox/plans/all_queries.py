@@ -4,6 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "q_catalog",
+    "q_evaluation",
     "q_grouping",
     "q_history",
     "q_layout",
