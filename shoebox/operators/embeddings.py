@@ -161,8 +161,8 @@ class Leaders:
         return n, 1.0
 
 
-def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold: float = MERGE_THRESHOLD, ceiling: int = MAX_CLUSTERS) -> DataFrame:
-    """The exact, order-dependent pass within each key.
+def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold: float | None = MERGE_THRESHOLD, ceiling: int = MAX_CLUSTERS) -> DataFrame:
+    """The exact, order-dependent pass within each key. Without a ``threshold``, the key column of that name gives it.
 
     A key's rows stream through its task in order, batch by batch; what a task holds is the leaders,
     at most ``ceiling``. Rows: kind 'member' (item_id, cluster, similarity, weight) and
@@ -171,7 +171,7 @@ def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold:
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*keys).schema)
 
     def run(key, batches):
-        state = Leaders(threshold, ceiling)
+        state = Leaders(key[keys.index("threshold")] if threshold is None else threshold, ceiling)
         for pdf in batches:
             full = _matrix(pdf["embedding"])
             small = project(full)

@@ -262,11 +262,8 @@ def merge_sweep(items: DataFrame, thresholds: tuple[float, ...] = MERGE_SWEEP, c
     Items past the ceiling are counted, as in the clustering itself.
     """
     fanned = items.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    parts = None
-    for t in thresholds:
-        passed = embeddings.leader_pass(fanned.filter(F.col("threshold") == t), ["library_id", "threshold"], ["item_id"], t, ceiling)
-        parts = passed if parts is None else parts.union(passed)
-    placed = parts.filter("kind = 'member'").join(items.select("library_id", "item_id", "app"), ["library_id", "item_id"])
+    passed = embeddings.leader_pass(fanned, ["library_id", "threshold"], ["item_id"], None, ceiling)
+    placed = passed.filter("kind = 'member'").join(items.select("library_id", "item_id", "app"), ["library_id", "item_id"])
     per_cluster = placed.groupBy("library_id", "threshold", "cluster").agg(F.count(F.lit(1)).alias("size"), F.min("app").alias("low"), F.max("app").alias("high"))
     real = F.col("cluster") >= 0
     return per_cluster.groupBy("library_id", "threshold").agg(

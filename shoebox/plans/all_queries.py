@@ -10,6 +10,7 @@ MODULES = (
     "q_layout",
     "q_learning",
     "q_queue",
+    "q_streams",
 )
 
 

@@ -97,32 +97,35 @@ def _examples(lib: Library) -> DataFrame:
 
 @query("eva8")
 def held_out_classes(lib: Library) -> DataFrame:
-    judged = evaluate.cross_validate(_examples(lib), 5, "softmax", epochs=10)
+    judged = evaluate.cross_validate(_examples(lib), 5, "softmax")
     return evaluate.accuracy(judged.select(F.col("target").cast("string").alias("truth"), F.col("predicted").cast("string").alias("predicted")))
 
 
 @query("eva8_binary")
 def held_out_scores(lib: Library) -> DataFrame:
     binary = learning.items(lib).withColumn("target", (F.col("app_no") < 4).cast("int"))
-    scored = evaluate.cross_validate(binary, 5, "logistic", epochs=10).select("item_id", "score", (F.col("target") == 1).alias("positive"))
+    scored = evaluate.cross_validate(binary, 5, "logistic").select("item_id", "score", (F.col("target") == 1).alias("positive"))
     return evaluate.separation(scored).select(*[F.round(c, 6).alias(c) for c in ("positive_mean", "negative_mean", "separation", "base_rate")])
 
 
 @query("eva9", """
 , s as (select l.item_id, score, app_is as positive from logistic l join (select item_id, label < 4 as app_is from items) using (item_id))
-select round(avg(case when positive then score end), 6) as positive_mean, round(avg(case when not positive then score end), 6) as negative_mean,
- round(avg(case when positive then score end) - avg(case when not positive then score end), 6) as separation, round(avg(positive::int), 6) as base_rate,
- (select count_if(positive) from (select * from s order by score desc, item_id limit 8)) as hits from s
+select 'positive_mean' as measure, round(avg(score), 6) as value from s where positive union all select 'negative_mean', round(avg(score), 6) from s where not positive
+union all select 'separation', round(avg(case when positive then score end) - avg(case when not positive then score end), 6) from s
+union all select 'base_rate', round(avg(positive::int), 6) from s
+union all select 'precision_at_8', count_if(positive) / count(*)::double from (select * from s order by score desc, item_id limit 8)
 """, ("logistic", "items"))
 def ranking_quality(lib: Library) -> DataFrame:
     scored = learning.with_literal_logistic(learning.items(lib)).select("item_id", "score", (F.col("app_no") < 4).alias("positive"))
     rounded = [F.round(c, 6).alias(c) for c in ("positive_mean", "negative_mean", "separation", "base_rate")]
-    return evaluate.separation(scored).crossJoin(evaluate.precision_at(scored, 8)).select(*rounded, "hits")
+    means = evaluate.separation(scored).select(*rounded).unpivot([], ["positive_mean", "negative_mean", "separation", "base_rate"], "measure", "value")
+    top = evaluate.precision_at(scored, 8).select(F.lit("precision_at_8").alias("measure"), (F.col("hits") / F.col("k")).alias("value"))
+    return means.union(top)
 
 
 @query("eva10")
 def half_hold_out(lib: Library) -> DataFrame:
-    judged = evaluate.half_hold_out(_examples(lib), epochs=10)
+    judged = evaluate.half_hold_out(_examples(lib))
     return judged.groupBy("target").agg(F.count(F.lit(1)).alias("tested"), F.count_if(F.col("predicted") == F.col("target")).alias("right"))
 
 
@@ -151,13 +154,15 @@ def merge_sweep(lib: Library) -> DataFrame:
 
 
 @query("eva13", """
-select (select count(distinct matched) from matched) as clusters, (select count(*) from (select matched from matched where matched is not null group by matched having count(distinct app) = 1)) as pure,
- count_if(matched = app) as hit, count_if(matched <> app) as wrong, count_if(matched is null) as miss from matched
+select 'clusters' as measure, count(distinct matched) as n from matched
+union all select 'pure', count(*) from (select matched from matched where matched is not null group by matched having count(distinct app) = 1)
+union all select 'hit', count_if(matched = app) from matched union all select 'wrong', count_if(matched <> app) from matched union all select 'miss', count_if(matched is null) from matched
 """, ("matched",))
 def backtest(lib: Library) -> DataFrame:
     matched = emb.match_labels(learning.items(lib), learning.centroids(lib), learning.LABEL_AT).select("label", F.col("app").alias("truth"))
     pure = evaluate.purity(matched.filter("label is not null").withColumnRenamed("label", "cluster"))
-    return pure.crossJoin(evaluate.name_once(matched))
+    counts = evaluate.name_once(matched).unpivot([], ["hit", "wrong", "miss"], "measure", "n")
+    return pure.unpivot([], ["clusters", "pure"], "measure", "n").union(counts)
 
 
 @query("eva14", """
