@@ -26,6 +26,12 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def hot_keys(df: DataFrame, keys: list[str], name: str, bound: int) -> DataFrame:
+    """Keys with more than ``bound`` rows: one aggregation, and at most rows / bound results."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return materialize(sizes.filter(F.col("_n") > bound).drop("_n"), f"{name}-hot")
+
+
 class Sequence:
     """Rows of each key in order, for neighbours, running totals and row numbers.
 
@@ -35,9 +41,10 @@ class Sequence:
     ``order`` must identify rows within a key.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[Column], name: str, bound: int = 1_000_000):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[Column], name: str, bound: int = 1_000_000, hot: DataFrame | None = None):
         self.keys, self.order = keys, order
-        hot = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound).drop("_n"), f"{name}-hot") if keys else None
+        if keys and hot is None:
+            hot = hot_keys(df, keys, name, bound)
         self.sliced = not hot.isEmpty() if keys else df.count() > bound
         if not self.sliced:
             self.rows, self.group = df, list(keys)
@@ -97,6 +104,14 @@ class Sequence:
     def running_min(self, value: str, out: str) -> "Sequence":
         return self._running(value, out, F.min, F.least)
 
+    def size(self, out: str) -> "Sequence":
+        """Adds the number of rows of the key."""
+        if not self.sliced:
+            self.rows = self.rows.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(*self.keys)))
+        else:
+            self.rows = self.rows.join(self.rows.groupBy(*self.keys).agg(F.count(F.lit(1)).alias(out)), self.keys)
+        return self
+
     def derive(self, name: str, value: Column) -> "Sequence":
         self.rows = self.rows.withColumn(name, value)
         return self

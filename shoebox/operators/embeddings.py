@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from shoebox.functions import fixed, vectors
 from shoebox.session import materialize
@@ -55,11 +56,11 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def projected(items: DataFrame, column: str = "embedding") -> DataFrame:
     """Adds ``projected``, in Arrow batches."""
 
-    @F.pandas_udf("array<double>")
-    def run(v: pd.Series) -> pd.Series:
-        return pd.Series(list(project(_matrix(v))))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(projected=list(project(_matrix(pdf[column]))))
 
-    return items.withColumn("projected", run(column))
+    return items.mapInPandas(run, StructType([*items.schema.fields, StructField("projected", ArrayType(DoubleType()))]))
 
 
 # --- label matching -----------------------------------------------------------------------------

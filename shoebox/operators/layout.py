@@ -1,83 +1,132 @@
 """Text-layout features: recognised lines (boxes with origin bottom-left) to one row per asset.
 
-Most features are plain aggregates. Those that need neighbours go through ``Sequence``, so an
-asset with very many lines is no obstacle. All parts share the key and join without another shuffle.
+``placed`` gives every line its neighbours: one shuffle on the asset serves three orders, and
+an asset with very many lines is sliced instead. ``features`` then needs two aggregations on
+that same partitioning, first per column of text, then per asset, plus the paired-row search.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions.scalars import looks_like_clock
-from shoebox.operators.distributed import Sequence, numbered
+from shoebox.operators.distributed import Sequence, hot_keys
 
 KEY = "asset_id"
+COLUMN_GAP = 0.06
 
 
-def _mid_x():
-    return F.col("x") + F.col("w") / 2
+def placed(lines: DataFrame, bound: int = 1_000_000) -> DataFrame:
+    """Lines with ``gap`` (to the line below, by mid height), ``chain`` (left edges chained until a
+    gap above 0.06), ``nth`` (by box height) and ``n`` (lines of the asset).
+    """
+    rows = lines.withColumn("mid", F.col("y") + F.col("h") / 2).withColumn("_one", F.lit(1).cast("bigint"))
+    hot = hot_keys(lines.select(KEY), [KEY], "lines", bound)
+    at = lambda df, by: Sequence(df, [KEY], [F.col(by), F.col("line_no")], f"lines-{by}", bound, hot)
+    rows = at(rows, "mid").previous("mid").derive("gap", F.col("mid") - F.col("prev_mid")).result()
+    starts = F.coalesce(F.col("x") - F.col("prev_x") > COLUMN_GAP, F.lit(True)).cast("bigint")
+    rows = at(rows, "x").previous("x").derive("_start", starts).running_sum("_start", "chain").result()
+    rows = at(rows, "h").running_sum("_one", "nth").size("n").result()
+    return rows.drop("prev_mid", "prev_x", "_start", "_one")
 
 
-def _mid_y():
-    return F.col("y") + F.col("h") / 2
+def _spread(name: str) -> Column:
+    """Population deviation from a count, a sum and a sum of squares."""
+    n, total, squares = F.col(f"{name}_n"), F.col(name), F.col(f"{name}_sq")
+    mean = total / n
+    return F.sqrt(F.greatest(F.lit(0.0), squares / n - mean * mean))
 
 
-def aggregates(lines: DataFrame) -> DataFrame:
-    """Everything that one pass of partial aggregation can give."""
-    n = F.count(F.lit(1))
+def _moments(name: str, value: Column) -> dict[str, Column]:
+    return {f"{name}_n": F.count(value), name: F.sum(value), f"{name}_sq": F.sum(value * value)}
+
+
+def _even_columns(centres: str) -> Column:
+    """Three or more column centres whose gaps differ little."""
+    ordered = F.array_sort(centres)
+    gaps = F.zip_with(F.slice(ordered, 2, F.size(centres)), ordered, lambda b, a: b - a)
+    known = F.filter(gaps, lambda g: g.isNotNull())
+    n = F.size(known)
+    mean = F.aggregate(known, F.lit(0.0), lambda s, g: s + g) / n
+    squares = F.aggregate(F.zip_with(known, F.array_repeat(mean, n), lambda g, m: (g - m) * (g - m)), F.lit(0.0), lambda s, q: s + q)
+    return F.when((F.size(centres) >= 3) & (mean > 0), F.sqrt(squares / n) / mean < 0.35).otherwise(False)
+
+
+def _line_sums() -> dict[str, Column]:
+    """What adds up over lines, whatever they are first grouped by."""
     digits = F.length(F.regexp_replace("text", r"[^\p{N}]", ""))
-    top, clock_zone = F.col("y") + F.col("h"), (F.col("y") + F.col("h") > 0.955) & (F.col("x") < 0.38)
-    sums = lines.groupBy(KEY).agg(
-        n.alias("line_count"),
-        F.sum(F.col("w") * F.col("h")).alias("area"), F.avg("confidence").alias("mean_confidence"),
-        F.count_if(F.col("w") < 0.45).alias("short"),
-        F.sum(digits).alias("digits"), F.sum(F.length("text")).alias("chars"),
-        F.count_if(F.col("x") < 0.22).alias("left"), F.count_if(F.col("x") > 0.38).alias("right"),
-        F.count_if(F.col("x") + F.col("w") > 0.90).alias("hugging"),
-        F.stddev_pop(_mid_x()).alias("spread_x"), F.stddev_pop(_mid_y()).alias("spread_y"),
-        F.bool_or(F.col("y") > 0.955).alias("has_top_bar"), F.bool_or(top < 0.075).alias("has_bottom_bar"),
-        F.bool_or(clock_zone & looks_like_clock("text")).alias("has_clock"),
-    )
+    return {
+        "line_count": F.count(F.lit(1)), "area": F.sum(F.col("w") * F.col("h")), "confidence": F.sum("confidence"),
+        "short": F.count_if(F.col("w") < 0.45), "digits": F.sum(digits), "chars": F.sum(F.length("text")),
+        "left": F.count_if(F.col("x") < 0.22), "right": F.count_if(F.col("x") > 0.38), "hugging": F.count_if(F.col("x") + F.col("w") > 0.90),
+        **_moments("mx", F.col("x") + F.col("w") / 2), **_moments("my", F.col("y") + F.col("h") / 2),
+    }
+
+
+def _line_flags() -> dict[str, Column]:
+    top = F.col("y") + F.col("h")
+    clock_zone = (top > 0.955) & (F.col("x") < 0.38)
+    return {
+        "has_top_bar": F.bool_or(F.col("y") > 0.955), "has_bottom_bar": F.bool_or(top < 0.075),
+        "has_clock": F.bool_or(clock_zone & looks_like_clock("text")),
+    }
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [value.alias(name) for name, value in columns.items()]
+
+
+def _from_lines(least: int, value: Column) -> Column:
+    return F.when(F.col("line_count") >= least, value).otherwise(0.0)
+
+
+def _summed_features() -> list[Column]:
     count = F.col("line_count")
-    from_ = lambda least, value: F.when(count >= least, value).otherwise(0.0)
-    return sums.select(
-        KEY, "line_count", F.least(F.col("area"), F.lit(1.0)).alias("text_area"), "mean_confidence",
-        (F.col("short") / count).alias("short_share"),
-        F.when(F.col("chars") > 0, F.col("digits") / F.col("chars")).otherwise(0.0).alias("digit_share"),
-        from_(4, F.least(F.least("left", "right") / count * 2.4, F.lit(1.0))).alias("bimodality"),
-        from_(4, F.col("hugging") / count).alias("right_hugging"),
-        from_(5, F.least(F.col("spread_x") / 0.29 * (F.col("spread_y") / 0.29), F.lit(1.0))).alias("scatter"),
-        "has_top_bar", "has_bottom_bar", "has_clock",
-    )
+    return _named({
+        "line_count": count, "text_area": F.least(F.col("area"), F.lit(1.0)), "mean_confidence": F.col("confidence") / count,
+        "short_share": F.col("short") / count, "digit_share": F.when(F.col("chars") > 0, F.col("digits") / F.col("chars")).otherwise(0.0),
+        "bimodality": _from_lines(4, F.least(F.least("left", "right") / count * 2.4, F.lit(1.0))),
+        "right_hugging": _from_lines(4, F.col("hugging") / count),
+        "scatter": _from_lines(5, F.least(_spread("mx") / 0.29 * (_spread("my") / 0.29), F.lit(1.0))),
+    }) + [F.col(c) for c in _line_flags()]
 
 
-def median_height(lines: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """The upper median: element n div 2 of the sorted heights, counting from 0."""
-    sizes = lines.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    ranked = numbered(lines.select(KEY, "line_no", "h"), [KEY], [F.col("h"), F.col("line_no")], "k", "line-heights", bound)
-    return ranked.join(sizes, KEY).filter(F.expr("k = n div 2 + 1")).select(KEY, F.col("h").alias("median_height"))
+def aggregates(lines: DataFrame) -> DataFrame:
+    """The features that need no neighbours: one aggregation, combined map-side."""
+    return lines.groupBy(KEY).agg(*_named(_line_sums()), *_named(_line_flags())).select(KEY, *_summed_features())
 
 
-def gap_regularity(lines: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """How even the vertical gaps are, for assets with four lines or more."""
-    rows = lines.select(KEY, "line_no", _mid_y().alias("mid"))
-    gaps = Sequence(rows, [KEY], [F.col("mid"), F.col("line_no")], "line-gaps", bound).previous("mid").result()
-    gap = F.col("mid") - F.col("prev_mid")
-    stats = gaps.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.avg(gap).alias("m"), F.stddev_pop(gap).alias("sd"))
-    even = F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.col("sd") / F.col("m")))
-    return stats.select(KEY, F.when((F.col("n") >= 4) & (F.col("m") > 0), even).otherwise(0.0).alias("gap_regularity"))
+def basic_features(rows: DataFrame) -> DataFrame:
+    """All features of ``placed`` lines but the paired rows."""
+    sums, flags, gaps = _line_sums(), _line_flags(), _moments("gap", F.col("gap"))
+    per_chain = rows.groupBy(KEY, "chain").agg(
+        *_named(sums), *_named(flags), *_named(gaps), F.avg("x").alias("centre"),
+        F.max(F.when(F.col("nth") == F.expr("n div 2 + 1"), F.col("h"))).alias("median_height"),
+    )
+    per_asset = per_chain.groupBy(KEY).agg(
+        *[F.sum(c).alias(c) for c in (*sums, *gaps)], *[F.bool_or(c).alias(c) for c in flags], F.max("median_height").alias("median_height"),
+        # chains lie more than 0.06 of the width apart: a handful per asset
+        F.array_compact(F.collect_list(F.when(F.col("line_count") >= 2, F.col("centre")))).alias("centres"),
+    )
+    mean_gap = F.col("gap") / F.col("gap_n")
+    even_gaps = F.when(mean_gap > 0, F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), _spread("gap") / mean_gap))).otherwise(0.0)
+    return per_asset.select(
+        KEY, *_summed_features(), "median_height", _from_lines(4, even_gaps).alias("gap_regularity"),
+        F.when(F.col("line_count") >= 4, F.size("centres")).otherwise(0).cast("bigint").alias("column_count"),
+        ((F.col("line_count") >= 4) & _even_columns("centres")).alias("columns_even"),
+    )
 
 
-def paired_rows(lines: DataFrame, medians: DataFrame) -> DataFrame:
-    """Share of lines with another line at their height that starts right of them.
+def paired_rows(rows: DataFrame) -> DataFrame:
+    """Share of ``placed`` lines with another line at their height that starts right of them.
 
     Only the rightmost start at each height matters, so heights (not lines) are compared, and only
     within neighbouring height bands of the asset's tolerance.
     """
-    tolerance = F.greatest(F.lit(0.004), F.col("median_height") * 0.45)
-    rows = lines.select(KEY, "x", "w", _mid_y().alias("mid")).join(medians.select(KEY, tolerance.alias("tol")), KEY)
-    heights = rows.groupBy(KEY, "mid").agg(F.max("x").alias("reach"), F.first("tol").alias("tol"))
+    medians = rows.filter(F.expr("nth = n div 2 + 1 and n >= 4")).select(KEY, F.greatest(F.lit(0.004), F.col("h") * 0.45).alias("tol"))
+    near_lines = rows.select(KEY, "x", "w", "mid").join(medians, KEY)
+    heights = near_lines.groupBy(KEY, "mid").agg(F.max("x").alias("reach"), F.first("tol").alias("tol"))
     # a little wider than the tolerance, so that rounding cannot push a pair two bands apart
     heights = heights.withColumn("band", F.floor(F.col("mid") / (F.col("tol") * 1.01)))
     near = heights.select(KEY, F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("mid").alias("other"), "reach")
@@ -87,36 +136,11 @@ def paired_rows(lines: DataFrame, medians: DataFrame) -> DataFrame:
         .groupBy(KEY, "mid").agg(F.max("reach").alias("reach"))
     )
     paired = F.col("reach") - (F.col("x") + F.col("w")) > 0.02
-    stats = rows.join(reach, [KEY, "mid"], "left").groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.count_if(paired).alias("paired"))
-    return stats.select(KEY, F.when(F.col("n") >= 4, F.col("paired") / F.col("n")).otherwise(0.0).alias("paired_rows"))
-
-
-def columns(lines: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """Left edges chained into columns (a gap above 0.06 starts a new one); those with two lines
-    or more are counted and tested for even spacing.
-    """
-    rows = lines.select(KEY, "line_no", "x")
-    edges = Sequence(rows, [KEY], [F.col("x"), F.col("line_no")], "line-edges", bound).previous("x")
-    starts = F.coalesce(F.col("x") - F.col("prev_x") > 0.06, F.lit(True)).cast("bigint")
-    chained = edges.derive("_start", starts).running_sum("_start", "chain").result()
-    chains = chained.groupBy(KEY, "chain").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("centre"))
-    # chains lie more than 0.06 of the width apart: a handful per asset
-    w = Window.partitionBy(KEY).orderBy("centre")
-    solid = chains.filter("n >= 2").withColumn("gap", F.col("centre") - F.lag("centre").over(w))
-    stats = solid.groupBy(KEY).agg(F.count(F.lit(1)).alias("solid"), F.avg("gap").alias("m"), F.stddev_pop("gap").alias("sd"))
-    sizes = chains.groupBy(KEY).agg(F.sum("n").alias("lines"))
-    even = (F.col("solid") >= 3) & (F.col("m") > 0) & (F.col("sd") / F.col("m") < 0.35)
-    enough = F.col("lines") >= 4
-    return sizes.join(stats, KEY, "left").select(
-        KEY, F.when(enough, F.coalesce("solid", F.lit(0))).otherwise(0).cast("bigint").alias("column_count"),
-        (enough & F.coalesce(even, F.lit(False))).alias("columns_even"),
-    )
+    stats = near_lines.join(reach, [KEY, "mid"], "left").groupBy(KEY).agg(F.avg(F.when(paired, 1.0).otherwise(0.0)).alias("paired_rows"))
+    return stats
 
 
-def features(lines: DataFrame) -> DataFrame:
+def features(lines: DataFrame, bound: int = 1_000_000) -> DataFrame:
     """All layout features, one row per asset with at least one line."""
-    medians = median_height(lines)
-    out = aggregates(lines)
-    for part in (medians, gap_regularity(lines), paired_rows(lines, medians), columns(lines)):
-        out = out.join(part, KEY)
-    return out
+    rows = placed(lines, bound)
+    return basic_features(rows).join(paired_rows(rows), KEY, "left").withColumn("paired_rows", F.coalesce("paired_rows", F.lit(0.0)))

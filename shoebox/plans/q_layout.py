@@ -61,24 +61,33 @@ def _spark(df: DataFrame, names: str) -> DataFrame:
     return df.select(*[F.round(n, 6).alias(n) if n in SIX else F.col(n) for n in names.split()])
 
 
-def _register(name: str, columns: str, source: str, build) -> None:
+def basic(lib: Library) -> DataFrame:
+    return layout.basic_features(layout.placed(lib.ocr_lines()))
+
+
+def _register(name: str, columns: str, source: str) -> None:
     @query(name, f"select {_duck('asset_id ' + columns)} from {source}", (source,))
     def run(lib: Library) -> DataFrame:
-        return _spark(build(lib.ocr_lines()), "asset_id " + columns)
-
-
-_register("lay1", "line_count text_area mean_confidence short_share", "lay_agg", layout.aggregates)
-_register("lay2", "median_height", "lay_median", layout.median_height)
-_register("lay3", "digit_share", "lay_agg", layout.aggregates)
-_register("lay4", "bimodality", "lay_agg", layout.aggregates)
-_register("lay5", "gap_regularity", "lay_gap", layout.gap_regularity)
-_register("lay6", "paired_rows", "lay_paired", lambda lines: layout.paired_rows(lines, layout.median_height(lines)))
-_register("lay7", "right_hugging", "lay_agg", layout.aggregates)
-_register("lay8", "scatter", "lay_agg", layout.aggregates)
-_register("lay9", "column_count", "lay_columns", layout.columns)
-_register("lay10", "columns_even", "lay_columns", layout.columns)
-_register("lay11", "has_top_bar has_bottom_bar", "lay_agg", layout.aggregates)
-_register("lay12", "has_clock", "lay_agg", layout.aggregates)
+        summed = source == "lay_agg"
+        return _spark(layout.aggregates(lib.ocr_lines()) if summed else basic(lib), "asset_id " + columns)
+
+
+_register("lay1", "line_count text_area mean_confidence short_share", "lay_agg")
+_register("lay2", "median_height", "lay_median")
+_register("lay3", "digit_share", "lay_agg")
+_register("lay4", "bimodality", "lay_agg")
+_register("lay5", "gap_regularity", "lay_gap")
+_register("lay7", "right_hugging", "lay_agg")
+_register("lay8", "scatter", "lay_agg")
+_register("lay9", "column_count", "lay_columns")
+_register("lay10", "columns_even", "lay_columns")
+_register("lay11", "has_top_bar has_bottom_bar", "lay_agg")
+_register("lay12", "has_clock", "lay_agg")
+
+
+@query("lay6", "select asset_id, round(paired_rows, 6) as paired_rows from lay_paired", ("lay_paired",))
+def paired(lib: Library) -> DataFrame:
+    return _spark(layout.features(lib.ocr_lines()), "asset_id paired_rows")
 
 
 # every tenth asset was never analysed, so it has no layout

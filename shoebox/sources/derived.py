@@ -157,13 +157,14 @@ class Library:
         return self._kept[name]
 
     def assets(self) -> DataFrame:
-        return self._sql(ASSETS, documents=self.table("documents"))
+        """The base table of most operators: written once, so that later scans never read the texts again."""
+        return self.keep("assets", lambda: self._sql(ASSETS, documents=self.table("documents")))
 
     def fingerprints(self) -> DataFrame:
         return self.keep("fingerprints", lambda: fingerprints(self.table("documents")))
 
     def ocr_lines(self) -> DataFrame:
-        return self._sql(OCR_LINES, lineitem=self.table("lineitem"))
+        return self.keep("ocr-lines", lambda: self._sql(OCR_LINES, lineitem=self.table("lineitem")))
 
     def decisions(self) -> DataFrame:
         return self._sql(DECISIONS, events=self.table("events"))
