@@ -112,6 +112,29 @@ class Sequence:
             self.rows = self.rows.join(self.rows.groupBy(*self.keys).agg(F.count(F.lit(1)).alias(out)), self.keys)
         return self
 
+    def key_max(self, value: Column, out: str) -> "Sequence":
+        """Adds the greatest ``value`` of the key."""
+        if not self.sliced:
+            self.rows = self.rows.withColumn(out, F.max(value).over(Window.partitionBy(*self.keys)))
+        else:
+            self.rows = self.rows.join(self.rows.groupBy(*self.keys).agg(F.max(value).alias(out)), self.keys)
+        return self
+
+    def nearby_max(self, position: str, value: str, radius: float, out: str) -> "Sequence":
+        """Adds the greatest ``value`` among the key's rows whose ``position`` is at most ``radius`` away.
+
+        A large key is first reduced to its distinct positions.
+        """
+        # SQL text: the Python window API takes whole numbers only
+        near = f"over (partition by {', '.join(self.keys)} order by {position} range between {radius}D preceding and {radius}D following)"
+        if not self.sliced:
+            self.rows = self.rows.withColumn(out, F.expr(f"max({value}) {near}"))
+        else:
+            places = self.rows.groupBy(*self.keys, position).agg(F.max(value).alias("_high"))
+            reached = places.select(*self.keys, position, F.expr(f"max(_high) {near}").alias(out))
+            self.rows = self.rows.join(reached, [*self.keys, position])
+        return self
+
     def derive(self, name: str, value: Column) -> "Sequence":
         self.rows = self.rows.withColumn(name, value)
         return self

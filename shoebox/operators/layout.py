@@ -1,8 +1,8 @@
 """Text-layout features: recognised lines (boxes with origin bottom-left) to one row per asset.
 
-``placed`` gives every line its neighbours: one shuffle on the asset serves three orders, and
-an asset with very many lines is sliced instead. ``features`` then needs two aggregations on
-that same partitioning, first per column of text, then per asset, plus the paired-row search.
+``placed`` gives every line its neighbours: one shuffle on the asset serves all orders, and
+an asset with very many lines is sliced instead. ``layout_of`` then aggregates on that same
+partitioning, first per column of text, then per asset.
 """
 
 from __future__ import annotations
@@ -17,18 +17,21 @@ KEY = "asset_id"
 COLUMN_GAP = 0.06
 
 
-def placed(lines: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """Lines with ``gap`` (to the line below, by mid height), ``chain`` (left edges chained until a
-    gap above 0.06), ``nth`` (by box height) and ``n`` (lines of the asset).
+def placed(lines: DataFrame, bound: int = 20_000) -> DataFrame:
+    """Lines with their surroundings: ``gap`` to the line below (by mid height), ``chain`` (left edges
+    chained until a gap above 0.06), ``nth`` of ``n`` by box height, and ``reach``, the rightmost start
+    of any line at about the same height.
     """
     rows = lines.withColumn("mid", F.col("y") + F.col("h") / 2).withColumn("_one", F.lit(1).cast("bigint"))
     hot = hot_keys(lines.select(KEY), [KEY], "lines", bound)
     at = lambda df, by: Sequence(df, [KEY], [F.col(by), F.col("line_no")], f"lines-{by}", bound, hot)
-    rows = at(rows, "mid").previous("mid").derive("gap", F.col("mid") - F.col("prev_mid")).result()
+    by_height = at(rows, "h").running_sum("_one", "nth").size("n").key_max(F.when(F.expr("nth = n div 2 + 1"), F.col("h")), "median_height")
+    rows = by_height.derive("_level", F.col("mid") / F.greatest(F.lit(0.004), F.col("median_height") * 0.45)).result()
+    # heights exactly a tolerance apart are not level: the margin keeps rounding out of that decision
+    level = at(rows, "mid").previous("mid").derive("gap", F.col("mid") - F.col("prev_mid")).nearby_max("_level", "x", 1 - 1e-9, "reach")
     starts = F.coalesce(F.col("x") - F.col("prev_x") > COLUMN_GAP, F.lit(True)).cast("bigint")
-    rows = at(rows, "x").previous("x").derive("_start", starts).running_sum("_start", "chain").result()
-    rows = at(rows, "h").running_sum("_one", "nth").size("n").result()
-    return rows.drop("prev_mid", "prev_x", "_start", "_one")
+    rows = at(level.result(), "x").previous("x").derive("_start", starts).running_sum("_start", "chain").result()
+    return rows.drop("prev_mid", "prev_x", "_start", "_one", "_level")
 
 
 def _spread(name: str) -> Column:
@@ -97,12 +100,13 @@ def aggregates(lines: DataFrame) -> DataFrame:
     return lines.groupBy(KEY).agg(*_named(_line_sums()), *_named(_line_flags())).select(KEY, *_summed_features())
 
 
-def basic_features(rows: DataFrame) -> DataFrame:
-    """All features of ``placed`` lines but the paired rows."""
-    sums, flags, gaps = _line_sums(), _line_flags(), _moments("gap", F.col("gap"))
+def layout_of(rows: DataFrame) -> DataFrame:
+    """The features of ``placed`` lines."""
+    flags, gaps = _line_flags(), _moments("gap", F.col("gap"))
+    sums = {**_line_sums(), "paired": F.count_if(F.col("reach") - (F.col("x") + F.col("w")) > 0.02)}
     per_chain = rows.groupBy(KEY, "chain").agg(
         *_named(sums), *_named(flags), *_named(gaps), F.avg("x").alias("centre"),
-        F.max(F.when(F.col("nth") == F.expr("n div 2 + 1"), F.col("h"))).alias("median_height"),
+        F.max("median_height").alias("median_height"),
     )
     per_asset = per_chain.groupBy(KEY).agg(
         *[F.sum(c).alias(c) for c in (*sums, *gaps)], *[F.bool_or(c).alias(c) for c in flags], F.max("median_height").alias("median_height"),
@@ -112,35 +116,12 @@ def basic_features(rows: DataFrame) -> DataFrame:
     mean_gap = F.col("gap") / F.col("gap_n")
     even_gaps = F.when(mean_gap > 0, F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), _spread("gap") / mean_gap))).otherwise(0.0)
     return per_asset.select(
-        KEY, *_summed_features(), "median_height", _from_lines(4, even_gaps).alias("gap_regularity"),
+        KEY, *_summed_features(), "median_height", _from_lines(4, F.col("paired") / F.col("line_count")).alias("paired_rows"), _from_lines(4, even_gaps).alias("gap_regularity"),
         F.when(F.col("line_count") >= 4, F.size("centres")).otherwise(0).cast("bigint").alias("column_count"),
         ((F.col("line_count") >= 4) & _even_columns("centres")).alias("columns_even"),
     )
 
 
-def paired_rows(rows: DataFrame) -> DataFrame:
-    """Share of ``placed`` lines with another line at their height that starts right of them.
-
-    Only the rightmost start at each height matters, so heights (not lines) are compared, and only
-    within neighbouring height bands of the asset's tolerance.
-    """
-    medians = rows.filter(F.expr("nth = n div 2 + 1 and n >= 4")).select(KEY, F.greatest(F.lit(0.004), F.col("h") * 0.45).alias("tol"))
-    near_lines = rows.select(KEY, "x", "w", "mid").join(medians, KEY)
-    heights = near_lines.groupBy(KEY, "mid").agg(F.max("x").alias("reach"), F.first("tol").alias("tol"))
-    # a little wider than the tolerance, so that rounding cannot push a pair two bands apart
-    heights = heights.withColumn("band", F.floor(F.col("mid") / (F.col("tol") * 1.01)))
-    near = heights.select(KEY, F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("mid").alias("other"), "reach")
-    reach = (
-        heights.select(KEY, "mid", "band", "tol").join(near, [KEY, "band"])
-        .filter(F.abs(F.col("mid") - F.col("other")) < F.col("tol"))
-        .groupBy(KEY, "mid").agg(F.max("reach").alias("reach"))
-    )
-    paired = F.col("reach") - (F.col("x") + F.col("w")) > 0.02
-    stats = near_lines.join(reach, [KEY, "mid"], "left").groupBy(KEY).agg(F.avg(F.when(paired, 1.0).otherwise(0.0)).alias("paired_rows"))
-    return stats
-
-
-def features(lines: DataFrame, bound: int = 1_000_000) -> DataFrame:
+def features(lines: DataFrame, bound: int = 20_000) -> DataFrame:
     """All layout features, one row per asset with at least one line."""
-    rows = placed(lines, bound)
-    return basic_features(rows).join(paired_rows(rows), KEY, "left").withColumn("paired_rows", F.coalesce("paired_rows", F.lit(0.0)))
+    return layout_of(placed(lines, bound))

@@ -33,7 +33,7 @@ from (select asset_id, y + h / 2 - lag(y + h / 2) over (partition by asset_id or
 view("lay_paired", """
 select asset_id, case when count(*) >= 4 then count_if(paired)::double / count(*) else 0 end as paired_rows from
  (select a.asset_id, exists (select 1 from ocr_lines b where b.asset_id = a.asset_id and b.line_no <> a.line_no
-    and abs((a.y + a.h / 2) - (b.y + b.h / 2)) < greatest(0.004::double, m.median_height * 0.45) and b.x - (a.x + a.w) > 0.02) as paired
+    and abs((a.y + a.h / 2) - (b.y + b.h / 2)) / greatest(0.004::double, m.median_height * 0.45) < 1 - 1e-9 and b.x - (a.x + a.w) > 0.02) as paired
   from ocr_lines a join lay_median m using (asset_id)) group by asset_id
 """, ("ocr_lines", "lay_median"))
 view("lay_chains", """
@@ -61,15 +61,11 @@ def _spark(df: DataFrame, names: str) -> DataFrame:
     return df.select(*[F.round(n, 6).alias(n) if n in SIX else F.col(n) for n in names.split()])
 
 
-def basic(lib: Library) -> DataFrame:
-    return layout.basic_features(layout.placed(lib.ocr_lines()))
-
-
 def _register(name: str, columns: str, source: str) -> None:
     @query(name, f"select {_duck('asset_id ' + columns)} from {source}", (source,))
     def run(lib: Library) -> DataFrame:
         summed = source == "lay_agg"
-        return _spark(layout.aggregates(lib.ocr_lines()) if summed else basic(lib), "asset_id " + columns)
+        return _spark(layout.aggregates(lib.ocr_lines()) if summed else layout.features(lib.ocr_lines()), "asset_id " + columns)
 
 
 _register("lay1", "line_count text_area mean_confidence short_share", "lay_agg")
@@ -85,9 +81,7 @@ _register("lay11", "has_top_bar has_bottom_bar", "lay_agg")
 _register("lay12", "has_clock", "lay_agg")
 
 
-@query("lay6", "select asset_id, round(paired_rows, 6) as paired_rows from lay_paired", ("lay_paired",))
-def paired(lib: Library) -> DataFrame:
-    return _spark(layout.features(lib.ocr_lines()), "asset_id paired_rows")
+_register("lay6", "paired_rows", "lay_paired")
 
 
 # every tenth asset was never analysed, so it has no layout

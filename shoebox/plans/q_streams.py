@@ -74,7 +74,6 @@ mark as (select max(ts) - interval 1 hour as w from d)
 select library_id, asset_id, ts as marked_at, bytes, ts + interval 7 day as execute_after from d cross join mark where action = 'delete' and ts + interval 7 day <= coalesce(next_ts, w)
 """, ("decisions",))
 def deadlines(lib: Library) -> DataFrame:
-    _with_rocksdb(lib)
     return _run(lib, jobs.pending_deadlines(_decisions(lib)), "deadlines")
 
 

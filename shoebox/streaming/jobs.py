@@ -19,7 +19,6 @@ from shoebox.operators import heads, queue
 from shoebox.operators.heads import Logistic
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-DAY_MS = 86_400_000
 
 
 def read_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -122,68 +121,22 @@ def online_model(examples: DataFrame) -> DataFrame:
 # --- pending queue with deadlines -------------------------------------------------------------------
 
 
-class PendingItem(StatefulProcessor):
-    """Per asset: a delete decision waits out its grace period and is then emitted, unless a keep, a
-    whitelist or a new delete comes first. A row later than the deadline finds the item executed already,
-    so the result does not depend on how rows fall into batches.
-    """
-
-    STATE = "marked_us bigint, bytes bigint, due_ms bigint"
-    OUTPUT = "library_id bigint, asset_id bigint, marked_at timestamp, bytes bigint, execute_after timestamp"
-
-    def __init__(self, grace_days: int):
-        self.grace_ms = grace_days * DAY_MS
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.item = handle.getValueState("item", self.STATE)
-
-    def _emit(self, key, item) -> tuple:
-        marked = pd.Timestamp(item[0], unit="us")
-        return key[0], key[1], marked, item[1], marked + pd.Timedelta(milliseconds=self.grace_ms)
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["library_id", "asset_id", "marked_at", "bytes", "execute_after"])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
-        before = item = self.item.get() if self.item.exists() else None
-        executed = []
-        for ts, action, size in zip(batch["ts"], batch["action"], batch["bytes"]):
-            at = pd.Timestamp(ts).value // 1000
-            if item is not None and item[0] + self.grace_ms * 1000 <= at:
-                executed.append(self._emit(key, item))
-                item = None
-            # whole milliseconds, rounded up: a timer never fires before its item is due
-            item = (at, int(size), -(-at // 1000) + self.grace_ms) if action == "delete" else None
-        if before != item:
-            if before is not None:
-                self.handle.deleteTimer(before[2])
-            if item is not None:
-                self.item.update(item)
-                self.handle.registerTimer(item[2])
-            else:
-                self.item.clear()
-        yield self._frame(executed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.item.exists():
-            item = self.item.get()
-            if item[2] <= expiredTimerInfo.getExpiryTimeInMs():
-                self.item.clear()
-                yield self._frame([self._emit(key, item)])
-                return
-        yield self._frame([])
-
-    def close(self) -> None:
-        pass
-
-
 def pending_deadlines(decisions: DataFrame, grace: str = "oneWeek", delay: str = "1 hour") -> DataFrame:
-    """Stream of decisions to the items whose grace period ended."""
+    """Stream of decisions to the items whose grace period ended.
+
+    A delete waits out its grace unless a keep, a whitelist or a new delete follows. That is a session of
+    the asset's decisions with the grace as its gap: it closes when the watermark passes the
+    deadline of its last decision, and the item is due if that one was a delete. A decision exactly at the
+    deadline still counts as in time. State and timers are Spark's own window state.
+    """
     made = decisions.filter(F.col("action").isin(*queue.DECISIONS)).withWatermark("ts", delay)
-    return made.groupBy("library_id", "asset_id").transformWithStateInPandas(
-        statefulProcessor=PendingItem(GRACE_DAYS[grace]), outputStructType=PendingItem.OUTPUT, outputMode="Append", timeMode="EventTime"
+    days = GRACE_DAYS[grace]
+    if days == 0:
+        return made.filter("action = 'delete'").select("library_id", "asset_id", F.col("ts").alias("marked_at"), "bytes", F.col("ts").alias("execute_after"))
+    waits = made.groupBy("library_id", "asset_id", F.session_window("ts", f"{days} days").alias("wait"))
+    last = waits.agg(F.max_by(F.struct("action", "ts", "bytes"), F.struct("ts", "event_id")).alias("last"))
+    return last.filter("last.action = 'delete'").select(
+        "library_id", "asset_id", F.col("last.ts").alias("marked_at"), F.col("last.bytes").alias("bytes"), F.col("wait.end").alias("execute_after")
     )
 
 
