@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from shoebox.functions import bits, scalars
 from shoebox.functions.fixed import TIERS
 from shoebox.operators.components import connected_components
+from shoebox.operators.distributed import attach
+from shoebox.session import materialize
 
 SIGNATURE = ["library_id", "content_hash", "pixel_width", "pixel_height", "dhash", "phash", "is_screen_like"]
 HASHES = ["library_id", "shape", "dhash", "phash"]
@@ -147,24 +149,25 @@ def copy_labels(signature_rows: DataFrame, edges: DataFrame) -> DataFrame:
     return grouped.union(lone.select("node", F.col("node").alias("label"), F.lit(TIERS["identical"])))
 
 
-def copy_members(image_rows: DataFrame, signature_rows: DataFrame, labels: DataFrame) -> DataFrame:
+def copy_members(image_rows: DataFrame, signature_rows: DataFrame, labels: DataFrame, bound: int = 1_000_000) -> DataFrame:
     """(group_key, tier, asset_id) of every asset in a copy group."""
-    named = signature_rows.join(labels, "node").select(*SIGNATURE, "label", "tier")
-    return image_rows.join(named, SIGNATURE).select(F.col("label").alias("group_key"), "tier", "asset_id")
+    named = signature_rows.join(labels, "node").select(*SIGNATURE, "copies", F.col("label").alias("group_key"), "tier")
+    return attach(image_rows, named, SIGNATURE, "copies", bound).select("group_key", "tier", "asset_id")
 
 
-def video_members(assets: DataFrame) -> DataFrame:
+def video_members(assets: DataFrame, bound: int = 1_000_000) -> DataFrame:
     """Videos equal in bytes, tenths of a second and size: exact groups by metadata."""
     keys = ["library_id", "byte_size", "tenths", "pixel_width", "pixel_height"]
     videos = assets.filter(F.col("is_video") & (F.col("byte_size") > 0)).withColumn(
         "tenths", (F.col("duration") * 10).cast("bigint")
     )
     repeated = videos.groupBy(*keys).agg(F.min("asset_id").alias("group_key"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return videos.join(repeated, keys).select("group_key", F.lit(TIERS["identical"]).alias("tier"), "asset_id")
+    return attach(videos, repeated, keys, "n", bound).select("group_key", F.lit(TIERS["identical"]).alias("tier"), "asset_id")
 
 
 def find_copies(assets: DataFrame, fingerprints: DataFrame, max_d: int = 2, max_p: int = 4) -> DataFrame:
+    """Pass 1 from assets and fingerprints to members. Signatures and edges are read several times, so they are written once."""
     rows = images(assets, fingerprints)
-    sigs = signatures(rows)
-    edges = identical_edges(sigs).union(copy_edges(sigs, max_d, max_p))
+    sigs = materialize(signatures(rows), "signatures")
+    edges = materialize(identical_edges(sigs).union(copy_edges(sigs, max_d, max_p)), "copy-edges")
     return copy_members(rows, sigs, copy_labels(sigs, edges))

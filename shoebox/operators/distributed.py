@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shoebox.session import materialize, shuffle_width
 
+BROADCAST_KEYS = 200_000  # more hot keys than this stay with the ordinary join
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key, by aggregation (combined map-side)."""
@@ -26,6 +28,22 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], size: str, bound: int = 1_000_000) -> DataFrame:
+    """Inner join of many rows with one row per key, safe when a key is huge.
+
+    ``size`` is the column of ``per_key`` that counts a key's rows; it is dropped. Keys above ``bound`` can
+    number at most rows / bound, so those few are broadcast and their rows never shuffle; all
+    other keys take the ordinary join. Without such keys it is just that join.
+    """
+    per_key = materialize(per_key, "per-key")
+    hot = per_key.filter(F.col(size) > bound)
+    n = hot.count()
+    if n == 0 or n > BROADCAST_KEYS:
+        return rows.join(per_key.drop(size), keys)
+    warm = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot.drop(size)), keys).unionByName(warm.join(per_key.filter(F.col(size) <= bound).drop(size), keys))
+
+
 def hot_keys(df: DataFrame, keys: list[str], name: str, bound: int) -> DataFrame:
     """Keys with more than ``bound`` rows: one aggregation, and at most rows / bound results."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

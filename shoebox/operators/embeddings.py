@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from shoebox.functions import fixed, vectors
+from shoebox.operators.distributed import attach
 from shoebox.session import materialize
 
 MERGE_THRESHOLD = 0.93
@@ -162,8 +163,8 @@ class Leaders:
         return n, 1.0
 
 
-def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold: float | None = MERGE_THRESHOLD, ceiling: int = MAX_CLUSTERS) -> DataFrame:
-    """The exact, order-dependent pass within each key. Without a ``threshold``, the key column of that name gives it.
+def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold: float = MERGE_THRESHOLD, ceiling: int = MAX_CLUSTERS) -> DataFrame:
+    """The exact, order-dependent pass within each key.
 
     A key's rows stream through its task in order, batch by batch; what a task holds is the leaders,
     at most ``ceiling``. Rows: kind 'member' (item_id, cluster, similarity, weight) and
@@ -172,7 +173,7 @@ def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold:
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*keys).schema)
 
     def run(key, batches):
-        state = Leaders(key[keys.index("threshold")] if threshold is None else threshold, ceiling)
+        state = Leaders(threshold, ceiling)
         for pdf in batches:
             full = _matrix(pdf["embedding"])
             small = project(full)
@@ -200,35 +201,39 @@ def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold:
     return ordered.groupBy(*keys).applyInPandas(run, schema)
 
 
+def two_level_leaders(items: DataFrame, keys: list[str], threshold: float, ceiling: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(first pass, final leaders of the large keys).
+
+    A key with at most ``block_rows`` items is one block and its pass is the exact one. A larger key is dealt
+    into blocks by item id; each block finds its leaders, and the blocks' leaders, at most
+    ceiling x blocks rows, are clustered among themselves, the best supported first.
+    """
+    sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    blocks = sizes.select(*keys, "n", F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("blocks"))
+    dealt = attach(items, blocks, keys, "n").withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int"))
+    first = materialize(leader_pass(dealt, [*keys, "blocks", "block"], ["item_id"], threshold, ceiling), "leaders")
+    seeds = first.filter("blocks > 1 and kind = 'leader'").select(
+        *keys, (F.col("block").cast("bigint") * ceiling + F.col("cluster")).alias("item_id"),
+        F.col("centroid").alias("embedding"), "weight", (-F.col("weight")).alias("light"),
+    )
+    final = leader_pass(seeds, keys, ["light", "item_id"], threshold, ceiling).filter("kind = 'leader'")
+    return first, materialize(final, "final-leaders")
+
+
 def leader_clusters(items: DataFrame, threshold: float = MERGE_THRESHOLD, ceiling: int = MAX_CLUSTERS, block_rows: int = 200_000) -> DataFrame:
     """Clusters per library, for libraries of any size: (library_id, item_id, cluster, similarity).
 
-    A library with at most ``block_rows`` items takes the exact sequential pass. A larger one is dealt
-    into blocks by item id; each block finds its leaders, the blocks' leaders are clustered
-    among themselves (at most ceiling x blocks rows), and every item then joins the nearest
-    final leader if it reaches the threshold. Cluster -1 is the overflow.
+    Members of an exact pass keep the cluster they joined. In a larger library every item joins the
+    nearest final leader if it reaches the threshold. Cluster -1 is the overflow.
     """
-    sizes = items.groupBy("library_id").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
-    dealt = items.join(sizes.select("library_id", blocks.alias("blocks")), "library_id").withColumn(
-        "block", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int")
-    )
-    first = materialize(leader_pass(dealt, ["library_id", "blocks", "block"], ["item_id"], threshold, ceiling), "leaders")
+    first, final = two_level_leaders(items, ["library_id"], threshold, ceiling, block_rows)
     exact = first.filter("blocks = 1 and kind = 'member'").select("library_id", "item_id", "cluster", "similarity")
-    local = first.filter("blocks > 1 and kind = 'leader'")
-    if local.isEmpty():
+    if final.isEmpty():
         return exact
-    # heavy local leaders first: they are the best-supported centres
-    seeds = local.select(
-        "library_id", (F.col("block").cast("bigint") * ceiling + F.col("cluster")).alias("item_id"),
-        F.col("centroid").alias("embedding"), "weight", (-F.col("weight")).alias("light"),
-    )
-    final = materialize(
-        leader_pass(seeds, ["library_id"], ["light", "item_id"], threshold, ceiling).filter("kind = 'leader'"), "final-leaders"
-    )
     named = final.select("library_id", F.col("cluster").cast("string").alias("name"), F.lit(fixed.EMBEDDING_REVISION).alias("revision"), "centroid")
-    large = dealt.filter("blocks > 1").select("library_id", "item_id", "embedding", F.lit(fixed.EMBEDDING_REVISION).alias("revision"))
-    joined = match_labels(large, named, threshold)
+    large = first.filter("blocks > 1 and kind = 'member'").select("library_id", "item_id")
+    asked = items.select("library_id", "item_id", "embedding", F.lit(fixed.EMBEDDING_REVISION).alias("revision")).join(large, ["library_id", "item_id"], "left_semi")
+    joined = match_labels(asked, named, threshold)
     return exact.union(joined.select("library_id", "item_id", F.coalesce(F.col("label").cast("int"), F.lit(-1)), F.coalesce("similarity", F.lit(0.0))))
 
 
@@ -289,7 +294,7 @@ def label_policies(edits: DataFrame) -> DataFrame:
     return state.filter(~F.col("deleted")).drop("deleted")
 
 
-def build_centroids(items: DataFrame, min_samples: int = 8, threshold: float = MERGE_THRESHOLD) -> DataFrame:
+def build_centroids(items: DataFrame, min_samples: int = 8, threshold: float = MERGE_THRESHOLD, block_rows: int = 200_000) -> DataFrame:
     """Centroid library from vectors sorted by app: (name, sample_count, revision, centroid).
 
     Apps below ``min_samples`` are skipped; an app's clusters give its centroids; an
@@ -297,8 +302,9 @@ def build_centroids(items: DataFrame, min_samples: int = 8, threshold: float = M
     """
     sizes = items.groupBy("app").agg(F.count(F.lit(1)).alias("sample_count")).filter(F.col("sample_count") >= min_samples)
     enough = items.join(sizes.select("app"), "app", "left_semi")
-    placed = materialize(leader_pass(enough, ["app"], ["item_id"], threshold), "app-leaders")
-    clusters = placed.filter("kind = 'leader' and weight >= 2").select("app", "centroid")
+    first, final = two_level_leaders(enough, ["app"], threshold, MAX_CLUSTERS, block_rows)
+    leaders = first.filter("blocks = 1 and kind = 'leader'").select("app", "weight", "centroid").union(final.select("app", "weight", "centroid"))
+    clusters = leaders.filter("weight >= 2").select("app", "centroid")
     rest = enough.join(clusters.select("app").distinct(), "app", "left_anti")
     centroids = clusters.union(mean_vectors(rest, ["app"]).select("app", vectors.normalise("mean")))
     return sizes.join(centroids, "app").select(F.col("app").alias("name"), "sample_count", F.lit(fixed.EMBEDDING_REVISION).alias("revision"), "centroid")

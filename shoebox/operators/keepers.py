@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import scalars
 from shoebox.functions.fixed import TIERS
-from shoebox.operators.distributed import numbered
+from shoebox.operators.distributed import attach, numbered
 
 
 def member_rows(members: DataFrame, assets: DataFrame, fingerprints: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def member_rows(members: DataFrame, assets: DataFrame, fingerprints: DataFrame)
     return members.join(facts, "asset_id").join(prints, "asset_id", "left")
 
 
-def with_scores(rows: DataFrame, protected: DataFrame | None = None) -> DataFrame:
+def with_scores(rows: DataFrame, protected: DataFrame | None = None, bound: int = 1_000_000) -> DataFrame:
     """Adds ``score`` and ``reason`` to every member."""
     if protected is None:
         rows = rows.withColumn("is_protected", F.lit(False))
@@ -32,11 +32,11 @@ def with_scores(rows: DataFrame, protected: DataFrame | None = None) -> DataFram
         marks = protected.select("asset_id", F.lit(True).alias("is_protected")).distinct()
         rows = rows.join(marks, "asset_id", "left").withColumn("is_protected", F.coalesce("is_protected", F.lit(False)))
     stats = rows.groupBy("group_key").agg(
-        F.max("pixel_count").alias("max_px"), F.min("pixel_count").alias("min_px"),
+        F.count(F.lit(1)).alias("size"), F.max("pixel_count").alias("max_px"), F.min("pixel_count").alias("min_px"),
         F.max("byte_size").alias("max_bytes"), F.min("byte_size").alias("min_bytes"),
         F.max("creation_ts").alias("newest"), F.min("creation_ts").alias("oldest"),
     )
-    rows = rows.join(stats, "group_key")
+    rows = attach(rows, stats, ["group_key"], "size", bound)
     px = F.when(F.col("max_px") > 0, F.col("pixel_count") / F.col("max_px"))
     size = F.when(F.col("max_bytes") > 0, F.col("byte_size") / F.col("max_bytes"))
     span = F.unix_micros("newest") - F.unix_micros("oldest")
@@ -70,21 +70,21 @@ def with_scores(rows: DataFrame, protected: DataFrame | None = None) -> DataFram
 
 
 def keepers(scored: DataFrame) -> DataFrame:
-    """(group_key, keeper_id, keeper_reason): best score, ties to the smallest id.
+    """(group_key, keeper_id, keeper_reason, size): best score, ties to the smallest id.
 
     Scores within 1e-9 count as equal by rounding to 9 places; only two scores that
     straddle a rounding edge could be ordered differently from a pairwise comparison.
     """
     best = F.min_by(F.struct("asset_id", "reason"), F.struct((-F.round("score", 9)).alias("s"), F.col("asset_id"))).alias("best")
-    return scored.groupBy("group_key").agg(best).select(
-        "group_key", F.col("best.asset_id").alias("keeper_id"), F.col("best.reason").alias("keeper_reason")
+    return scored.groupBy("group_key").agg(best, F.count(F.lit(1)).alias("size")).select(
+        "group_key", F.col("best.asset_id").alias("keeper_id"), F.col("best.reason").alias("keeper_reason"), "size"
     )
 
 
-def with_keepers(scored: DataFrame) -> DataFrame:
+def with_keepers(scored: DataFrame, bound: int = 1_000_000) -> DataFrame:
     """Members with ``group_id`` (the keeper's id) and ``is_keeper``."""
     return (
-        scored.join(keepers(scored), "group_key")
+        attach(scored, keepers(scored), ["group_key"], "size", bound)
         .withColumn("group_id", F.col("keeper_id"))
         .withColumn("is_keeper", F.col("asset_id") == F.col("keeper_id"))
     )
@@ -140,8 +140,10 @@ def apply_selection(grouped: DataFrame, selection: DataFrame) -> DataFrame:
     kept = F.when(F.coalesce("touched", F.lit(False)), F.coalesce("chosen", F.lit(False))).otherwise(F.col("is_keeper"))
     rows = rows.withColumn("kept", kept).drop("touched", "chosen")
     first_kept = F.struct((~F.col("is_keeper")).alias("k"), (-F.unix_micros("creation_ts")).alias("t"), F.col("asset_id"))
-    effective = rows.filter("kept").groupBy("group_id").agg(F.min_by("asset_id", first_kept).alias("effective_keeper"))
-    return rows.join(effective, "group_id")
+    effective = rows.groupBy("group_id").agg(
+        F.min_by(F.when(F.col("kept"), F.col("asset_id")), F.when(F.col("kept"), first_kept)).alias("effective_keeper"), F.count(F.lit(1)).alias("size")
+    )
+    return attach(rows, effective, ["group_id"], "size")
 
 
 def tier_summary(grouped: DataFrame) -> DataFrame:
@@ -198,7 +200,7 @@ def quality_badges(grouped: DataFrame) -> DataFrame:
         F.min(F.struct((-F.col("pixel_count")).alias("px"), F.col("byte_size"))).alias("low_at_top"),
         F.min("pixel_count").alias("low_px"),
     )
-    rows = grouped.drop("size").join(stats, "group_id")
+    rows = attach(grouped, stats.withColumn("rows", F.col("size")), ["group_id"], "rows")
     sharpest = (F.col("sharpness") >= F.col("best_sharp") - 0.001) & (F.col("scored") > 1) & (F.col("worst_sharp") < F.col("best_sharp") - 0.03)
     at_top = F.col("pixel_count") == F.col("top.pixel_count")
     # several members at top resolution with unequal sizes: low and high differ there
@@ -237,13 +239,19 @@ def difference_summary(grouped: DataFrame) -> DataFrame:
     return stats.select("group_id", F.array_join(summary, "; ").alias("summary"))
 
 
+def with_keeper_hashes(grouped: DataFrame) -> DataFrame:
+    """Members with their keeper's hashes as ``kd`` and ``kp``."""
+    kept = lambda c: F.max(F.when(F.col("is_keeper"), F.col(c)))
+    keeper = grouped.groupBy("group_id").agg(kept("dhash").alias("kd"), kept("phash").alias("kp"), F.count(F.lit(1)).alias("size"))
+    return attach(grouped, keeper, ["group_id"], "size")
+
+
 def safety_evidence(grouped: DataFrame) -> DataFrame:
     """Checkable facts per group: equal contents, sizes, dimensions, and the farthest member."""
-    keeper = grouped.filter("is_keeper").select("group_id", F.col("dhash").alias("kd"), F.col("phash").alias("kp"))
     other = ~F.col("is_keeper")
     dims = F.format_string("%dx%d", "pixel_width", "pixel_height")
     # distinct dimensions first, so that the list collected per group has one entry per screen size, not per member
-    rows = grouped.join(keeper, "group_id")
+    rows = with_keeper_hashes(grouped)
     per_dims = rows.withColumn("dims", dims).groupBy("group_id", "dims").agg(
         F.count(F.lit(1)).alias("size"), F.count("dhash").alias("printed"),
         F.min("content_hash").alias("low"), F.max("content_hash").alias("high"),

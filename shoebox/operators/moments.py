@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shoebox.functions import scalars
 from shoebox.functions.fixed import TIERS
 from shoebox.operators.components import connected_components
-from shoebox.operators.distributed import Sequence
+from shoebox.operators.distributed import Sequence, attach
 
 
 def unclaimed_photos(image_rows: DataFrame, claimed: DataFrame) -> DataFrame:
@@ -61,9 +61,9 @@ def moment_edges(runs: DataFrame, verdicts: DataFrame, max_d: int = 12, max_p: i
     A vouched run is one burst of any length and links to its first member. Every other
     accepted run passed the size guard, so comparing its members is bounded by that guard.
     """
+    bursts = verdicts.filter("verdict = 'vouched'").select("library_id", "run", "first_id", "members")
     vouched = (
-        runs.join(verdicts.filter("verdict = 'vouched'").select("library_id", "run", "first_id"), ["library_id", "run"])
-        .filter("asset_id <> first_id")
+        attach(runs, bursts, ["library_id", "run"], "members").filter("asset_id <> first_id")
         .select(F.col("first_id").alias("src"), F.col("asset_id").alias("dst"))
     )
     small = runs.join(verdicts.filter("verdict = 'ok'").select("library_id", "run"), ["library_id", "run"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import scalars
 from shoebox.operators import embeddings as emb
-from shoebox.operators import evaluate, pixels
+from shoebox.operators import evaluate, keepers, pixels
 from shoebox.plans import q_learning as learning
 from shoebox.plans import scan
 from shoebox.plans.duck_views import view
@@ -170,9 +170,8 @@ select m.group_id, m.tier, m.asset_id, m.is_keeper, bit_count(xor(m.dhash, k.dha
 from grouped m join grouped k on k.group_id = m.group_id and k.is_keeper
 """, ("grouped",))
 def group_report(lib: Library) -> DataFrame:
-    rows = scan.grouped(lib)
-    keeper = rows.filter("is_keeper").select("group_id", F.col("dhash").alias("kd"), F.col("phash").alias("kp"))
-    return rows.join(keeper, "group_id").select("group_id", "tier", "asset_id", "is_keeper", scalars.hamming("dhash", "kd").alias("d"), scalars.hamming("phash", "kp").alias("p"))
+    rows = keepers.with_keeper_hashes(scan.grouped(lib))
+    return rows.select("group_id", "tier", "asset_id", "is_keeper", scalars.hamming("dhash", "kd").alias("d"), scalars.hamming("phash", "kp").alias("p"))
 
 
 # --- pixel fingerprints -----------------------------------------------------------------------------

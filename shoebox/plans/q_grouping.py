@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import bits, scalars
 from shoebox.operators import copies, keepers, moments
+from shoebox.operators.distributed import attach
 from shoebox.plans import scan
 from shoebox.plans.registry import query
 from shoebox.sources.derived import Library
@@ -74,7 +75,7 @@ window w as (partition by content_hash, pixel_width, pixel_height) qualify count
 def identical_sets(lib: Library) -> DataFrame:
     keys = ["library_id", "content_hash", "pixel_width", "pixel_height"]
     stars = scan.signature_rows(lib).groupBy(*keys).agg(F.min("node").alias("star"), F.sum("copies").alias("n")).filter("n > 1")
-    return scan.image_rows(lib).join(stars, keys).select("asset_id", "star")
+    return attach(scan.image_rows(lib), stars, keys, "n").select("asset_id", "star")
 
 
 @query("dup6", "select asset_id, group_key as label from copy_members", ("copy_members",))
@@ -103,7 +104,7 @@ def videos(lib: Library) -> DataFrame:
 def runs(lib: Library) -> DataFrame:
     rows = scan.runs(lib)
     sizes = rows.groupBy("library_id", "run").agg(F.min("asset_id").alias("run_start"), F.count(F.lit(1)).alias("members"))
-    return rows.join(sizes, ["library_id", "run"]).select("asset_id", "run_start", "members")
+    return attach(rows, sizes.withColumn("n", F.col("members")), ["library_id", "run"], "n").select("asset_id", "run_start", "members")
 
 
 @query("mom2", """
@@ -190,7 +191,7 @@ def protected_scores(lib: Library) -> DataFrame:
 
 @query("kee4", "select group_key, asset_id as keeper_id, reason as keeper_reason from grouped where is_keeper", ("grouped",))
 def keeper_choice(lib: Library) -> DataFrame:
-    return keepers.keepers(scan.scored(lib))
+    return keepers.keepers(scan.scored(lib)).drop("size")
 
 
 @query("kee5", """

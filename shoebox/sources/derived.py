@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.functions import fixed
-from shoebox.session import materialize, shuffle_width
+from shoebox.session import materialize
 
 ASSETS = """
 select cast(0 as bigint) as library_id, d as asset_id,
@@ -120,8 +120,8 @@ def _simhash_batches(batches):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input (one file, one row group) as many partitions as the session shuffles with."""
-    width = shuffle_width(df.sparkSession)
+    """Give a small input (one file, one row group) as many partitions as there are cores."""
+    width = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= width else df.repartition(width)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shoebox.functions import scalars
 from shoebox.operators import copies, keepers, moments
 from shoebox.operators.components import connected_components
-from shoebox.operators.distributed import Sequence, numbered
+from shoebox.operators.distributed import Sequence, attach, numbered
 
 
 def copy_groups(spark, assets, prints):
@@ -174,6 +174,14 @@ def test_a_third_of_all_rows_in_one_copy_group(spark):
     assert groups[(0, 0)] == set(range(400))
 
 
+def test_attach_treats_hot_keys_alike(spark):
+    rows = spark.createDataFrame([(0 if i < 60 else i, i) for i in range(100)], "k bigint, i bigint")
+    per_key = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("top"))
+    plain, split = attach(rows, per_key, ["k"], "n"), attach(rows, per_key, ["k"], "n", bound=10)
+    assert "BroadcastHashJoin" in split._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, plain.select("k", "i", "top").collect())) == sorted(map(tuple, split.select("k", "i", "top").collect()))
+
+
 def grouped(spark, assets, prints, members):
     a, f = tables(spark, assets, prints)
     m = spark.createDataFrame(members, "group_key bigint, tier int, asset_id bigint")
@@ -201,7 +209,7 @@ def test_protected_member_is_kept(spark):
     a, f = tables(spark, [asset(1, is_favorite=True), asset(2)], [mark(1), mark(2)])
     m = spark.createDataFrame([(1, 0, 1), (1, 0, 2)], "group_key bigint, tier int, asset_id bigint")
     scored = keepers.with_scores(keepers.member_rows(m, a, f), spark.createDataFrame([(2,)], "asset_id bigint"))
-    assert keepers.keepers(scored).first().asDict() == {"group_key": 1, "keeper_id": 2, "keeper_reason": "kept by you"}
+    assert keepers.keepers(scored).first().asDict() == {"group_key": 1, "keeper_id": 2, "keeper_reason": "kept by you", "size": 2}
 
 
 def test_reclaimable_is_total_minus_keeper(lib):
