@@ -1,7 +1,14 @@
-"""Bands of 64-bit hashes."""
+"""Bands of 64-bit hashes.
+
+Two hashes within distance t agree on at least ``bands - t`` of their ``bands`` pieces, so they share the value
+of some combination of that many pieces. One piece (bands = t + 1) gives few, short keys;
+three of t + 3 give more keys of more bits, for places where short keys crowd.
+"""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,3 +33,26 @@ def first_equal(left: list[Column], right: list[Column]) -> Column:
     for i in reversed(range(len(left))):
         test = F.when(left[i] == right[i], F.lit(i)).otherwise(test)
     return test
+
+
+def choices(bands: int, agreeing: int) -> list[tuple[int, ...]]:
+    return list(combinations(range(bands), agreeing))
+
+
+def choice_keys(hash_col: str, bands: int, agreeing: int) -> Column:
+    """Array of struct(choice, bits): the bits of each choice of bands, the other bits cleared."""
+    offsets, at = [], 0
+    for width in band_widths(bands):
+        offsets.append((at, width))
+        at += width
+    masks = [sum(((1 << w) - 1) << o for o, w in (offsets[i] for i in choice)) for choice in choices(bands, agreeing)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*[F.struct(F.lit(n).alias("choice"), F.col(hash_col).bitwiseAND(F.lit(m)).alias("bits")) for n, m in enumerate(signed)])
+
+
+def first_choice(left: str, right: str, bands: int, agreeing: int) -> Column:
+    """Number of the choice made of the first ``agreeing`` equal bands: the one a pair is kept on."""
+    a, b = band_values(left, bands), band_values(right, bands)
+    equal = F.array_compact(F.array(*[F.when(a[i] == b[i], F.lit(i)) for i in range(bands)]))
+    listed = F.array(*[F.array(*map(F.lit, c)) for c in choices(bands, agreeing)])
+    return (F.array_position(listed, F.slice(equal, 1, agreeing)) - 1).cast("int")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shoebox.functions import bits, scalars
 from shoebox.functions.fixed import TIERS
 from shoebox.operators.components import connected_components
-from shoebox.operators.distributed import attach
+from shoebox.operators.distributed import attach, hot_keys
 from shoebox.session import materialize
 
 SIGNATURE = ["library_id", "content_hash", "pixel_width", "pixel_height", "dhash", "phash", "is_screen_like"]
@@ -36,13 +36,15 @@ def signatures(image_rows: DataFrame) -> DataFrame:
     )
 
 
-def band_join(nodes: DataFrame, block: list[str], max_d: int, max_p: int) -> DataFrame:
+def band_join(nodes: DataFrame, block: list[str], max_d: int, max_p: int, crowded: int = 5_000) -> DataFrame:
     """Pairs of nodes (a < b) in one block that share a dHash band *and* a pHash band.
 
     With ``max_d + 1`` and ``max_p + 1`` bands, no pair within both distances is missed. The join
     key holds one band of each hash, so a crowded dHash band (flat black frames, say)
     is split by pHash bits. A pair that meets on several keys is kept on the first
-    only, which needs no distinct.
+    only, which needs no distinct. Buckets with more than ``crowded`` nodes are split again by longer
+    pHash keys, three bands of ``max_p + 3``, which no near pair misses either; of such
+    buckets only the pairs agreeing on a long key come out.
     """
     d_bands, p_bands = max_d + 1, max_p + 1
     keys = [
@@ -50,29 +52,33 @@ def band_join(nodes: DataFrame, block: list[str], max_d: int, max_p: int) -> Dat
         for i, dv in enumerate(bits.band_values("dhash", d_bands))
         for j, pv in enumerate(bits.band_values("phash", p_bands))
     ]
+    bucket = [*block, "i", "j", "dv", "pv"]
     keyed = nodes.select(*block, "node", "dhash", "phash", F.explode(F.array(*keys)).alias("k")).select(
         *block, "node", "dhash", "phash", "k.*"
     )
-    left = keyed.select(*block, "i", "j", "dv", "pv", F.col("node").alias("a"), F.col("dhash").alias("da"), F.col("phash").alias("pa"))
-    right = keyed.select(*block, "i", "j", "dv", "pv", F.col("node").alias("b"), F.col("dhash").alias("db"), F.col("phash").alias("pb"))
     first_d = bits.first_equal(bits.band_values("da", d_bands), bits.band_values("db", d_bands))
     first_p = bits.first_equal(bits.band_values("pa", p_bands), bits.band_values("pb", p_bands))
-    return (
-        left.join(right, [*block, "i", "j", "dv", "pv"])
-        .filter("a < b")
-        .filter((first_d == F.col("i")) & (first_p == F.col("j")))
-        .select(*block, "a", "b", "da", "db", "pa", "pb")
+
+    def pairs(rows: DataFrame, on: list[str]) -> DataFrame:
+        left = rows.select(*on, F.col("node").alias("a"), F.col("dhash").alias("da"), F.col("phash").alias("pa"))
+        right = rows.select(*on, F.col("node").alias("b"), F.col("dhash").alias("db"), F.col("phash").alias("pb"))
+        return left.join(right, on).filter("a < b").filter((first_d == F.col("i")) & (first_p == F.col("j")))
+
+    found = [*block, "a", "b", "da", "db", "pa", "pb"]
+    crowds = hot_keys(keyed, bucket, "crowded-buckets", crowded)
+    if crowds.isEmpty():
+        return pairs(keyed, bucket).select(*found)
+    long_keys = bits.choice_keys("phash", max_p + 3, 3)
+    split = keyed.join(crowds, bucket, "left_semi").select(*bucket, "node", "dhash", "phash", F.explode(long_keys).alias("c")).select(
+        *bucket, "node", "dhash", "phash", "c.*"
     )
+    close = pairs(split, [*bucket, "choice", "bits"]).filter(F.col("choice") == bits.first_choice("pa", "pb", max_p + 3, 3))
+    return pairs(keyed.join(crowds, bucket, "left_anti"), bucket).select(*found).union(close.select(*found))
 
 
 def hash_nodes(signature_rows: DataFrame) -> DataFrame:
     """Distinct hash pairs per library and shape among photographs: the near-copy search space."""
-    return (
-        signature_rows.filter(~F.col("is_screen_like"))
-        .groupBy(*HASHES)
-        .agg(F.min_by(F.struct("node", "content_hash", "pixel_width", "pixel_height"), "node").alias("least"))
-        .select(*HASHES, "least.*")
-    )
+    return signature_rows.filter(~F.col("is_screen_like")).groupBy(*HASHES).agg(F.min("node").alias("node"))
 
 
 def candidate_pairs(signature_rows: DataFrame, max_d: int = 2, max_p: int = 4) -> DataFrame:
@@ -111,7 +117,7 @@ def copy_edges(signature_rows: DataFrame, max_d: int = 2, max_p: int = 4) -> Dat
     Equal hash pairs are linked by a star; the band join runs over distinct hash pairs. Both give
     the components, and the component tiers, of the full pair list.
     """
-    hubs = hash_nodes(signature_rows)
+    hubs = materialize(hash_nodes(signature_rows), "hash-nodes")
     stars = (
         signature_rows.filter(~F.col("is_screen_like"))
         .join(hubs.select(*HASHES, F.col("node").alias("hub")), HASHES)
@@ -123,7 +129,7 @@ def copy_edges(signature_rows: DataFrame, max_d: int = 2, max_p: int = 4) -> Dat
         .filter((scalars.hamming("da", "db") <= max_d) & (scalars.hamming("pa", "pb") <= max_p))
     )
     content = ["content_hash", "pixel_width", "pixel_height"]
-    sides = hubs.select("node", F.struct(*content).alias("content"))
+    sides = signature_rows.select("node", F.struct(*content).alias("content"))
     same = F.col("ca") == F.col("cb")
     near = (
         near.join(sides.toDF("a", "ca"), "a").join(sides.toDF("b", "cb"), "b")
