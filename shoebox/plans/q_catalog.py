@@ -111,7 +111,7 @@ def _entries(lib: Library) -> DataFrame:
 
 
 @query("snk4", """
-select app as name, count(*) as sample_count, count_if(is_centroid) as centroids, 64 as dimension from vectors group by app having count_if(is_centroid) > 0
+select app as name, count(*) as sample_count, count_if(is_centroid)::bigint as centroids, 64 as dimension from vectors group by app having count_if(is_centroid)::bigint > 0
 """, ("vectors",))
 def round_trip(lib: Library) -> DataFrame:
     path = fresh_path(lib.spark, "centroid-library")
@@ -186,7 +186,7 @@ def devices(lib: Library) -> DataFrame:
 select asset_id, line_no, regexp_full_match(regexp_replace(upper(replace(trim(text), '：', ':')), ' [AP]M', '', 'g'), '([0-9]|[01][0-9]|2[0-3]):[0-5][0-9]') as clock from ocr_lines
 """, ("ocr_lines",))
 def clocks(lib: Library) -> DataFrame:
-    return lib.ocr_lines().select("asset_id", "line_no", scalars.looks_like_clock("text").alias("clock"))
+    return lib.ocr_lines().select("asset_id", F.col("line_no").cast("bigint").alias("line_no"), scalars.looks_like_clock("text").alias("clock"))
 
 
 @query("sca9", """

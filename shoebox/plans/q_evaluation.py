@@ -62,7 +62,7 @@ def photo_distributions(lib: Library) -> DataFrame:
 
 
 @query("eva4", """
-select t::int as t, count_if(d <= t and p <= t + 2) as false_pairs from kinds cross join (values (2), (3), (4), (6), (8), (10), (12)) v(t) where kind = 'different' group by t
+select t::int as t, count_if(d <= t and p <= t + 2)::bigint as false_pairs from kinds cross join (values (2), (3), (4), (6), (8), (10), (12)) v(t) where kind = 'different' group by t
 """, ("kinds",))
 def sweep(lib: Library) -> DataFrame:
     return evaluate.threshold_sweep(pair_classes(lib))
@@ -80,7 +80,7 @@ def _judged(lib: Library) -> DataFrame:
 
 @query("eva6", """
 , j as (select c.category as truth, r.category as predicted from classified r join candidates c using (asset_id))
-select truth, count(*) as n, count_if(truth = predicted) as right from j group by truth union all select 'all', count(*), count_if(truth = predicted) from j
+select truth, count(*) as n, count_if(truth = predicted)::bigint as right from j group by truth union all select 'all', count(*), count_if(truth = predicted)::bigint from j
 """.replace(" as right", ' as "right"'), ("classified", "candidates"))
 def accuracy(lib: Library) -> DataFrame:
     return evaluate.accuracy(_judged(lib))
@@ -113,7 +113,7 @@ def held_out_scores(lib: Library) -> DataFrame:
 select 'positive_mean' as measure, round(avg(score), 6) as value from s where positive union all select 'negative_mean', round(avg(score), 6) from s where not positive
 union all select 'separation', round(avg(case when positive then score end) - avg(case when not positive then score end), 6) from s
 union all select 'base_rate', round(avg(positive::int), 6) from s
-union all select 'precision_at_8', count_if(positive) / count(*)::double from (select * from s order by score desc, item_id limit 8)
+union all select 'precision_at_8', count_if(positive)::bigint / count(*)::double from (select * from s order by score desc, item_id limit 8)
 """, ("logistic", "items"))
 def ranking_quality(lib: Library) -> DataFrame:
     scored = learning.with_literal_logistic(learning.items(lib)).select("item_id", "score", (F.col("app_no") < 4).alias("positive"))
@@ -156,7 +156,7 @@ def merge_sweep(lib: Library) -> DataFrame:
 @query("eva13", """
 select 'clusters' as measure, count(distinct matched) as n from matched
 union all select 'pure', count(*) from (select matched from matched where matched is not null group by matched having count(distinct app) = 1)
-union all select 'hit', count_if(matched = app) from matched union all select 'wrong', count_if(matched <> app) from matched union all select 'miss', count_if(matched is null) from matched
+union all select 'hit', count_if(matched = app)::bigint from matched union all select 'wrong', count_if(matched <> app)::bigint from matched union all select 'miss', count_if(matched is null)::bigint from matched
 """, ("matched",))
 def backtest(lib: Library) -> DataFrame:
     matched = emb.match_labels(learning.items(lib), learning.centroids(lib), learning.LABEL_AT).select("label", F.col("app").alias("truth"))
@@ -265,7 +265,7 @@ def flatness(lib: Library) -> DataFrame:
 
 
 @query("fpr7", """
-select asset_id, round(count_if(abs(g[k + 2] - g[k + 1]) + abs(g[k + 33] - g[k + 1]) > 0.12)::double / 961, 6) as edge_density
+select asset_id, round(count_if(abs(g[k + 2] - g[k + 1]) + abs(g[k + 33] - g[k + 1]) > 0.12)::bigint::double / 961, 6) as edge_density
 from grids cross join (select y * 32 + x as k from range(0, 31) a(y) cross join range(0, 31) b(x)) group by asset_id
 """, ("grids",))
 def edges(lib: Library) -> DataFrame:

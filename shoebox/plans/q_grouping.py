@@ -108,7 +108,7 @@ def runs(lib: Library) -> DataFrame:
 
 
 @query("mom2", """
-select strictness, moment_window, count_if(starts) as runs from (
+select strictness, moment_window, count_if(starts)::bigint as runs from (
  select s.strictness, 5 + (1 - s.strictness) * 35 as moment_window,
   not (coalesce((epoch_us(creation_ts) - epoch_us(lag(creation_ts) over o)) / 1e6 <= 5 + (1 - s.strictness) * 35, false)
    or coalesce(burst_id = lag(burst_id) over o, false)) as starts
@@ -253,7 +253,7 @@ def selection(lib: Library) -> DataFrame:
 
 
 @query("kee10", """
-, g as (select tier, group_id, count_if(not is_keeper) as discardable, sum(case when is_keeper then 0 else byte_size end) as bytes from grouped group by 1, 2),
+, g as (select tier, group_id, count_if(not is_keeper)::bigint as discardable, sum(case when is_keeper then 0 else byte_size end) as bytes from grouped group by 1, 2),
 n as (select case tier when 0 then 'identical' when 1 then 'copy' else 'moment' end as scope, * from g
  union all select 'copies total', * from g where tier < 2 union all select 'all', * from g)
 select scope, count(*) as groups, sum(discardable)::bigint as discardable, sum(bytes)::bigint as reclaimable from n group by scope

@@ -32,9 +32,9 @@ def day_readings(lib: Library) -> DataFrame:
 
 
 @query("his1", """
-select library_id, run_date, items, bytes, categories, sum(bytes) over w::bigint as lifetime_bytes, sum(items) over w::bigint as lifetime_items
+select library_id, run_date, items, bytes, categories, (sum(bytes) over w)::bigint as lifetime_bytes, (sum(items) over w)::bigint as lifetime_items
 from run_totals window w as (partition by library_id order by run_date rows unbounded preceding)
-""".replace("over w::bigint", "over w"), ("run_totals",))
+""", ("run_totals",))
 def record(lib: Library) -> DataFrame:
     entry = F.transform(F.map_entries("bytes_by_category"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"), F.lit("/"), F.col("count_by_category")[e["key"]].cast("string")))
     rows = history.with_lifetime(runs(lib))

@@ -16,10 +16,10 @@ NOW = "2024-02-15 00:00:00"
 
 view("lay_agg", r"""
 select asset_id, count(*) as line_count, least(1.0::double, sum(w * h)) as text_area, avg(confidence) as mean_confidence,
- count_if(w < 0.45)::double / count(*) as short_share,
+ count_if(w < 0.45)::bigint::double / count(*) as short_share,
  sum(length(regexp_replace(text, '[^\p{N}]', '', 'g')))::double / sum(length(text)) as digit_share,
- case when count(*) >= 4 then least(1.0::double, least(count_if(x < 0.22), count_if(x > 0.38))::double / count(*) * 2.4) else 0 end as bimodality,
- case when count(*) >= 4 then count_if(x + w > 0.90)::double / count(*) else 0 end as right_hugging,
+ case when count(*) >= 4 then least(1.0::double, least(count_if(x < 0.22)::bigint, count_if(x > 0.38)::bigint)::double / count(*) * 2.4) else 0 end as bimodality,
+ case when count(*) >= 4 then count_if(x + w > 0.90)::bigint::double / count(*) else 0 end as right_hugging,
  case when count(*) >= 5 then least(1.0::double, stddev_pop(x + w / 2) / 0.29 * (stddev_pop(y + h / 2) / 0.29)) else 0 end as scatter,
  bool_or(y > 0.955) as has_top_bar, bool_or(y + h < 0.075) as has_bottom_bar,
  bool_or(y + h > 0.955 and x < 0.38 and regexp_full_match(regexp_replace(upper(replace(trim(text), '：', ':')), ' [AP]M', '', 'g'), '([0-9]|[01][0-9]|2[0-3]):[0-5][0-9]')) as has_clock
@@ -31,7 +31,7 @@ select asset_id, case when count(*) >= 4 and avg(gap) > 0 then greatest(0.0::dou
 from (select asset_id, y + h / 2 - lag(y + h / 2) over (partition by asset_id order by y + h / 2, line_no) as gap from ocr_lines) group by asset_id
 """, ("ocr_lines",))
 view("lay_paired", """
-select asset_id, case when count(*) >= 4 then count_if(paired)::double / count(*) else 0 end as paired_rows from
+select asset_id, case when count(*) >= 4 then count_if(paired)::bigint::double / count(*) else 0 end as paired_rows from
  (select a.asset_id, exists (select 1 from ocr_lines b where b.asset_id = a.asset_id and b.line_no <> a.line_no
     and abs((a.y + a.h / 2) - (b.y + b.h / 2)) / greatest(0.004::double, m.median_height * 0.45) < 1 - 1e-9 and b.x - (a.x + a.w) > 0.02) as paired
   from ocr_lines a join lay_median m using (asset_id)) group by asset_id
@@ -42,8 +42,8 @@ select asset_id, chain, count(*) as n, avg(x) as centre from
   (select *, lag(x) over (partition by asset_id order by x, line_no) as px from ocr_lines)) group by asset_id, chain
 """, ("ocr_lines",))
 view("lay_columns", """
-select asset_id, case when sum(n) >= 4 then count_if(n >= 2) else 0 end as column_count,
- coalesce(sum(n) >= 4 and count_if(n >= 2) >= 3 and avg(gap) > 0 and stddev_pop(gap) / avg(gap) < 0.35, false) as columns_even from
+select asset_id, case when sum(n) >= 4 then count_if(n >= 2)::bigint else 0 end as column_count,
+ coalesce(sum(n) >= 4 and count_if(n >= 2)::bigint >= 3 and avg(gap) > 0 and stddev_pop(gap) / avg(gap) < 0.35, false) as columns_even from
  (select *, case when n >= 2 then centre - lag(centre) over (partition by asset_id, n >= 2 order by centre) end as gap from lay_chains) group by asset_id
 """, ("lay_chains",))
 view("layout", """

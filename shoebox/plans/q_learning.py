@@ -132,7 +132,7 @@ def cluster_half(lib: Library) -> DataFrame:
 
 
 @query("emb7", """
-, rows as (select app as name, if(label % 3 = 0, 'chatScreenshot', null) as category, count(*) as n, -1 as seq, count_if(is_centroid) as cents from items where item_id % 2 = 0 and label % 2 = 0 group by app, label
+, rows as (select app as name, if(label % 3 = 0, 'chatScreenshot', null) as category, count(*) as n, -1 as seq, count_if(is_centroid)::bigint as cents from items where item_id % 2 = 0 and label % 2 = 0 group by app, label
  union all select trim(' ' || app || ' '), if(item_id % 4 = 1, 'webShot', null), 3, item_id, 1 from items where item_id % 2 = 1 and item_id % 5 <> 0)
 select name, arg_min(category, seq) filter (where category is not null) as category, sum(n)::bigint as sample_count, sum(cents)::bigint as centroids from rows group by name
 """, ("items",))
@@ -296,7 +296,7 @@ def logistic_training(lib: Library) -> DataFrame:
 
 @query("hed7", """
 select library_id, p, n, p >= 8 and n >= 8 as warm, round(if(p >= 8 and n >= 8, least(0.6::double, (p + n) / 250.0::double), 0), 6) as influence from
- (select library_id, count_if(action = 'delete') as p, count_if(action in ('keepOnce', 'whitelist')) as n from decisions where action in ('delete', 'keepOnce', 'whitelist') group by library_id)
+ (select library_id, count_if(action = 'delete')::bigint as p, count_if(action in ('keepOnce', 'whitelist'))::bigint as n from decisions where action in ('delete', 'keepOnce', 'whitelist') group by library_id)
 """, ("decisions",))
 def influence(lib: Library) -> DataFrame:
     made = lib.decisions().filter("action in ('delete', 'keepOnce', 'whitelist')")
@@ -336,7 +336,7 @@ def reclassified(lib: Library) -> DataFrame:
 
 @query("hed11", """
 select library_id, p + n as samples, trunc(if(p >= 8 and n >= 8, least(0.6::double, (p + n) / 250.0::double), 0) * 100)::int as influence_percent, greatest(0, 8 - least(p, n)) as still_needed, r as corrections
-from (select library_id, count_if(action = 'delete') as p, count_if(action in ('keepOnce', 'whitelist')) as n, count_if(action = 'relabel') as r from decisions where action <> 'undo' group by library_id)
+from (select library_id, count_if(action = 'delete')::bigint as p, count_if(action in ('keepOnce', 'whitelist'))::bigint as n, count_if(action = 'relabel')::bigint as r from decisions where action <> 'undo' group by library_id)
 """, ("decisions",))
 def learning(lib: Library) -> DataFrame:
     return heads.learning_summary(lib.decisions(), ["library_id"])

@@ -95,8 +95,8 @@ def undo_state(lib: Library) -> DataFrame:
 
 
 @query("dec3", """
-select library_id, count_if(action = 'delete') as marked, sum(case when action = 'delete' then bytes else 0 end)::bigint as marked_bytes,
- count_if(action = 'keepOnce') as kept, count_if(action = 'whitelist') as whitelisted from resolved where not undone group by library_id
+select library_id, count_if(action = 'delete')::bigint as marked, sum(case when action = 'delete' then bytes else 0 end)::bigint as marked_bytes,
+ count_if(action = 'keepOnce')::bigint as kept, count_if(action = 'whitelist')::bigint as whitelisted from resolved where not undone group by library_id
 """, ("resolved",))
 def counters(lib: Library) -> DataFrame:
     return queue.session_counters(resolved(lib), ["library_id"])

@@ -88,7 +88,7 @@ def resumable(lib: Library) -> DataFrame:
 
 
 @query("str6", """
-select 'runs' as metric, count(*) as value from run_verdicts union all select 'dropped_runs', count_if(verdict not in ('vouched', 'ok')) from run_verdicts
+select 'runs' as metric, count(*) as value from run_verdicts union all select 'dropped_runs', count_if(verdict not in ('vouched', 'ok'))::bigint from run_verdicts
 union all select 'cache_hits', count(*) from fingerprints f join assets a using (asset_id) where f.asset_id % 3 <> 0 and not a.is_video
 union all select 'cache_misses', count(*) from assets where asset_id % 3 = 0 and not is_video
 union all select 'buckets_over_4000', 0
