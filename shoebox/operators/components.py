@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.session import materialize
+from shoebox.session import materialize_counted
 
 
-def _stars(edges: DataFrame, name: str) -> DataFrame:
-    return materialize(edges.filter("node <> hub").distinct(), name)
+def _stars(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The edge set written, with its size and a digest that tells whether it changed."""
+    rows, seen = materialize_counted(
+        edges.filter("node <> hub").distinct(), name, n=F.count(F.lit(1)), digest=F.bit_xor(F.xxhash64("node", "hub"))
+    )
+    return rows, (seen["n"], seen["digest"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,14 +41,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     folder. The rounds end when a pass leaves the edge set unchanged: every node then
     hangs on its component's least node.
     """
-    current = _stars(
+    current, seen = _stars(
         edges.select(F.greatest(src, dst).alias("node"), F.least(src, dst).alias("hub")), "components-edges"
     )
-    digest = F.struct(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("node", "hub")), F.lit(0)))
-    seen = current.agg(digest).first()[0]
     while seen[0]:
-        current = _stars(_small_star(_large_star(current)), "components-round")
-        now = current.agg(digest).first()[0]
+        current, now = _stars(_small_star(_large_star(current)), "components-round")
         if now == seen:
             break
         seen = now

@@ -66,7 +66,7 @@ def band_join(nodes: DataFrame, block: list[str], max_d: int, max_p: int, crowde
 
     found = [*block, "a", "b", "da", "db", "pa", "pb"]
     crowds = hot_keys(keyed, bucket, "crowded-buckets", crowded)
-    if crowds.isEmpty():
+    if crowds is None:
         return pairs(keyed, bucket).select(*found)
     long_keys = bits.choice_keys("phash", max_p + 3, 3)
     split = keyed.join(crowds, bucket, "left_semi").select(*bucket, "node", "dhash", "phash", F.explode(long_keys).alias("c")).select(

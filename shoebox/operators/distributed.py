@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.session import materialize, shuffle_width
+from shoebox.session import materialize, materialize_counted, shuffle_width
 
 BROADCAST_KEYS = 200_000  # more hot keys than this stay with the ordinary join
 
@@ -35,19 +35,19 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], size: str, boun
     number at most rows / bound, so those few are broadcast and their rows never shuffle; all
     other keys take the ordinary join. Without such keys it is just that join.
     """
-    per_key = materialize(per_key, "per-key")
-    hot = per_key.filter(F.col(size) > bound)
-    n = hot.count()
-    if n == 0 or n > BROADCAST_KEYS:
+    per_key, seen = materialize_counted(per_key, "per-key", hot=F.count_if(F.col(size) > bound))
+    if seen["hot"] == 0 or seen["hot"] > BROADCAST_KEYS:
         return rows.join(per_key.drop(size), keys)
+    hot = per_key.filter(F.col(size) > bound)
     warm = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return rows.join(F.broadcast(hot.drop(size)), keys).unionByName(warm.join(per_key.filter(F.col(size) <= bound).drop(size), keys))
 
 
-def hot_keys(df: DataFrame, keys: list[str], name: str, bound: int) -> DataFrame:
-    """Keys with more than ``bound`` rows: one aggregation, and at most rows / bound results."""
+def hot_keys(df: DataFrame, keys: list[str], name: str, bound: int) -> DataFrame | None:
+    """Keys with more than ``bound`` rows, None if there are none: one aggregation, at most rows / bound results."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return materialize(sizes.filter(F.col("_n") > bound).drop("_n"), f"{name}-hot")
+    hot, seen = materialize_counted(sizes.filter(F.col("_n") > bound).drop("_n"), f"{name}-hot", n=F.count(F.lit(1)))
+    return hot if seen["n"] else None
 
 
 class Sequence:
@@ -59,11 +59,13 @@ class Sequence:
     ``order`` must identify rows within a key.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[Column], name: str, bound: int = 1_000_000, hot: DataFrame | None = None):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[Column], name: str, bound: int = 1_000_000, hot: DataFrame | None | str = "look"):
         self.keys, self.order = keys, order
-        if keys and hot is None:
-            hot = hot_keys(df, keys, name, bound)
-        self.sliced = not hot.isEmpty() if keys else df.count() > bound
+        if keys:
+            hot = hot_keys(df, keys, name, bound) if isinstance(hot, str) else hot
+            self.sliced = hot is not None
+        else:
+            self.sliced = df.count() > bound
         if not self.sliced:
             self.rows, self.group = df, list(keys)
             return

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,9 +27,13 @@ XORSHIFT_SEED = 0x9E3779B97F4A7C15
 XORSHIFT = (13, 7, 17)
 
 
-@lru_cache(maxsize=1)
+_computed: dict[str, np.ndarray] = {}
+
+
 def projection_matrix() -> np.ndarray:
-    """The fixed-seed matrix: 64 unit rows of 768 xorshift64 draws."""
+    """The fixed-seed matrix: 64 unit rows of 768 xorshift64 draws, computed once per process."""
+    if "matrix" in _computed:
+        return _computed["matrix"]
     mask, state, draws = (1 << 64) - 1, XORSHIFT_SEED, np.empty(PROJECTED * FULL)
     left, right, last = XORSHIFT
     for i in range(draws.size):
@@ -39,7 +42,7 @@ def projection_matrix() -> np.ndarray:
         state ^= (state << last) & mask
         draws[i] = (state >> 11) / (1 << 53) - 0.5
     rows = draws.reshape(PROJECTED, FULL)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    return _computed.setdefault("matrix", rows / np.linalg.norm(rows, axis=1, keepdims=True))
 
 
 def project(block: np.ndarray) -> np.ndarray:

@@ -1,5 +1,9 @@
 """Every registered query with check SQL, against DuckDB, on the smallest data."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from compare import check, duck
 from conftest import SF
@@ -28,3 +32,9 @@ def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and {"group_id", "tier", "members", "reclaimable", "keeper_reason"} <= set(rows[0].asDict())
     assert [(r.tier, -r.reclaimable, r.group_id) for r in rows] == sorted((r.tier, -r.reclaimable, r.group_id) for r in rows)
+
+
+def test_workers_need_no_copy_of_the_package():
+    script = Path(__file__).resolve().parent / "elsewhere.py"
+    done = subprocess.run([sys.executable, str(script), "emb3", "fpr8"], cwd="/", capture_output=True, text=True, timeout=300)
+    assert [line.split()[1] for line in done.stdout.splitlines() if line.startswith("@")] == ["emb3", "fpr8"]
