@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import byte_bpe, language_id, packing, quality, simhash, url_filter
+from shoebox.llm import binary_search, byte_bpe, language_id, packing, quality, simhash, url_filter, vector_search
 from shoebox.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_simhash")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_binary_search", binary_search.CHECK_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = binary_search.sign_codes(table(spark, sf_dir, "embeddings"))
+    return binary_search.nearest_codes(codes, codes.filter("vec_id % 20 = 0"), 20)
+
+
+@query("op5_vector_search")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest_vectors(table(spark, sf_dir, "embeddings"), 20, 20)
