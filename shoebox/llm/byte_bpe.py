@@ -17,10 +17,10 @@ from heapq import heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shoebox.llm.common import map_arrow
+from shoebox.llm.common import map_arrow, worker_memo
 
-LEAF_BITS = 256
-CACHE_ENTRIES = 400_000  # encoded pre-tokens a task remembers; the memory starts afresh beyond that
+LEAF_BITS = 256  # bits of a leaf word: a rank's word is rank >> 8, its bit rank & 255
+CACHE_ENTRIES = 800_000  # encoded pre-tokens a Python worker remembers; the memory starts afresh beyond that
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -29,41 +29,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class RankQueue:
-    """Positions by merge rank; takes out the leftmost position of the lowest rank held."""
-
-    def __init__(self, ranks: int):
-        self.top = 0
-        self.leaves = [0] * (ranks // LEAF_BITS + 1)
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        leaf = rank // LEAF_BITS
-        self.leaves[leaf] |= 1 << rank % LEAF_BITS
-        self.top |= 1 << leaf
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        leaf = (top & -top).bit_length() - 1
-        word = self.leaves[leaf]
-        rank = leaf * LEAF_BITS + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.leaves[leaf] = word = word & (word - 1)
-            if not word:
-                self.top = top & (top - 1)
-        return rank, position
-
-
 class Encoder(dict):
     """Pre-token (text) to its ids as little-endian 32-bit integers, encoded when first met."""
 
@@ -71,54 +36,81 @@ class Encoder(dict):
         super().__init__()
         self.ranks = ranks
         self.longest = max(map(len, ranks))
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.leaves = [0] * (max(ranks.values()) // LEAF_BITS + 1)  # the lower bitmap; all zero between pre-tokens
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        ids = b"".join(i.to_bytes(4, "little") for i in self.encode(piece.encode("utf-8", "surrogatepass")))
+        ids = b"".join([i.to_bytes(4, "little") for i in self.encode(piece.encode("utf-8", "surrogatepass"))])
         if len(piece) <= self.longest:
             self[piece] = ids
         return ids
 
     def encode(self, piece: bytes) -> list[int]:
-        ranks, longest, queue = self.ranks, self.longest, self.queue
-        whole = ranks.get(piece)
+        rank_of, longest, leaves = self.ranks.get, self.longest, self.leaves
+        whole = rank_of(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
         after = list(range(1, n + 1))  # the start of the next token
         before = list(range(-1, n))
         waiting = [-1] * n  # the rank under which the pair that starts here is queued
+        buckets: dict[int, list[int]] = {}  # rank to a heap of positions
+        top = 0  # the upper bitmap: which leaf words are not zero
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = rank_of(piece[i : i + 2])
             if rank is not None:
                 waiting[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    leaves[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+        while top:
+            leaf = (top & -top).bit_length() - 1
+            word = leaves[leaf]
+            rank = (leaf << 8) + (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                leaves[leaf] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
             if waiting[i] != rank:
                 continue  # stale: this pair was merged away or has grown
             j = after[i]
             k = after[i] = after[j]
-            waiting[j] = -1
+            waiting[i] = waiting[j] = -1
+            h = before[i]
             if k < n:
                 before[k] = i
                 end = after[k]
-                new = ranks.get(piece[i:end], -1) if end - i <= longest else -1
-                waiting[i] = new
-                if new >= 0:
-                    queue.push(new, i)
-            else:
-                waiting[i] = -1
-            h = before[i]
+                new = rank_of(piece[i:end]) if end - i <= longest else None
+                if new is not None:
+                    waiting[i] = new
+                    if new in buckets:
+                        heappush(buckets[new], i)
+                    else:
+                        buckets[new] = [i]
+                        leaves[new >> 8] |= 1 << (new & 255)
+                        top |= 1 << (new >> 8)
             if h >= 0:
-                new = ranks.get(piece[h:k], -1) if k - h <= longest else -1
-                if new != waiting[h]:
+                new = rank_of(piece[h:k]) if k - h <= longest else None
+                if new is None:
+                    waiting[h] = -1
+                elif new != waiting[h]:
                     waiting[h] = new
-                    if new >= 0:
-                        queue.push(new, h)
-        ids, i = [], 0
+                    if new in buckets:
+                        heappush(buckets[new], h)
+                    else:
+                        buckets[new] = [h]
+                        leaves[new >> 8] |= 1 << (new & 255)
+                        top |= 1 << (new >> 8)
+        ids, i, ranks = [], 0, self.ranks
         while i < n:
             ids.append(ranks[piece[i : after[i]]])
             i = after[i]
@@ -149,8 +141,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bo
     def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
         import regex
 
-        ranks = load_ranks(rank_file)
-        encoder, tokens, cut = Encoder(ranks), token_table(ranks), regex.compile(pattern)
+        encoder, tokens = worker_memo(("bpe", rank_file), lambda: (e := Encoder(load_ranks(rank_file)), token_table(e.ranks)))
+        cut = regex.compile(pattern)
         one = encoder.__getitem__
         for rows in slices:
             counts, sums, backs, kept = [], [], [], []

@@ -52,6 +52,17 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             yield pa.Table.from_batches([batch.slice(at, rows)])
 
 
+def worker_memo(key, make: Callable):
+    """``make()``, kept for the life of the Python worker process, which Spark reuses for task after task."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_shoebox_worker_memo", types.ModuleType("_shoebox_worker_memo")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def sample_per_key(df: DataFrame, key: str, order: list, rows: int) -> DataFrame:
     """At most ``rows`` rows of each key, the first by ``order``; every partition is cut before the shuffle."""
     from pyspark.sql import Window
