@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import binary_search, byte_bpe, language_id, packing, quality, simhash, url_filter, vector_search
+from shoebox.llm import binary_search, byte_bpe, language_id, packing, quality, repeats, simhash, url_filter, vector_search
 from shoebox.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_vector_search")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest_vectors(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
