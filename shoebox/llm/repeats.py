@@ -138,11 +138,6 @@ class SuffixFamily:
         drop_written(*[t for _, t in self.levels], *self.found)
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, row): ``row`` tells apart rows that share a doc_id; equal rows share it."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
-
-
 def suffix_entries(docs: DataFrame, length: int, window: int) -> DataFrame:
     def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
         finder = Anchors(length, window)
@@ -229,6 +224,35 @@ def remaining(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+def _with_places(docs: DataFrame, length: int, window: int, batches: int) -> DataFrame:
+    """The rows of ``docs`` with ``places``, the runs of starts of their repeated strings; null where there are none."""
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    keys = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "row", "text")
+    places = materialize(_per_row(repeated_runs(keys, length, window, batches), "lo", "hi"), "repeats-places")
+    return _joined(docs, places, "left").drop("row")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, n_chars, ...) with all repeated strings of ``length`` bytes cut out of the text, as in
+    ``remove_repeats``. A character of which only a part remains goes too. ``n_chars`` is counted anew where the text changed.
+    """
+    names = docs.columns
+
+    def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        for rows in slices:
+            texts, counts = rows["text"].to_pylist(), rows["n_chars"].to_pylist()
+            for i, at in enumerate(rows["places"].to_pylist()):
+                if at:
+                    raw = texts[i].encode("utf-8", "surrogatepass")
+                    texts[i] = remaining(raw, covered(at, length)).decode("utf-8", "ignore")
+                    counts[i] = len(texts[i])
+            new = {"text": pa.array(texts, "string"), "n_chars": pa.array(counts, "int64")}
+            yield pa.table({c: new.get(c, rows[c]) for c in names})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_arrow(_with_places(docs, length, window, batches), run, schema)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of ``docs`` (doc_id, text).
 
@@ -237,8 +261,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     text counts as empty. Repeated rows are documents of their own, so all their strings repeat. An empty table gives no
     rows; other columns are ignored.
     """
-    docs = _with_row(docs)
-    places = materialize(_per_row(repeated_runs(docs, length, window, batches), "lo", "hi"), "repeats-places")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
         for rows in slices:
@@ -258,4 +281,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
             })
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    return map_arrow(_joined(docs, places, "left").select("doc_id", "text", "places"), run, schema)
+    return map_arrow(_with_places(docs, length, window, batches), run, schema)
