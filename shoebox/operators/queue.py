@@ -11,25 +11,6 @@ from shoebox.operators.distributed import Sequence, numbered, top_k
 DECISIONS = ("delete", "keepOnce", "whitelist")
 
 
-def latest_state(decisions: DataFrame, keys: list[str]) -> DataFrame:
-    """Per asset: whether it is pending (its last decision is delete) and whether it was ever protected.
-
-    Later keeps or deletes do not lift a protection.
-    """
-    made = decisions.filter(F.col("action").isin(*DECISIONS))
-    last = F.max_by(F.struct("action", "ts", "bytes"), F.struct("ts", "event_id")).alias("last")
-    state = made.groupBy(*keys).agg(last, F.max(F.col("action") == "whitelist").alias("protected"))
-    pending = F.col("last.action") == "delete"
-    return state.select(
-        *keys, pending.alias("pending"), "protected",
-        F.when(pending, F.col("last.ts")).alias("marked_at"), F.when(pending, F.col("last.bytes")).alias("bytes"),
-    )
-
-
-def pending_items(decisions: DataFrame, keys: list[str]) -> DataFrame:
-    return latest_state(decisions, keys).filter("pending").select(*keys, "marked_at", "bytes")
-
-
 def with_undo(decisions: DataFrame, session: list[str], bound: int = 1_000_000) -> DataFrame:
     """Decisions with ``undone`` and the undo event that takes them back.
 
@@ -59,25 +40,44 @@ def with_undo(decisions: DataFrame, session: list[str], bound: int = 1_000_000)
     )
 
 
-def state_with_undo(resolved: DataFrame, keys: list[str]) -> DataFrame:
-    """Pending and protected per asset when undos count: undoing a delete unmarks, undoing a
-    whitelist lifts the protection, and nothing is ever re-marked.
+def current_state(resolved: DataFrame, keys: list[str]) -> DataFrame:
+    """Per asset: whether it is pending, since when and with how many bytes, and whether it is protected.
+
+    ``resolved`` comes from ``with_undo``. A delete marks, any other decision and the undo of a delete unmark; a whitelist protects until
+    it is undone, whatever is decided later. Undoing a keep never marks again.
     """
     effects = resolved.select(
-        *keys, F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+        *keys, F.col("ts").alias("at"), F.col("event_id").alias("seq"), "bytes",
         (F.col("action") == "delete").alias("marks"), F.when(F.col("action") == "whitelist", True).alias("protects"),
     ).union(
         resolved.filter("undone and action <> 'keepOnce'").select(
-            *keys, "undone_at", "undo_event_id",
+            *keys, "undone_at", "undo_event_id", "bytes",
             F.when(F.col("action") == "delete", False), F.when(F.col("action") == "whitelist", False),
         )
     )
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("at", "seq")))
-    return effects.groupBy(*keys).agg(
-        F.coalesce(last("marks"), F.lit(False)).alias("pending"), F.coalesce(last("protects"), F.lit(False)).alias("protected")
+    last = lambda c: F.max_by(F.struct(c, "at", "bytes"), F.when(F.col(c).isNotNull(), F.struct("at", "seq"))).alias(f"last_{c}")
+    state = effects.groupBy(*keys).agg(last("marks"), last("protects"))
+    pending = F.coalesce("last_marks.marks", F.lit(False))
+    return state.select(
+        *keys, pending.alias("pending"), F.coalesce("last_protects.protects", F.lit(False)).alias("protected"),
+        F.when(pending, F.col("last_marks.at")).alias("marked_at"), F.when(pending, F.col("last_marks.bytes")).alias("bytes"),
     )
 
 
+def pending_items(state: DataFrame, keys: list[str]) -> DataFrame:
+    return state.filter("pending").select(*keys, "marked_at", "bytes")
+
+
+def protected_items(state: DataFrame, keys: list[str]) -> DataFrame:
+    return state.filter("protected").select(*keys)
+
+
+def newest_first(pending: DataFrame, keys: list[str]) -> DataFrame:
+    """All pending items of each library, the newest mark first."""
+    order = [F.desc("marked_at"), *[F.col(k) for k in keys]]
+    return numbered(pending, ["library_id"], order, "position", "pending-items")
+
+
 def session_counters(resolved: DataFrame, session: list[str]) -> DataFrame:
     """Marked, kept and whitelisted per session, net of undos."""
     standing = resolved.filter(~F.col("undone"))

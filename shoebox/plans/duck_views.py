@@ -219,6 +219,30 @@ select *, first_value(asset_id) over k as group_id, asset_id = first_value(asset
 from scored window k as (partition by group_key order by round(score, 9) desc, asset_id)
 """, ("scored",))
 
-view("protected", """
-select distinct asset_id from decisions where action = 'whitelist'
+# decisions, with undo
+view("undo_steps", """
+select *, s - least(low, 0) as after_depth, coalesce(lag(low) over (partition by library_id order by ts, event_id), 0) as low_before from
+ (select *, min(s) over (partition by library_id order by ts, event_id rows unbounded preceding) as low from
+  (select *, sum(case when action = 'undo' then -1 else 1 end) over (partition by library_id order by ts, event_id rows unbounded preceding) as s
+   from decisions where action <> 'relabel'))
 """, ("decisions",))
+view("resolved", """
+select library_id, event_id, asset_id, ts, action, bytes, coalesce(nxt = 'undo', false) as undone, case when nxt = 'undo' then nxt_ts end as undone_at, case when nxt = 'undo' then nxt_id end as undo_event_id from
+ (select *, lead(action) over l as nxt, lead(ts) over l as nxt_ts, lead(event_id) over l as nxt_id from
+  (select *, case when action = 'undo' then after_depth + 1 else after_depth end as level from undo_steps where not (action = 'undo' and low < least(low_before, 0)))
+  window l as (partition by library_id, level order by ts, event_id))
+where action <> 'undo'
+""", ("undo_steps",))
+view("states", """
+select library_id, asset_id, coalesce(mark.marks, false) as pending, coalesce(protects, false) as protected,
+ case when mark.marks then mark.at_ts end as marked_at, case when mark.marks then mark.bytes end as bytes from
+ (select library_id, asset_id, arg_max({'marks': marks, 'at_ts': at_ts, 'bytes': bytes}, (at_ts, seq)) filter (where marks is not null) as mark,
+   arg_max(protects, (at_ts, seq)) filter (where protects is not null) as protects from
+  (select library_id, asset_id, bytes, ts as at_ts, event_id as seq, action = 'delete' as marks, case when action = 'whitelist' then true end as protects from resolved
+   union all select library_id, asset_id, bytes, undone_at, undo_event_id, case when action = 'delete' then false end, case when action = 'whitelist' then false end
+   from resolved where undone and action <> 'keepOnce')
+  group by library_id, asset_id)
+""", ("resolved",))
+view("pending", "select library_id, asset_id, marked_at, bytes from states where pending", ("states",))
+view("pending_ids", "select distinct asset_id from pending", ("pending",))
+view("protected", "select distinct asset_id from states where protected", ("states",))

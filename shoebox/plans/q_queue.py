@@ -14,15 +14,6 @@ from shoebox.sources.derived import Library
 NOW = "2024-01-25 00:00:00"
 ITEM = ["library_id", "asset_id"]
 
-view("states", """
-select library_id, asset_id, arg_max(action, (ts, event_id)) = 'delete' as pending, bool_or(action = 'whitelist') as protected,
- max(ts) as last_ts, arg_max(bytes, (ts, event_id)) as last_bytes
-from decisions where action in ('delete', 'keepOnce', 'whitelist') group by library_id, asset_id
-""", ("decisions",))
-view("pending", "select library_id, asset_id, last_ts as marked_at, last_bytes as bytes from states where pending", ("states",))
-view("pending_ids", """
-select asset_id from decisions where action in ('delete', 'keepOnce', 'whitelist') group by asset_id having arg_max(action, (ts, event_id)) = 'delete'
-""", ("decisions",))
 view("keep_always", "select vec_id as asset_id from vectors where label % 4 = 1", ("vectors",))
 view("open_candidates", """
 select * from candidates where asset_id not in (select asset_id from pending_ids) and asset_id not in (select asset_id from protected)
@@ -32,27 +23,14 @@ view("ranked", """
 select *, row_number() over (partition by category order by priority desc, asset_id) as position from
  (select *, confidence * (0.55 + log2(greatest(byte_size, 65536) / 65536.0::double) / 10) as priority from open_candidates)
 """, ("open_candidates",))
-view("undo_steps", """
-select *, s - least(low, 0) as after_depth, coalesce(lag(low) over (partition by library_id order by ts, event_id), 0) as low_before from
- (select *, min(s) over (partition by library_id order by ts, event_id rows unbounded preceding) as low from
-  (select *, sum(case when action = 'undo' then -1 else 1 end) over (partition by library_id order by ts, event_id rows unbounded preceding) as s
-   from decisions where action <> 'relabel'))
-""", ("decisions",))
-view("resolved", """
-select library_id, event_id, asset_id, ts, action, bytes, coalesce(nxt = 'undo', false) as undone, case when nxt = 'undo' then nxt_ts end as undone_at, case when nxt = 'undo' then nxt_id end as undo_event_id from
- (select *, lead(action) over l as nxt, lead(ts) over l as nxt_ts, lead(event_id) over l as nxt_id from
-  (select *, case when action = 'undo' then after_depth + 1 else after_depth end as level from undo_steps where not (action = 'undo' and low < least(low_before, 0)))
-  window l as (partition by library_id, level order by ts, event_id))
-where action <> 'undo'
-""", ("undo_steps",))
 
 
 def pending(lib: Library) -> DataFrame:
-    return queue.pending_items(lib.decisions(), ITEM)
+    return queue.pending_items(scan.decision_state(lib), ITEM)
 
 
 def pending_ids(lib: Library) -> DataFrame:
-    return queue.pending_items(lib.decisions(), ["asset_id"]).select("asset_id")
+    return pending(lib).select("asset_id").distinct()
 
 
 def keep_always(lib: Library) -> DataFrame:
@@ -67,20 +45,23 @@ def with_priority(rows: DataFrame) -> DataFrame:
     return rows.withColumn("priority", queue.priority(F.col("confidence"), F.col("byte_size")))
 
 
-def resolved(lib: Library) -> DataFrame:
-    return lib.keep("resolved-decisions", lambda: queue.with_undo(lib.decisions(), ["library_id"]))
-
-
 @query("dec1", """
-select library_id, asset_id, pending, protected, case when pending then last_ts end as marked_at, case when pending then last_bytes end as bytes from states
+select library_id, asset_id, pending, protected, marked_at, bytes from states
 """, ("states",))
 def states(lib: Library) -> DataFrame:
-    return queue.latest_state(lib.decisions(), ITEM)
+    return scan.decision_state(lib)
+
+
+@query("dec1_newest", """
+select library_id, asset_id, row_number() over (partition by library_id order by marked_at desc, asset_id) as position from pending
+""", ("pending",))
+def newest(lib: Library) -> DataFrame:
+    return queue.newest_first(pending(lib), ["asset_id"]).select("library_id", "asset_id", "position")
 
 
 @query("dec2", "select library_id, event_id, action, undone, undo_event_id from resolved", ("resolved",))
 def undo(lib: Library) -> DataFrame:
-    return resolved(lib).select("library_id", "event_id", "action", "undone", "undo_event_id")
+    return scan.resolved(lib).select("library_id", "event_id", "action", "undone", "undo_event_id")
 
 
 @query("dec2_state", """
@@ -91,7 +72,7 @@ select library_id, asset_id, coalesce(arg_max(marks, (at_ts, seq)) filter (where
  coalesce(arg_max(protects, (at_ts, seq)) filter (where protects is not null), false) as protected from effects group by 1, 2
 """, ("resolved",))
 def undo_state(lib: Library) -> DataFrame:
-    return queue.state_with_undo(resolved(lib), ITEM)
+    return queue.current_state(scan.resolved(lib), ITEM).select(*ITEM, "pending", "protected")
 
 
 @query("dec3", """
@@ -99,7 +80,7 @@ select library_id, count_if(action = 'delete')::bigint as marked, sum(case when
  count_if(action = 'keepOnce')::bigint as kept, count_if(action = 'whitelist')::bigint as whitelisted from resolved where not undone group by library_id
 """, ("resolved",))
 def counters(lib: Library) -> DataFrame:
-    return queue.session_counters(resolved(lib), ["library_id"])
+    return queue.session_counters(scan.resolved(lib), ["library_id"])
 
 
 @query("dec4", """

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from shoebox.operators import copies, keepers, moments
+from shoebox.operators import copies, keepers, moments, queue
 from shoebox.sources.derived import Library
 
 
@@ -62,8 +62,18 @@ def grouped(lib: Library) -> DataFrame:
     return lib.keep("grouped", lambda: keepers.with_keepers(scored(lib)))
 
 
+def resolved(lib: Library) -> DataFrame:
+    """Decisions with the undos that take them back, one undo stack per library."""
+    return lib.keep("resolved-decisions", lambda: queue.with_undo(lib.decisions(), ["library_id"]))
+
+
+def decision_state(lib: Library) -> DataFrame:
+    """What is pending and protected now, per library and asset."""
+    return lib.keep("decision-state", lambda: queue.current_state(resolved(lib), ["library_id", "asset_id"]))
+
+
 def protected(lib: Library) -> DataFrame:
-    return lib.decisions().filter("action = 'whitelist'").select("asset_id").distinct()
+    return queue.protected_items(decision_state(lib), ["asset_id"]).distinct()
 
 
 def flagship(lib: Library) -> DataFrame:

@@ -18,9 +18,13 @@ def events(spark, rows):
     return spark.createDataFrame([(0, i, START + timedelta(seconds=i), a, action, 10) for i, (a, action) in enumerate(rows)], EVENTS)
 
 
+def state_of(log):
+    return queue.current_state(queue.with_undo(log, ["library_id"]), ["library_id", "asset_id"])
+
+
 def test_undo_lifts_marks_and_protection(spark):
     log = events(spark, [(1, "delete"), (1, "undo"), (2, "whitelist"), (2, "undo"), (3, "delete"), (3, "keepOnce"), (3, "undo")])
-    state = {r.asset_id: (r.pending, r.protected) for r in queue.state_with_undo(queue.with_undo(log, ["library_id"]), ["library_id", "asset_id"]).collect()}
+    state = {r.asset_id: (r.pending, r.protected) for r in state_of(log).collect()}
     # undoing the keep of 3 does not mark it again
     assert state == {1: (False, False), 2: (False, False), 3: (False, False)}
 
@@ -43,8 +47,24 @@ def test_undo_replays_a_stack(spark, bound):
 
 
 def test_whitelist_outlives_a_later_delete(spark):
-    row = queue.latest_state(events(spark, [(1, "whitelist"), (1, "delete")]), ["asset_id"]).first()
-    assert row.pending and row.protected
+    row = state_of(events(spark, [(1, "whitelist"), (1, "delete")])).first()
+    assert row.pending and row.protected and row.marked_at == START + timedelta(seconds=1) and row.bytes == 10
+
+
+def test_an_undone_delete_is_neither_due_nor_executed(spark):
+    log = events(spark, [(1, "delete"), (2, "delete"), (2, "undo"), (3, "whitelist"), (3, "undo"), (4, "delete"), (4, "delete"), (4, "undo")])
+    state = state_of(log)
+    pending = queue.with_deadline(queue.pending_items(state, ["library_id", "asset_id"]))
+    due = queue.due_items(pending, "2030-01-01 00:00:00", ["library_id", "asset_id"]).collect()
+    assert [(r.asset_id, r.bytes, r.position) for r in due] == [(1, 10, 1)]
+    assert queue.protected_items(state, ["asset_id"]).collect() == []
+
+
+def test_pending_lists_the_newest_first_per_library(spark):
+    log = events(spark, [(1, "delete"), (2, "delete")]).unionByName(events(spark, [(3, "delete"), (1, "delete")]).withColumn("library_id", F.lit(1).cast("bigint")))
+    pending = queue.pending_items(state_of(log), ["library_id", "asset_id"])
+    got = {(r.library_id, r.position): r.asset_id for r in queue.newest_first(pending, ["asset_id"]).collect()}
+    assert got == {(0, 1): 2, (0, 2): 1, (1, 1): 1, (1, 2): 3}
 
 
 def test_priority_weighs_size_by_logarithm(spark):
