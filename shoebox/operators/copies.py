@@ -82,12 +82,14 @@ def hash_nodes(signature_rows: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(signature_rows: DataFrame, max_d: int = 2, max_p: int = 4) -> DataFrame:
-    """Pairs of distinct photographs worth comparing, with both distances."""
+    """Pairs of distinct photographs within both distances, and what these are."""
     pairs = band_join(hash_nodes(signature_rows), ["library_id", "shape"], max_d, max_p)
-    return pairs.select(
+    near = pairs.select(
         "library_id", "a", "b",
         scalars.hamming("da", "db").alias("d"), scalars.hamming("pa", "pb").alias("p"),
     )
+    # the definition of a candidate, whichever keys a bucket was joined on
+    return near.filter((F.col("d") <= max_d) & (F.col("p") <= max_p))
 
 
 def bucket_sizes(hash_rows: DataFrame, hash_col: str = "dhash", bands: int = 8) -> DataFrame:

@@ -224,10 +224,28 @@ def two_level_leaders(items: DataFrame, keys: list[str], threshold: float, ceili
 
 
 def leader_clusters(items: DataFrame, threshold: float = MERGE_THRESHOLD, ceiling: int = MAX_CLUSTERS, block_rows: int = 200_000) -> DataFrame:
-    """Clusters per library, for libraries of any size: (library_id, item_id, cluster, similarity).
+    """Clusters per library: (library_id, item_id, cluster, similarity), for every item.
 
-    Members of an exact pass keep the cluster they joined. In a larger library every item joins the
-    nearest final leader if it reaches the threshold. Cluster -1 is the overflow.
+    A pass holds at most ``ceiling`` leaders. What finds no place in it is clustered in another pass, whose clusters
+    are numbered from the next multiple of the ceiling, until nothing is left over.
+    """
+    rest, placed, base = items, None, 0
+    while True:
+        found = materialize(_cluster_pass(rest, threshold, ceiling, block_rows), "cluster-pass")
+        mine = found.filter("cluster >= 0").withColumn("cluster", F.col("cluster") + F.lit(base))
+        placed = mine if placed is None else placed.union(mine)
+        left = found.filter("cluster < 0").select("library_id", "item_id")
+        if left.isEmpty():
+            return placed
+        if mine.isEmpty():  # merged leaders drifted from all items: each library's rest in one ordered pass
+            block_rows = 1 << 60
+        rest = materialize(rest.join(left, ["library_id", "item_id"], "left_semi"), "cluster-rest")
+        base += ceiling
+
+
+def _cluster_pass(items: DataFrame, threshold: float, ceiling: int, block_rows: int) -> DataFrame:
+    """One pass over libraries of any size. Members of an exact pass keep the cluster they joined. In a larger library every
+    item joins the nearest final leader if it reaches the threshold. Cluster -1 is what this pass has no leader for.
     """
     first, final = two_level_leaders(items, ["library_id"], threshold, ceiling, block_rows)
     exact = first.filter("blocks = 1 and kind = 'member'").select("library_id", "item_id", "cluster", "similarity")
@@ -248,9 +266,9 @@ def cluster_summary(assigned: DataFrame, bytes_of: DataFrame) -> DataFrame:
     ).filter("size >= 2")
 
 
-def overflow(assigned: DataFrame) -> DataFrame:
-    """Items past the ceiling, per library: surfaced, not swallowed."""
-    return assigned.groupBy("library_id").agg(F.count_if(F.col("cluster") < 0).alias("overflow"), F.count(F.lit(1)).alias("items"))
+def overflow(assigned: DataFrame, ceiling: int = MAX_CLUSTERS) -> DataFrame:
+    """Items that the first ``ceiling`` clusters had no place for, per library; they are in later clusters."""
+    return assigned.groupBy("library_id").agg(F.count_if(F.col("cluster") >= ceiling).alias("overflow"), F.count(F.lit(1)).alias("items"))
 
 
 def label_then_cluster(items: DataFrame, centroids: DataFrame, label_threshold: float = LABEL_THRESHOLD, merge_threshold: float = MERGE_THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -269,7 +287,7 @@ def name_clusters(labels: DataFrame, centroids: DataFrame, namings: DataFrame) -
     Names are trimmed and blank ones ignored. A taken name gains the centroid and the samples, and an
     empty category is filled by the first one given; a new name becomes a new label.
     """
-    given = namings.withColumn("name", F.trim("name")).filter("name <> ''")
+    given = namings.withColumn("name", F.regexp_replace("name", r"^\s+|\s+$", "")).filter("name <> ''")
     both = labels.select("name", "category", "sample_count", F.lit(-1).cast("bigint").alias("seq")).union(
         given.select("name", "category", "sample_count", "seq")
     )

@@ -66,7 +66,7 @@ select l_orderkey as asset_id, row_number() over (partition by l_orderkey order
 """)
 
 view("decisions", """
-select event_id, ts, user_id as library_id, event_id%400 as asset_id,
+select event_id, ts, user_id as library_id, event_id % (select greatest(1, count(*) * 2 // 5) from documents) as asset_id,
  case event_type when 'click' then 'delete' when 'view' then 'keepOnce' when 'purchase' then 'whitelist' when 'signup' then 'undo' else 'relabel' end as action,
  cast(floor(value*10000) as bigint) as bytes from events
 """)

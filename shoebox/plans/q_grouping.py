@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.functions import bits, scalars
+from shoebox.functions import scalars
 from shoebox.operators import copies, keepers, moments
 from shoebox.operators.distributed import attach
 from shoebox.plans import scan
@@ -13,19 +13,6 @@ from shoebox.plans.registry import query
 from shoebox.sources.derived import Library
 
 
-def _duck_band(column: str, bands: int) -> list[str]:
-    out, offset = [], 0
-    for width in bits.band_widths(bands):
-        # arithmetic shift: the mask removes the copied sign bits
-        out.append(f"(({column} >> {offset}) & {(1 << width) - 1})")
-        offset += width
-    return out
-
-
-def _duck_any_equal(a: str, b: str, bands: int) -> str:
-    return " or ".join(f"{x} = {y}" for x, y in zip(_duck_band(a, bands), _duck_band(b, bands)))
-
-
 HASH_NODES = """
 hash_nodes as (select min(asset_id) as node, dhash, phash, pixel_width::double / pixel_height as shape
   from images where not is_screen_like group by dhash, phash, pixel_width::double / pixel_height)
@@ -34,7 +21,7 @@ hash_nodes as (select min(asset_id) as node, dhash, phash, pixel_width::double /
 PAIRS_ORACLE = f"""
 select a.node as a, b.node as b, bit_count(xor(a.dhash, b.dhash))::int as d, bit_count(xor(a.phash, b.phash))::int as p
 from hash_nodes a join hash_nodes b on a.node < b.node and a.shape = b.shape
-where ({_duck_any_equal('a.dhash', 'b.dhash', 3)}) and ({_duck_any_equal('a.phash', 'b.phash', 5)})
+where bit_count(xor(a.dhash, b.dhash)) <= 2 and bit_count(xor(a.phash, b.phash)) <= 4
 """
 
 

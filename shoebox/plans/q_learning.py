@@ -117,8 +117,8 @@ def suggestions(lib: Library) -> DataFrame:
 
 @query("emb5")
 def overflow(lib: Library) -> DataFrame:
-    """With a ceiling of 20 leaders, so that some items fall past it."""
-    return emb.overflow(emb.leader_clusters(items(lib), MERGE_AT, ceiling=20))
+    """With a ceiling of 200 leaders, so that some items fall past it."""
+    return emb.overflow(emb.leader_clusters(items(lib), MERGE_AT, ceiling=200), 200)
 
 
 @query("emb6", "select item_id, matched as label from matched where matched is not null", ("matched",))

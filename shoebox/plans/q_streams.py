@@ -27,11 +27,7 @@ def _stream(lib: Library, name: str) -> DataFrame:
 
 
 def _decisions(lib: Library) -> DataFrame:
-    return lib.spark.sql(derived.DECISIONS, events=_stream(lib, "events"))
-
-
-def _with_rocksdb(lib: Library) -> None:
-    lib.spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    return lib.spark.sql(derived.DECISIONS, events=_stream(lib, "events"), modulus=lib.decided_assets())
 
 
 @query("str1", "select distinct library_id, asset_id from decisions where action in ('delete', 'keepOnce', 'whitelist')", ("decisions",))
@@ -60,7 +56,6 @@ def reranked(lib: Library) -> DataFrame:
 @query("str3")
 def online(lib: Library) -> DataFrame:
     """Each swipe's score before it was learned; the last row of a library holds the batch fold's counts."""
-    _with_rocksdb(lib)
     vectors = lib.vectors().select(F.col("vec_id").alias("asset_id"), "embedding")
     made = _decisions(lib).filter(F.col("action").isin("delete", "keepOnce", "whitelist"))
     examples = made.withColumn("target", (F.col("action") == "delete").cast("int")).join(vectors, "asset_id")

@@ -48,7 +48,12 @@ def test_leader_pass_is_the_sequential_pass(spark, ceiling, threshold, noise):
     rows, items = planted(spark, noise=noise)
     # shuffled partitions must not matter: order is by item id
     got = emb.leader_clusters(items.repartition(7), threshold, ceiling).collect()
-    expected = sequential_leaders([r[2] for r in rows], threshold, ceiling)
+    expected, rest, base = {}, list(range(len(rows))), 0
+    while rest:  # what a pass has no leader for goes into the next
+        placed = dict(zip(rest, sequential_leaders([rows[i][2] for i in rest], threshold, ceiling), strict=True))
+        expected.update({i: (c + base, s) for i, (c, s) in placed.items() if c >= 0})
+        rest, base = [i for i in rest if placed[i][0] < 0], base + ceiling
+    expected = [expected[i] for i in range(len(rows))]
     assert [(r.cluster, round(r.similarity, 9)) for r in sorted(got, key=lambda r: r.item_id)] == [(c, round(s, 9)) for c, s in expected]
 
 
@@ -245,3 +250,10 @@ def test_pixel_fingerprints_by_definition(spark):
         assert r.sharpness == pytest.approx(min(1, float(np.std(laplace)) / 0.15))
         edges = [abs(g[32 * y + x + 1] - g[32 * y + x]) + abs(g[32 * (y + 1) + x] - g[32 * y + x]) > 0.12 for y in range(31) for x in range(31)]
         assert r.edge_density == pytest.approx(np.mean(edges))
+
+
+def test_no_item_is_left_without_a_cluster(spark):
+    rows, items = planted(spark, groups=50, per_group=2, noise=0.01)
+    placed = emb.leader_clusters(items, 0.93, ceiling=20)
+    assert placed.count() == len(rows) and placed.filter("cluster < 0").isEmpty() and placed.select("cluster").distinct().count() == 50
+    assert emb.overflow(placed, 20).first().overflow == 60

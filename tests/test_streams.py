@@ -41,7 +41,6 @@ def test_online_model_equals_the_batch_fold(lib):
 
 
 def test_online_model_counts_late_rows(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     schema = "library_id bigint, event_id bigint, ts timestamp, embedding array<double>, target int"
     row = lambda event, second: (0, event, START + timedelta(seconds=second), [1.0, 0.0], 1)
     write(spark, [row(1, 10), row(2, 20)], schema, tmp_path, 1)
