@@ -6,7 +6,7 @@ may be huge. Ranks inside groups use the sliced numbering of ``distributed``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions import scalars
@@ -109,6 +109,16 @@ def sorted_groups(groups: DataFrame) -> DataFrame:
     return groups.orderBy("tier", F.desc("reclaimable"), "group_id")
 
 
+def discardable(grouped: DataFrame) -> Column:
+    """Members the user does not keep: outside the kept set where one was applied, else all but the default keeper."""
+    return ~F.col("kept") if "kept" in grouped.columns else ~F.col("is_keeper")
+
+
+def leads(grouped: DataFrame) -> Column:
+    """The one member others are measured against."""
+    return F.col("asset_id") == F.col("effective_keeper") if "effective_keeper" in grouped.columns else F.col("is_keeper")
+
+
 def eligible(assets: DataFrame, protected: DataFrame, include_videos: bool = True) -> DataFrame:
     """Assets that may be grouped at all."""
     pool = assets if include_videos else assets.filter(~F.col("is_video"))
@@ -121,7 +131,7 @@ def worthwhile(grouped: DataFrame, skip_favorites: bool = True) -> DataFrame:
         return grouped
     keep = (
         grouped.groupBy("group_id")
-        .agg(F.max(~F.col("is_keeper") & ~F.col("is_favorite")).alias("offers"))
+        .agg(F.max(discardable(grouped) & ~F.col("is_favorite")).alias("offers"))
         .filter("offers").select("group_id")
     )
     return grouped.join(keep, "group_id", "left_semi")
@@ -148,7 +158,7 @@ def apply_selection(grouped: DataFrame, selection: DataFrame) -> DataFrame:
 
 def tier_summary(grouped: DataFrame) -> DataFrame:
     """Groups, discardables and reclaimable bytes per tier, for copies together, and for all."""
-    spare = ~F.col("is_keeper")
+    spare = discardable(grouped)
     per_group = grouped.groupBy("group_id", "tier").agg(
         F.count_if(spare).alias("discardable"),
         F.sum(F.when(spare, F.col("byte_size")).otherwise(0)).cast("bigint").alias("reclaimable"),
@@ -169,7 +179,7 @@ def tier_summary(grouped: DataFrame) -> DataFrame:
 
 def one_tap_items(grouped: DataFrame, unticked: DataFrame | None = None) -> DataFrame:
     """Discardables of identical groups, the only ones swept without a look."""
-    rows = grouped.filter((F.col("tier") == TIERS["identical"]) & ~F.col("is_keeper"))
+    rows = grouped.filter((F.col("tier") == TIERS["identical"]) & discardable(grouped))
     if unticked is not None:
         rows = rows.join(unticked.select("group_id"), "group_id", "left_anti")
     return rows.select("asset_id", "group_id", "byte_size", F.lit("duplicate").alias("category"))
@@ -184,7 +194,7 @@ def skip_groups(grouped: DataFrame, skipped: DataFrame) -> tuple[DataFrame, Data
 def mark_groups(grouped: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(remaining members, items to put in the pending queue as duplicates)."""
     keys = marked.select("group_id")
-    items = grouped.join(keys, "group_id", "left_semi").filter(~F.col("is_keeper"))
+    items = grouped.join(keys, "group_id", "left_semi").filter(discardable(grouped))
     return (
         grouped.join(keys, "group_id", "left_anti"),
         items.select("asset_id", F.col("byte_size").alias("bytes"), F.lit("duplicate").alias("category")),
@@ -241,14 +251,14 @@ def difference_summary(grouped: DataFrame) -> DataFrame:
 
 def with_keeper_hashes(grouped: DataFrame) -> DataFrame:
     """Members with their keeper's hashes as ``kd`` and ``kp``."""
-    kept = lambda c: F.max(F.when(F.col("is_keeper"), F.col(c)))
+    kept = lambda c: F.max(F.when(leads(grouped), F.col(c)))
     keeper = grouped.groupBy("group_id").agg(kept("dhash").alias("kd"), kept("phash").alias("kp"), F.count(F.lit(1)).alias("size"))
     return attach(grouped, keeper, ["group_id"], "size")
 
 
 def safety_evidence(grouped: DataFrame) -> DataFrame:
     """Checkable facts per group: equal contents, sizes, dimensions, and the farthest member."""
-    other = ~F.col("is_keeper")
+    other = ~leads(grouped)
     dims = F.format_string("%dx%d", "pixel_width", "pixel_height")
     # distinct dimensions first, so that the list collected per group has one entry per screen size, not per member
     rows = with_keeper_hashes(grouped)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions.fixed import GRACE_DAYS, HEAD_ONLY, TIERS
 from shoebox.operators.distributed import Sequence, numbered, top_k
+from shoebox.operators.keepers import discardable
 
 DECISIONS = ("delete", "keepOnce", "whitelist")
 
@@ -147,7 +148,7 @@ def first_wins(arrivals: DataFrame) -> DataFrame:
 def category_counts(open_rows: DataFrame, grouped: DataFrame) -> DataFrame:
     """Open candidates per category, plus the discardables of copy groups as ``duplicate``."""
     counts = open_rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("byte_size").alias("bytes"))
-    spare = grouped.filter((F.col("tier") < TIERS["moment"]) & ~F.col("is_keeper"))
+    spare = grouped.filter((F.col("tier") < TIERS["moment"]) & discardable(grouped))
     duplicate = spare.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("bytes"))
     return counts.union(duplicate.filter("n > 0").select(F.lit("duplicate"), "n", "bytes"))
 
@@ -155,7 +156,7 @@ def category_counts(open_rows: DataFrame, grouped: DataFrame) -> DataFrame:
 def potential_savings(candidates: DataFrame, pending: DataFrame, grouped: DataFrame) -> DataFrame:
     """Bytes of unmarked candidates plus bytes reclaimable from groups."""
     unmarked = candidates.join(pending.select("asset_id"), "asset_id", "left_anti").select("byte_size")
-    spare = grouped.filter(~F.col("is_keeper")).select("byte_size")
+    spare = grouped.filter(discardable(grouped)).select("byte_size")
     return unmarked.union(spare).agg(F.sum("byte_size").alias("bytes"))
 
 

@@ -246,3 +246,10 @@ select library_id, asset_id, coalesce(mark.marks, false) as pending, coalesce(pr
 view("pending", "select library_id, asset_id, marked_at, bytes from states where pending", ("states",))
 view("pending_ids", "select distinct asset_id from pending", ("pending",))
 view("protected", "select distinct asset_id from states where protected", ("states",))
+
+# the user's picks in these checks: in groups with an even id, members with id % 3 = 1 are kept
+view("selected", """
+select *, first_value(asset_id) over (partition by group_id order by kept desc, is_keeper desc, creation_ts desc, asset_id) as effective_keeper from
+ (select *, case when touched then asset_id % 3 = 1 else is_keeper end as kept from
+  (select *, group_id % 2 = 0 and bool_or(asset_id % 3 = 1) over (partition by group_id) as touched from grouped))
+""", ("grouped",))

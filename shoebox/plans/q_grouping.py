@@ -219,41 +219,26 @@ def eligible(lib: Library) -> DataFrame:
     return keepers.eligible(lib.assets(), scan.protected(lib)).select("asset_id")
 
 
-# the user's picks in these checks: in groups with an even id, members with id % 3 = 1 are kept
-SELECTION = """
-sel as (select *, group_id % 2 = 0 and bool_or(asset_id % 3 = 1) over (partition by group_id) as touched from grouped),
-kept as (select *, case when touched then asset_id % 3 = 1 else is_keeper end as is_kept from sel)
-"""
-
-
-def _selection(lib: Library) -> DataFrame:
-    return scan.grouped(lib).filter("group_id % 2 = 0").select("group_id", "asset_id", (F.col("asset_id") % 3 == 1).alias("kept"))
-
-
-@query("kee9", f""", {SELECTION}
-select group_id, asset_id, is_kept as kept,
- first_value(asset_id) over (partition by group_id order by is_kept desc, is_keeper desc, creation_ts desc, asset_id) as effective_keeper
-from kept
-""", ("grouped",))
+@query("kee9", "select group_id, asset_id, kept, effective_keeper from selected", ("selected",))
 def selection(lib: Library) -> DataFrame:
-    return keepers.apply_selection(scan.grouped(lib), _selection(lib)).select("group_id", "asset_id", "kept", "effective_keeper")
+    return scan.selected(lib).select("group_id", "asset_id", "kept", "effective_keeper")
 
 
 @query("kee10", """
-, g as (select tier, group_id, count_if(not is_keeper)::bigint as discardable, sum(case when is_keeper then 0 else byte_size end) as bytes from grouped group by 1, 2),
+, g as (select tier, group_id, count_if(not kept)::bigint as discardable, sum(case when kept then 0 else byte_size end) as bytes from selected group by 1, 2),
 n as (select case tier when 0 then 'identical' when 1 then 'copy' else 'moment' end as scope, * from g
  union all select 'copies total', * from g where tier < 2 union all select 'all', * from g)
 select scope, count(*) as groups, sum(discardable)::bigint as discardable, sum(bytes)::bigint as reclaimable from n group by scope
-""", ("grouped",))
+""", ("selected",))
 def tier_totals(lib: Library) -> DataFrame:
-    return keepers.tier_summary(scan.grouped(lib))
+    return keepers.tier_summary(scan.selected(lib))
 
 
 @query("kee11", """
-select asset_id, group_id, byte_size, 'duplicate' as category from grouped where tier = 0 and not is_keeper and group_id % 5 <> 0
-""", ("grouped",))
+select asset_id, group_id, byte_size, 'duplicate' as category from selected where tier = 0 and not kept and group_id % 5 <> 0
+""", ("selected",))
 def one_tap(lib: Library) -> DataFrame:
-    rows = scan.grouped(lib)
+    rows = scan.selected(lib)
     unticked = rows.filter("group_id % 5 = 0").select("group_id").distinct()
     return keepers.one_tap_items(rows, unticked)
 
@@ -300,17 +285,17 @@ def differences(lib: Library) -> DataFrame:
 select m.group_id, count(m.dhash) = count(*) and count(distinct m.content_hash) = 1 as contents_match,
  array_to_string(list_sort(list(distinct m.pixel_width || 'x' || m.pixel_height)), ' / ') as dimensions,
  count(distinct m.byte_size) = 1 as sizes_match,
- max(case when not m.is_keeper then bit_count(xor(m.dhash, k.dhash))::int end) as max_dhash_distance,
- max(case when not m.is_keeper then bit_count(xor(m.phash, k.phash))::int end) as max_phash_distance
-from grouped m join grouped k on k.group_id = m.group_id and k.is_keeper group by m.group_id
-""", ("grouped",))
+ max(case when m.asset_id <> m.effective_keeper then bit_count(xor(m.dhash, k.dhash))::int end) as max_dhash_distance,
+ max(case when m.asset_id <> m.effective_keeper then bit_count(xor(m.phash, k.phash))::int end) as max_phash_distance
+from selected m join selected k on k.group_id = m.group_id and k.asset_id = m.effective_keeper group by m.group_id
+""", ("selected",))
 def evidence(lib: Library) -> DataFrame:
-    return keepers.safety_evidence(scan.grouped(lib))
+    return keepers.safety_evidence(scan.selected(lib))
 
 
 @query("kee16", """
-select asset_id, byte_size as bytes, 'duplicate' as category from grouped where group_id % 3 = 0 and not is_keeper
-""", ("grouped",))
+select asset_id, byte_size as bytes, 'duplicate' as category from selected where group_id % 3 = 0 and not kept
+""", ("selected",))
 def marked(lib: Library) -> DataFrame:
-    rows = scan.grouped(lib)
+    rows = scan.selected(lib)
     return keepers.mark_groups(rows, rows.filter("group_id % 3 = 0").select("group_id").distinct())[1]

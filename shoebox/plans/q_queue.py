@@ -178,18 +178,18 @@ def first_wins(lib: Library) -> DataFrame:
 
 @query("dec11", """
 select category, count(*) as n, sum(byte_size)::bigint as bytes from open_candidates group by category
-union all select 'duplicate', count(*), sum(byte_size)::bigint from grouped where tier < 2 and not is_keeper having count(*) > 0
-""", ("open_candidates", "grouped"))
+union all select 'duplicate', count(*), sum(byte_size)::bigint from selected where tier < 2 and not kept having count(*) > 0
+""", ("open_candidates", "selected"))
 def counts(lib: Library) -> DataFrame:
-    return queue.category_counts(open_candidates(lib), scan.grouped(lib))
+    return queue.category_counts(open_candidates(lib), scan.selected(lib))
 
 
 @query("dec12", """
 select (select sum(byte_size) from candidates where asset_id not in (select asset_id from pending_ids))::bigint
- + (select coalesce(sum(byte_size), 0) from grouped where not is_keeper)::bigint as bytes
-""", ("candidates", "pending_ids", "grouped"))
+ + (select coalesce(sum(byte_size), 0) from selected where not kept)::bigint as bytes
+""", ("candidates", "pending_ids", "selected"))
 def savings(lib: Library) -> DataFrame:
-    return queue.potential_savings(lib.candidates(), pending_ids(lib), scan.grouped(lib))
+    return queue.potential_savings(lib.candidates(), pending_ids(lib), scan.selected(lib))
 
 
 @query("dec13", """

@@ -6,6 +6,7 @@ Results other queries build on are written once per ``Library``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shoebox.operators import copies, keepers, moments, queue
 from shoebox.sources.derived import Library
@@ -62,6 +63,12 @@ def grouped(lib: Library) -> DataFrame:
     return lib.keep("grouped", lambda: keepers.with_keepers(scored(lib)))
 
 
+def selected(lib: Library) -> DataFrame:
+    """Group members after the user's picks. In these checks, of the groups with an even id the members with id % 3 = 1 are kept."""
+    picks = grouped(lib).filter("group_id % 2 = 0").select("group_id", "asset_id", (F.col("asset_id") % 3 == 1).alias("kept"))
+    return lib.keep("selected", lambda: keepers.apply_selection(grouped(lib), picks))
+
+
 def resolved(lib: Library) -> DataFrame:
     """Decisions with the undos that take them back, one undo stack per library."""
     return lib.keep("resolved-decisions", lambda: queue.with_undo(lib.decisions(), ["library_id"]))

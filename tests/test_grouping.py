@@ -244,3 +244,17 @@ def test_runs_twice_the_same(spark):
 
     one, two = scan.flagship(Library(spark, SF)), scan.flagship(Library(spark, SF))
     assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+def test_a_kept_picture_is_never_queued(lib):
+    from shoebox.operators import queue
+    from shoebox.plans import scan
+
+    rows = scan.selected(lib)
+    kept = {r.asset_id for r in rows.filter("kept").collect()}
+    queued = keepers.mark_groups(rows, rows.select("group_id").distinct())[1]
+    swept = keepers.one_tap_items(rows)
+    assert kept and not kept & {r.asset_id for r in queued.union(swept.select("asset_id", "byte_size", "category")).collect()}
+    freed = queue.potential_savings(lib.candidates().limit(0), lib.candidates().limit(0), rows).first().bytes
+    assert freed == rows.filter("not kept").agg(F.sum("byte_size")).first()[0]
+    assert keepers.worthwhile(rows.withColumn("is_favorite", ~F.col("kept"))).isEmpty()
