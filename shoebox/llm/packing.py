@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from shoebox.llm.common import map_arrow
+from shoebox.llm.common import map_arrow, worker_memo
 
 WINDOW = 4096
 OPEN_TOKENS = 2 << 20
 END_ID = 2
-CACHE_WORDS = 400_000
+LINE = 1000  # new words encoded at once
+CACHE_WORDS = 1_500_000  # words a Python worker remembers; the memory starts afresh beyond that
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -122,20 +123,49 @@ class Tokens(dict):
 
         self.tokenizer = Tokenizer.from_file(file)
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes new words. A word of letters is one piece to the tokenizer, so many are encoded as one line."""
+        whole = [(w, t) for w in words if (t := w.decode("utf-8", "replace")).isalpha()]
+        for at in range(0, len(whole), LINE):
+            part = whole[at : at + LINE]
+            got = self.tokenizer.encode(" ".join([t for _, t in part]), add_special_tokens=False)
+            ids, piece = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
+            starts = np.flatnonzero(np.diff(piece, prepend=-1)).tolist()
+            if len(starts) == len(part):
+                raw = ids.tobytes()
+                self.update(zip((w for w, _ in part), (raw[4 * a : 4 * b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)), strict=True))
+        rest = [w for w in words if w not in self]
+        for word, got in zip(rest, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
+            self[word] = np.array(got.ids, dtype="<u4").tobytes()
+
     def of_texts(self, texts: list[str]) -> Iterator[bytes]:
         if len(self) > CACHE_WORDS:
             self.clear()
         words = [text.encode("utf-8", "surrogatepass").split() for text in texts]
-        new = list({w for ws in words for w in ws}.difference(self))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, got in zip(part, found, strict=True):
-                self[word] = np.array(got.ids, dtype="<u4").tobytes()
+        new = {w for ws in words for w in ws}.difference(self)
+        plain = {w: _plain(w) for w in new}
+        own = {part for parts in plain.values() for part in parts}.difference(self)
+        self._learn(sorted(own))
+        for word, parts in plain.items():
+            if word not in self:
+                self[word] = b"".join([self[part] for part in parts])
         for ws in words:
             yield b"".join(map(self.__getitem__, ws))
 
 
+def _plain(word: bytes) -> tuple[bytes, ...]:
+    """Parts whose ids, one after the other, are the word's. The tokenizer lower-cases, and joins a letter with no mark: a full stop
+    or comma after a letter is a part of its own, and words of letters alone need no entry for each spelling.
+    """
+    core, mark = (word[:-1], word[-1:]) if word[-1:] in (b".", b",") else (word, b"")
+    text = core.decode("utf-8", "replace")
+    if text.isalpha():
+        core = core.lower()
+    elif not text[-1:].isalpha():
+        return (word,)
+    return (core, mark) if mark else (core,)
+
+
 def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID, open_tokens: int = OPEN_TOKENS) -> DataFrame:
     """Pieces of every document of ``docs`` (doc_id, text) with their place: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset.
@@ -149,7 +179,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, e
     last = int(end_id).to_bytes(4, "little")
 
     def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
-        tokens, packer = Tokens(tokenizer_file), SumOfSquares(window, open_tokens)
+        tokens = worker_memo(("words", tokenizer_file), lambda: Tokens(tokenizer_file))
+        packer = SumOfSquares(window, open_tokens)
         number = (TaskContext.get().partitionId()) << 40
 
         def take() -> pa.Table:
