@@ -78,7 +78,7 @@ def band_join(nodes: DataFrame, block: list[str], max_d: int, max_p: int, crowde
 
 def hash_nodes(signature_rows: DataFrame) -> DataFrame:
     """Distinct hash pairs per library and shape among photographs: the near-copy search space."""
-    return signature_rows.filter(~F.col("is_screen_like")).groupBy(*HASHES).agg(F.min("node").alias("node"))
+    return signature_rows.filter(~F.col("is_screen_like")).groupBy(*HASHES).agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
 
 
 def candidate_pairs(signature_rows: DataFrame, max_d: int = 2, max_p: int = 4) -> DataFrame:
@@ -120,9 +120,9 @@ def copy_edges(signature_rows: DataFrame, max_d: int = 2, max_p: int = 4) -> Dat
     the components, and the component tiers, of the full pair list.
     """
     hubs = materialize(hash_nodes(signature_rows), "hash-nodes")
+    several = hubs.filter("n > 1").select(*HASHES, F.col("node").alias("hub"), "n")
     stars = (
-        signature_rows.filter(~F.col("is_screen_like"))
-        .join(hubs.select(*HASHES, F.col("node").alias("hub")), HASHES)
+        attach(signature_rows.filter(~F.col("is_screen_like")), several, HASHES, "n")
         .filter("node <> hub")
         .select(F.col("hub").alias("src"), F.col("node").alias("dst"), F.lit(TIERS["copy"]).alias("tier"))
     )

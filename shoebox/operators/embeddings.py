@@ -332,10 +332,19 @@ def build_centroids(items: DataFrame, min_samples: int = 8, threshold: float = M
 
 
 def mean_vectors(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean per key: averages per dimension first, so a key's array is built from its dimensions only."""
-    per_dim = items.select(*keys, F.posexplode("embedding").alias("i", "v")).groupBy(*keys, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"])
-    return per_dim.groupBy(*keys).agg(ordered.alias("mean"))
+    """Mean per key: each Arrow batch gives one sum per key it holds, the sums of a key are then added up."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*keys).schema)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            groups = pdf.groupby(keys, sort=False, dropna=False)
+            rows = [(*key, len(part), _matrix(part["embedding"]).sum(axis=0).tolist()) for key, part in groups]
+            yield pd.DataFrame(rows, columns=[*keys, "n", "total"])
+
+    partial = items.select(*keys, "embedding").mapInPandas(sums, f"{kinds}, n bigint, total array<double>")
+    added = partial.groupBy(*keys).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("total")).alias("totals"))
+    total = F.expr("aggregate(slice(totals, 2, size(totals)), totals[0], (a, b) -> zip_with(a, b, (x, y) -> x + y))")
+    return added.select(*keys, F.transform(total, lambda x: x / F.col("n")).alias("mean"))
 
 
 def pca_plane(items: DataFrame, iterations: int = 40) -> DataFrame:
