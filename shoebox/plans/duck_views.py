@@ -29,8 +29,8 @@ select cast(0 as bigint) as library_id, d as asset_id,
  timestamp '2024-01-01 00:00:00' + to_seconds(cast((d // 20)*100000 + case (d // 20)%6 when 0 then (d%20)*2 when 1 then ((d%20) // 8)*1000 when 2 then (d%20)*60 when 3 then ((d%20) // 4)*300+((d%20)%4)*3 when 4 then (d%20)*3600 else (case when d%20<14 then (d%20)*5 else (d%20)*3600 end) end as int)) as creation_ts,
  cast(case d%4 when 0 then 4032 when 1 then 3024 when 2 then 1512 else 1179 end as int) as pixel_width,
  cast(case d%4 when 0 then 3024 when 1 then 4032 when 2 then 2016 else 2556 end as int) as pixel_height,
- n_chars*10 as byte_size, d%97=0 as is_favorite, d%3=0 as has_location, d%13=0 as is_video,
- cast((d%5)*1.25 as double) as duration,
+ n_chars*10 as byte_size, d%97=0 as is_favorite, d%3=0 as has_location, n_chars%13=0 as is_video,
+ cast((n_chars%5)*1.25 as double) as duration,
  case when (d // 20)%6=2 then concat('b',cast(d // 20 as varchar)) end as burst_id,
  cast(case when d%11=0 then 4 when d%7=0 then 8 when d%17=0 then 16 when d%19=0 then 1 else 0 end as int) as subtypes,
  case when d%26=0 then concat('RPReplay_',cast(d as varchar)) else concat('IMG_',cast(d as varchar)) end as filename,
