@@ -10,8 +10,10 @@ level of the family, which gives the grams that occur twice; it then becomes lev
 equal size are merged into one of the next, so n batches leave log n levels and each entry is written log n times.
 
 Verification. Only entries with repeated grams go on. Where the whole span under an entry's run is the same for two entries, every start of
-the run is repeated. The rest (the entries at the ends of a repeated passage) is compared start by start, by 128-bit digests of
-the ``length`` bytes; of a span that many share, one stands for all. Everything is counted by aggregation, no pairs are made.
+the run is repeated. The rest (the entries at the ends of a repeated passage) is cut into blocks of ``BLOCK`` starts, at fixed distances from
+the anchor, and treated alike: all strings that start in a block hold its core, so only blocks with a repeated core go on, and those with
+the same span are settled. What is still open is compared start by start, by 128-bit digests of the ``length`` bytes. Of a span
+that many share, one stands for all. Everything is counted by aggregation, no pairs are made.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from shoebox.llm.common import drop_written, map_arrow, materialize
 
-LENGTH, WINDOW, BATCHES = 400, 161, 4
-ENTRY = "prefix bigint, gram bigint, span bigint, doc_id bigint, row bigint, lo int, hi int"
+LENGTH, WINDOW, BATCHES, BLOCK = 400, 257, 4, 16
+ENTRY = "prefix bigint, gram bigint, span bigint, doc_id bigint, row bigint, at int, lo int, hi int"
 KEY = ["prefix", "gram"]
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -73,8 +75,8 @@ class Anchors:
             anchors = place[first]
         return anchors, first, np.concatenate([first[1:], [len(least)]]) - 1
 
-    def entries(self, raw: bytes) -> Iterator[tuple[int, int, int, int, int]]:
-        """(prefix, gram digest, span digest, first start, last start)"""
+    def entries(self, raw: bytes) -> Iterator[tuple[int, ...]]:
+        """(prefix, gram digest, span digest, anchor, first start, last start)"""
         from xxhash import xxh3_64_intdigest
 
         if len(raw) < self.length:
@@ -82,7 +84,7 @@ class Anchors:
         view = memoryview(raw)
         for at, lo, hi in zip(*(x.tolist() for x in self.runs(np.frombuffer(raw, dtype=np.uint8))), strict=True):
             prefix = int.from_bytes(bytes(view[at : at + min(8, self.gram)]).ljust(8, b"\0"), "big") - (1 << 63)
-            yield prefix, _signed(xxh3_64_intdigest(view[at : at + self.gram])), _signed(xxh3_64_intdigest(view[lo : hi + self.length])), lo, hi
+            yield prefix, _signed(xxh3_64_intdigest(view[at : at + self.gram])), _signed(xxh3_64_intdigest(view[lo : hi + self.length])), at, lo, hi
 
 
 def _signed(x: int) -> int:
@@ -142,12 +144,12 @@ def suffix_entries(docs: DataFrame, length: int, window: int) -> DataFrame:
     def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
         finder = Anchors(length, window)
         for rows in slices:
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in range(8)]
             for doc_id, row, text in zip(*(rows[c].to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                for prefix, gram, span, lo, hi in finder.entries((text or "").encode("utf-8", "surrogatepass")):
-                    for column, value in zip(columns, (prefix, gram, span, doc_id, row, lo, hi), strict=True):
+                for prefix, gram, span, at, lo, hi in finder.entries((text or "").encode("utf-8", "surrogatepass")):
+                    for column, value in zip(columns, (prefix, gram, span, doc_id, row, at, lo, hi), strict=True):
                         column.append(value)
-            kinds = ["int64"] * 5 + ["int32"] * 2
+            kinds = ["int64"] * 5 + ["int32"] * 3
             yield pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in ENTRY.split(", ")])
 
     return map_arrow(docs.select("doc_id", "row", "text"), run, ENTRY)
@@ -163,31 +165,72 @@ def _joined(docs: DataFrame, per_row: DataFrame, how: str) -> DataFrame:
     return docs.join(per_row, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id", "_row")
 
 
-def string_digests(docs: DataFrame, entries: DataFrame, length: int) -> DataFrame:
-    """(a, b, n, doc_id, row, lo): the 128-bit digest of the string at every start of the entries, which stand for ``n`` each."""
+CONTEXT = "doc_id bigint, row bigint, at int, lo int, hi int, n int, part binary"
+RUN = ["doc_id", "row", "lo", "hi"]
 
-    def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
-        from xxhash import xxh3_128_digest
 
+def contexts(docs: DataFrame, entries: DataFrame, length: int) -> DataFrame:
+    """Entries (doc_id, row, at, lo, hi, n) with the bytes under their runs."""
+
+    def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
         for rows in slices:
-            digests, starts, weights, ids, own = [], [], [], [], []
+            out = []
             for doc_id, row, text, places in zip(*(rows[c].to_pylist() for c in ("doc_id", "row", "text", "places")), strict=True):
-                view = memoryview(text.encode("utf-8", "surrogatepass"))
-                for p in places:
-                    lo, hi = p["lo"], p["hi"] + 1
-                    digests += [xxh3_128_digest(view[i : i + length]) for i in range(lo, hi)]
-                    starts.append(np.arange(lo, hi, dtype=np.int32))
-                    weights.append(np.full(hi - lo, min(p["n"], 2), dtype=np.int32))
-                    ids += [doc_id] * (hi - lo)
-                    own.append(np.full(hi - lo, row, dtype=np.int64))
-            if digests:
-                pairs = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-                yield pa.table({
-                    "a": pairs[:, 0].copy(), "b": pairs[:, 1].copy(), "n": np.concatenate(weights), "doc_id": pa.array(ids, "int64"),
-                    "row": np.concatenate(own), "lo": np.concatenate(starts),
-                })
-
-    return map_arrow(_joined(docs, _per_row(entries, "lo", "hi", "n"), "inner"), run, "a bigint, b bigint, n int, doc_id bigint, row bigint, lo int")
+                raw = text.encode("utf-8", "surrogatepass")
+                out += [(doc_id, row, p["at"], p["lo"], p["hi"], min(p["n"], 2), raw[p["lo"] : p["hi"] + length]) for p in places]
+            kinds = ["int64"] * 2 + ["int32"] * 4 + ["binary"]
+            yield pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in CONTEXT.split(", ")])
+
+    return map_arrow(_joined(docs, _per_row(entries, "at", "lo", "hi", "n"), "inner"), run, CONTEXT)
+
+
+def cut_into_blocks(parts: DataFrame, length: int, block: int) -> DataFrame:
+    """(core, a, b, doc_id, row, at, lo, hi, n): the runs of ``parts`` cut at multiples of ``block`` starts from the anchor. ``core`` is the
+    digest of what all strings that may start in the block hold, a and b are that of the span of those that do.
+    """
+
+    def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        from xxhash import xxh3_64_intdigest, xxh3_128_digest
+
+        for rows in slices:
+            out, digests = [], []
+            for p in rows.to_pylist():
+                part, begin, at = p["part"], p["lo"], p["at"]
+                for number in range((begin - at) // block, (p["hi"] - at) // block + 1):
+                    low = at + number * block
+                    lo, hi = max(low, begin), min(low + block - 1, p["hi"])
+                    core = part[low + block - 1 - begin : low + length - begin] if block > 1 else b""
+                    out.append((_signed(xxh3_64_intdigest(core, number & 0xFFFF)) if block > 1 else 0, p["doc_id"], p["row"], at, lo, hi, p["n"]))
+                    digests.append(xxh3_128_digest(part[lo - begin : hi + length - begin], (lo - low) << 16 | (hi - low)))
+            if out:
+                ab = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                kinds = ["int64"] * 3 + ["int32"] * 4
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.table([columns[0], ab[:, 0].copy(), ab[:, 1].copy(), *columns[1:]], names=["core", "a", "b", "doc_id", "row", "at", "lo", "hi", "n"])
+
+    return map_arrow(parts, run, "core bigint, a bigint, b bigint, doc_id bigint, row bigint, at int, lo int, hi int, n int")
+
+
+def settle(rows: DataFrame, key: list[str], span: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """(repeated runs, what is open) of rows (key, span, doc_id, row, at, lo, hi, n).
+
+    A span that counts more than once is repeated. Open are the keys that have a single span among several spans: one row for
+    each of their spans, with its count.
+    """
+    spans = rows.groupBy(*key, *span).agg(F.sum("n").cast("int").alias("n"), F.min(F.struct("doc_id", "row", "at", "lo", "hi")).alias("one"))
+    spans = materialize(spans, f"repeats-{name}")
+    runs = rows.filter("n = 1").join(spans.filter("n > 1").select(*key, *span), [*key, *span], "left_semi").select(*RUN)
+    several = spans.groupBy(*key).agg(F.count(F.lit(1)).alias("spans"), F.min("n").alias("least")).filter("spans > 1 and least = 1").select(*key)
+    return runs, spans.join(several, key, "left_semi").select("one.*", "n")
+
+
+def bytes_of(runs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
+    """``contexts`` of runs that lie within those of ``parts``."""
+    whole = parts.select("doc_id", "row", "at", F.col("lo").alias("from"), "part")
+    inner = runs.withColumnsRenamed({"doc_id": "_id", "row": "_row", "at": "_at"})
+    same = (F.col("row") == F.col("_row")) & (F.col("at") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    piece = F.expr(f"substring(part, lo - `from` + 1, hi - lo + {length})")
+    return inner.join(whole, same).select("doc_id", "row", "at", "lo", "hi", "n", piece.alias("part"))
 
 
 def repeated_runs(docs: DataFrame, length: int, window: int, batches: int) -> DataFrame:
@@ -197,15 +240,14 @@ def repeated_runs(docs: DataFrame, length: int, window: int, batches: int) -> Da
         family.add(suffix_entries(docs.filter(F.pmod("row", F.lit(batches)) == i), length, window))
     entries = materialize(family.repeated(), "repeats-entries")
     family.drop()
-    spans = entries.groupBy(*KEY, "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "lo", "hi")).alias("one"))
-    spans = materialize(spans, "repeats-spans")
-    whole = entries.join(spans.filter("n > 1").select(*KEY, "span"), [*KEY, "span"], "left_semi").select("doc_id", "row", "lo", "hi")
-    single = spans.groupBy(*KEY).agg(F.count(F.lit(1)).alias("spans"), F.min("n").alias("least")).filter("spans > 1 and least = 1").select(*KEY)
-    open_entries = spans.join(single, KEY, "left_semi").select("one.*", "n")
-    strings = materialize(string_digests(docs, open_entries, length), "repeats-strings")
-    twice = strings.groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 1").select("a", "b")
-    parts = strings.filter("n = 1").join(twice, ["a", "b"], "left_semi").select("doc_id", "row", "lo", F.col("lo").alias("hi"))
-    return whole.unionByName(parts)
+    runs, still = settle(entries.withColumn("n", F.lit(1)), KEY, ["span"], "spans")
+    parts = materialize(contexts(docs, still, length), "repeats-contexts")
+    blocks = materialize(cut_into_blocks(parts, length, BLOCK), "repeats-blocks")
+    more, still = settle(blocks, ["core"], ["a", "b"], "block-spans")
+    starts = materialize(cut_into_blocks(bytes_of(still, parts, length), length, 1), "repeats-starts")
+    twice = starts.groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 1").select("a", "b")
+    last = starts.filter("n = 1").join(twice, ["a", "b"], "left_semi").select(*RUN)
+    return runs.unionByName(more).unionByName(last)
 
 
 def covered(places: list[dict] | None, length: int) -> list[tuple[int, int]]:

@@ -56,7 +56,7 @@ def test_production_lengths(spark):
     passage, exact = words(90), words(300)
     texts = [words(100) + passage + words(50) for _ in range(12)] + [exact, exact, words(200), None, "The " * 200]
     texts += [exact[:700] + "#" + exact[701:], exact[:399], passage[:400], passage[1:400]]
-    want = compare(spark, texts, 400, 161, 4)
+    want = compare(spark, texts, 400, repeats.WINDOW, 4)
     assert want[14][1] == 0 and want[12][1] == len(exact)
 
 
