@@ -19,6 +19,7 @@ from shoebox.session import materialize
 
 # Suffixes that mark another version of one capture.
 COPY_SUFFIXES = ("_copy", "_recompressed", "_resized", "_burst")
+# The thresholds that the calibration reports try.
 SWEEP = (2, 3, 4, 6, 8, 10, 12)
 MERGE_SWEEP = (0.80, 0.85, 0.90, 0.93, 0.95)
 

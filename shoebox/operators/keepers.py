@@ -24,6 +24,11 @@ def member_rows(members: DataFrame, assets: DataFrame, fingerprints: DataFrame)
     return members.join(facts, "asset_id").join(prints, "asset_id", "left")
 
 
+# Points of a member's score; shares of the group's best are scaled by theirs.
+FLAG_POINTS = {"is_favorite": 1000.0, "is_live": 60.0, "is_portrait": 50.0, "has_location": 25.0, "is_protected": 5000.0}
+CAMERA_POINTS, RESOLUTION_POINTS, SIZE_POINTS, SHARPNESS_POINTS, RECENCY_POINTS = 15.0, 120, 60, 70, 40
+
+
 def with_scores(rows: DataFrame, protected: DataFrame | None = None, bound: int = 1_000_000) -> DataFrame:
     """Adds ``score`` and ``reason`` to every member."""
     if protected is None:
@@ -43,13 +48,14 @@ def with_scores(rows: DataFrame, protected: DataFrame | None = None, bound: int
     recent = F.when(
         (F.col("tier") == TIERS["moment"]) & (span > 0), (F.unix_micros("creation_ts") - F.unix_micros("oldest")) / span
     )
-    flag = lambda name, points: F.when(F.col(name), float(points)).otherwise(0.0)
+    flag = lambda name: F.when(F.col(name), FLAG_POINTS[name]).otherwise(0.0)
+    share = lambda value, points: F.coalesce(value * points, F.lit(0.0))
     score = (
-        flag("is_favorite", 1000) + flag("is_live", 60) + flag("is_portrait", 50) + flag("has_location", 25)
-        + F.when(F.col("is_screenshot"), 0.0).otherwise(15.0)
-        + F.coalesce(px * 120, F.lit(0.0)) + F.coalesce(size * 60, F.lit(0.0))
-        + F.coalesce(F.col("sharpness") * 70, F.lit(0.0)) + F.coalesce(recent * 40, F.lit(0.0))
-        + flag("is_protected", 5000)
+        flag("is_favorite") + flag("is_live") + flag("is_portrait") + flag("has_location")
+        + F.when(F.col("is_screenshot"), 0.0).otherwise(CAMERA_POINTS)
+        + share(px, RESOLUTION_POINTS) + share(size, SIZE_POINTS)
+        + share(F.col("sharpness"), SHARPNESS_POINTS) + share(recent, RECENCY_POINTS)
+        + flag("is_protected")
     )
     notes = F.array_compact(F.array(
         F.when(F.col("is_favorite"), "favorite"),

@@ -57,6 +57,9 @@ def looks_like_screen() -> Column:
     return C("is_screenshot") | (C("device_match") == "phone") | _gate_ambiguous() | _gate_cropped()
 
 
+# Every weight and threshold of the scores below; results depend on them.
+
+
 def chat_score() -> Column:
     flush = F.least(F.lit(1.0), C("right_hugging") * 2.5)
     bubbles = C("bimodality") * flush * 1.9 * not_tabular() + C("bimodality") * 0.25 * not_tabular()
