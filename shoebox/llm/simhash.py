@@ -16,6 +16,7 @@ tried against all nodes of the cell. Nothing is left out: two nodes of one group
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from shoebox.llm.common import map_arrow, materialize
 from shoebox.operators.components import connected_components
 
-DISTANCE, BLOCKS, SHINGLE, SEED = 4, 7, 4, 42
+DISTANCE, SHINGLE, SEED = 4, 4, 42
+LEAST_BLOCKS, MOST_BLOCKS, CHANCE_PARTNERS = 8, 14, 100
 EVEN = 0x5555555555555555
 SHINGLES_AT_ONCE = 1 << 17
 
@@ -69,13 +71,25 @@ def embedded(bits: str) -> Column:
     return F.expr(f"(({bits} | shiftrightunsigned({bits}, 1)) & {EVEN}L) | shiftleft({bits} & shiftrightunsigned({bits}, 1) & {EVEN}L, 1)")
 
 
-def cell_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
+def blocks_for(nodes: int, distance: int = DISTANCE) -> int:
+    """The least number of blocks at which a fingerprint meets at most ``CHANCE_PARTNERS`` others by chance. Any number finds the
+    same pairs; more blocks mean more cells per fingerprint, with fewer fingerprints in each.
+    """
+    least = max(LEAST_BLOCKS, distance + 1)
+    for blocks in range(least, MOST_BLOCKS):
+        agree = 32 * (blocks - distance) / blocks  # coordinates of a cell; two random ones agree with chance 3/8
+        if nodes * math.comb(blocks, distance) * (3 / 8) ** agree <= CHANCE_PARTNERS:
+            return blocks
+    return max(least, MOST_BLOCKS)
+
+
+def cell_masks(blocks: int, distance: int = DISTANCE) -> list[int]:
     """For each choice of blocks - distance blocks, the bits of their coordinates, as signed 64-bit integers."""
     own = [sum(3 << 2 * int(s) for s in part) for part in np.array_split(np.arange(32), blocks)]
     return [x - (1 << 64) if x >> 63 else x for x in (sum(c) for c in combinations(own, blocks - distance))]
 
 
-def within_grid(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def within_grid(nodes: DataFrame, distance: int, blocks: int) -> DataFrame:
     """(cell, place, bits, center): every node in each of its grid cells that hold more than one, with the cell's least fingerprint."""
     masks = F.array(*[F.lit(m) for m in cell_masks(blocks, distance)])
     placed = nodes.select("bits", embedded("bits").alias("counts")).select("bits", "counts", F.posexplode(masks).alias("cell", "mask"))
@@ -90,9 +104,9 @@ def _near(a: str, b: str, distance: int) -> Column:
     return (F.bit_count(counts(a).bitwiseXOR(counts(b))) <= distance) & (F.bit_count(F.expr(f"{a} ^ {b}")) <= distance)
 
 
-def linked_nodes(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def linked_nodes(nodes: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
     """(bits, label) for each distinct fingerprint that has a link; equal labels within a component."""
-    placed = materialize(within_grid(nodes, distance, blocks), "simhash-cells")
+    placed = materialize(within_grid(nodes, distance, blocks or blocks_for(nodes.count(), distance)), "simhash-cells")
     stars = placed.filter((F.col("bits") != F.col("center")) & _near("bits", "center", distance)).select("bits", "center").distinct()
     first = materialize(connected_components(stars, "bits", "center").select(F.col("node").alias("bits"), "label"), "simhash-first")
     own = placed.join(first, "bits", "left").select("cell", "place", "bits", F.coalesce("label", "bits").alias("label"))
@@ -112,7 +126,7 @@ def pairs_nodes(first: DataFrame, placed: DataFrame) -> DataFrame:
     return placed.select("bits").distinct().join(first, "bits", "left").select("bits", F.coalesce("label", "bits").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, width: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int | None = None, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
     ``component_id`` is the smallest doc_id that links of at most ``distance`` differing bits lead to, its own included.
