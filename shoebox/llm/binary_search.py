@@ -86,7 +86,8 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         first = F.lit(True)
         for i, d in enumerate(apart):  # met before in segment i: at this radius if it comes first, else at a smaller one
             first &= (F.col("i_segment") == i) | F.when(F.col("i_segment") > i, d > radius).otherwise(d >= radius)
-        entries = index.select(F.col("segment").alias("i_segment"), F.col("value").alias("i_value"), "code")
+        # always a merge join: probes are many more rows than the plan's estimate of the unfolded arrays says
+        entries = index.select(F.col("segment").alias("i_segment"), F.col("value").alias("i_value"), "code").hint("merge")
         distance = F.bit_count(F.expr("asked ^ code"))
         met = probes.join(entries, (F.col("segment") == F.col("i_segment")) & (F.col("value") == F.col("i_value")) & (distance <= F.col("kth")) & first)
         rows = met.select("asked", "code", distance.alias("distance")).join(members, "code").select("asked", "vec_id", "distance")
