@@ -8,8 +8,9 @@ deviations). Whoever survives all blocks is measured on the original vectors in
 
 Centroids are fitted on a bounded sample (``SAMPLE`` vectors), every vector is indexed. How many lists to probe is measured: for
 ``CALIBRATION`` sampled queries the exact neighbours among all vectors are found, and the least number of lists is taken that holds
-``TARGET`` of them. Equal vectors are one entry with the k + 1 smallest ids. Lists above ``CHUNK`` vectors are searched in chunks, and so
-are their queries, so no task holds more than one chunk of either.
+``TARGET`` of them. Equal vectors are one entry with the k + 1 smallest ids. Lists stand on shelves of about ``SHELF`` vectors, a larger list on
+several; a query visits a shelf once for all its lists there, nearest first. The queries of a shelf come in teams of about ``TEAM``, so
+no task holds more than a shelf and a team.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from shoebox.llm.common import materialize
 from shoebox.operators.distributed import top_k
 
 SAMPLE, CALIBRATION, TARGET = 16_384, 128, 0.97
-LIST_SIZE, MAX_LISTS, CHUNK = 512, 4096, 4096
+LIST_SIZE, MAX_LISTS, SHELF, TEAM, SEEDS = 512, 4096, 16_384, 1024, 256
 BLOCK, EPSILON = 16, 2.1
 ROUNDS = 8
 
@@ -77,23 +78,26 @@ def rotation(n: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(23).normal(size=(n, n)))[0]
 
 
-def adaptive_scan(x: np.ndarray, q: np.ndarray, k: int, epsilon: float = EPSILON) -> np.ndarray:
-    """Rows of ``x`` that may be among the k nearest of ``q``; both rotated. Seeded with the first rows, then block by block."""
-    n, dims = x.shape
-    if n <= 2 * k:
-        return np.arange(n)
-    seed = ((x[: 2 * k] - q) ** 2).sum(axis=1)
-    bound = np.partition(seed, k - 1)[k - 1]
-    alive, partial = np.arange(n), np.zeros(n)
-    for at in range(0, dims, BLOCK):
-        block = x[alive, at : at + BLOCK] - q[at : at + BLOCK]
-        partial = partial + np.einsum("ij,ij->i", block, block)
-        read = min(at + BLOCK, dims)
-        if read == dims:
-            slack = 1 + 1e-9
-        else:
-            slack = (1 + epsilon / np.sqrt(read)) ** 2 * read / dims
-        keep = partial <= bound * slack
+def column_blocks(x: np.ndarray) -> list[np.ndarray]:
+    return [np.ascontiguousarray(x[:, at : at + BLOCK]) for at in range(0, x.shape[1], BLOCK)]
+
+
+def adaptive_scan(blocks: list[np.ndarray], rows: np.ndarray, q: np.ndarray, k: int, epsilon: float = EPSILON) -> np.ndarray:
+    """Of ``rows`` of the rotated vectors, nearest list first, those that may be among the k nearest of ``q``. The first rows are read
+    whole and give the first bound.
+    """
+    if len(rows) <= 2 * k:
+        return rows
+    parts = [q[at : at + BLOCK] for at in range(0, len(q), BLOCK)]
+    seeds = sum(((x[rows[:SEEDS]] - p) ** 2).sum(axis=1) for x, p in zip(blocks, parts, strict=True))
+    bound = np.partition(seeds, k - 1)[k - 1]
+    alive, partial, read = rows, np.zeros(len(rows)), 0
+    for x, p in zip(blocks, parts, strict=True):
+        near = x[alive] - p
+        partial = partial + np.einsum("ij,ij->i", near, near)
+        read += len(p)
+        chance = (1 + epsilon / np.sqrt(read)) ** 2 * read / len(q) if read < len(q) else 1 + 1e-9
+        keep = partial <= bound * chance
         alive, partial = alive[keep], partial[keep]
     if len(alive) > k:
         bound = np.partition(partial, k - 1)[k - 1]
@@ -158,7 +162,20 @@ def nearest_vectors(vectors: DataFrame, k: int, every: int) -> DataFrame:
     return out
 
 
+def shelves(sizes: dict[int, int], lists: int) -> tuple[list[int], list[int]]:
+    """For each list its first shelf and how many it takes; small lists share a shelf, in order."""
+    first, pieces, shelf, held = [0] * lists, [0] * lists, 0, 0
+    for i in range(lists):
+        n = sizes.get(i, 0)
+        if held and held + n > SHELF:
+            shelf, held = shelf + 1, 0
+        first[i], pieces[i] = shelf, max(1, -(-n // SHELF))
+        shelf, held = shelf + pieces[i] - 1, held + n if pieces[i] == 1 else SHELF
+    return first, pieces
+
+
 def _of_length(rows: DataFrame, dims: int, k: int, every: int) -> DataFrame:
+    spark = rows.sparkSession
     first = top_k(rows, ["embedding"], [F.col("vec_id")], k + 1)
     entries = first.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("vec_id", F.col("ids")[0])
     entries = materialize(entries, "ann-entries")
@@ -172,43 +189,55 @@ def _of_length(rows: DataFrame, dims: int, k: int, every: int) -> DataFrame:
             x = lifted(np.stack(frame["embedding"].to_numpy()).astype(np.float64), index.norm)
             yield frame.assign(list=_distances(x, index.centroids).argmin(axis=1).astype("int32"))
 
+    filed = materialize(entries.mapInPandas(assign, "embedding array<float>, ids array<bigint>, vec_id bigint, list int"), "ann-lists")
+    sizes = {r["list"]: r["count"] for r in filed.groupBy("list").count().collect()}  # at most MAX_LISTS rows
+    first, pieces = shelves(sizes, len(index.centroids))
+    places = F.broadcast(spark.createDataFrame([(i, first[i], pieces[i]) for i in sizes], "list int, first int, pieces int"))
+    shelved = filed.join(places, "list").withColumn("shelf", F.expr("first + cast(pmod(xxhash64(vec_id), pieces) as int)"))
+
     def probe(frames):
         for frame in frames:
             q = lifted_queries(np.stack(frame["embedding"].to_numpy()).astype(np.float64), index.norm)
-            d = _distances(q, index.centroids)
-            near = np.argpartition(d, index.probes - 1, axis=1)[:, : index.probes]
-            yield frame.assign(list=list(near.astype("int32"))).explode("list").astype({"list": "int32"})
-
-    filed = materialize(entries.mapInPandas(assign, "embedding array<float>, ids array<bigint>, vec_id bigint, list int"), "ann-lists")
-    asking = materialize(queries.mapInPandas(probe, "embedding array<float>, qid bigint, list int"), "ann-probes")
-    # at most MAX_LISTS rows each: into how many chunks a list and its queries are cut
-    cut = filed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    asks = asking.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("teams"))
-    cuts = F.broadcast(cut.join(asks, "list"))
-    left = filed.join(cuts, "list").select(
-        "list", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"), F.explode(F.expr("sequence(0, teams - 1)")).alias("team"), "vec_id", "ids", "embedding"
-    )
-    right = asking.join(cuts, "list").select(
-        "list", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.pmod(F.xxhash64("qid"), "teams").cast("int").alias("team"), "qid", "embedding"
-    )
+            near = _distances(q, index.centroids).argsort(axis=1)[:, : index.probes]
+            visits = []
+            for n, lists in enumerate(near.tolist()):
+                by_shelf: dict[int, list[int]] = {}
+                for own in lists:
+                    for shelf in range(first[own], first[own] + pieces[own]):
+                        by_shelf.setdefault(shelf, []).append(own)
+                visits += [(n, shelf, own) for shelf, own in by_shelf.items()]
+            rows, shelf, lists = zip(*visits, strict=True)
+            yield frame.iloc[list(rows)].assign(shelf=np.array(shelf, dtype="int32"), lists=list(lists))
+
+    asking = materialize(queries.mapInPandas(probe, "embedding array<float>, qid bigint, shelf int, lists array<int>"), "ann-probes")
+    teams = asking.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / TEAM).cast("int").alias("teams"))
+    teams = F.broadcast(spark.createDataFrame(teams.collect(), "shelf int, teams int"))  # one row per shelf
+    left = shelved.join(teams, "shelf").select("shelf", F.explode(F.expr("sequence(0, teams - 1)")).alias("team"), "list", "vec_id", "ids", "embedding")
+    right = asking.join(teams, "shelf").select("shelf", F.expr("cast(pmod(xxhash64(qid), teams) as int)").alias("team"), "qid", "lists", "embedding")
 
     def search(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(own) and len(asked):
+            own = own.sort_values("list", kind="stable")
+            vec_ids, lists = own["vec_id"].to_numpy(), own["list"].to_numpy()
+            starts = {k: np.arange(*np.searchsorted(lists, [k, k + 1])) for k in np.unique(lists).tolist()}
             original = np.stack(own["embedding"].to_numpy()).astype(np.float64)
             questions = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
-            x, q = lifted(original, index.norm) @ turn, lifted_queries(questions, index.norm) @ turn
+            blocks, q = column_blocks(lifted(original, index.norm) @ turn), lifted_queries(questions, index.norm) @ turn
             ids = own["ids"].to_list()
-            for i, qid in enumerate(asked["qid"]):
-                alive = adaptive_scan(x, q[i], k + 1)
+            for i, (qid, visited) in enumerate(zip(asked["qid"], asked["lists"], strict=True)):
+                rows = [starts[k] for k in visited if k in starts]
+                if not rows:
+                    continue
+                alive = adaptive_scan(blocks, np.concatenate(rows), q[i], k + 1)
                 scores = np.array([np.dot(questions[i], original[j]) for j in alive])
-                top = _best(own["vec_id"].to_numpy()[alive], scores, k + 1)
+                top = _best(vec_ids[alive], scores, k + 1)
                 several = [(qid, int(v), scores[t]) for t in top for v in ids[alive[t]]]
                 several.sort(key=lambda r: (-r[2], r[1]))
                 found += several[: k + 1]
         return pd.DataFrame(found, columns=["qid", "vec_id", "score"])
 
-    keys = ["list", "chunk", "team"]
+    keys = ["shelf", "team"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "qid bigint, vec_id bigint, score double")
     best = materialize(top_k(near, ["qid"], [F.col("score").desc(), F.col("vec_id")], k + 1).drop("rank"), "ann-best")
     whose = asked.join(queries, "embedding").select(F.col("vec_id").alias("query_id"), "qid")

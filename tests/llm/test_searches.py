@@ -79,6 +79,21 @@ def test_vectors_recall_on_the_table(spark):
     assert recall(rows, vector_search.nearest_vectors(table(spark, "/root/testdata/sf0.01", "embeddings"), 20, 20).collect(), 20, 20) >= 0.9
 
 
+def test_shelves_hold_their_bound():
+    sizes = {0: 10, 1: vector_search.SHELF - 5, 2: 3 * vector_search.SHELF + 1, 3: 7, 5: vector_search.SHELF}
+    first, pieces = vector_search.shelves(sizes, 6)
+    assert first == [0, 1, 2, 6, 6, 7] and pieces == [1, 1, 4, 1, 1, 1]
+
+
+def test_small_shelves_and_teams(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "SHELF", 60)
+    monkeypatch.setattr(vector_search, "TEAM", 7)
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(600, 8)), rng.normal(size=8) + 0.01 * rng.normal(size=(300, 8))])
+    rows = [(i, [float(np.float32(a)) for a in v]) for i, v in enumerate(x)]
+    assert recall(rows, vector_search.nearest_vectors(spark.createDataFrame(rows, SCHEMA), 20, 5).collect(), 20, 5) >= 0.9
+
+
 def test_few_odd_and_no_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (3, [None, 2.0]), (100, [1.0, 2.0, 3.0]), (5, [])]
