@@ -113,11 +113,13 @@ class SuffixFamily:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
             self.levels.append((2 * size, self._sorted(a.unionByName(b), "level")))
             drop_written(a, b)
-        batch = self._sorted(entries, "batch")
+        found = materialize(entries, "repeats-found")  # else the sort's sampling would search the texts twice
+        batch = self._sorted(found, "batch")
+        drop_written(found)
         keys = batch.groupBy(*KEY).agg((F.count(F.lit(1)) > 1).alias("twice"))
         scans = [keys.filter("twice").select(*KEY)]
         for _, level in self.levels:
-            scans.append(keys.filter("not twice").select(*KEY).join(level.select(*KEY), KEY, "left_semi"))
+            scans.append(keys.filter("not twice").select(*KEY).join(level.select(*KEY).distinct(), KEY, "left_semi"))
         found = scans[0]
         for scan in scans[1:]:
             found = found.unionByName(scan)
@@ -134,7 +136,8 @@ class SuffixFamily:
             rows = rows.unionByName(level)
         for found in self.found[1:]:
             keys = keys.unionByName(found)
-        return rows.join(keys.distinct(), KEY, "left_semi")
+        self.found.append(materialize(keys.distinct(), "repeats-all-keys"))  # a plain table, so that Spark can split a hot key's rows
+        return rows.join(self.found[-1], KEY, "left_semi")
 
     def drop(self) -> None:
         drop_written(*[t for _, t in self.levels], *self.found)
