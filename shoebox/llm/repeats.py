@@ -14,11 +14,15 @@ the run is repeated. The rest (the entries at the ends of a repeated passage) is
 the anchor, and treated alike: all strings that start in a block hold its core, so only blocks with a repeated core go on, and those with
 the same span are settled. What is still open is compared start by start, by 128-bit digests of the ``length`` bytes. Of a span
 that many share, one stands for all. Everything is counted by aggregation, no pairs are made.
+
+Words. With ``unit`` WORD a text is the string of its words' 64-bit hashes, and lengths and places count words. A passage is then told by its
+words alone, however few bytes they take and whatever white space is between them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +33,23 @@ from pyspark.sql import functions as F
 from shoebox.llm.common import drop_written, map_arrow, materialize
 
 LENGTH, WINDOW, BATCHES, BLOCK = 400, 257, 4, 16
+WORDS, WORD_WINDOW = 51, 40
+BYTE, WORD = 1, 8  # bytes of a unit
+_RUN = re.compile(rb"\S+")
 ENTRY = "prefix bigint, gram bigint, span bigint, doc_id bigint, row bigint, at int, lo int, hi int"
 KEY = ["prefix", "gram"]
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+def encoded(text: str | None, unit: int = BYTE) -> bytes:
+    """The units of a text: its bytes, or the hashes of its words."""
+    from xxhash import xxh64_intdigest
+
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return raw if unit == BYTE else np.array([xxh64_intdigest(w) for w in raw.split()], dtype="<u8").tobytes()
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
@@ -44,8 +59,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Anchors:
     """Finds the entries of a text. Grams are hashed by a polynomial modulo 2 ** 64, all at once from its prefix sums."""
 
-    def __init__(self, length: int, window: int):
-        self.length, self.window, self.gram = length, window, length - window + 1
+    def __init__(self, length: int, window: int, unit: int = BYTE):
+        self.length, self.window, self.gram, self.unit = length, window, length - window + 1, unit
         self._grow(1 << 14)
 
     def _grow(self, n: int) -> None:
@@ -79,12 +94,14 @@ class Anchors:
         """(prefix, gram digest, span digest, anchor, first start, last start)"""
         from xxhash import xxh3_64_intdigest
 
-        if len(raw) < self.length:
+        u = self.unit
+        if len(raw) < self.length * u:
             return
         view = memoryview(raw)
-        for at, lo, hi in zip(*(x.tolist() for x in self.runs(np.frombuffer(raw, dtype=np.uint8))), strict=True):
-            prefix = int.from_bytes(bytes(view[at : at + min(8, self.gram)]).ljust(8, b"\0"), "big") - (1 << 63)
-            yield prefix, _signed(xxh3_64_intdigest(view[at : at + self.gram])), _signed(xxh3_64_intdigest(view[lo : hi + self.length])), at, lo, hi
+        for at, lo, hi in zip(*(x.tolist() for x in self.runs(np.frombuffer(raw, dtype=f"<u{u}"))), strict=True):
+            prefix = int.from_bytes(bytes(view[at * u : at * u + min(8, self.gram * u)]).ljust(8, b"\0"), "big") - (1 << 63)
+            gram, span = view[at * u : (at + self.gram) * u], view[lo * u : (hi + self.length) * u]
+            yield prefix, _signed(xxh3_64_intdigest(gram)), _signed(xxh3_64_intdigest(span)), at, lo, hi
 
 
 def _signed(x: int) -> int:
@@ -143,13 +160,13 @@ class SuffixFamily:
         drop_written(*[t for _, t in self.levels], *self.found)
 
 
-def suffix_entries(docs: DataFrame, length: int, window: int) -> DataFrame:
+def suffix_entries(docs: DataFrame, length: int, window: int, unit: int = BYTE) -> DataFrame:
     def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
-        finder = Anchors(length, window)
+        finder = Anchors(length, window, unit)
         for rows in slices:
             columns: list[list] = [[] for _ in range(8)]
             for doc_id, row, text in zip(*(rows[c].to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                for prefix, gram, span, at, lo, hi in finder.entries((text or "").encode("utf-8", "surrogatepass")):
+                for prefix, gram, span, at, lo, hi in finder.entries(encoded(text, unit)):
                     for column, value in zip(columns, (prefix, gram, span, doc_id, row, at, lo, hi), strict=True):
                         column.append(value)
             kinds = ["int64"] * 5 + ["int32"] * 3
@@ -172,22 +189,22 @@ CONTEXT = "doc_id bigint, row bigint, at int, lo int, hi int, n int, part binary
 RUN = ["doc_id", "row", "lo", "hi"]
 
 
-def contexts(docs: DataFrame, entries: DataFrame, length: int) -> DataFrame:
+def contexts(docs: DataFrame, entries: DataFrame, length: int, unit: int = BYTE) -> DataFrame:
     """Entries (doc_id, row, at, lo, hi, n) with the bytes under their runs."""
 
     def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
         for rows in slices:
             out = []
             for doc_id, row, text, places in zip(*(rows[c].to_pylist() for c in ("doc_id", "row", "text", "places")), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                out += [(doc_id, row, p["at"], p["lo"], p["hi"], min(p["n"], 2), raw[p["lo"] : p["hi"] + length]) for p in places]
+                raw = encoded(text, unit)
+                out += [(doc_id, row, p["at"], p["lo"], p["hi"], min(p["n"], 2), raw[p["lo"] * unit : (p["hi"] + length) * unit]) for p in places]
             kinds = ["int64"] * 2 + ["int32"] * 4 + ["binary"]
             yield pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in CONTEXT.split(", ")])
 
     return map_arrow(_joined(docs, _per_row(entries, "at", "lo", "hi", "n"), "inner"), run, CONTEXT)
 
 
-def cut_into_blocks(parts: DataFrame, length: int, block: int) -> DataFrame:
+def cut_into_blocks(parts: DataFrame, length: int, block: int, unit: int = BYTE) -> DataFrame:
     """(core, a, b, doc_id, row, at, lo, hi, n): the runs of ``parts`` cut at multiples of ``block`` starts from the anchor. ``core`` is the
     digest of what all strings that may start in the block hold, a and b are that of the span of those that do.
     """
@@ -202,9 +219,9 @@ def cut_into_blocks(parts: DataFrame, length: int, block: int) -> DataFrame:
                 for number in range((begin - at) // block, (p["hi"] - at) // block + 1):
                     low = at + number * block
                     lo, hi = max(low, begin), min(low + block - 1, p["hi"])
-                    core = part[low + block - 1 - begin : low + length - begin] if block > 1 else b""
+                    core = part[(low + block - 1 - begin) * unit : (low + length - begin) * unit] if block > 1 else b""
                     out.append((_signed(xxh3_64_intdigest(core, number & 0xFFFF)) if block > 1 else 0, p["doc_id"], p["row"], at, lo, hi, p["n"]))
-                    digests.append(xxh3_128_digest(part[lo - begin : hi + length - begin], (lo - low) << 16 | (hi - low)))
+                    digests.append(xxh3_128_digest(part[(lo - begin) * unit : (hi + length - begin) * unit], (lo - low) << 16 | (hi - low)))
             if out:
                 ab = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
                 kinds = ["int64"] * 3 + ["int32"] * 4
@@ -227,27 +244,27 @@ def settle(rows: DataFrame, key: list[str], span: list[str], name: str) -> tuple
     return runs, spans.join(several, key, "left_semi").select("one.*", "n")
 
 
-def bytes_of(runs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
+def bytes_of(runs: DataFrame, parts: DataFrame, length: int, unit: int = BYTE) -> DataFrame:
     """``contexts`` of runs that lie within those of ``parts``."""
     whole = parts.select("doc_id", "row", "at", F.col("lo").alias("from"), "part")
     inner = runs.withColumnsRenamed({"doc_id": "_id", "row": "_row", "at": "_at"})
     same = (F.col("row") == F.col("_row")) & (F.col("at") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    piece = F.expr(f"substring(part, lo - `from` + 1, hi - lo + {length})")
+    piece = F.expr(f"substring(part, (lo - `from`) * {unit} + 1, (hi - lo + {length}) * {unit})")
     return inner.join(whole, same).select("doc_id", "row", "at", "lo", "hi", "n", piece.alias("part"))
 
 
-def repeated_runs(docs: DataFrame, length: int, window: int, batches: int) -> DataFrame:
-    """(doc_id, row, lo, hi): runs of starts at which a string of ``length`` bytes begins that also begins elsewhere."""
+def repeated_runs(docs: DataFrame, length: int, window: int, batches: int, unit: int = BYTE) -> DataFrame:
+    """(doc_id, row, lo, hi): runs of starts at which a string of ``length`` units begins that also begins elsewhere."""
     family = SuffixFamily(docs.sparkSession)
     for i in range(batches):
-        family.add(suffix_entries(docs.filter(F.pmod("row", F.lit(batches)) == i), length, window))
+        family.add(suffix_entries(docs.filter(F.pmod("row", F.lit(batches)) == i), length, window, unit))
     entries = materialize(family.repeated(), "repeats-entries")
     family.drop()
     runs, still = settle(entries.withColumn("n", F.lit(1)), KEY, ["span"], "spans")
-    parts = materialize(contexts(docs, still, length), "repeats-contexts")
-    blocks = materialize(cut_into_blocks(parts, length, BLOCK), "repeats-blocks")
+    parts = materialize(contexts(docs, still, length, unit), "repeats-contexts")
+    blocks = materialize(cut_into_blocks(parts, length, BLOCK, unit), "repeats-blocks")
     more, still = settle(blocks, ["core"], ["a", "b"], "block-spans")
-    starts = materialize(cut_into_blocks(bytes_of(still, parts, length), length, 1), "repeats-starts")
+    starts = materialize(cut_into_blocks(bytes_of(still, parts, length, unit), length, 1, unit), "repeats-starts")
     twice = starts.groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 1").select("a", "b")
     last = starts.filter("n = 1").join(twice, ["a", "b"], "left_semi").select(*RUN)
     return runs.unionByName(more).unionByName(last)
@@ -269,33 +286,48 @@ def remaining(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _with_places(docs: DataFrame, length: int, window: int, batches: int) -> DataFrame:
-    """The rows of ``docs`` with ``places``, the runs of starts of their repeated strings; null where there are none."""
+def _with_places(docs: DataFrame, length: int, window: int, batches: int, words: int | None = None) -> DataFrame:
+    """The rows of ``docs`` with ``places``, the runs of starts of their repeated strings; null where there are none. With ``words``
+    also with ``word_places``, those of their repeated passages of so many words."""
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     keys = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "row", "text")
     places = materialize(_per_row(repeated_runs(keys, length, window, batches), "lo", "hi"), "repeats-places")
+    if words:
+        runs = repeated_runs(keys, words, min(WORD_WINDOW, words), batches, WORD)
+        found = materialize(_per_row(runs, "lo", "hi"), "repeats-word-places")
+        docs = _joined(docs, found, "left").withColumnRenamed("places", "word_places")
     return _joined(docs, places, "left").drop("row")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+def word_spans(raw: bytes, places: list[dict], words: int) -> list[dict]:
+    """The covered words as (lo, hi) in bytes, from the first one's start to the last one's end."""
+    at = [m.span() for m in _RUN.finditer(raw)]
+    return [{"lo": at[a][0], "hi": at[b - 1][1]} for a, b in covered(places, words)]
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches: int = BATCHES, words: int | None = None) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, n_chars, ...) with all repeated strings of ``length`` bytes cut out of the text, as in
     ``remove_repeats``. A character of which only a part remains goes too. ``n_chars`` is counted anew where the text changed.
+    With ``words`` every passage of so many words goes as well that also begins at another word, here or in another document,
+    whatever white space is between the words; both kinds are judged on the input.
     """
     names = docs.columns
 
     def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
         for rows in slices:
             texts, counts = rows["text"].to_pylist(), rows["n_chars"].to_pylist()
-            for i, at in enumerate(rows["places"].to_pylist()):
-                if at:
+            by_words = rows["word_places"].to_pylist() if words else [None] * len(texts)
+            for i, (at, passages) in enumerate(zip(rows["places"].to_pylist(), by_words, strict=True)):
+                if at or passages:
                     raw = texts[i].encode("utf-8", "surrogatepass")
-                    texts[i] = remaining(raw, covered(at, length)).decode("utf-8", "ignore")
+                    spans = [{"lo": lo, "hi": hi} for lo, hi in covered(at, length)] + word_spans(raw, passages or [], words)
+                    texts[i] = remaining(raw, covered(spans, 0)).decode("utf-8", "ignore")
                     counts[i] = len(texts[i])
             new = {"text": pa.array(texts, "string"), "n_chars": pa.array(counts, "int64")}
             yield pa.table({c: new.get(c, rows[c]) for c in names})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(_with_places(docs, length, window, batches), run, schema)
+    return map_arrow(_with_places(docs, length, window, batches, words), run, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
