@@ -4,9 +4,9 @@ The patterns (email, ip, card, phone) give the base spans. The tagger is trained
 labelled windows (``PER_KIND`` for each kind, and as many without a span), and copies of these with the span's marks
 respelt (" at " for "@", other separators, no plus), so that it finds what the patterns are too strict for.
 
-A span of any kind holds a digit or an "@", so only the surroundings of those characters are read: windows of ``WIDTH`` characters,
-each overlapping the next by half. Every window is decoded by Viterbi; the spans found in all of a text's windows, scored by
-their CRF posterior, are then reconciled at once: those of the greatest total score that do not overlap. Added spans must be
+A plausible span of any kind holds a digit, an "@" or a spelt-out "at", so only the surroundings of those are read: windows of ``WIDTH``
+characters, each overlapping the next by half. A span that every window cuts is read again in wider windows around it, until one holds it whole.
+Every window is decoded by Viterbi; the spans found in all of a text's windows, scored by their CRF posterior, are then reconciled at once: those of the greatest total score that do not overlap. Added spans must be
 sure (``SURE``), plausible for their kind, and clear of every base span.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile("[^0-9]+")
 _TRIGGER = re.compile("[0-9@]")
+_AT = r"[(\[ ]at[)\] ]"
+_SPELT = re.compile("[0-9@]|" + _AT)
+WIDEST = 1536  # an address has 320 characters at most, under 1,200 with every mark spelt out
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -73,11 +77,11 @@ def base_spans(text: str) -> list[Span]:
 
 
 def windows(text: str, width: int = WIDTH) -> list[int]:
-    """Starts of the windows that cover the surroundings of every digit and "@", overlapping by half."""
+    """Starts of the windows that cover the surroundings of every digit, "@" and spelt-out "at", overlapping by half."""
     half = width // 2
     out: list[int] = []
     begin = end = None
-    for m in _TRIGGER.finditer(text):
+    for m in _SPELT.finditer(text):
         at = m.start()
         if end is None or at - half > end:
             if end is not None:
@@ -306,14 +310,13 @@ class Found:
     score: float
 
 
-def window_spans(tagger: Tagger, texts: list[str]) -> list[list[Found]]:
-    """Decoded spans of each window, scored by the mean posterior of their tags; a span that touches a cut end is left to the
-    neighbouring window.
-    """
+def window_spans(tagger: Tagger, texts: list[str], width: int = WIDTH) -> list[list[Found]]:
+    """Decoded spans of each window, scored by the mean posterior of their tags."""
     out: list[list[Found]] = []
-    for at in range(0, len(texts), 512):
-        part = texts[at : at + 512]
-        e, _ = tagger.emissions(char_ids(part))
+    lot = max(1, 512 * WIDTH // width)
+    for at in range(0, len(texts), lot):
+        part = texts[at : at + lot]
+        e, _ = tagger.emissions(char_ids(part, width))
         tags = tagger.decode(e)
         some = np.flatnonzero(tags.any(axis=1))
         chance = np.zeros_like(e)
@@ -338,7 +341,7 @@ def plausible(kind: int, text: str) -> bool:
     """What no span of the kind lacks, however it is spelt."""
     digits = _DIGITS.sub("", text)
     if kind == 0:
-        return bool(re.search(r"@|[(\[ ]at[)\] ]", text)) and bool(re.search(r"[A-Za-z0-9][^A-Za-z0-9].*[.]|dot", text)) and len(text) >= 6
+        return bool(re.search("@|" + _AT, text)) and bool(re.search(r"[A-Za-z0-9][^A-Za-z0-9].*[.]|dot", text)) and len(text) >= 6
     if kind == 1:
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(map(_byte, parts))
@@ -369,19 +372,42 @@ def reconciled(found: list[Found]) -> list[Found]:
     return out[::-1]
 
 
+def _centred(cut: list[tuple[int, int, int]], found: list[list[Found]], width: int) -> list[tuple[int, int]]:
+    """Windows around the cut spans that no whole span holds, one for pieces that meet."""
+    whole = {n: sorted((f.start, f.end) for f in found[n]) for n, _, _ in cut}
+    reach = {n: np.maximum.accumulate([e for _, e in spans]) if spans else [] for n, spans in whole.items()}
+    joined: list[list[int]] = []
+    for n, start, end in sorted(cut):
+        before = bisect_right(whole[n], (start, 1 << 60))
+        if before and reach[n][before - 1] >= end:
+            continue
+        if joined and joined[-1][0] == n and start <= joined[-1][2] and max(end, joined[-1][2]) - joined[-1][1] < width // 2:
+            joined[-1][2] = max(joined[-1][2], end)
+        else:
+            joined.append([n, start, end])
+    return sorted({(n, max(0, (start + end - width) // 2)) for n, start, end in joined})
+
+
 def added_spans(tagger: Tagger | None, texts: list[str], base: list[list[Span]], sure: float = SURE) -> list[list[Span]]:
     """The tagger's spans of each text that the base does not have."""
     if tagger is None:
         return [[] for _ in texts]
     places = [(n, at) for n, text in enumerate(texts) for at in windows(text)]
     found: list[list[Found]] = [[] for _ in texts]
-    for lot in range(0, len(places), 4096):
-        part = places[lot : lot + 4096]
-        for (n, at), spans in zip(part, window_spans(tagger, [texts[n][at : at + WIDTH] for n, at in part]), strict=True):
-            length = len(texts[n])
-            for f in spans:
-                if (f.start > 0 or at == 0) and (f.end < WIDTH or at + WIDTH >= length):
-                    found[n].append(Found(f.kind, at + f.start, at + f.end, f.score))
+    width = WIDTH
+    while places:
+        cut: list[tuple[int, int, int]] = []
+        for lot in range(0, len(places), 4096):
+            part = places[lot : lot + 4096]
+            for (n, at), spans in zip(part, window_spans(tagger, [texts[n][at : at + width] for n, at in part], width), strict=True):
+                length = len(texts[n])
+                for f in spans:
+                    if (f.start > 0 or at == 0) and (f.end < width or at + width >= length):
+                        found[n].append(Found(f.kind, at + f.start, at + f.end, f.score))
+                    else:
+                        cut.append((n, at + f.start, at + f.end))
+        width *= 2
+        places = _centred(cut, found, width) if width <= WIDEST else []
     out = []
     for text, own, spans in zip(texts, base, found, strict=True):
         taken = sorted((s, e) for _, s, e in own)
@@ -396,7 +422,7 @@ def added_spans(tagger: Tagger | None, texts: list[str], base: list[list[Span]],
 
 
 def labelled_windows(docs: DataFrame) -> DataFrame:
-    """(kind, text, tags) of every window around a digit or "@"; ``kind`` is that of its first span."""
+    """(kind, text, tags) of every window around a digit, "@" or spelt-out "at"; ``kind`` is that of its first span."""
 
     def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
         for rows in slices:
@@ -411,7 +437,7 @@ def labelled_windows(docs: DataFrame) -> DataFrame:
                     tags.append(row)
             yield pa.table({"kind": pa.array(kinds, "int32"), "text": pa.array(parts, "string"), "tags": pa.array(tags, pa.list_(pa.int32()))})
 
-    return map_arrow(docs.select("text").filter(F.col("text").rlike("[0-9@]")), run, "kind int, text string, tags array<int>")
+    return map_arrow(docs.select("text").filter(F.col("text").rlike(_SPELT.pattern)), run, "kind int, text string, tags array<int>")
 
 
 def learn(docs: DataFrame, per_kind: int = PER_KIND, steps: int = STEPS) -> Tagger | None:
