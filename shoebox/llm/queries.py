@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import binary_search, byte_bpe, language_id, packing, pii, quality, repeats, sharding, simhash, spelling, url_filter, vector_search
+from shoebox.llm import binary_search, byte_bpe, language_id, packing, pii, quality, repair, repeats, sharding, simhash, spelling, url_filter, vector_search
 from shoebox.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_spelling", spelling.check_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_repair", repair.check_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
