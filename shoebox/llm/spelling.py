@@ -10,6 +10,7 @@ only go on by its next letter. A state at the end of its word on a node that is
   in their middle: edits are tried only where the trie is deep and a node has few children.
 * Being near is symmetric: a state looks for the longer word, or for the later letter, and the pair is mirrored. An inserted
   letter goes behind a run of its like, and a reversed pair counts only if its edit lies in the first half: no pair is found twice.
+* A child's row tells which letters may follow it, so most dead ends are seen one level ahead.
 * A node that many words pass is joined apart: such nodes are few by definition and are broadcast.
 * Walking is for words of up to ``LONG`` letters, so its levels are bounded. Pairs of longer words are found exactly by their
   texts without one letter (``long_pairs``), whose keys are rolling hashes; every such pair is compared.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.llm.common import map_arrow, materialize
@@ -36,6 +37,7 @@ DROP_EVERY = 97
 TIMES = 2  # a form occurs at least so many times as often
 LONG = 64
 MARK = "-"  # before reversed words; no letter
+END_BIT = 60
 HELD_WORDS = 400_000  # counts a task holds before it passes them on
 HOT, HOT_SHARE = 100_000, 2000  # a node is joined apart above this many texts and above this share of all; so at most HOT_SHARE a level
 _MODULUS, _BASE = (1 << 61) - 1, 1_000_003
@@ -81,15 +83,27 @@ def both_ways(words: DataFrame) -> DataFrame:
     return ahead.unionByName(back).withColumns({c: F.col(c).cast("int") for c in ("low", "high")})
 
 
+def letter_bit(letter) -> Column:
+    """A letter's place in a mask of 64; letters may share one. The empty string stands for the end of a word."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.when(letter == "", END_BIT).otherwise(F.ascii(letter) % 64))
+
+
 def edge_table(texts: DataFrame) -> DataFrame:
-    """(node, children, n, below): the deep half of the trie. ``n`` is null where the node is no word."""
+    """(node, children, n, below): the deep half of the trie. ``n`` is null where the node is no word; a child is a letter with the mask of
+    what may follow it.
+    """
     steps = texts.select("text", "n", F.explode(F.sequence("low", F.length("text"))).alias("at"))
-    steps = steps.select(
-        F.substring("text", F.lit(1), F.col("at")).alias("node"), F.substring("text", F.col("at") + 1, F.lit(1)).alias("letter"), F.when(F.col("at") == F.length("text"), F.col("n")).alias("n")
+    letter = F.substring("text", F.col("at") + 1, F.lit(1))
+    steps = steps.select(F.substring("text", F.lit(1), F.col("at")).alias("node"), letter_bit(letter).alias("bit"), F.when(F.col("at") == F.length("text"), F.col("n")).alias("n"))
+    nodes = steps.groupBy("node").agg(F.bit_or("bit").alias("mask"), F.max("n").alias("n"), F.count(F.lit(1)).alias("below"))
+    child = F.struct(F.right("node", F.lit(1)).alias("letter"), "mask")
+    rows = F.array(
+        F.struct("node", "n", "below", F.lit(None).cast("struct<letter:string,mask:bigint>").alias("child")),
+        F.struct(F.substring("node", F.lit(1), F.length("node") - 1).alias("node"), F.lit(None).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("below"), child.alias("child")),
     )
-    return steps.groupBy("node").agg(
-        F.collect_set(F.when(F.col("letter") != "", F.col("letter"))).alias("children"), F.max("n").alias("n"), F.count(F.lit(1)).alias("below")
-    )  # a node has at most as many children as there are letters
+    rows = nodes.select(F.explode(rows).alias("row")).select("row.*")
+    # a node has at most as many children as there are letters
+    return rows.groupBy("node").agg(F.collect_list("child").alias("children"), F.max("n").alias("n"), F.max("below").alias("below"))
 
 
 class Trie:
@@ -116,22 +130,27 @@ class Trie:
 
 
 def advance(met: DataFrame) -> DataFrame:
-    """The states of the next level; one with two edits is a neighbour found, and ``near_n`` its count."""
-    node, letter, child = F.col("node"), F.col("letter"), F.array_contains("children", F.col("letter"))
+    """The states of the next level; one with two edits is a neighbour found, and ``near_n`` its count. A state with an edit is made only
+    where the child's mask has what must follow.
+    """
+    node, pos, letter = F.col("node"), F.col("pos"), F.col("letter")
+    here, behind = (letter_bit(F.substring("text", pos + i, F.lit(1))) for i in (1, 2))
 
     def state(pos, to, edits, near_n=None):
         near_n = F.lit(None).cast("bigint") if near_n is None else near_n
         return F.struct(pos.cast("int").alias("pos"), to.alias("node"), F.lit(edits).alias("edits"), near_n.alias("near_n"))
 
-    def walk(edits):
-        return F.when(child, F.array(state(F.col("pos") + 1, F.concat(node, letter), edits))).otherwise(none)
+    def leads(c, bit):
+        return c["mask"].bitwiseAND(bit) != 0
 
     none = F.slice(F.array(state(F.lit(0), F.lit(""), 0)), 1, 0)
-    inserted = F.transform(F.filter("children", lambda c: c != letter), lambda c: state(F.col("pos"), F.concat(node, c), 1))
-    replaced = F.transform(F.filter("children", lambda c: c > letter), lambda c: state(F.col("pos") + 1, F.concat(node, c), 1))
-    free = F.when(letter == "", inserted).otherwise(F.concat(walk(0), inserted, replaced))
-    ended = F.when(F.col("found_n").isNotNull(), F.array(state(F.col("pos"), node, 2, F.col("found_n")))).otherwise(none)
-    after = F.when(F.col("edits") == 0, free).when(letter == "", ended).otherwise(walk(1))
+    own = F.array(state(pos + 1, F.concat(node, letter), 0))
+    inserted = F.transform(F.filter("children", lambda c: (c["letter"] != letter) & leads(c, here)), lambda c: state(pos, F.concat(node, c["letter"]), 1))
+    replaced = F.transform(F.filter("children", lambda c: (c["letter"] > letter) & leads(c, behind)), lambda c: state(pos + 1, F.concat(node, c["letter"]), 1))
+    free = F.when(letter == "", inserted).otherwise(F.concat(own, inserted, replaced))
+    ended = F.when(F.col("found_n").isNotNull(), F.array(state(pos, node, 2, F.col("found_n")))).otherwise(none)
+    on = F.when(F.exists("children", lambda c: (c["letter"] == letter) & leads(c, behind)), F.array(state(pos + 1, F.concat(node, letter), 1))).otherwise(none)
+    after = F.when(F.col("edits") == 0, free).when(letter == "", ended).otherwise(on)
     met = met.withColumn("letter", F.substring("text", F.col("pos") + 1, F.lit(1)))
     return met.select("text", "n", F.explode(after).alias("to")).select("text", "n", "to.*")
 
