@@ -42,8 +42,7 @@ HELD_WORDS = 400_000  # counts a task holds before it passes them on
 HOT, HOT_SHARE = 100_000, 2000  # a node is joined apart above this many texts and above this share of all; so at most HOT_SHARE a level
 _MODULUS, _BASE = (1 << 61) - 1, 1_000_003
 
-_RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
+_RUN = re.compile("[a-zÀ-ÿ]+")
 
 
 def count_words(docs: DataFrame, letters: int = LETTERS, fewest: int = FEWEST) -> DataFrame:
@@ -60,7 +59,8 @@ def count_words(docs: DataFrame, letters: int = LETTERS, fewest: int = FEWEST) -
         for rows in slices:
             for doc_id, text in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True):
                 head = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-                for word, n in Counter(_RUN.findall((text or "").translate(_LOWER))).items():
+                lower = (text or "").encode("utf-8", "replace").lower().decode()  # of bytes: A-Z only
+                for word, n in Counter(_RUN.findall(lower)).items():
                     h = zlib.crc32(word.encode(), head)
                     if not h % DROP_EVERY:
                         at = h % len(word)
