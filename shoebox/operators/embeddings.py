@@ -19,7 +19,7 @@ from shoebox.session import materialize
 MERGE_THRESHOLD = 0.93
 LABEL_THRESHOLD = 0.90
 MAX_CLUSTERS = 400
-BROADCAST_BYTES = 64 << 20
+TEAM, CHUNK = 4096, 4096  # items and centroids of one block of the label match
 
 # Shape, generator seed and shifts of the projection matrix.
 PROJECTED, FULL = 64, 768
@@ -70,61 +70,61 @@ def projected(items: DataFrame, column: str = "embedding") -> DataFrame:
 # --- label matching -----------------------------------------------------------------------------
 
 
-def _similarities_in_memory(items: DataFrame, rows: list) -> DataFrame:
-    """Best centroid per item by matrix product; ``rows`` are the (few) centroids."""
-    names = np.array([r["name"] for r in rows], dtype=object)
-    keys = np.array([(r["library_id"], r["revision"], len(r["centroid"])) for r in rows])
-    units = [np.asarray(r["centroid"], dtype=np.float64) for r in rows]
-    units = [u / n if (n := np.linalg.norm(u)) > 0 else u for u in units]
-    # names in rising order: argmax takes the first of equal similarities, the smallest name
-    order = np.argsort(names, kind="stable")
-    names, keys, units = names[order], keys[order], [units[i] for i in order]
+def _repeated(rows: DataFrame, keys: list[str], times: str, out: str) -> DataFrame:
+    """``rows`` once per number below ``times``, in two steps with a shuffle between: no task makes all copies of a row."""
+    side = F.ceil(F.sqrt(F.col(times))).cast("int")
+    high = rows.withColumn("_side", side).withColumn("_high", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / F.col("_side")).cast("int"))))
+    low = F.sequence(F.col("_high") * F.col("_side"), F.least(F.col(times), (F.col("_high") + 1) * F.col("_side")) - 1)
+    return high.repartition(*keys, "_high").withColumn(out, F.explode(low)).drop("_side", "_high")
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            width = pdf["embedding"].map(len)
-            for (lib, rev, dim), part in pdf.groupby([pdf["library_id"], pdf["revision"], width], sort=False):
-                mine = np.flatnonzero((keys == (lib, rev, dim)).all(axis=1))
-                if not mine.size or dim == 0:
-                    continue
-                block = _matrix(part["embedding"])
-                length = np.linalg.norm(block, axis=1)
-                cosine = block @ np.stack([units[i] for i in mine]).T / np.where(length > 0, length, 1)[:, None]
-                best = cosine.argmax(axis=1)
-                yield pd.DataFrame({
-                    "library_id": part["library_id"].to_numpy(), "item_id": part["item_id"].to_numpy(),
-                    "label": names[mine][best], "similarity": cosine[np.arange(len(part)), best],
-                })
-
-    return items.mapInPandas(match, "library_id bigint, item_id bigint, label string, similarity double")
-
-
-def best_labels(items: DataFrame, centroids: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Each item's most similar label of its library: cosine over the label's centroids, same
-    revision and length only. Equal similarities go to the smaller name.
-
-    items: library_id, item_id, embedding, revision. centroids: library_id, name, revision, centroid.
-    The centroids travel to the tasks only after their size was measured; beyond
-    the bound the two tables are joined by library and aggregated instead.
-    """
-    size = centroids.agg(F.coalesce(F.sum((F.size("centroid") * 8 + F.length("name") + 64).cast("bigint")), F.lit(0)).alias("b")).first()["b"]
-    if size <= broadcast_bytes:
-        rows = centroids.select("library_id", "name", "revision", "centroid").collect()
-        return _similarities_in_memory(items.select("library_id", "item_id", "embedding", "revision"), rows)
-    sized = lambda df, c: df.withColumn("dim", F.size(c))
-    pairs = sized(items.select("library_id", "item_id", "embedding", "revision"), "embedding").join(
-        sized(centroids.select("library_id", F.col("name").alias("label"), "revision", "centroid"), "centroid"),
-        ["library_id", "revision", "dim"],
-    )
-    scored = pairs.select("library_id", "item_id", "label", vectors.cosine("embedding", "centroid").alias("similarity"))
-    best = scored.groupBy("library_id", "item_id").agg(F.min_by(F.struct("label", "similarity"), F.struct((-F.col("similarity")).alias("s"), F.col("label"))).alias("best"))
-    return best.select("library_id", "item_id", "best.label", "best.similarity")
 
+def best_labels(items: DataFrame, centroids: DataFrame, keep: tuple[str, ...] = (), team: int = TEAM, chunk: int = CHUNK) -> DataFrame:
+    """Each item's most similar label of its library: (library_id, item_id, *keep, label, similarity), by cosine over the label's centroids of the
+    same revision and length. Equal similarities (to twelve places) go to the smaller name; an item without anything to compare with has nulls.
 
-def match_labels(items: DataFrame, centroids: DataFrame, threshold: float = LABEL_THRESHOLD) -> DataFrame:
-    """Items with ``label`` and ``similarity``, null where nothing reaches the threshold."""
-    best = best_labels(items, centroids).filter(F.col("similarity") >= threshold)
-    return items.join(best, ["library_id", "item_id"], "left")
+    items: library_id, item_id, embedding, revision, and the scalar columns in ``keep``. centroids: library_id, name, revision, centroid.
+    A matrix product in blocks: a library's items are dealt into teams of about ``team``, its centroids into chunks of about ``chunk``, and
+    each task multiplies one by the other. Only the best of a chunk leaves a task, so no pair is ever a row and no vector is
+    joined back; what a task holds does not depend on the sizes of the tables.
+    """
+    key = ["library_id", "revision", "dim"]
+    mine = items.select("library_id", "item_id", *keep, "revision", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dim"), "embedding")
+    theirs = centroids.select("library_id", "revision", F.coalesce(F.size("centroid"), F.lit(-1)).alias("dim"), "name", "centroid").filter("dim > 0")
+    sizes = mine.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(theirs.groupBy(*key).agg(F.count(F.lit(1)).alias("c")), key, "left")
+    plan = materialize(sizes.select(
+        *key, "n", F.ceil(F.col("n") / team).cast("int").alias("teams"), F.greatest(F.lit(1), F.ceil(F.coalesce("c", F.lit(0)) / chunk)).cast("int").alias("chunks")
+    ), "label-blocks")
+    left = attach(mine, plan, key, "n").withColumn("team", F.pmod(F.xxhash64("item_id"), F.col("teams")).cast("int"))
+    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("teams", "chunks")
+    right = theirs.join(plan.select(*key, "teams", "chunks"), key).withColumn("chunk", F.pmod(F.xxhash64("name", "centroid"), F.col("chunks")).cast("int"))
+    right = _repeated(right, [*key, "chunk"], "teams", "team").drop("teams", "chunks")
+
+    def multiply(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        out = asked[["library_id", "item_id", *keep]].copy()
+        out["label"], out["similarity"] = None, np.nan
+        if len(asked) and len(known):
+            # names in rising order: argmax takes the first of equal similarities, the smallest name
+            known = known.sort_values("name", kind="stable")
+            units, block = _matrix(known["centroid"]), _matrix(asked["embedding"])
+            units, block = (m / np.where((n := np.linalg.norm(m, axis=1)) > 0, n, 1)[:, None] for m in (units, block))
+            cosine = np.round(block @ units.T, 12)
+            best = cosine.argmax(axis=1)
+            out["label"], out["similarity"] = known["name"].to_numpy()[best], cosine[np.arange(len(block)), best]
+        return out
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select("library_id", "item_id", *keep).schema)
+    blocks = [*key, "team", "chunk"]
+    met = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(multiply, f"{kinds}, label string, similarity double")
+    found = F.when(F.col("label").isNotNull(), F.struct((-F.col("similarity")).alias("less"), "label"))
+    best = met.groupBy("library_id", "item_id", *keep).agg(F.min(found).alias("best"))
+    return best.select("library_id", "item_id", *keep, "best.label", (-F.col("best.less")).alias("similarity"))
+
+
+def match_labels(items: DataFrame, centroids: DataFrame, threshold: float = LABEL_THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every item's (library_id, item_id, *keep) with ``label`` and ``similarity``, null where nothing reaches the threshold."""
+    near = F.col("similarity") >= threshold
+    best = best_labels(items, centroids, keep)
+    return best.select("library_id", "item_id", *keep, F.when(near, F.col("label")).alias("label"), F.when(near, F.col("similarity")).alias("similarity"))
 
 
 # --- leader clustering ----------------------------------------------------------------------------
@@ -273,9 +273,8 @@ def overflow(assigned: DataFrame, ceiling: int = MAX_CLUSTERS) -> DataFrame:
 
 def label_then_cluster(items: DataFrame, centroids: DataFrame, label_threshold: float = LABEL_THRESHOLD, merge_threshold: float = MERGE_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(labelled items, clusters of the rest)."""
-    matched = materialize(match_labels(items, centroids, label_threshold), "label-matches")
-    rest = matched.filter("label is null").select(*items.columns)
-    return matched.filter("label is not null").select("library_id", "item_id", "label", "similarity"), leader_clusters(rest, merge_threshold)
+    labelled = materialize(match_labels(items, centroids, label_threshold).filter("label is not null"), "label-matches")
+    return labelled, leader_clusters(items.join(labelled, ["library_id", "item_id"], "left_anti"), merge_threshold)
 
 
 # --- labels ---------------------------------------------------------------------------------------

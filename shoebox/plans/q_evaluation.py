@@ -159,7 +159,7 @@ union all select 'pure', count(*) from (select matched from matched where matche
 union all select 'hit', count_if(matched = app)::bigint from matched union all select 'wrong', count_if(matched <> app)::bigint from matched union all select 'miss', count_if(matched is null)::bigint from matched
 """, ("matched",))
 def backtest(lib: Library) -> DataFrame:
-    matched = emb.match_labels(learning.items(lib), learning.centroids(lib), learning.LABEL_AT).select("label", F.col("app").alias("truth"))
+    matched = emb.match_labels(learning.items(lib), learning.centroids(lib), learning.LABEL_AT, keep=("app",)).select("label", F.col("app").alias("truth"))
     pure = evaluate.purity(matched.filter("label is not null").withColumnRenamed("label", "cluster"))
     counts = evaluate.name_once(matched).unpivot([], ["hit", "wrong", "miss"], "measure", "n")
     return pure.unpivot([], ["clusters", "pure"], "measure", "n").union(counts)

@@ -75,9 +75,38 @@ def test_leader_similarity_is_at_least_the_threshold(lib):
 def test_label_match_needs_the_revision_and_the_threshold(spark):
     items = spark.createDataFrame([(0, 1, [0.9, math.sqrt(1 - 0.81)], 2, "a"), (0, 2, [1.0, 0.0], 1, "a"), (0, 3, [0.89, math.sqrt(1 - 0.89**2)], 2, "a"), (1, 4, [1.0, 0.0], 2, "a"), (0, 5, [1.0, 0.0, 0.0], 2, "a")], ITEMS)
     centroids = spark.createDataFrame([(0, "x", 2, [1.0, 0.0]), (0, "w", 2, [2.0, 0.0])], "library_id bigint, name string, revision int, centroid array<double>")
-    for limit in (1 << 20, 0):
-        best = emb.best_labels(items, centroids, limit).filter("similarity >= 0.9 - 1e-12")
-        assert {r.item_id: r.label for r in best.collect()} == {1: "w"}
+    for team, chunk in ((4096, 4096), (1, 1), (2, 3)):
+        best = emb.best_labels(items, centroids, ("app",), team, chunk)
+        assert {r.item_id: r.label for r in best.filter("similarity >= 0.9").collect()} == {1: "w"}
+        assert {(r.item_id, r.app, r.label) for r in best.collect()} == {(1, "a", "w"), (2, "a", None), (3, "a", "w"), (4, "a", None), (5, "a", None)}
+
+
+def test_label_match_equals_all_cosines_for_any_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i % 3 == 0), i, rng.normal(size=6).tolist(), 1 + i % 2, f"a{i % 4}") for i in range(300)] + [(7, 900, None, 1, "n"), (7, 901, [0.0] * 6, 1, "z")]
+    known = [(lib, f"n{k % 9}", 1 + k % 2, (rng.integers(-2, 3, size=6) + 0.0).tolist()) for k in range(40) for lib in (0, 1, 7)]
+    items = spark.createDataFrame(rows, ITEMS)
+    centroids = spark.createDataFrame(known, "library_id bigint, name string, revision int, centroid array<double>")
+    want = {}
+    for lib, item, v, revision, app in rows:
+        best = (None, None)
+        for library, name, r, c in known if v else ():
+            if (library, r) == (lib, revision):
+                lengths = np.linalg.norm(v) * np.linalg.norm(c)
+                sim = round(float(np.dot(v, c) / lengths), 9) if lengths else 0.0
+                if best[1] is None or (-sim, name) < (-best[1], best[0]):
+                    best = (name, sim)
+        want[lib, item, app] = best
+    for team, chunk in ((4096, 4096), (7, 5), (40, 1)):
+        got = emb.best_labels(items, centroids, ("app",), team, chunk).collect()
+        assert {(r.library_id, r.item_id, r.app): (r.label, None if r.similarity is None else round(r.similarity, 9)) for r in got} == want
+
+
+def test_what_has_no_label_is_clustered(spark):
+    rows, items = planted(spark)
+    known = spark.createDataFrame([(0, "first", 2, rows[0][2])], "library_id bigint, name string, revision int, centroid array<double>")
+    labelled, rest = emb.label_then_cluster(items, known, 0.93, 0.93)
+    assert labelled.count() and labelled.select("item_id").join(rest, "item_id").isEmpty() and labelled.count() + rest.count() == len(rows)
 
 
 def test_projection_keeps_cosines_roughly(spark):
