@@ -64,10 +64,13 @@ def online(lib: Library) -> DataFrame:
 
 
 @query("str4", """
-, d as (select *, lead(ts) over (partition by library_id, asset_id order by ts, event_id) as next_ts from decisions where action in ('delete', 'keepOnce', 'whitelist')),
-mark as (select max(ts) - interval 1 hour as w from d)
-select library_id, asset_id, ts as marked_at, bytes, ts + interval 7 day as execute_after from d cross join mark where action = 'delete' and ts + interval 7 day <= coalesce(next_ts, w)
-""", ("decisions",))
+, effects as (select library_id, asset_id, ts as at_ts, event_id as seq, action = 'delete' as marks, bytes from resolved
+ union all select library_id, asset_id, undone_at, undo_event_id, false, bytes from resolved where undone and action = 'delete'),
+d as (select *, lead(at_ts) over (partition by library_id, asset_id order by at_ts, seq) as next_ts from effects),
+mark as (select max(ts) - interval 1 hour as w from decisions where action in ('delete', 'keepOnce', 'whitelist', 'undo'))
+select library_id, asset_id, at_ts as marked_at, bytes, at_ts + interval 7 day as execute_after from d cross join mark
+where marks and at_ts + interval 7 day <= w and (next_ts is null or at_ts + interval 7 day < next_ts)
+""", ("resolved", "decisions"))
 def deadlines(lib: Library) -> DataFrame:
     return _run(lib, jobs.pending_deadlines(_decisions(lib)), "deadlines")
 

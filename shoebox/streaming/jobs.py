@@ -48,7 +48,7 @@ def first_candidates(arrivals: DataFrame, delay: str = "1 day") -> DataFrame:
     return arrivals.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["library_id", "asset_id"])
 
 
-# --- re-ranking -------------------------------------------------------------------------------------
+# re-ranking
 
 
 def rerank_on_change(changes: DataFrame, candidates: DataFrame, models, path: str, checkpoint: str) -> None:
@@ -73,7 +73,7 @@ def rerank_on_change(changes: DataFrame, candidates: DataFrame, models, path: st
     query.awaitTermination()
 
 
-# --- online model -----------------------------------------------------------------------------------
+# online model
 
 
 class OnlineModel(StatefulProcessor):
@@ -123,29 +123,139 @@ def online_model(examples: DataFrame) -> DataFrame:
     )
 
 
-# --- pending queue with deadlines -------------------------------------------------------------------
+class PendingQueue(StatefulProcessor):
+    """Per library: what is marked, when it falls due, and the stack that an undo pops.
+
+    Rows wait in a list until the watermark has passed them and are then applied in the order (ts, event_id), whatever batches they came in.
+    The grace is the same for all marks of a library, so marks fall due in the order they were made: a queue, numbered
+    from ``head`` to ``tail``, whose entries count only while their asset's mark is still theirs. The stack is kept by depth. Push, pop and expiry
+    each touch one entry; one timer waits for the next row and one for the head of the queue.
+    """
+
+    ROW = "ts bigint, event_id bigint, asset_id bigint, action string, bytes bigint"
+    OUTPUT = "library_id bigint, asset_id bigint, marked_at timestamp, bytes bigint, execute_after timestamp"
+
+    def __init__(self, grace_days: int):
+        self.grace = grace_days * 86_400_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.ROW)
+        self.counts = handle.getValueState("counts", "head bigint, tail bigint, depth bigint")
+        self.marks = handle.getMapState("marks", "asset_id bigint", "event_id bigint")
+        self.line = handle.getMapState("line", "place bigint", self.ROW)
+        self.stack = handle.getMapState("stack", "depth bigint", "event_id bigint, asset_id bigint, action string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            micros = pdf["ts"].astype("datetime64[us]").astype("int64")
+            self.waiting.appendList([tuple(r) for r in zip(micros.tolist(), *(pdf[c].tolist() for c in ("event_id", "asset_id", "action", "bytes")), strict=True)])
+            first = int(micros.min()) if first is None else min(first, int(micros.min()))
+        if first is not None:
+            self.handle.registerTimer(_millis(first))
+        yield self._frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready, later = sorted(r for r in rows if r[0] <= now), [r for r in rows if r[0] > now]
+        head, tail, depth = self.counts.get() if self.counts.exists() else (0, 0, 0)
+        marks, line, stack = _Overlay(self.marks), _Overlay(self.line), _Overlay(self.stack)
+        due = []
+
+        def expire(before: int) -> int:
+            """Takes what falls due before ``before`` off the queue."""
+            at = head
+            while at < tail and (entry := line[at])[0] + self.grace < before:
+                ts, event, asset, _, size = entry
+                if marks[asset] == (event,):
+                    due.append((key[0], asset, pd.Timestamp(ts, unit="us"), size, pd.Timestamp(ts + self.grace, unit="us")))
+                    marks[asset] = None
+                line[at] = None
+                at += 1
+            return at
+
+        for row in ready:
+            ts, event, asset, action, _ = row
+            head = expire(ts)  # a decision exactly at a deadline is in time
+            if action == "undo":
+                if depth:
+                    depth -= 1
+                    undone, asset, action = stack[depth]
+                    stack[depth] = None
+                    if action == "delete":
+                        marks[asset] = None
+                continue
+            stack[depth] = (event, asset, action)
+            depth += 1
+            marks[asset] = (event,) if action == "delete" else None
+            if action == "delete":
+                line[tail] = row
+                tail += 1
+        head = expire(now + 1)
+        for part in (marks, line, stack):
+            part.write()
+        self.counts.update((head, tail, depth))
+        if ready:
+            self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self.handle.registerTimer(_millis(min(r[0] for r in later)))
+        if head < tail:
+            self.handle.registerTimer(_millis(line[head][0] + self.grace))
+        yield self._frame(due)
+
+    @staticmethod
+    def _frame(due: list[tuple]) -> pd.DataFrame:
+        kinds = {"library_id": "int64", "asset_id": "int64", "marked_at": "datetime64[us]", "bytes": "int64", "execute_after": "datetime64[us]"}
+        return pd.DataFrame(due, columns=list(kinds)).astype(kinds)
+
+    def close(self) -> None:
+        pass
+
+
+class _Overlay:
+    """Map state with the changes of one call in front of it: what comes and goes within the call never reaches the store."""
+
+    def __init__(self, state):
+        self.state, self.seen, self.stored = state, {}, {}
+
+    def __getitem__(self, key):
+        if key not in self.seen:
+            kept = self.state.getValue((key,)) if self.state.containsKey((key,)) else None
+            self.seen[key] = self.stored[key] = None if kept is None else tuple(kept)
+        return self.seen[key]
+
+    def __setitem__(self, key, value) -> None:
+        self.seen[key] = value
+
+    def write(self) -> None:
+        for key, value in self.seen.items():
+            if value is not None:
+                if self.stored.get(key) != value:
+                    self.state.updateValue((key,), value)
+            elif self.stored.get(key, self) is not None and self.state.containsKey((key,)):
+                self.state.removeKey((key,))
+
+
+def _millis(micros: int) -> int:
+    return -(-micros // 1000)
 
 
 def pending_deadlines(decisions: DataFrame, grace: str = "oneWeek", delay: str = "1 hour") -> DataFrame:
-    """Stream of decisions to the items whose grace period ended.
+    """Stream of decisions (library_id, event_id, asset_id, ts, action, bytes) to the items whose grace period ended.
 
-    A delete waits out its grace unless a keep, a whitelist or a new delete follows. That is a session of
-    the asset's decisions with the grace as its gap: it closes when the watermark passes the
-    deadline of its last decision, and the item is due if that one was a delete. A decision exactly at the
-    deadline still counts as in time. State and timers are Spark's own window state.
+    A delete waits out its grace unless a keep, a whitelist, a new delete or its undo comes first. An undo takes back the library's last decision that still
+    stands; undoing a keep marks nothing again, and undoing a delete that was carried out changes nothing. A decision exactly at
+    the deadline counts as in time. Rows behind the watermark are dropped. The rows do not depend on how the events are cut into batches.
     """
-    made = decisions.filter(F.col("action").isin(*queue.DECISIONS)).withWatermark("ts", delay)
-    days = GRACE_DAYS[grace]
-    if days == 0:
-        return made.filter("action = 'delete'").select("library_id", "asset_id", F.col("ts").alias("marked_at"), "bytes", F.col("ts").alias("execute_after"))
-    waits = made.groupBy("library_id", "asset_id", F.session_window("ts", f"{days} days").alias("wait"))
-    last = waits.agg(F.max_by(F.struct("action", "ts", "bytes"), F.struct("ts", "event_id")).alias("last"))
-    return last.filter("last.action = 'delete'").select(
-        "library_id", "asset_id", F.col("last.ts").alias("marked_at"), F.col("last.bytes").alias("bytes"), F.col("wait.end").alias("execute_after")
+    made = decisions.filter(F.col("action").isin(*queue.DECISIONS, "undo")).withWatermark("ts", delay)
+    return made.select("library_id", "event_id", "asset_id", "ts", "action", F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes")).groupBy("library_id").transformWithStateInPandas(
+        statefulProcessor=PendingQueue(GRACE_DAYS[grace]), outputStructType=PendingQueue.OUTPUT, outputMode="Append", timeMode="EventTime"
     )
 
 
-# --- event-time windows -----------------------------------------------------------------------------
+# event-time windows
 
 
 def burst_sessions(arrivals: DataFrame, gap: str = "10 seconds", delay: str = "1 hour") -> DataFrame:

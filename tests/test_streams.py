@@ -1,5 +1,6 @@
 """Streams: batch parity, late rows, resuming, deadlines."""
 
+import random
 from datetime import timedelta
 
 import pytest
@@ -66,6 +67,52 @@ def test_deadlines_over_batches(spark, tmp_path):
     assert {r.asset_id for r in out.collect()} == {1, 3}
 
 
+def replayed(rows, grace, now):
+    """What falls due by ``now``: every mark against what happens to it later, with the undo stack as in the app."""
+    due, marks, stack = set(), {}, []
+
+    def expire(before):
+        for asset, (at, size) in list(marks.items()):
+            if at + grace < before:
+                due.add((asset, at, size, at + grace))
+                del marks[asset]
+
+    for _, event, at, asset, action, size in sorted(rows, key=lambda r: (r[2], r[1])):
+        if at > now:
+            break
+        expire(at)
+        if action == "undo":
+            if stack and (last := stack.pop())[1] == "delete":
+                marks.pop(last[0], None)
+            continue
+        stack.append((asset, action))
+        marks.pop(asset, None)
+        if action == "delete":
+            marks[asset] = at, size
+    expire(now + timedelta(microseconds=1))
+    return due
+
+
+@pytest.mark.parametrize("cuts", [1, 2, 5])
+def test_pending_queue_honours_undo_however_batches_are_cut(spark, tmp_path, cuts):
+    rng = random.Random(11)
+    actions = ["delete"] * 5 + ["undo"] * 3 + ["keepOnce", "whitelist"]
+    rows = [(lib, i, START + timedelta(hours=3 * i + rng.random()), rng.randint(100, 160), rng.choice(actions), i) for i in range(120) for lib in (0, 1)]
+    rows += [(0, 900, START + timedelta(days=1), 50, "delete", 1), (0, 901, START + timedelta(days=8), 50, "keepOnce", 1)]  # exactly at its deadline
+    schema = "library_id bigint, event_id bigint, ts timestamp, asset_id bigint, action string, bytes bigint"
+    rows.sort(key=lambda r: r[2])
+    for n in range(cuts):
+        part = rows[n * len(rows) // cuts : (n + 1) * len(rows) // cuts]
+        write(spark, rng.sample(part, len(part)), schema, tmp_path, n)
+        out = run(spark, tmp_path, jobs.pending_deadlines)
+    now = max(r[2] for r in rows) - timedelta(hours=1)
+    now = now.replace(microsecond=now.microsecond // 1000 * 1000)
+    for lib in (0, 1):
+        got = [(r.asset_id, r.marked_at, r.bytes, r.execute_after) for r in out.filter(F.col("library_id") == lib).collect()]
+        want = replayed([r for r in rows if r[0] == lib], timedelta(days=7), now)
+        assert sorted(got) == sorted(want) and len(want) > 3 and not any(r[0] == 50 for r in want)
+
+
 def test_candidates_once_over_batches(spark, tmp_path):
     schema = "library_id bigint, asset_id bigint, ts timestamp"
     for n, ids in enumerate([(1, 2, 2), (2, 3), (1,)]):
