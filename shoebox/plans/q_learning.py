@@ -37,6 +37,38 @@ view("logistic", "select item_id, 1 / (1 + exp(-(list_dot_product(list_transform
 view("learnable", "select * from (values " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(LEARNABLE)) + ") v(c, name)")
 
 
+def logistic_fold(name: str, library: str) -> None:
+    """Views of the online logistic head as a recursion over each library's swipes: ``name``_rows, ``name``_fold and ``name``_models."""
+    view(f"{name}_rows", f"""
+select {library} as library_id, event_id, row_number() over (partition by {library} order by ts, event_id) as k, embedding::double[] as x, (action = 'delete')::int as target
+from decisions join embeddings on vec_id = asset_id where action in ('delete', 'keepOnce', 'whitelist')
+""", ("decisions",))
+    view(f"{name}_fold", f"""
+select distinct library_id, 0::bigint as k, null::bigint as event_id, 0.0::double as score, list_transform(range(64), lambda i: 0.0::double) as w, 0.0::double as b, 0::bigint as pos, 0::bigint as neg from {name}_rows
+ union all select library_id, k, event_id, p, list_transform(range(64), lambda i: w[i + 1] - (0.25::double * (p - target) * x[i + 1] + 2e-4::double * w[i + 1])), b - 0.25::double * (p - target), pos + target, neg + 1 - target
+ from (select r.*, f.w, f.b, f.pos, f.neg, 1 / (1 + exp(-(list_dot_product(f.w, r.x) + f.b))) as p from {name}_fold f join {name}_rows r on r.library_id = f.library_id and r.k = f.k + 1)
+""", (f"{name}_rows",))
+    view(f"{name}_models", f"select * from {name}_fold qualify row_number() over (partition by library_id order by k desc) = 1", (f"{name}_fold",))
+
+
+logistic_fold("swipe", "library_id")
+logistic_fold("twenty", "library_id % 20")
+view("relabel_rows", """
+select library_id, row_number() over (partition by library_id order by ts, event_id) as k, embedding::double[] as x, event_id % 8 as target
+from decisions join embeddings on vec_id = asset_id where action = 'relabel'
+""", ("decisions",))
+view("relabel_fold", """
+select distinct library_id, 0::bigint as k, list_transform(range(8), lambda c: list_transform(range(64), lambda i: 0.0::double)) as w, list_transform(range(8), lambda c: 0.0::double) as b,
+ list_transform(range(8), lambda c: 0::bigint) as n from relabel_rows
+ union all select library_id, k,
+  list_transform(range(8), lambda c: if(abs(g[c + 1]) > 1e-6, list_transform(range(64), lambda i: w[c + 1][i + 1] - (0.35::double * g[c + 1] * x[i + 1] + 1e-4::double * w[c + 1][i + 1])), w[c + 1])),
+  list_transform(range(8), lambda c: if(abs(g[c + 1]) > 1e-6, b[c + 1] - 0.35::double * g[c + 1], b[c + 1])), list_transform(range(8), lambda c: n[c + 1] + (c = target)::bigint)
+ from (select *, list_transform(range(8), lambda c: e[c + 1] / list_sum(e) - (c = target)::int) as g from
+  (select *, list_transform(z, lambda v: exp(v - list_max(z))) as e from
+   (select r.*, f.w, f.b, f.n, list_transform(range(8), lambda c: list_dot_product(f.w[c + 1], r.x) + f.b[c + 1]) as z from relabel_fold f join relabel_rows r on r.library_id = f.library_id and r.k = f.k + 1)))
+""", ("relabel_rows",))
+
+
 def items(lib: Library) -> DataFrame:
     return lib.vectors().withColumnsRenamed({"vec_id": "item_id", "label": "app_no"})
 
@@ -243,7 +275,10 @@ def logistic_models(lib: Library) -> DataFrame:
     return lib.keep("logistic-models", lambda: heads.train_logistic(swipe_examples(lib), ["library_id"], ["ts", "event_id"]))
 
 
-@query("hed2")
+@query("hed2", """
+select library_id, list_sum(n)::bigint as samples, round(sqrt(list_sum(list_transform(w, lambda c: list_dot_product(c, c)))), 6) as weight_norm, array_to_string(n, ',') as per_class
+from relabel_fold where k > 0 qualify row_number() over (partition by library_id order by k desc) = 1
+""", ("relabel_fold",))
 def softmax_training(lib: Library) -> DataFrame:
     size = F.sqrt(F.aggregate(F.flatten("weights"), F.lit(0.0), lambda a, w: a + w * w))
     return softmax_models(lib).select("library_id", "samples", F.round(size, 6).alias("weight_norm"), F.array_join(F.transform("per_class", lambda n: n.cast("string")), ",").alias("per_class"))
@@ -289,7 +324,9 @@ def logistic(lib: Library) -> DataFrame:
     return with_literal_logistic(items(lib)).select("item_id", F.round("score", 6).alias("score"))
 
 
-@query("hed6")
+@query("hed6", """
+select library_id, pos as positives, neg as negatives, round(b, 6) as bias, round(sqrt(list_dot_product(w, w)), 6) as weight_norm from swipe_models where k > 0
+""", ("swipe_models",))
 def logistic_training(lib: Library) -> DataFrame:
     size = F.sqrt(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w))
     return logistic_models(lib).select("library_id", "positives", "negatives", F.round("bias", 6).alias("bias"), F.round(size, 6).alias("weight_norm"))

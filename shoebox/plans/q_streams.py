@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions import fixed
-from shoebox.operators import copies, heads, moments
-from shoebox.plans import q_learning as learning
+from shoebox.operators import copies, moments
 from shoebox.plans import scan
 from shoebox.plans.registry import query
 from shoebox.session import fresh_path
@@ -42,24 +41,38 @@ def _library_candidates(lib: Library) -> DataFrame:
     return lib.candidates().withColumn("library_id", F.col("asset_id") % 20).join(vectors, "asset_id", "left")
 
 
-@query("str2")
+@query("str2", """
+, twenty as (select asset_id % 20 as library_id, asset_id, category, confidence, byte_size, e.embedding::double[] as x from candidates left join embeddings e on e.vec_id = asset_id),
+scored as (select t.*, case when w is not null and x is not null then 1 / (1 + exp(-(list_dot_product(w, x) + b))) end as score,
+  coalesce(case when pos >= 8 and neg >= 8 then least(0.6::double, (pos + neg) / 250.0::double) end, 0) as power
+ from twenty t left join twenty_models m using (library_id) where t.library_id in (select library_id % 20 from decisions))
+select library_id, asset_id, category, round(if(power > 0 and score is not null, confidence * (1 - power) + score * power, confidence) * (0.55 + log2(greatest(byte_size, 65536) / 65536.0::double) / 10), 6) as priority
+from scored
+""", ("candidates", "decisions", "twenty_models"))
 def reranked(lib: Library) -> DataFrame:
-    """Decisions stream in; the libraries they touch are ranked anew with their current models."""
-    path = fresh_path(lib.spark, "ranked-sink")
-    swipes = learning.swipe_examples(lib).withColumn("library_id", F.col("library_id") % 20)
-    models = lib.keep("twenty-models", lambda: heads.train_logistic(swipes, ["library_id"], ["ts", "event_id"]))
-    changes = _decisions(lib).withColumn("library_id", F.col("library_id") % 20)
-    jobs.rerank_on_change(changes, _library_candidates(lib), lambda: models, path, fresh_path(lib.spark, "ranked-state"))
-    return lib.spark.read.parquet(path).select("library_id", "asset_id", "category", F.round("priority", 6).alias("priority"))
+    """Swipes teach one stream; a second stream ranks the libraries that decisions touch with the weights in the first one's checkpoint."""
+    path, learned = fresh_path(lib.spark, "ranked-sink"), fresh_path(lib.spark, "taught-state")
+    vectors = lib.vectors().select(F.col("vec_id").alias("asset_id"), "embedding")
+    twenty = _decisions(lib).withColumn("library_id", F.col("library_id") % 20)
+    jobs.run_to_end(jobs.online_model(_swipes(twenty, vectors)), fresh_path(lib.spark, "taught-sink"), learned)
+    jobs.rerank_on_change(twenty, _library_candidates(lib), lambda: jobs.learned_models(lib.spark, learned), path, fresh_path(lib.spark, "ranked-state"))
+    return jobs.current_ranks(lib.spark, path).select("library_id", "asset_id", "category", F.round("priority", 6).alias("priority"))
+
 
+def _swipes(decisions: DataFrame, vectors: DataFrame) -> DataFrame:
+    made = decisions.filter(F.col("action").isin("delete", "keepOnce", "whitelist"))
+    examples = made.withColumn("target", (F.col("action") == "delete").cast("int")).join(vectors, "asset_id")
+    return examples.select("library_id", "event_id", "ts", "embedding", "target")
 
-@query("str3")
+
+@query("str3", """
+select library_id, event_id, round(score, 6) as score, pos as positives, neg as negatives, round(sqrt(list_dot_product(w, w)), 6) as weight_norm, 0::bigint as late
+from swipe_fold where k > 0
+""", ("swipe_fold",))
 def online(lib: Library) -> DataFrame:
     """Each swipe's score before it was learned; the last row of a library holds the batch fold's counts."""
     vectors = lib.vectors().select(F.col("vec_id").alias("asset_id"), "embedding")
-    made = _decisions(lib).filter(F.col("action").isin("delete", "keepOnce", "whitelist"))
-    examples = made.withColumn("target", (F.col("action") == "delete").cast("int")).join(vectors, "asset_id")
-    out = _run(lib, jobs.online_model(examples.select("library_id", "event_id", "ts", "embedding", "target")), "online")
+    out = _run(lib, jobs.online_model(_swipes(_decisions(lib), vectors)), "online")
     return out.select("library_id", "event_id", F.round("score", 6).alias("score"), "positives", "negatives", F.round("weight_norm", 6).alias("weight_norm"), "late")
 
 

@@ -12,11 +12,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from shoebox.functions.fixed import GRACE_DAYS
 from shoebox.operators import heads, queue
+from shoebox.operators.distributed import latest
 from shoebox.operators.heads import Logistic
+from shoebox.session import materialize
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -51,26 +53,61 @@ def first_candidates(arrivals: DataFrame, delay: str = "1 day") -> DataFrame:
 # re-ranking
 
 
-def rerank_on_change(changes: DataFrame, candidates: DataFrame, models, path: str, checkpoint: str) -> None:
-    """For every micro-batch of changes, ranks the candidates of the libraries it touches and overwrites
-    those libraries' partitions. ``models()`` gives the current (library_id, positives, negatives, bias,
-    weights). Rewriting a batch gives the same partitions, so a replay does no harm.
+RANKS = "library_id bigint, asset_id bigint, category string, priority double, batch_id bigint"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def learned_models(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(library_id, positives, negatives, bias, weights) as ``online_model`` last committed them to its checkpoint; no rows before that."""
+    if not _exists(spark, f"{checkpoint}/commits/0"):
+        return spark.createDataFrame([], f"library_id bigint, {heads.LOGISTIC_SCHEMA}")
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "model").load()
+    return state.select("key.library_id", *[f"value.{c}" for c in ("positives", "negatives", "bias", "weights")])
+
+
+def current_ranks(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """(library_id, asset_id, category, priority): the last written rank of each candidate that still has one."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], RANKS.rsplit(",", 1)[0])
+    rows = spark.read.schema(RANKS).parquet(path)
+    rows = rows if before is None else rows.filter(F.col("batch_id") < before)
+    return latest(rows, ["library_id", "asset_id"], ["batch_id"]).filter("priority is not null").select("library_id", "asset_id", "category", "priority")
+
+
+def rerank_on_change(changes: DataFrame, candidates: DataFrame, models, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """For every micro-batch of changes, ranks the candidates of the libraries it touches and writes the ranks that differ
+    from those written before; a candidate that is gone is written without a priority. ``current_ranks`` reads them.
+
+    ``models()`` gives the (library_id, positives, negatives, bias, weights) of the moment: with ``learned_models`` on the checkpoint of an
+    ``online_model`` that runs beside it, what one batch taught ranks the next. ``every`` is the cadence (a time such as "10 seconds");
+    without it the query goes through what is available and ends. A batch has a folder of its own, so a replay writes the same again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("library_id").distinct()
+        spark = batch.sparkSession
+        touched = materialize(batch.select("library_id").distinct(), "touched")
         rows = candidates.join(touched, "library_id", "left_semi").join(models(), "library_id", "left")
         score = heads.logistic_score("weights", "bias", "embedding")
         known = F.col("weights").isNotNull() & F.col("embedding").isNotNull()
         power = F.coalesce(heads.influence(F.col("positives"), F.col("negatives")), F.lit(0.0))
         value = queue.priority(F.col("confidence"), F.col("byte_size"), F.when(known, score), power)
-        ranked = rows.select("asset_id", "category", value.alias("priority"), "library_id")
+        ranked = rows.select("library_id", "asset_id", "category", value.alias("priority"))
+        old = current_ranks(spark, path, batch_id).join(touched, "library_id", "left_semi")
+        both = ranked.join(old.select("library_id", "asset_id", F.col("category").alias("was"), F.col("priority").alias("had")), ["library_id", "asset_id"], "full")
+        changed = both.filter(~(F.col("priority").eqNullSafe(F.col("had")) & F.col("category").eqNullSafe(F.col("was")))).select(ranked.columns)
         # a library's rows are spread over files by priority range, so a large one is no single task
-        out = ranked.repartitionByRange("library_id", F.desc("priority")).sortWithinPartitions("library_id", F.desc("priority"))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("library_id").parquet(path)
-
-    query = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+        out = changed.repartitionByRange("library_id", F.desc("priority")).sortWithinPartitions("library_id", F.desc("priority"))
+        out.write.mode("overwrite").partitionBy("library_id").parquet(f"{path}/batch_id={batch_id}")
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    query = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    if not every:
+        query.awaitTermination()
+    return query
 
 
 # online model

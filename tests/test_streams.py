@@ -157,5 +157,31 @@ def test_reranking_rewrites_only_touched_libraries(spark, tmp_path):
     assert [sorted((r.library_id, r["count"]) for r in s) for s in seen] == [[(0, 3)], [(0, 3), (1, 3)], [(0, 3), (1, 3)]]
 
 
+def test_what_one_batch_taught_ranks_the_next(spark, tmp_path):
+    """Learner and ranker go on side by side over the same growing folder; only ranks that moved are written."""
+    schema = "library_id bigint, event_id bigint, ts timestamp, embedding array<double>, target int"
+    candidates = spark.createDataFrame([(lib, lib * 10 + i, "blurry", 0.1 * i, 70_000, [1.0, float(i)]) for lib in (0, 1) for i in range(3)], "library_id bigint, asset_id bigint, category string, confidence double, byte_size bigint, embedding array<double>")
+    learned, ranks, states, fewest = str(tmp_path / "learned"), str(tmp_path / "ranked"), [], heads.LOGISTIC_WARM
+    swipe = lambda lib, i: (lib, i, START + timedelta(minutes=i), [1.0, float(i % 2)], i % 2)
+    assert jobs.learned_models(spark, learned).collect() == [] == jobs.current_ranks(spark, ranks).collect()
+    batches = [[swipe(0, 1), swipe(1, 1)], [swipe(0, i) for i in range(2, 2 * fewest + 4)], [swipe(1, 2)]]
+    for n, rows in enumerate(batches):
+        write(spark, rows, schema, tmp_path, n)
+        stream = lambda: jobs.read_table(spark, str(tmp_path / "in"), "rows", files_per_trigger=1)
+        jobs.rerank_on_change(stream(), candidates, lambda: jobs.learned_models(spark, learned), ranks, str(tmp_path / "rank-state"))
+        states.append({r.asset_id: r.priority for r in jobs.current_ranks(spark, ranks).collect()})
+        jobs.run_to_end(jobs.online_model(stream()), str(tmp_path / "out"), learned)
+    written = {r.batch_id: r["count"] for r in spark.read.schema(jobs.RANKS).parquet(ranks).groupBy("batch_id").count().collect()}
+    assert states[0] == states[1] == states[2] and written == {0: 6}  # batch 1 was ranked before it was learned, batch 2 touches the other library
+    write(spark, [swipe(0, 90)], schema, tmp_path, 3)
+    jobs.rerank_on_change(stream(), candidates.filter("asset_id <> 2"), lambda: jobs.learned_models(spark, learned), ranks, str(tmp_path / "rank-state"))
+    now = {r.asset_id: r.priority for r in jobs.current_ranks(spark, ranks).collect()}
+    model = jobs.learned_models(spark, learned).filter("library_id = 0").first()
+    assert (model.positives, model.negatives) == (fewest + 2, fewest + 1)
+    assert set(now) == {0, 1, 10, 11, 12} and all(now[a] == states[2][a] for a in (10, 11, 12)) and now[1] != states[2][1]
+    folded = heads.train_logistic(spark.createDataFrame([r for b in batches for r in b], schema), ["library_id"], ["ts", "event_id"]).filter("library_id = 0").first()
+    assert list(model.weights) == pytest.approx(list(folded.weights)) and model.bias == pytest.approx(folded.bias)
+
+
 def test_folder_given(spark):
     assert jobs.read_table(spark, SF, "events").isStreaming
