@@ -116,6 +116,7 @@ class Tokens(dict):
 
     def __init__(self, file: str):
         super().__init__()
+        self.missed: list[bytes] = []  # words asked for that are not known yet
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -138,19 +139,29 @@ class Tokens(dict):
         for word, got in zip(rest, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
             self[word] = np.array(got.ids, dtype="<u4").tobytes()
 
-    def of_texts(self, texts: list[str]) -> Iterator[bytes]:
+    def __missing__(self, word: bytes) -> bytes:
+        self.missed.append(word)
+        return b""
+
+    def of_texts(self, texts: list[str]) -> list[bytes]:
         if len(self) > CACHE_WORDS:
             self.clear()
-        words = [text.encode("utf-8", "surrogatepass").split() for text in texts]
-        new = {w for ws in words for w in ws}.difference(self)
-        plain = {w: _plain(w) for w in new}
-        own = {part for parts in plain.values() for part in parts}.difference(self)
-        self._learn(sorted(own))
+        self.missed = []
+        one, out, again = self.__getitem__, [], []
+        for n, text in enumerate(texts):
+            before = len(self.missed)
+            words = text.encode("utf-8", "surrogatepass").split()
+            out.append(b"".join(map(one, words)))
+            if len(self.missed) > before:
+                again.append((n, words))
+        plain = {w: _plain(w) for w in dict.fromkeys(self.missed)}
+        self._learn(sorted({part for parts in plain.values() for part in parts}.difference(self)))
         for word, parts in plain.items():
             if word not in self:
                 self[word] = b"".join([self[part] for part in parts])
-        for ws in words:
-            yield b"".join(map(self.__getitem__, ws))
+        for n, words in again:
+            out[n] = b"".join(map(one, words))
+        return out
 
 
 def _plain(word: bytes) -> tuple[bytes, ...]:
