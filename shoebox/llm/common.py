@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoebox.operators.distributed import attach
 from shoebox.session import materialize as _materialize
 
 SLICE_BYTES = 4 << 20  # texts handled at once inside a task
@@ -63,9 +64,22 @@ def worker_memo(key, make: Callable):
     return kept[key]
 
 
-def sample_per_key(df: DataFrame, key: str, order: list, rows: int) -> DataFrame:
-    """At most ``rows`` rows of each key, the first by ``order``; every partition is cut before the shuffle."""
+def first_by_hash(df: DataFrame, of: list, total: Column, rows: int) -> DataFrame:
+    """Rows whose 64-bit hash of ``of`` is among the lowest: about twice ``rows`` of ``total``, and surely all if those are few. What is
+    first in the order of that hash is in it, so a sample of the first ``rows`` gathers no more than that anywhere.
+    """
+    share = F.least(F.lit(1.0), (2.0 * rows + 1000.0) / F.greatest(total, F.lit(1)).cast("double"))
+    edge = F.when(share >= 1.0, F.lit((1 << 63) - 1)).otherwise((share * float(1 << 64) - float(1 << 63)).cast("bigint"))
+    return df.filter(F.xxhash64(*of) <= edge)
+
+
+def sample_per_key(df: DataFrame, key: str, of: list, rows: int) -> DataFrame:
+    """At most ``rows`` distinct rows of each key that is not null, the first by the hash of ``of``, ties by its columns. Keys are counted
+    first, so what meets in one task is bounded by ``rows`` and not by the number of partitions.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= rows).drop("_rank")
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).withColumn("_total", F.col("_size"))
+    near = first_by_hash(attach(df.filter(F.col(key).isNotNull()), sizes.filter(F.col(key).isNotNull()), [key], "_size"), of, F.col("_total"), rows)
+    w = Window.partitionBy(key).orderBy(F.xxhash64(*of), *of)
+    return near.select(*df.columns).distinct().withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= rows).drop("_rank")

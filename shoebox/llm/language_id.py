@@ -110,13 +110,12 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     ``per_language`` texts for each of at most ``MAX_LANGUAGES`` languages.
     """
     usable = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = sample_per_key(usable.select("doc_id", "lang"), "lang", order, per_language).limit(per_language * MAX_LANGUAGES)
+    chosen = sample_per_key(usable.select("doc_id", "lang"), "lang", ["doc_id"], per_language).orderBy("lang", "doc_id").limit(per_language * MAX_LANGUAGES)
     ids = [(r["doc_id"], r["lang"]) for r in chosen.collect()]
     if not ids:
         return None
     keys = docs.sparkSession.createDataFrame(ids, "doc_id bigint, lang string")
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(keys.distinct()), ["doc_id", "lang"]).limit(len(ids)).collect()
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(keys.distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in rows if r["text"])
     return fit([r[2] for r in rows], [r[0] for r in rows])
 

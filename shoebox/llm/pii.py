@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import map_arrow, sample_per_key
+from shoebox.llm.common import map_arrow, materialize, sample_per_key
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, PER_KIND, SURE = 96, 400, 0.9
@@ -442,7 +442,7 @@ def labelled_windows(docs: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, per_kind: int = PER_KIND, steps: int = STEPS) -> Tagger | None:
     """A tagger trained on at most ``per_kind`` labelled windows of each kind and of none; None without any span."""
-    chosen = sample_per_key(labelled_windows(docs), "kind", [F.xxhash64("text"), F.col("text")], per_kind).collect()
+    chosen = sample_per_key(materialize(labelled_windows(docs), "pii-windows"), "kind", ["text"], per_kind).collect()
     rows = sorted({(r["text"], tuple(r["tags"])) for r in chosen})
     if not any(any(tags) for _, tags in rows):
         return None

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import map_arrow, sample_per_key
+from shoebox.llm.common import first_by_hash, map_arrow, sample_per_key
 from shoebox.llm.features import frequencies, logistic, mean_weights, sigmoid
 
 LABELLED_PER_CLASS = 1500  # bounds of the fitting sample
@@ -126,14 +126,15 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def _sampled(docs: DataFrame, labels: DataFrame, per_class: int, pool: int) -> list:
     """At most 2 * per_class labelled and ``pool`` unlabelled documents, each the first by a hash of the id."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = labels.filter("doc_id is not null and quality in (0, 1)").select("doc_id", "quality")
-    chosen = sample_per_key(known, "quality", order, per_class).groupBy("doc_id").agg(F.min("quality").alias("y"))
-    some = docs.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id").limit(pool).distinct()
+    chosen = sample_per_key(known, "quality", ["doc_id"], per_class).groupBy("doc_id").agg(F.min("quality").alias("y"))
+    by = [F.col("doc_id"), F.lit(1)]
+    some = first_by_hash(docs.filter("doc_id is not null").select("doc_id"), by, F.lit(docs.count()), pool).distinct().orderBy(F.xxhash64(*by), "doc_id").limit(pool)
     seen = known.join(F.broadcast(some), "doc_id", "left_semi").select("doc_id").distinct()
     fresh = some.join(seen, "doc_id", "left_anti").withColumn("y", F.lit(-1))
     keys = chosen.unionByName(fresh)
-    rows = docs.join(F.broadcast(keys), "doc_id").limit(2 * per_class + pool).collect()
+    fields = [c for c in ("text", "source", "lang", "n_chars") if c in docs.columns]
+    rows = docs.join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*fields, "y")).alias("row")).select("doc_id", "row.*").collect()
     return sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
 
 
