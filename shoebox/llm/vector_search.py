@@ -8,7 +8,7 @@ deviations). Whoever survives all blocks is measured on the original vectors in
 
 Centroids are fitted on a bounded sample (``SAMPLE`` vectors), every vector is indexed. How many lists to probe is measured: for
 ``CALIBRATION`` sampled queries the exact neighbours among all vectors are found, and the least number of lists is taken that holds
-``TARGET`` of them. Equal vectors are one entry with the k + 1 smallest ids. Lists stand on shelves of about ``SHELF`` vectors, a larger list on
+``TARGET`` of them; a query goes on to further lists until those it visits hold k others. Equal vectors are one entry with the k + 1 smallest ids. Lists stand on shelves of about ``SHELF`` vectors, a larger list on
 several; a query visits a shelf once for all its lists there, nearest first. The queries of a shelf come in teams of about ``TEAM``, so
 no task holds more than a shelf and a team.
 """
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import materialize
+from shoebox.llm.common import first_by_hash, materialize
 from shoebox.operators.distributed import top_k
 
 SAMPLE, CALIBRATION, TARGET = 16_384, 128, 0.97
@@ -118,7 +118,8 @@ def _exact(rows: DataFrame, queries: np.ndarray, k: int) -> list[np.ndarray]:
             x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
             scores = queries @ x.T
             for i, (s, v) in enumerate(kept):
-                s, v = np.concatenate([s, scores[i]]), np.vstack([v, x])
+                near = np.argpartition(-scores[i], k - 1)[:k] if len(x) > k else np.arange(len(x))
+                s, v = np.concatenate([s, scores[i][near]]), np.vstack([v, x[near]])
                 top = np.argsort(-s, kind="stable")[:k]
                 kept[i] = s[top], v[top]
         if any(len(s) for s, _ in kept):
@@ -133,8 +134,8 @@ def _exact(rows: DataFrame, queries: np.ndarray, k: int) -> list[np.ndarray]:
 
 def build(entries: DataFrame, total: int, k: int) -> Index:
     norm = entries.select(F.max(F.expr("aggregate(embedding, 0D, (a, x) -> a + double(x) * x)"))).first()[0] ** 0.5
-    by_hash = entries.orderBy(F.xxhash64("vec_id"), "vec_id")
-    sample = np.array([r["embedding"] for r in by_hash.select("embedding").limit(SAMPLE).collect()], dtype=np.float64)
+    some = first_by_hash(entries, ["vec_id"], F.lit(total), SAMPLE).orderBy(F.xxhash64("vec_id"), "vec_id")
+    sample = np.array([r["embedding"] for r in some.select("embedding").limit(SAMPLE).collect()], dtype=np.float64)
     index = fit(sample, total, norm)
     lists = len(index.centroids)
     if lists > 1:
@@ -191,6 +192,7 @@ def _of_length(rows: DataFrame, dims: int, k: int, every: int) -> DataFrame:
 
     filed = materialize(entries.mapInPandas(assign, "embedding array<float>, ids array<bigint>, vec_id bigint, list int"), "ann-lists")
     sizes = {r["list"]: r["count"] for r in filed.groupBy("list").count().collect()}  # at most MAX_LISTS rows
+    held = np.array([sizes.get(i, 0) for i in range(len(index.centroids))])
     first, pieces = shelves(sizes, len(index.centroids))
     places = F.broadcast(spark.createDataFrame([(i, first[i], pieces[i]) for i in sizes], "list int, first int, pieces int"))
     shelved = filed.join(places, "list").withColumn("shelf", F.expr("first + cast(pmod(xxhash64(vec_id), pieces) as int)"))
@@ -198,9 +200,11 @@ def _of_length(rows: DataFrame, dims: int, k: int, every: int) -> DataFrame:
     def probe(frames):
         for frame in frames:
             q = lifted_queries(np.stack(frame["embedding"].to_numpy()).astype(np.float64), index.norm)
-            near = _distances(q, index.centroids).argsort(axis=1)[:, : index.probes]
+            near = _distances(q, index.centroids).argsort(axis=1)
+            # on to further lists until those visited hold k rows besides the query's own
+            enough = 1 + (np.cumsum(held[near], axis=1) < k + 1).sum(axis=1)
             visits = []
-            for n, lists in enumerate(near.tolist()):
+            for n, lists in enumerate([own[: max(index.probes, m)].tolist() for own, m in zip(near, enough, strict=True)]):
                 by_shelf: dict[int, list[int]] = {}
                 for own in lists:
                     for shelf in range(first[own], first[own] + pieces[own]):
@@ -211,7 +215,7 @@ def _of_length(rows: DataFrame, dims: int, k: int, every: int) -> DataFrame:
 
     asking = materialize(queries.mapInPandas(probe, "embedding array<float>, qid bigint, shelf int, lists array<int>"), "ann-probes")
     teams = asking.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / TEAM).cast("int").alias("teams"))
-    teams = F.broadcast(spark.createDataFrame(teams.collect(), "shelf int, teams int"))  # one row per shelf
+    teams = materialize(teams, "ann-teams")
     left = shelved.join(teams, "shelf").select("shelf", F.explode(F.expr("sequence(0, teams - 1)")).alias("team"), "list", "vec_id", "ids", "embedding")
     right = asking.join(teams, "shelf").select("shelf", F.expr("cast(pmod(xxhash64(qid), teams) as int)").alias("team"), "qid", "lists", "embedding")
 

@@ -3,12 +3,11 @@ from conftest import SF
 from llm.helpers import DOC_SCHEMA, ODD, docs
 
 import corpus_pipeline
-from shoebox.llm import pii, quality, repeats, simhash
+from shoebox.llm import near_copies, pii, quality, repeats
 from shoebox.llm.common import table
 from llm.test_packing import check_pieces
-from llm.test_repeats import by_definition as repeats_by_definition
-from llm.test_simhash import by_definition as mark_of
-from llm.test_simhash import components
+from llm.test_near_copies import components, pairs_by_definition
+from llm.test_passages import by_definition as passages_by_definition
 
 
 def rows_of(df):
@@ -36,13 +35,13 @@ def test_quality_takes_what_scores(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     before = rows_of(stages[1])
-    label = components([mark_of(r.text) for r in before])
+    label = components(len(before), pairs_by_definition([r.text for r in before]))
     assert rows_of(stages[2]) == [r for i, r in enumerate(before) if label[i] == i]
 
 
 def test_repeats_are_cut(stages):
     before, after = rows_of(stages[2]), rows_of(stages[3])
-    want = [w[4].decode("utf-8", "ignore") for w in repeats_by_definition([r.text for r in before], 400)]
+    want = passages_by_definition([r.text for r in before], 51, 400)
     assert [r.text for r in after] == want and all(r.n_chars == len(r.text) for r in after)
 
 
@@ -77,4 +76,4 @@ def test_odd_documents_pass_through_every_stage(spark, tmp_path):
         spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         n = corpus_pipeline.run(spark, folder).count()
         assert (n > 0) == (kind == "odd")
-    assert repeats.without_repeats(frame).count() == frame.count() and simhash.one_per_group(frame).filter("doc_id is null").count() == 1
+    assert repeats.without_repeats(frame).count() == frame.count() and near_copies.one_per_group(frame).filter("doc_id is null").count() == 1

@@ -94,6 +94,27 @@ def test_small_shelves_and_teams(spark, monkeypatch):
     assert recall(rows, vector_search.nearest_vectors(spark.createDataFrame(rows, SCHEMA), 20, 5).collect(), 20, 5) >= 0.9
 
 
+def grouped_vectors(seed, sizes, dims=16, noise=0.02):
+    rng = np.random.default_rng(seed)
+    x = np.vstack([c + noise * rng.normal(size=(n, dims)) for n, c in zip(sizes, rng.normal(size=(len(sizes), dims)), strict=True)])
+    return [(i, [float(np.float32(a)) for a in v]) for i, v in enumerate(x[rng.permutation(len(x))])]
+
+
+def test_queries_in_tiny_groups_go_on_to_further_lists(spark):
+    rows = grouped_vectors(5, [900, 800, 700, 485, 15, 6, 3])
+    got = vector_search.nearest_vectors(spark.createDataFrame(rows, SCHEMA), 20, 1).collect()
+    per_query = defaultdict(int)
+    for r in got:
+        per_query[r.query_id] += 1
+    assert len(per_query) == len(rows) and set(per_query.values()) == {20}
+
+
+def test_recall_with_many_lists_and_ties(spark):
+    rows = grouped_vectors(6, [500] * 18, noise=0.4)  # 9,000 vectors: 17 lists
+    rows += [(9000 + i, rows[40 * i][1]) for i in range(60)]  # equal vectors tie at every place
+    assert recall(rows, vector_search.nearest_vectors(spark.createDataFrame(rows, SCHEMA), 20, 20).collect(), 20, 20) >= 0.9
+
+
 def test_few_odd_and_no_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (3, [None, 2.0]), (100, [1.0, 2.0, 3.0]), (5, [])]
