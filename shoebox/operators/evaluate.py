@@ -7,6 +7,7 @@ quadratic by definition, but no pair is ever a row and no task sees more than tw
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.operators import embeddings, heads
+from shoebox.operators.distributed import attach
 from shoebox.session import materialize
 
 # Suffixes that mark another version of one capture.
@@ -153,15 +155,122 @@ def precision_at(scored: DataFrame, k: int = 8) -> DataFrame:
 # --- held-out evaluation of the heads -------------------------------------------------------------
 
 
+LEAF_BITS = 8  # subtrees of so many levels are finished inside one task
+_MODEL = "weights array<double>, bias array<double>, dim int"
+
+
+def _load(head: str, weights, bias, dim) -> heads.Softmax | heads.Logistic | None:
+    if dim is None or pd.isna(dim):
+        return None
+    model = (heads.Softmax if head == "softmax" else heads.Logistic)(int(dim))
+    model.weights = np.array(weights, dtype=np.float64).reshape(model.weights.shape)
+    model.bias = np.array(bias, dtype=np.float64) if head == "softmax" else float(bias[0])
+    return model
+
+
+def _learned(head: str, model, x, target):
+    x = np.asarray(x, dtype=np.float64)
+    model = model or (heads.Softmax if head == "softmax" else heads.Logistic)(len(x))
+    model.step(x, int(target))
+    return model
+
+
+def _leaves(head: str, model, xs: list, targets: list, places: np.ndarray, level: int) -> Iterator[tuple[int, float]]:
+    """(index, judgement) of each row by a model that saw all rows but it."""
+    if level == 0:
+        x = np.asarray(xs[0], dtype=np.float64)
+        if head == "softmax":
+            yield 0, float(model.predict(x).argmax()) if model and len(x) == model.weights.shape[1] else -1.0
+        else:
+            yield 0, model.score(x) if model else 0.5
+        return
+    high = (places >> (level - 1)) & 1 == 1
+    for own, other in ((~high, high), (high, ~high)):
+        own = np.flatnonzero(own)
+        if not len(own):
+            continue
+        branch = copy.deepcopy(model)
+        for i in np.flatnonzero(other):
+            branch = _learned(head, branch, xs[i], targets[i])
+        for i, judged in _leaves(head, branch, [xs[j] for j in own], [targets[j] for j in own], places[own], level - 1):
+            yield int(own[i]), judged
+
+
+def leave_one_out(items: DataFrame, head: str, leaf_bits: int = LEAF_BITS) -> DataFrame:
+    """Every item judged by a model that learned from all others of its library: (library_id, item_id, target, predicted) for the softmax,
+    (library_id, item_id, target, score) for the logistic head. items: library_id, item_id, embedding, target.
+
+    Items get places in the order of a digest. Halving the places again and again gives a tree; the model of a node has seen everything
+    outside it, so a child's model is its parent's and one step for each item of its sibling, and the folds below a node share all that came before.
+    That is n log n steps instead of n * n, each item being sent once per level: a sibling's items stream through a task that holds one
+    model, and the last ``leaf_bits`` levels are walked inside a task. The fold of place p thus learns from the places q in the order of
+    (highest bit in which they differ, falling; q). An item without others gets -1 or 0.5.
+    """
+    from shoebox.operators.distributed import numbered
+
+    key = [F.md5(F.col("item_id").cast("string")), F.col("item_id")]
+    rows = numbered(items.select("library_id", "item_id", "embedding", "target"), ["library_id"], key, "place", "left-out")
+    sizes = rows.groupBy("library_id").agg(F.max("place").alias("n"))
+    rows = materialize(attach(rows.withColumn("place", F.col("place") - 1), sizes.withColumn("size", F.col("n")), ["library_id"], "size"), "left-out-rows")
+    most = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+    level = max(int(most - 1).bit_length() if most else 0, leaf_bits)
+    models = sizes.select("library_id", F.lit(0).cast("bigint").alias("node"), *[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in _MODEL.split(", "))])
+    schema = f"library_id bigint, node bigint, {_MODEL}"
+    names = [c.split()[0] for c in _MODEL.split(", ")]
+
+    def learn(key, batches):
+        model = None
+        for pdf in batches:
+            for kind, x, target, *stored in zip(pdf["kind"], pdf["embedding"], pdf["target"], *[pdf[c] for c in names]):
+                model = _load(head, *stored) if kind == 0 else _learned(head, model, x, target)
+        flat = (None, None, None) if model is None else (model.weights.ravel().tolist(), np.atleast_1d(model.bias).tolist(), model.weights.shape[-1])
+        yield pd.DataFrame([(*key, *flat)], columns=["library_id", "node", *names]).astype({"dim": "Int32"})
+
+    learn.__annotations__ = {"key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    while level > leaf_bits:
+        level -= 1
+        here = models.withColumn("node", F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1))).join(sizes, "library_id")
+        here = here.filter(F.col("node") * (1 << level) < F.col("n")).drop("n").withColumns({"kind": F.lit(0), "place": F.lit(-1).cast("bigint"), "embedding": F.lit(None).cast("array<double>"), "target": F.lit(None).cast("int")})
+        sibling = F.floor(F.col("place") / (1 << level)).cast("bigint").bitwiseXOR(F.lit(1))
+        there = rows.withColumn("node", sibling).filter(F.col("node") * (1 << level) < F.col("n")).select(
+            "library_id", "node", *[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in _MODEL.split(", "))],
+            F.lit(1).alias("kind"), "place", F.col("embedding").cast("array<double>").alias("embedding"), F.col("target").cast("int").alias("target"),
+        )
+        stream = here.unionByName(there).repartition("library_id", "node").sortWithinPartitions("library_id", "node", "kind", "place")
+        models = materialize(stream.groupBy("library_id", "node").applyInPandas(learn, schema), "left-out-models")
+
+    result = "predicted int" if head == "softmax" else "score double"
+
+    def judge(own: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("place").reset_index(drop=True)
+        model = _load(head, *[stored[c].iloc[0] for c in names]) if len(stored) else None
+        judged = dict(_leaves(head, model, own["embedding"].tolist(), own["target"].tolist(), own["place"].to_numpy(), leaf_bits))
+        out = own[["library_id", "item_id", "target"]].copy()
+        out[result.split()[0]] = [judged[i] for i in range(len(own))]
+        return out
+
+    last = rows.withColumn("node", F.floor(F.col("place") / (1 << leaf_bits)).cast("bigint")).select("library_id", "node", "place", "item_id", "embedding", F.col("target").cast("int").alias("target"))
+    key = ["library_id", "node"]
+    return last.groupBy(*key).cogroup(models.groupBy(*key)).applyInPandas(judge, f"library_id bigint, item_id bigint, target int, {result}")
+
+
+def each_cluster_named(judged: DataFrame) -> DataFrame:
+    """Per class with two items or more: how many were tried and how many were right, every item left out in turn while all other items of
+    its own and all other classes were learned from. ``judged`` comes from ``leave_one_out`` with the softmax.
+    """
+    counts = judged.groupBy("library_id", "target").agg(F.count(F.lit(1)).alias("tested"), F.count_if(F.col("predicted") == F.col("target")).alias("right"))
+    return counts.filter("tested >= 2")
+
+
 def _passes(training: DataFrame, keys: list[str], epochs: int) -> DataFrame:
     return heads.repeated_passes(training, keys, epochs)
 
 
 def cross_validate(items: DataFrame, folds: int, head: str, epochs: int = 40) -> DataFrame:
-    """Every item judged by a model that never saw its fold.
+    """Every item judged by a model that never saw its fold, each fold trained in ``epochs`` shuffled passes.
 
     items: library_id, item_id, embedding, target. An item is sent to each fold it trains for, so folds and
-    libraries train in parallel. ``folds`` equal to the number of items is leave-one-out.
+    libraries train in parallel; for few folds. Leaving one out is ``leave_one_out``.
     """
     own = items.withColumn("fold", F.pmod(F.xxhash64("item_id"), F.lit(folds)).cast("int"))
     training = (
