@@ -1,13 +1,14 @@
 """Evaluation and calibration jobs.
 
-Comparisons of everything with everything cut the items into blocks and send each pair of blocks to
-one task, which returns counts per distance and its closest few pairs: the work is
-quadratic by definition, but no pair is ever a row and no task sees more than two blocks.
+Comparisons of everything with everything deal the items into a triangle of groups (``triangle``). A task returns counts per distance
+and its closest few pairs: the work is quadratic by definition, but no pair is ever a row, an item is copied as often
+whatever the number of items, and a task holds one bucket while the other streams past it.
 """
 
 from __future__ import annotations
 
 import copy
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shoebox.operators import embeddings, heads
 from shoebox.operators.distributed import attach
-from shoebox.session import materialize
+from shoebox.session import materialize, shuffle_width
 
 # Suffixes that mark another version of one capture.
 COPY_SUFFIXES = ("_copy", "_recompressed", "_resized", "_burst")
@@ -25,6 +26,8 @@ COPY_SUFFIXES = ("_copy", "_recompressed", "_resized", "_burst")
 SWEEP = (2, 3, 4, 6, 8, 10, 12)
 MERGE_SWEEP = (0.80, 0.85, 0.90, 0.93, 0.95)
 
+TILE = 2000  # rows on either side of what is compared at once
+
 
 def stem(name: str | Column) -> Column:
     """File name without extension and copy suffix."""
@@ -32,69 +35,106 @@ def stem(name: str | Column) -> Column:
     return F.regexp_replace(base, "(" + "|".join(COPY_SUFFIXES) + ")$", "")
 
 
-def block_pairs(items: DataFrame, block_rows: int) -> DataFrame:
-    """Items repeated once per block pair they take part in: columns lo, hi, in_lo, in_hi."""
-    blocks = max(1, -(-items.count() // block_rows))
-    mine = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
-    repeated = items.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return repeated.select(
-        *items.columns, F.least("_mine", "_other").alias("lo"), F.greatest("_mine", "_other").alias("hi"),
-        (F.col("_mine") <= F.col("_other")).alias("in_lo"), (F.col("_mine") >= F.col("_other")).alias("in_hi"),
+def triangle(items: DataFrame, block_col: str | None = None, tasks: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Items dealt for a comparison of everything with everything: (rows, keys of the groups).
+
+    Items fall to ``sides`` buckets, and every pair of buckets is one group of a triangle of about ``tasks`` groups (default: four times the shuffle
+    width). An item is copied to the groups of its bucket: ``sides`` times, the root of twice the tasks, however many items there are. With
+    ``block_col`` only items of equal value meet; a block's share of the buckets is its share of the items. ``side`` 0 comes
+    first within a group and is what a task holds; ``side`` 1 streams past it.
+    """
+    tasks = tasks or 4 * shuffle_width(items.sparkSession)
+    keys = [block_col] if block_col else []
+    whole = max(1, math.ceil(math.sqrt(2 * tasks)))
+    if keys:
+        sizes = materialize(items.groupBy(block_col).agg(F.count(F.lit(1)).alias("_n")), "triangle-blocks")
+        total = sizes.agg(F.sum("_n").alias("n")).first()["n"] or 1
+        rows = attach(items, sizes.withColumn("_sides", F.greatest(F.lit(1), F.ceil(F.lit(whole) * F.col("_n") / F.lit(total))).cast("int")), keys, "_n")
+    else:
+        rows = items.withColumn("_sides", F.lit(whole))
+    rows = rows.withColumn("_mine", F.pmod(F.xxhash64("item_id"), F.col("_sides")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_sides") - 1)))
+    placed = rows.select(
+        *items.columns, F.least("_mine", "_other").alias("_lo"), F.greatest("_mine", "_other").alias("_hi"), (F.col("_mine") > F.col("_other")).cast("int").alias("side")
     )
+    return placed, [*keys, "_lo", "_hi"]
+
 
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, bool]]:
+    """The tiles of one group: (rows, rows, whether both are one and the same)."""
+    held: list[pd.DataFrame] = []
+    several = False
+    cut = lambda pdf: [pdf.iloc[i : i + TILE].reset_index(drop=True) for i in range(0, len(pdf), TILE)]
+    for pdf in batches:
+        held += cut(pdf[pdf["side"] == 0])
+        for right in cut(pdf[pdf["side"] == 1]):
+            several = True
+            for left in held:
+                yield left, right, False
+    if not several and held and held[0]["_lo"].iloc[0] == held[0]["_hi"].iloc[0]:
+        for i, left in enumerate(held):
+            yield left, left, True
+            for right in held[i + 1 :]:
+                yield left, right, False
 
-def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    """The two blocks of a group and which of their combinations are pairs to count."""
-    left, right = pdf[pdf["in_lo"]], pdf[pdf["in_hi"]]
-    if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
-        return left, right, left["item_id"].to_numpy()[:, None] < right["item_id"].to_numpy()[None, :]
-    return left, right, np.ones((len(left), len(right)), dtype=bool)
 
+def _grouped(placed: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """``run`` over the tiles of each group; a group's rows arrive with side 0 first."""
 
-def pair_distances(items: DataFrame, closest: int = 12, block_rows: int = 2000) -> DataFrame:
-    """Histogram and closest pairs per kind, over all pairs.
+    def whole(key, batches):
+        yield run(_met(batches))
 
-    items: item_id, content_hash, stem, is_burst, is_screen_like, dhash, phash. Rows: kind, d, p, pairs for
+    whole.__annotations__ = {"key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    return placed.repartition(*keys).sortWithinPartitions(*keys, "side").groupBy(*keys).applyInPandas(whole, schema)
+
+
+def pair_distances(items: DataFrame, closest: int = 12, block_col: str | None = None, tasks: int | None = None) -> DataFrame:
+    """Histogram and closest pairs per kind, over all pairs (of equal ``block_col``).
+
+    items: item_id, content_hash, stem, is_burst, is_screen_like, dhash, phash, and ``block_col``. Rows: kind, d, p, pairs for
     the histogram; and kind, d, p, a, b (pairs null) for the closest. Kinds: same content, same
     capture, different; and among photographs: burst frames, different photographs.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        for c in ("content_hash", "stem"):
-            pdf[c] = pd.factorize(pdf[c])[0]
-        left, right, counted = _sides(pdf)
-        side = lambda c: (left[c].to_numpy()[:, None], right[c].to_numpy()[None, :])
-        gap = lambda c: np.bitwise_count(np.bitwise_xor(*(v.view(np.uint64) for v in side(c)))).astype(np.int64)
-        d, p = gap("dhash"), gap("phash")
-        content, capture = np.equal(*side("content_hash")), np.equal(*side("stem"))
-        screen_a, screen_b = side("is_screen_like")
-        burst_a, burst_b = side("is_burst")
-        photos, bursts = ~screen_a & ~screen_b, burst_a & burst_b
-        kinds = {
-            "same content": content, "same capture": ~content & capture, "different": ~content & ~capture,
-            "burst frames": photos & bursts, "different photographs": photos & ~bursts & ~capture,
-        }
-        out = []
-        for kind, mask in kinds.items():
-            i, j = np.nonzero(mask & counted)
-            if not len(i):
-                continue
-            code = d[i, j] * 65 + p[i, j]
-            cell, n = np.unique(code, return_counts=True)
-            out.append(pd.DataFrame({"kind": kind, "d": cell // 65, "p": cell % 65, "pairs": n}))
-            # a few more than needed where the last place is shared, then the exact order
-            near = np.flatnonzero(code <= np.partition(code, min(closest, len(code)) - 1)[min(closest, len(code)) - 1])
-            one, two = left["item_id"].to_numpy()[i[near]], right["item_id"].to_numpy()[j[near]]
-            best = pd.DataFrame({"kind": kind, "d": code[near] // 65, "p": code[near] % 65, "a": np.minimum(one, two), "b": np.maximum(one, two)})
-            out.append(best.sort_values(["d", "p", "a", "b"]).head(closest))
+    def run(tiles) -> pd.DataFrame:
+        cells: dict[str, np.ndarray] = {}
+        best: dict[str, pd.DataFrame] = {}
+        for left, right, same in tiles:
+            side = lambda c: (left[c].to_numpy()[:, None], right[c].to_numpy()[None, :])
+            codes = {c: pd.factorize(np.concatenate([left[c].to_numpy(), right[c].to_numpy()]))[0] for c in ("content_hash", "stem")}
+            equal = lambda c: codes[c][: len(left), None] == codes[c][None, len(left) :]
+            gap = lambda c: np.bitwise_count(np.bitwise_xor(*(v.view(np.uint64) for v in side(c)))).astype(np.int64)
+            counted = left["item_id"].to_numpy()[:, None] < right["item_id"].to_numpy()[None, :] if same else np.ones((len(left), len(right)), dtype=bool)
+            code = gap("dhash") * 65 + gap("phash")
+            content, capture = equal("content_hash"), equal("stem")
+            screen_a, screen_b = side("is_screen_like")
+            burst_a, burst_b = side("is_burst")
+            photos, bursts = ~screen_a & ~screen_b, burst_a & burst_b
+            kinds = {
+                "same content": content, "same capture": ~content & capture, "different": ~content & ~capture,
+                "burst frames": photos & bursts, "different photographs": photos & ~bursts & ~capture,
+            }
+            for kind, mask in kinds.items():
+                i, j = np.nonzero(mask & counted)
+                if not len(i):
+                    continue
+                own = code[i, j]
+                cells[kind] = cells.get(kind, 0) + np.bincount(own, minlength=65 * 65)
+                # a few more than needed where the last place is shared, then the exact order
+                near = np.flatnonzero(own <= np.partition(own, min(closest, len(own)) - 1)[min(closest, len(own)) - 1])
+                one, two = left["item_id"].to_numpy()[i[near]], right["item_id"].to_numpy()[j[near]]
+                found = pd.DataFrame({"d": own[near] // 65, "p": own[near] % 65, "a": np.minimum(one, two), "b": np.maximum(one, two)})
+                best[kind] = pd.concat([best[kind], found] if kind in best else [found]).sort_values(["d", "p", "a", "b"]).head(closest)
         columns = ["kind", "d", "p", "pairs", "a", "b"]
+        out = [pd.DataFrame({"kind": kind, "d": (at := np.flatnonzero(n)) // 65, "p": at % 65, "pairs": n[at]}) for kind, n in cells.items()]
+        out += [found.assign(kind=kind) for kind, found in best.items()]
         if not out:
             return pd.DataFrame({c: pd.Series(dtype="object") for c in columns})
         return pd.concat(out, ignore_index=True).reindex(columns=columns).astype({"pairs": "Int64", "a": "Int64", "b": "Int64"})
 
-    needed = items.select("item_id", "content_hash", "stem", "is_burst", "is_screen_like", "dhash", "phash")
-    schema = "kind string, d bigint, p bigint, pairs bigint, a bigint, b bigint"
-    return block_pairs(needed, block_rows).groupBy("lo", "hi").applyInPandas(run, schema)
+    blocks = [block_col] if block_col else []
+    needed = items.select("item_id", "content_hash", "stem", "is_burst", "is_screen_like", "dhash", "phash", *blocks)
+    placed, keys = triangle(needed, block_col, tasks)
+    return _grouped(placed, keys, run, "kind string, d bigint, p bigint, pairs bigint, a bigint, b bigint")
 
 
 def histogram(distances: DataFrame) -> DataFrame:
@@ -307,48 +347,38 @@ def half_hold_out(items: DataFrame, epochs: int = 40) -> DataFrame:
 # --- cluster quality --------------------------------------------------------------------------------
 
 
-def cosine_spread(items: DataFrame, block_rows: int = 2000) -> DataFrame:
-    """Cosines within each app and between apps: n, min, upper median, max.
+def cosine_spread(items: DataFrame, block_col: str | None = None, tasks: int | None = None) -> DataFrame:
+    """Cosines within each app and between apps: n, min, upper median, max, in one pass over all pairs (of equal ``block_col``).
 
-    items: item_id, app, embedding. The exact median takes two passes over the block pairs: counts in
-    thousandths find its bin, then only that bin is counted at six decimals.
+    items: item_id, app, embedding, and ``block_col``. Tasks count the cosines in millionths, at most two million counters a
+    name; the median is read off their sums, coarse counters first.
     """
 
-    def cells(refine: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            left, right, counted = _sides(pdf)
-            unit = lambda part: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.stack(part["embedding"].to_numpy()).astype(np.float64))
-            cosine = unit(left) @ unit(right).T
+    def run(tiles) -> pd.DataFrame:
+        unit = lambda part: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.stack(part["embedding"].to_numpy()).astype(np.float64))
+        total = None
+        for left, right, same in tiles:
+            counted = left["item_id"].to_numpy()[:, None] < right["item_id"].to_numpy()[None, :] if same else np.ones((len(left), len(right)), dtype=bool)
+            value = (unit(left) @ unit(right).T)[counted]
             i, j = np.nonzero(counted)
-            value = cosine[i, j]
             apps = left["app"].to_numpy()[i]
-            same = apps == right["app"].to_numpy()[j]
-            frame = pd.DataFrame({"name": np.where(same, apps, "between"), "value": value, "bin": np.floor(value * 1000).astype(np.int64)})
-            if refine:
-                wanted = np.where(same, left["app_bin"].to_numpy()[i], left["between_bin"].to_numpy()[i])
-                frame = frame[frame["bin"] == wanted]
-                frame["bin"] = np.rint(frame["value"] * 1e6).astype(np.int64)
-            return frame.groupby(["name", "bin"], as_index=False).agg(n=("value", "size"), low=("value", "min"), high=("value", "max"))
-
-        return run
-
-    schema = "name string, bin bigint, n bigint, low double, high double"
-    needed = items.select("item_id", "app", "embedding")
-    coarse = materialize(block_pairs(needed, block_rows).groupBy("lo", "hi").applyInPandas(cells(False), schema), "cosine-bins")
+            frame = pd.DataFrame({"name": np.where(apps == right["app"].to_numpy()[j], apps, "between"), "bin": np.rint(value * 1e6).astype(np.int64), "value": value})
+            found = frame.groupby(["name", "bin"], as_index=False).agg(n=("value", "size"), low=("value", "min"), high=("value", "max"))
+            total = found if total is None else pd.concat([total, found]).groupby(["name", "bin"], as_index=False).agg({"n": "sum", "low": "min", "high": "max"})
+        return total if total is not None else pd.DataFrame(columns=["name", "bin", "n", "low", "high"]).astype({"bin": "int64", "n": "int64", "low": "float64", "high": "float64"})
+
+    placed, keys = triangle(items.select("item_id", "app", "embedding", *([block_col] if block_col else [])), block_col, tasks)
+    met = _grouped(placed, keys, run, "name string, bin bigint, n bigint, low double, high double")
+    fine = materialize(met.groupBy("name", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), "cosine-bins")
     w = Window.partitionBy("name")
-    bins = coarse.groupBy("name", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    bins = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
+    coarse = fine.groupBy("name", F.floor(F.col("bin") / 1000).alias("part")).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    coarse = coarse.withColumn("upto", F.sum("n").over(w.orderBy("part"))).withColumn("total", F.sum("n").over(w))
     middle = F.expr("total div 2")
-    target = bins.filter((F.col("upto") > middle) & (F.col("upto") - F.col("n") <= middle)).select("name", "bin", (middle - (F.col("upto") - F.col("n"))).alias("rank"))
-    target = materialize(target, "median-bins")
-    between = target.filter("name = 'between'").select("bin").first()
-    aimed = needed.join(target.select(F.col("name").alias("app"), F.col("bin").alias("app_bin")), "app", "left").select(
-        "item_id", "app", "embedding", F.coalesce("app_bin", F.lit(-9999)).alias("app_bin"), F.lit(between["bin"] if between else -9999).cast("bigint").alias("between_bin")
-    )
-    fine = block_pairs(aimed, block_rows).groupBy("lo", "hi").applyInPandas(cells(True), schema).groupBy("name", "bin").agg(F.sum("n").alias("n"))
-    fine = fine.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).join(target.select("name", "rank"), "name")
-    median = fine.filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank"))).select("name", (F.col("bin") / 1e6).alias("median"))
-    ends = bins.groupBy("name").agg(F.max("total").alias("n"), F.min("low").alias("min"), F.max("high").alias("max"))
+    target = coarse.filter((F.col("upto") > middle) & (F.col("upto") - F.col("n") <= middle)).select("name", "part", (middle - (F.col("upto") - F.col("n"))).alias("rank"))
+    inside = fine.withColumn("part", F.floor(F.col("bin") / 1000)).join(target, ["name", "part"]).select("name", "bin", "n", "rank")
+    inside = inside.withColumn("upto", F.sum("n").over(w.orderBy("bin")))
+    median = inside.filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank"))).select("name", (F.col("bin") / 1e6).alias("median"))
+    ends = coarse.groupBy("name").agg(F.max("total").alias("n"), F.min("low").alias("min"), F.max("high").alias("max"))
     return ends.join(median, "name").select("name", "n", "min", "median", "max")
 
 

@@ -216,7 +216,7 @@ def test_pair_distances_by_definition(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice("abcdefghij") * 3, f"s{rng.randrange(12)}", rng.random() < 0.3, rng.random() < 0.3, rng.getrandbits(63) & rng.getrandbits(63), rng.getrandbits(62)) for i in range(90)]
     df = spark.createDataFrame(rows, "item_id bigint, content_hash string, stem string, is_burst boolean, is_screen_like boolean, dhash bigint, phash bigint")
-    got = evaluate.pair_distances(df, closest=5, block_rows=25)
+    got = evaluate.pair_distances(df, closest=5, tasks=11)
     expected = []
     for a in rows:
         for b in rows:
@@ -237,7 +237,7 @@ def test_pair_distances_by_definition(spark):
 
 def test_cosine_spread_by_definition(spark):
     rows, items = planted(spark, groups=3, per_group=15, noise=0.5)
-    got = {r.name: r for r in evaluate.cosine_spread(items, block_rows=12).collect()}
+    got = {r.name: r for r in evaluate.cosine_spread(items, tasks=9).collect()}
     values = {}
     for a in rows:
         for b in rows:
@@ -286,3 +286,56 @@ def test_no_item_is_left_without_a_cluster(spark):
     placed = emb.leader_clusters(items, 0.93, ceiling=20)
     assert placed.count() == len(rows) and placed.filter("cluster < 0").isEmpty() and placed.select("cluster").distinct().count() == 50
     assert emb.overflow(placed, 20).first().overflow == 60
+
+
+@pytest.mark.parametrize("n, bits", [(1, 2), (2, 1), (13, 2), (40, 3), (40, 8)])
+def test_leave_one_out_learns_from_all_others_in_tree_order(spark, n, bits):
+    import hashlib
+
+    rng = np.random.default_rng(n)
+    rows = [(lib, i, rng.normal(size=5).tolist(), i % 3) for i in range(n) for lib in ((0, 1) if i < 5 else (0,))]
+    df = spark.createDataFrame(rows, "library_id bigint, item_id bigint, embedding array<double>, target int")
+    want = {}
+    for lib in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == lib), key=lambda r: (hashlib.md5(str(r[1]).encode()).hexdigest(), r[1]))
+        for p, held in enumerate(own):
+            order = sorted((q for q in range(len(own)) if q != p), key=lambda q: (-(p ^ q).bit_length(), q))
+            head, binary = heads.Softmax(5), heads.Logistic(5)
+            for q in order:
+                head.step(np.array(own[q][2]), own[q][3])
+                binary.step(np.array(own[q][2]), int(own[q][3] == 0))
+            x = np.array(held[2])
+            want[lib, held[1]] = (int(head.predict(x).argmax()) if order else -1, binary.score(x) if order else 0.5)
+    judged = evaluate.leave_one_out(df, "softmax", bits)
+    assert {(r.library_id, r.item_id): r.predicted for r in judged.collect()} == {k: v[0] for k, v in want.items()}
+    scored = evaluate.leave_one_out(df.withColumn("target", (F.col("target") == 0).cast("int")), "logistic", bits).collect()
+    assert all(r.score == pytest.approx(want[r.library_id, r.item_id][1], abs=1e-12) for r in scored) and len(scored) == len(rows)
+    named = {(r.library_id, r.target): (r.tested, r.right) for r in evaluate.each_cluster_named(judged).collect()}
+    assert all(tested >= 2 and right <= tested for tested, right in named.values())
+
+
+def test_triangle_copies_items_by_tasks_and_meets_every_pair_once(spark):
+    for n in (50, 900):
+        items = spark.range(n).withColumnRenamed("id", "item_id").withColumn("library", F.col("item_id") % 3)
+        placed, keys = evaluate.triangle(items, tasks=18)
+        assert placed.count() == 6 * n and keys == ["_lo", "_hi"]
+    placed, keys = evaluate.triangle(items, "library", tasks=18)
+    assert keys[0] == "library" and placed.count() == 2 * n  # a third of the buckets each
+
+    def met(tiles):
+        import pandas as pd
+
+        out = [(a, b) for left, right, same in tiles for i, a in enumerate(left["item_id"]) for j, b in enumerate(right["item_id"]) if not same or i < j]
+        return pd.DataFrame([(min(p), max(p)) for p in out], columns=["a", "b"]).astype("int64")
+
+    small = items.filter("item_id < 90")
+    placed, keys = evaluate.triangle(small, "library", tasks=18)
+    pairs = [(r.a, r.b) for r in evaluate._grouped(placed, keys, met, "a bigint, b bigint").collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in range(90) for b in range(a + 1, 90) if a % 3 == b % 3}
+
+
+def test_pair_distances_within_blocks(spark):
+    rows = [(i, f"c{i % 7}", f"s{i % 5}", i % 4 == 0, i % 6 == 0, (i * 2654435761) % 2**40, (i * 40503) % 2**40, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "item_id bigint, content_hash string, stem string, is_burst boolean, is_screen_like boolean, dhash bigint, phash bigint, library_id bigint")
+    total = evaluate.histogram(evaluate.pair_distances(df, block_col="library_id", tasks=9)).filter("kind in ('same content', 'same capture', 'different')").agg(F.sum("pairs")).first()[0]
+    assert total == 2 * (30 * 29 // 2)
