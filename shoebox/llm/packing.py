@@ -116,7 +116,6 @@ class Tokens(dict):
 
     def __init__(self, file: str):
         super().__init__()
-        self.missed: list[bytes] = []  # words asked for that are not known yet
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -139,29 +138,27 @@ class Tokens(dict):
         for word, got in zip(rest, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
             self[word] = np.array(got.ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        self.missed.append(word)
-        return b""
-
-    def of_texts(self, texts: list[str]) -> list[bytes]:
+    def of_texts(self, texts: list[str]) -> Iterator[bytes]:
         if len(self) > CACHE_WORDS:
             self.clear()
-        self.missed = []
-        one, out, again = self.__getitem__, [], []
-        for n, text in enumerate(texts):
-            before = len(self.missed)
+        get, found, gaps, missed = self.get, [], [], {}
+        for text in texts:
             words = text.encode("utf-8", "surrogatepass").split()
-            out.append(b"".join(map(one, words)))
-            if len(self.missed) > before:
-                again.append((n, words))
-        plain = {w: _plain(w) for w in dict.fromkeys(self.missed)}
-        self._learn(sorted({part for parts in plain.values() for part in parts}.difference(self)))
+            ids = list(map(get, words))
+            found.append(ids)
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                gaps.append((ids, at, words[at]))
+                missed[words[at]] = None
+        plain = {w: _plain(w) for w in missed}
+        self._learn([p for p in dict.fromkeys(p for parts in plain.values() for p in parts) if p not in self])
         for word, parts in plain.items():
-            if word not in self:
+            if len(parts) > 1 or parts[0] is not word:
                 self[word] = b"".join([self[part] for part in parts])
-        for n, words in again:
-            out[n] = b"".join(map(one, words))
-        return out
+        for ids, at, word in gaps:
+            ids[at] = self[word]
+        return map(b"".join, found)
 
 
 def _plain(word: bytes) -> tuple[bytes, ...]:
