@@ -15,11 +15,14 @@ def unclaimed_photos(image_rows: DataFrame, claimed: DataFrame) -> DataFrame:
     return image_rows.filter(~F.col("is_screen_like")).join(claimed.select("asset_id"), "asset_id", "left_anti")
 
 
-def time_runs(photos: DataFrame, window: float = 10.0, bound: int = 1_000_000) -> DataFrame:
-    """Adds ``run``: consecutive photos at most ``window`` seconds apart, or of one burst."""
-    columns = ["library_id", "asset_id", "creation_ts", "burst_id", "dhash", "phash"]
+def time_runs(photos: DataFrame, window: float | str = 10.0, bound: int = 1_000_000) -> DataFrame:
+    """Adds ``run``: consecutive photos at most ``window`` seconds apart, or of one burst. ``window`` may name a column of ``photos``, the same
+    for all rows of a library, which then stays.
+    """
+    columns = ["library_id", "asset_id", "creation_ts", "burst_id", "dhash", "phash", *([window] if isinstance(window, str) else [])]
     order = [F.col("creation_ts"), F.col("asset_id")]
-    gap_ok = F.unix_micros("creation_ts") - F.unix_micros("prev_creation_ts") <= int(round(window * 1e6))
+    allowed = F.round(F.col(window) * 1e6).cast("bigint") if isinstance(window, str) else F.lit(int(round(window * 1e6)))
+    gap_ok = F.unix_micros("creation_ts") - F.unix_micros("prev_creation_ts") <= allowed
     same_burst = F.coalesce(F.col("burst_id") == F.col("prev_burst_id"), F.lit(False))
     starts = ~F.coalesce(gap_ok | same_burst, F.lit(False))
     sequence = Sequence(photos.select(*columns), ["library_id"], order, "moments", bound)
@@ -27,25 +30,26 @@ def time_runs(photos: DataFrame, window: float = 10.0, bound: int = 1_000_000) -
     return runs.result().select(*columns, "run")
 
 
-def run_verdicts(runs: DataFrame, window: float = 10.0, span_factor: float = 6.0, max_size: int = 12, batch_share: float = 0.6) -> DataFrame:
+def run_verdicts(runs: DataFrame, window: float | str = 10.0, span_factor: float = 6.0, max_size: int = 12, batch_share: float = 0.6) -> DataFrame:
     """One row per run of two or more: size, guards and ``verdict``.
 
     vouched: one burst id throughout, exempt from the guards; span / size / batch: the guard
-    that rejects it; ok otherwise.
+    that rejects it; ok otherwise. ``window`` may name a column of ``runs``.
     """
+    allowed = F.max(window if isinstance(window, str) else F.lit(window)).alias("window")
     stamps = runs.groupBy("library_id", "run", "creation_ts").agg(
         F.count(F.lit(1)).alias("n"), F.count("burst_id").alias("bursts"),
-        F.min("burst_id").alias("low"), F.max("burst_id").alias("high"), F.min("asset_id").alias("first_id"),
+        F.min("burst_id").alias("low"), F.max("burst_id").alias("high"), F.min("asset_id").alias("first_id"), allowed,
     )
     per_run = stamps.groupBy("library_id", "run").agg(
         F.sum("n").alias("members"), F.sum("bursts").alias("bursts"), F.min("low").alias("low"), F.max("high").alias("high"),
         F.min("creation_ts").alias("first_ts"), F.max("creation_ts").alias("last_ts"),
-        F.max("n").alias("same_stamp"), F.min("first_id").alias("first_id"),
+        F.max("n").alias("same_stamp"), F.min("first_id").alias("first_id"), F.max("window").alias("window"),
     )
     span = (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / F.lit(1e6)
     verdict = (
         F.when((F.col("bursts") == F.col("members")) & (F.col("low") == F.col("high")), "vouched")
-        .when(span > window * span_factor, "span")
+        .when(span > F.col("window") * span_factor, "span")
         .when(F.col("members") > max_size, "size")
         .when((F.col("members") >= 3) & (F.col("same_stamp") / F.col("members") > batch_share), "batch")
         .otherwise("ok")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoebox.functions.fixed import GRACE_DAYS, HEAD_ONLY, TIERS
 from shoebox.operators.distributed import Sequence, numbered, top_k
 from shoebox.operators.keepers import discardable
+from shoebox.operators.settings import grace_days
 
 DECISIONS = ("delete", "keepOnce", "whitelist")
 
@@ -91,7 +92,9 @@ def session_counters(resolved: DataFrame, session: list[str]) -> DataFrame:
 
 
 def with_deadline(pending: DataFrame, grace: str = "oneWeek") -> DataFrame:
-    return pending.withColumn("execute_after", F.col("marked_at") + F.expr(f"interval {GRACE_DAYS[grace]} days"))
+    """Adds ``execute_after``. ``grace`` is the setting for all, or the name of a column that holds each library's."""
+    days = grace_days(grace) if grace in pending.columns else F.lit(GRACE_DAYS[grace])
+    return pending.withColumn("execute_after", F.col("marked_at") + F.make_interval(days=days.cast("int")))
 
 
 def due_items(pending: DataFrame, now: str, keys: list[str]) -> DataFrame:

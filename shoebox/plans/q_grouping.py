@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions import scalars
-from shoebox.operators import copies, keepers, moments
+from shoebox.operators import copies, keepers, moments, settings
 from shoebox.operators.distributed import attach
 from shoebox.plans import scan
 from shoebox.plans.registry import query
@@ -116,6 +116,26 @@ def strictness(lib: Library) -> DataFrame:
     return out
 
 
+@query("mom2_settings", """
+, p as (select *, (asset_id // 20) % 3 as lib, case (asset_id // 20) % 3 when 0 then 40.0::double when 1 then 22.5::double else 10.0::double end as win
+ from images where not is_screen_like and asset_id not in (select asset_id from copy_members)),
+r as (select *, sum(case when keep then 0 else 1 end) over (partition by lib order by creation_ts, asset_id rows unbounded preceding)::bigint as run from
+ (select *, coalesce((epoch_us(creation_ts) - epoch_us(lag(creation_ts) over o)) / 1e6 <= win, false) or coalesce(burst_id = lag(burst_id) over o, false) as keep
+  from p window o as (partition by lib order by creation_ts, asset_id)))
+select lib::bigint as library_id, first_id, members, case when bursts = members and n_bursts = 1 then 'vouched' when span > win * 6 then 'span' when members > 12 then 'size'
+ when members >= 3 and same_stamp::double / members > 0.6 then 'batch' else 'ok' end as verdict
+from (select lib, run, max(win) as win, count(*) as members, count(burst_id) as bursts, count(distinct burst_id) as n_bursts, min(asset_id) as first_id,
+  (epoch_us(max(creation_ts)) - epoch_us(min(creation_ts))) / 1e6 as span from r group by lib, run having count(*) > 1)
+join (select lib, run, max(n) as same_stamp from (select lib, run, creation_ts, count(*) as n from r group by all) group by all) using (lib, run)
+""", ("images", "copy_members"))
+def moments_by_settings(lib: Library) -> DataFrame:
+    """Three libraries in one job, one loose, one between, one without settings."""
+    photos = moments.unclaimed_photos(scan.image_rows(lib), scan.copy_members(lib)).withColumn("library_id", F.floor(F.col("asset_id") / 20) % 3)
+    given = lib.spark.createDataFrame([(0, 0.0), (1, 0.5), (2, None)], "library_id bigint, strictness double")
+    photos = settings.with_settings(photos, given, strictness=6 / 7).withColumn("moment_window", settings.moment_window())
+    return moments.run_verdicts(moments.time_runs(photos, "moment_window"), "moment_window").select("library_id", "first_id", "members", "verdict")
+
+
 @query("mom3", "select first_id, members from run_verdicts where verdict = 'vouched'", ("run_verdicts",))
 def vouched(lib: Library) -> DataFrame:
     return scan.verdicts(lib).filter("verdict = 'vouched'").select("first_id", "members")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.operators import queue
+from shoebox.operators import queue, settings
 from shoebox.plans import scan
 from shoebox.plans.duck_views import view
 from shoebox.plans.registry import query
@@ -41,6 +41,12 @@ def open_candidates(lib: Library) -> DataFrame:
     return queue.open_candidates(lib.candidates(), pending_ids(lib), scan.protected(lib), keep_always(lib))
 
 
+def graces(lib: Library) -> DataFrame:
+    """Grace settings of two thirds of the libraries."""
+    ids = lib.decisions().select("library_id").distinct()
+    return ids.filter("library_id % 3 < 2").select("library_id", F.when(F.col("library_id") % 3 == 0, "oneMonth").otherwise("immediate").alias("grace"))
+
+
 def with_priority(rows: DataFrame) -> DataFrame:
     return rows.withColumn("priority", queue.priority(F.col("confidence"), F.col("byte_size")))
 
@@ -91,6 +97,15 @@ def deadlines(lib: Library) -> DataFrame:
     return queue.with_deadline(month, "oneWeek").select("library_id", "asset_id", "bytes", F.col("execute_after").alias("week"), "month")
 
 
+@query("dec4_settings", """
+select library_id, asset_id, bytes, marked_at + case library_id % 3 when 0 then interval 30 day when 1 then interval 0 day else interval 7 day end as execute_after from pending
+""", ("pending",))
+def deadlines_by_settings(lib: Library) -> DataFrame:
+    """A month for some libraries, none for others, the default for those without settings."""
+    rows = settings.with_settings(pending(lib), graces(lib), grace="oneWeek")
+    return queue.with_deadline(rows, "grace").select("library_id", "asset_id", "bytes", "execute_after")
+
+
 @query("dec5", """
 select library_id, asset_id, bytes, row_number() over (order by marked_at, library_id, asset_id) as position
 from pending where marked_at + interval 7 day <= timestamp '2024-01-25 00:00:00'

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions import fixed
-from shoebox.operators import copies, moments
-from shoebox.plans import scan
+from shoebox.operators import copies, moments, settings
+from shoebox.plans import q_queue, scan
 from shoebox.plans.registry import query
 from shoebox.session import fresh_path
 from shoebox.sources import catalog, derived
@@ -88,6 +88,21 @@ def deadlines(lib: Library) -> DataFrame:
     return _run(lib, jobs.pending_deadlines(_decisions(lib)), "deadlines")
 
 
+DUE_BY_LIBRARY = "case library_id % 3 when 0 then interval 30 day when 1 then interval 0 day else interval 7 day end"
+
+
+@query("str4_settings", f"""
+, effects as (select library_id, asset_id, ts as at_ts, event_id as seq, action = 'delete' as marks, bytes, ts + {DUE_BY_LIBRARY} as due from resolved
+ union all select library_id, asset_id, undone_at, undo_event_id, false, bytes, null from resolved where undone and action = 'delete'),
+d as (select *, lead(at_ts) over (partition by library_id, asset_id order by at_ts, seq) as next_ts from effects),
+mark as (select max(ts) - interval 1 hour as w from decisions where action in ('delete', 'keepOnce', 'whitelist', 'undo'))
+select library_id, asset_id, at_ts as marked_at, bytes, due as execute_after from d cross join mark where marks and due <= w and (next_ts is null or due < next_ts)
+""", ("resolved", "decisions"))
+def deadlines_by_settings(lib: Library) -> DataFrame:
+    """The grace is each library's own; the settings are a table beside the stream."""
+    return _run(lib, jobs.pending_deadlines(settings.with_settings(_decisions(lib), q_queue.graces(lib), grace="oneWeek"), "grace"), "own-deadlines")
+
+
 @query("str5", "select asset_id, dhash, phash from fingerprints", ("fingerprints",))
 def resumable(lib: Library) -> DataFrame:
     """The fingerprint scan as a stream, started twice on one checkpoint: the second run finds nothing to do."""
@@ -124,6 +139,20 @@ def sessions(lib: Library) -> DataFrame:
     return _run(lib, jobs.burst_sessions(_decisions(lib).select("library_id", "ts"), "6 hours"), "sessions")
 
 
+@query("str7_settings", """
+, s as (select *, 2 + library_id % 5 as hours from decisions),
+g as (select *, case when ts - lag(ts) over w <= to_hours(hours::int) then 0 else 1 end as starts from s window w as (partition by library_id order by ts, event_id)),
+r as (select library_id, ts, hours, sum(starts) over (partition by library_id order by ts, event_id rows unbounded preceding) as run from g)
+select library_id, min(ts) as started, max(ts) + to_hours(max(hours)::int) as ended, count(*) as members from r group by library_id, run
+having max(ts) + to_hours(max(hours)::int) <= (select max(ts) - interval 1 hour from decisions)
+""", ("decisions",))
+def sessions_by_settings(lib: Library) -> DataFrame:
+    """Every library with a gap of its own."""
+    given = lib.decisions().select("library_id").distinct().select("library_id", ((F.col("library_id") % 5 + 2) * 3600).alias("gap"))
+    arrivals = settings.with_settings(_decisions(lib).select("library_id", "ts"), given, gap=10)
+    return _run(lib, jobs.burst_sessions(arrivals, "gap"), "own-sessions")
+
+
 @query("str8", """
 select run_date, count(*) as items, sum(bytes)::bigint as bytes from deletion_items where run_date < (select (max(ts) - interval 1 hour)::date from events where event_type = 'purchase') group by run_date
 """, ("deletion_items",))

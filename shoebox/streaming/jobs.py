@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from shoebox.functions.fixed import GRACE_DAYS
-from shoebox.operators import heads, queue
+from shoebox.operators import heads, queue, settings
 from shoebox.operators.distributed import latest
 from shoebox.operators.heads import Logistic
 from shoebox.session import materialize
@@ -164,17 +164,14 @@ class PendingQueue(StatefulProcessor):
     """Per library: what is marked, when it falls due, and the stack that an undo pops.
 
     Rows wait in a list until the watermark has passed them and are then applied in the order (ts, event_id), whatever batches they came in.
-    The grace is the same for all marks of a library, so marks fall due in the order they were made: a queue, numbered
+    The grace is a setting of the library, the same for all its marks, so they fall due in the order they were made: a queue, numbered
     from ``head`` to ``tail``, whose entries count only while their asset's mark is still theirs. The stack is kept by depth. Push, pop and expiry
     each touch one entry; one timer waits for the next row and one for the head of the queue.
     """
 
-    ROW = "ts bigint, event_id bigint, asset_id bigint, action string, bytes bigint"
+    ROW = "ts bigint, event_id bigint, asset_id bigint, action string, bytes bigint, grace bigint"
     OUTPUT = "library_id bigint, asset_id bigint, marked_at timestamp, bytes bigint, execute_after timestamp"
 
-    def __init__(self, grace_days: int):
-        self.grace = grace_days * 86_400_000_000
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.ROW)
@@ -187,7 +184,7 @@ class PendingQueue(StatefulProcessor):
         first = None
         for pdf in rows:
             micros = pdf["ts"].astype("datetime64[us]").astype("int64")
-            self.waiting.appendList([tuple(r) for r in zip(micros.tolist(), *(pdf[c].tolist() for c in ("event_id", "asset_id", "action", "bytes")), strict=True)])
+            self.waiting.appendList([tuple(r) for r in zip(micros.tolist(), *(pdf[c].tolist() for c in ("event_id", "asset_id", "action", "bytes", "grace")), strict=True)])
             first = int(micros.min()) if first is None else min(first, int(micros.min()))
         if first is not None:
             self.handle.registerTimer(_millis(first))
@@ -204,17 +201,17 @@ class PendingQueue(StatefulProcessor):
         def expire(before: int) -> int:
             """Takes what falls due before ``before`` off the queue."""
             at = head
-            while at < tail and (entry := line[at])[0] + self.grace < before:
-                ts, event, asset, _, size = entry
+            while at < tail and (entry := line[at])[0] + entry[5] < before:
+                ts, event, asset, _, size, grace = entry
                 if marks[asset] == (event,):
-                    due.append((key[0], asset, pd.Timestamp(ts, unit="us"), size, pd.Timestamp(ts + self.grace, unit="us")))
+                    due.append((key[0], asset, pd.Timestamp(ts, unit="us"), size, pd.Timestamp(ts + grace, unit="us")))
                     marks[asset] = None
                 line[at] = None
                 at += 1
             return at
 
         for row in ready:
-            ts, event, asset, action, _ = row
+            ts, event, asset, action, *_ = row
             head = expire(ts)  # a decision exactly at a deadline is in time
             if action == "undo":
                 if depth:
@@ -239,7 +236,7 @@ class PendingQueue(StatefulProcessor):
         if later:
             self.handle.registerTimer(_millis(min(r[0] for r in later)))
         if head < tail:
-            self.handle.registerTimer(_millis(line[head][0] + self.grace))
+            self.handle.registerTimer(_millis(line[head][0] + line[head][5]))
         yield self._frame(due)
 
     @staticmethod
@@ -280,15 +277,19 @@ def _millis(micros: int) -> int:
 
 
 def pending_deadlines(decisions: DataFrame, grace: str = "oneWeek", delay: str = "1 hour") -> DataFrame:
-    """Stream of decisions (library_id, event_id, asset_id, ts, action, bytes) to the items whose grace period ended.
+    """Stream of decisions (library_id, event_id, asset_id, ts, action, bytes) to the items whose grace period ended. ``grace`` is the setting for
+    all, or the name of a column that holds each library's.
 
     A delete waits out its grace unless a keep, a whitelist, a new delete or its undo comes first. An undo takes back the library's last decision that still
     stands; undoing a keep marks nothing again, and undoing a delete that was carried out changes nothing. A decision exactly at
     the deadline counts as in time. Rows behind the watermark are dropped. The rows do not depend on how the events are cut into batches.
     """
-    made = decisions.filter(F.col("action").isin(*queue.DECISIONS, "undo")).withWatermark("ts", delay)
-    return made.select("library_id", "event_id", "asset_id", "ts", "action", F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes")).groupBy("library_id").transformWithStateInPandas(
-        statefulProcessor=PendingQueue(GRACE_DAYS[grace]), outputStructType=PendingQueue.OUTPUT, outputMode="Append", timeMode="EventTime"
+    days = settings.grace_days(grace) if grace in decisions.columns else F.lit(GRACE_DAYS[grace])
+    made = decisions.filter(F.col("action").isin(*queue.DECISIONS, "undo")).withWatermark("ts", delay).select(
+        "library_id", "event_id", "asset_id", "ts", "action", F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"), (days.cast("bigint") * 86_400_000_000).alias("grace")
+    )
+    return made.groupBy("library_id").transformWithStateInPandas(
+        statefulProcessor=PendingQueue(), outputStructType=PendingQueue.OUTPUT, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -296,8 +297,11 @@ def pending_deadlines(decisions: DataFrame, grace: str = "oneWeek", delay: str =
 
 
 def burst_sessions(arrivals: DataFrame, gap: str = "10 seconds", delay: str = "1 hour") -> DataFrame:
-    """Arriving assets in runs at most ``gap`` apart; rows behind the watermark are dropped and counted by Spark."""
-    runs = arrivals.withWatermark("ts", delay).groupBy("library_id", F.session_window("ts", gap).alias("run"))
+    """Arriving assets in runs at most ``gap`` apart; rows behind the watermark are dropped and counted by Spark. ``gap`` is a time for all, or
+    the name of a column with seconds, the same for all rows of a library.
+    """
+    within = F.make_interval(secs=F.col(gap).cast("decimal(18, 6)")) if gap in arrivals.columns else gap
+    runs = arrivals.withWatermark("ts", delay).groupBy("library_id", F.session_window("ts", within).alias("run"))
     return runs.agg(F.count(F.lit(1)).alias("members")).select("library_id", F.col("run.start").alias("started"), F.col("run.end").alias("ended"), "members")
 
 

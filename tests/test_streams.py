@@ -7,7 +7,7 @@ import pytest
 from conftest import SF, START
 from pyspark.sql import functions as F
 
-from shoebox.operators import heads
+from shoebox.operators import heads, moments, settings
 from shoebox.plans import q_learning, q_streams
 from shoebox.sources import derived
 from shoebox.streaming import jobs, metrics
@@ -113,6 +113,36 @@ def test_pending_queue_honours_undo_however_batches_are_cut(spark, tmp_path, cut
         assert sorted(got) == sorted(want) and len(want) > 3 and not any(r[0] == 50 for r in want)
 
 
+def test_each_library_waits_its_own_grace(spark, tmp_path):
+    schema = "library_id bigint, event_id bigint, ts timestamp, asset_id bigint, action string, bytes bigint"
+    rows = [(lib, 10 * lib + i, START + timedelta(days=i), i, "delete", i) for lib in (0, 1, 2) for i in range(9)] + [(9, 99, START + timedelta(days=40), 0, "keepOnce", 0)]
+    given = spark.createDataFrame([(0, "oneDay"), (1, "oneMonth"), (2, None)], "library_id bigint, grace string")
+    write(spark, rows, schema, tmp_path, 1)
+    out = run(spark, tmp_path, lambda s: jobs.pending_deadlines(settings.with_settings(s, given, grace="oneWeek"), "grace"))
+    days = {0: 1, 1: 30, 2: 7}
+    got = {(r.library_id, r.asset_id): r.execute_after for r in out.collect()}
+    assert got == {(lib, i): START + timedelta(days=i + days[lib]) for lib in days for i in range(9)}
+
+
+@pytest.mark.parametrize("cuts", [1, 3])
+def test_sessions_and_batch_runs_agree_for_libraries_of_other_strictness(spark, tmp_path, cuts):
+    rng = random.Random(3)
+    shots = sorted((lib, i, START + timedelta(seconds=rng.randrange(4000))) for lib in range(3) for i in range(120))
+    given = spark.createDataFrame([(0, 0.0), (1, 1.0)], "library_id bigint, strictness double")
+    shots.sort(key=lambda r: r[2])
+    rows = [(lib, 100 * lib + i, at, None, 0, 0) for lib, i, at in shots]
+    schema = "library_id bigint, asset_id bigint, creation_ts timestamp, burst_id string, dhash bigint, phash bigint"
+    photos = settings.with_settings(spark.createDataFrame(rows, schema), given, strictness=6 / 7).withColumn("window", settings.moment_window())
+    batch = moments.time_runs(photos, "window").groupBy("library_id", "run").agg(F.min("creation_ts"), F.count(F.lit(1))).collect()
+    for n in range(cuts):
+        write(spark, [r for r in rows[n::cuts]] if cuts == 1 else rows[n * 120 : (n + 1) * 120], schema, tmp_path, n)
+    write(spark, [(8, 1, START + timedelta(days=3), None, 0, 0)], schema, tmp_path, 90)
+    paced = lambda s: settings.with_settings(s, given, strictness=6 / 7).select("library_id", F.col("creation_ts").alias("ts"), settings.moment_window().alias("window"))
+    out = run(spark, tmp_path, lambda s: jobs.burst_sessions(paced(s), "window")).filter("library_id < 8").collect()
+    assert sorted((r.library_id, r.started, r.members) for r in out) == sorted((r[0], r[2], r[3]) for r in batch)
+    assert len({sum(r.library_id == lib for r in out) for lib in range(3)}) == 3
+
+
 def test_candidates_once_over_batches(spark, tmp_path):
     schema = "library_id bigint, asset_id bigint, ts timestamp"
     for n, ids in enumerate([(1, 2, 2), (2, 3), (1,)]):
