@@ -124,6 +124,9 @@ class Sequence:
     def running_min(self, value: str, out: str) -> "Sequence":
         return self._running(value, out, F.min, F.least)
 
+    def running_max(self, value: str, out: str) -> "Sequence":
+        return self._running(value, out, F.max, F.greatest)
+
     def size(self, out: str) -> "Sequence":
         """Adds the number of rows of the key."""
         if not self.sliced:

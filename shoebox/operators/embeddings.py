@@ -6,14 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from shoebox.functions import fixed, vectors
-from shoebox.operators.distributed import attach
+from shoebox.operators.distributed import attach, top_k
 from shoebox.session import materialize
 
 MERGE_THRESHOLD = 0.93
@@ -21,6 +19,8 @@ LABEL_THRESHOLD = 0.90
 MAX_CLUSTERS = 400
 TEAM, CHUNK = 4096, 4096  # items and centroids of one block of the label match
 
+MAP_PART = 50_000  # items whose products one task adds up
+
 # Shape, generator seed and shifts of the projection matrix.
 PROJECTED, FULL = 64, 768
 XORSHIFT_SEED = 0x9E3779B97F4A7C15
@@ -346,34 +346,70 @@ def mean_vectors(items: DataFrame, keys: list[str]) -> DataFrame:
     return added.select(*keys, F.transform(total, lambda x: x / F.col("n")).alias("mean"))
 
 
-def pca_plane(items: DataFrame, iterations: int = 40) -> DataFrame:
-    """Adds ``px`` and ``py``: coordinates on the two leading principal axes.
+def pca_plane(items: DataFrame, iterations: int = 40, keys: tuple[str, ...] = ("library_id",), part: int = MAP_PART) -> DataFrame:
+    """Adds ``px`` and ``py``: coordinates on the two leading principal axes of the item's library (of all items, if ``items`` has none of ``keys``).
 
-    The covariance (dimension x dimension, whatever the row count) is aggregated by Spark; the
-    power iterations run on it from a fixed start, so the map does not reshuffle. Fewer
-    than three rows give zeros.
+    A library's items are dealt into parts of about ``part``, whose sums and products stream into one matrix per part. The rows
+    of those matrices are added up by number, so what a task gathers is one row of each part; a library's matrix (dimension x dimension, whatever
+    the number of items) then gets its power iterations, from a fixed start, so the map does not reshuffle. Vectors of other lengths, and
+    libraries with fewer than three items, have zeros.
     """
-    rows = items.withColumn("_vector", array_to_vector("embedding"))
-    summary = rows.agg(F.count(F.lit(1)).alias("n"), Summarizer.metrics("mean", "std").summary(F.col("_vector")).alias("s")).first()
-    if summary["n"] < 3:
-        return items.withColumn("px", F.lit(0.0)).withColumn("py", F.lit(0.0))
-    mean, std = summary["s"]["mean"].toArray(), summary["s"]["std"].toArray()
-    correlation = Correlation.corr(rows.select("_vector"), "_vector").first()[0].toArray()
-    covariance = np.nan_to_num(correlation) * np.outer(std, std)
-    unit = lambda x: x / n if (n := np.linalg.norm(x)) > 0 else x
-    axes: list[np.ndarray] = []
-    for _ in range(2):
-        x = unit(np.sin(np.arange(len(mean)) * 0.7) + 0.31)
-        for _ in range(iterations):
-            y = covariance @ x
-            for a in axes:
-                y = y - (y @ a) * a
-            x = unit(y)
-        axes.append(x)
-    plane, shift = np.stack(axes, axis=1), mean @ np.stack(axes, axis=1)
-
-    @F.pandas_udf("struct<px: double, py: double>")
-    def place(v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_matrix(v) @ plane - shift, columns=["px", "py"])
-
-    return items.withColumn("_p", place("embedding")).select(*items.columns, "_p.px", "_p.py")
+    whose = [k for k in keys if k in items.columns]
+    rows = items.withColumn("_dim", F.coalesce(F.size("embedding"), F.lit(-1)))
+    group = [*whose, "_dim"]
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    parts = sizes.filter("_dim > 0").withColumn("_parts", F.ceil(F.col("_n") / part).cast("int"))
+    dealt = attach(rows.select(*group, "embedding"), parts, group, "_n").withColumn("_part", F.pmod(F.xxhash64("embedding"), F.col("_parts")).cast("int"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*group).schema)
+
+    def products(key, batches):
+        n, total, square = 0, 0.0, 0.0
+        for pdf in batches:
+            block = _matrix(pdf["embedding"])
+            n, total, square = n + len(block), total + block.sum(axis=0), square + block.T @ block
+        out = pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "n": n, "total": total, "line": list(square)})
+        for at, name in enumerate(group):
+            out.insert(at, name, key[at])
+        yield out
+
+    def add(key, batches):
+        n, total, line = 0, 0.0, 0.0
+        for pdf in batches:
+            n, total, line = n + int(pdf["n"].sum()), total + pdf["total"].sum(), line + _matrix(pdf["line"]).sum(axis=0)
+        yield pd.DataFrame([(*key, n, total, line)], columns=[*group, "i", "n", "total", "line"])
+
+    def axes(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        n, mean = int(pdf["n"].iloc[0]), pdf["total"].to_numpy() / pdf["n"].iloc[0]
+        found = []
+        if n >= 3:
+            covariance = _matrix(pdf["line"]) / n - np.outer(mean, mean)
+            unit = lambda x: x / size if (size := np.linalg.norm(x)) > 0 else x
+            for _ in range(2):
+                x = unit(np.sin(np.arange(len(mean)) * 0.7) + 0.31)
+                for _ in range(iterations):
+                    y = covariance @ x
+                    for a in found:
+                        y = y - (y @ a) * a
+                    x = unit(y)
+                found.append(x)
+        out = pdf[group].head(1).copy()
+        for name in ("x", "y"):
+            out[f"_{name}"] = [found.pop(0)] if found else None
+        out["_mean"] = [mean]
+        return out
+
+    for fn in (products, add):
+        fn.__annotations__ = {"key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    lines = dealt.groupBy(*group, "_part").applyInPandas(products, f"{kinds}, i int, n bigint, total double, line array<double>")
+    summed = lines.groupBy(*group, "i").applyInPandas(add, f"{kinds}, i int, n bigint, total double, line array<double>")
+    plane = summed.groupBy(*group).applyInPandas(axes, f"{kinds}, _x array<double>, _y array<double>, _mean array<double>")
+    per_library = sizes.join(plane, group, "left")
+    offset = F.zip_with("embedding", "_mean", lambda v, m: v - m)
+    placed = attach(rows, per_library, group, "_n").withColumn("_offset", offset)
+    return placed.select(*items.columns, *[F.when(F.col(f"_{a}").isNotNull(), vectors.dot("_offset", f"_{a}")).otherwise(0.0).alias(f"p{a}") for a in "xy"])
+
+
+def map_sample(seen: DataFrame, size: int = 600) -> DataFrame:
+    """The first ``size`` items of each library in scan order (newest first, then by id), numbered ``nth``: what the map shows."""
+    return top_k(seen, ["library_id"], [F.desc("creation_ts"), F.col("asset_id")], size, "nth")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoebox.operators.asof import as_of
 from shoebox.functions.fixed import CATEGORIES
 from shoebox.operators.distributed import latest, top_k
 
@@ -80,18 +81,15 @@ def daily_totals(run_rows: DataFrame, today: str, days: int | None = 30) -> Data
 
 
 def nearest_reading(moments: DataFrame, readings: DataFrame, ts: str = "ts") -> DataFrame:
-    """Adds the reading closest in time (ties: the earlier one).
-
-    ``readings`` are those ``daily_readings`` keeps, at most a few hundred per library, so each
-    library's become one short array and no pair of rows is ever formed.
-    """
-    listed = readings.groupBy("library_id").agg(F.collect_list(F.struct(F.col("ts").alias("reading_ts"), F.col("bytes").alias("reading_bytes"))).alias("_readings"))
-    distance = F.array_min(F.transform("_readings", lambda r: F.struct(
-        F.abs(F.unix_micros(r["reading_ts"]) - F.unix_micros(ts)).alias("gap"), r["reading_ts"].alias("reading_ts"), r["reading_bytes"].alias("reading_bytes")
-    )))
-    return moments.join(listed, "library_id", "left").withColumn("_near", distance).select(
-        *moments.columns, F.col("_near.reading_ts").alias("reading_ts"), F.col("_near.reading_bytes").alias("reading_bytes")
-    )
+    """Adds the reading closest in time (ties: the earlier one; of readings at one time, the least bytes), nulls where there is none."""
+    once = readings.groupBy("library_id", "ts").agg(F.min("bytes").alias("bytes"))
+    found = moments
+    for name, forward in (("before", False), ("after", True)):
+        known = once.select("library_id", "ts", F.struct(F.col("ts").alias("ts"), "bytes").alias(f"_{name}"))
+        found = as_of(found, known.withColumnRenamed("ts", "_at"), ["library_id"], ts, "_at", [f"_{name}"], forward, f"reading-{name}")
+    gap = lambda side: F.abs(F.unix_micros(f"_{side}.ts") - F.unix_micros(ts))
+    near = F.when(F.col("_after").isNull() | (gap("before") <= gap("after")), F.col("_before")).otherwise(F.col("_after"))
+    return found.withColumn("_near", near).select(*moments.columns, F.col("_near.ts").alias("reading_ts"), F.col("_near.bytes").alias("reading_bytes"))
 
 
 def net_change(readings: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions.fixed import GRACE_DAYS, HEAD_ONLY, TIERS
+from shoebox.operators.asof import as_of
 from shoebox.operators.distributed import Sequence, numbered, top_k
 from shoebox.operators.keepers import discardable
 from shoebox.operators.settings import grace_days
@@ -97,6 +98,15 @@ def with_deadline(pending: DataFrame, grace: str = "oneWeek") -> DataFrame:
     return pending.withColumn("execute_after", F.col("marked_at") + F.make_interval(days=days.cast("int")))
 
 
+def category_at_mark(pending: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
+    """``pending`` with the ``category`` each item had when it was marked: the last of ``named`` (keys, named_at, seq, category) at or before
+    the mark, "other" if there is none. What an item is called later does not change it.
+    """
+    known = named.select(*keys, "named_at", F.struct("seq", "category").alias("_named"))
+    found = as_of(pending, known, keys, "marked_at", "named_at", ["_named"], name="category-at-mark")
+    return found.select(*pending.columns, F.coalesce("_named.category", F.lit("other")).alias("category"))
+
+
 def due_items(pending: DataFrame, now: str, keys: list[str]) -> DataFrame:
     """Items whose grace ended by ``now``, numbered oldest mark first."""
     due = pending.filter(F.col("execute_after") <= F.lit(now).cast("timestamp"))

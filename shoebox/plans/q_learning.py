@@ -201,9 +201,36 @@ def policies(lib: Library) -> DataFrame:
     return emb.label_policies(edits)
 
 
-@query("emb9")
+def plane_sql(library: str) -> str:
+    """The map by recursion: 40 power steps per axis on each library's covariance."""
+    step = "list_transform(c, lambda row: list_dot_product(row, v))"
+    return f"""
+, rows as (select {library} as lib, item_id, app, e from items),
+counts as (select lib, count(*) as n from rows group by lib),
+means as (select lib, list(m order by i) as mean from (select lib, i, avg(e[i + 1]) as m from rows cross join range(64) t(i) group by lib, i) group by lib),
+cov as (select lib, list(line order by i) as c from (select lib, i, list(p - mean[i + 1] * mean[j + 1] order by j) as line from
+ (select lib, i, j, avg(e[i + 1] * e[j + 1]) as p from rows cross join range(64) a(i) cross join range(64) b(j) group by lib, i, j) join means using (lib) group by lib, i) group by lib),
+start as (select list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) as v0 from (select list_transform(range(64), lambda i: sin(i * 0.7::double) + 0.31::double) as s)),
+first as (select lib, c, v0 as v, 0 as k from cov cross join start
+ union all select lib, c, list_transform(y, lambda t: t / sqrt(list_dot_product(y, y))), k + 1 from (select lib, c, k, {step} as y from first where k < 40)),
+second as (select lib, c, a, v0 as v, 0 as k from (select lib, c, v as a from first where k = 40) cross join start
+ union all select lib, c, a, list_transform(z, lambda t: t / sqrt(list_dot_product(z, z))), k + 1 from
+  (select lib, c, a, k, list_transform(range(64), lambda i: y[i + 1] - list_dot_product(y, a) * a[i + 1]) as z from (select lib, c, a, k, {step} as y from second where k < 40)))
+select lib as library_id, item_id, app, round(list_dot_product(d, a), 6) as px, round(list_dot_product(d, v), 6) as py from
+ (select r.*, s.a, s.v, list_transform(range(64), lambda i: e[i + 1] - mean[i + 1]) as d from rows r join second s on s.lib = r.lib and s.k = 40 join means m on m.lib = r.lib)
+"""
+
+
+@query("emb9", plane_sql("library_id").replace("select lib as library_id, item_id", "select item_id"), ("items",))
 def plane(lib: Library) -> DataFrame:
-    return emb.pca_plane(items(lib).select("item_id", "app", "embedding")).select("item_id", "app", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
+    return emb.pca_plane(items(lib)).select("item_id", "app", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
+
+
+@query("emb9_libraries", plane_sql("item_id % 3"), ("items",))
+def planes(lib: Library) -> DataFrame:
+    """Three libraries, each with a plane of its own, their sums taken in parts of 50 items."""
+    dealt = items(lib).withColumn("library_id", F.col("item_id") % 3)
+    return emb.pca_plane(dealt, part=50).select("library_id", "item_id", "app", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
 
 
 @query("emb10", """
@@ -212,14 +239,11 @@ select asset_id, nth, if(label % 4 = 0, app, null) as label from (select s.asset
 """, ("screens", "vectors"))
 def map_sample(lib: Library) -> DataFrame:
     from shoebox.functions import scalars
-    from shoebox.operators.distributed import numbered
 
-    screens = lib.assets().filter(scalars.is_screen_like()).select("asset_id", "creation_ts")
+    screens = lib.assets().filter(scalars.is_screen_like()).select("library_id", "asset_id", "creation_ts")
     seen = screens.join(lib.vectors().filter("revision = 2").select(F.col("vec_id").alias("asset_id"), "app", "label"), "asset_id")
-    # the sample is the feature: the first 600 in scan order
-    first = seen.orderBy(F.desc("creation_ts"), "asset_id").limit(600)
-    ranked = numbered(first, [], [F.desc("creation_ts"), F.col("asset_id")], "nth", "map-sample")
-    return ranked.select("asset_id", "nth", F.when(F.col("label") % 4 == 0, F.col("app")).alias("label"))
+    first = emb.map_sample(seen, 600)
+    return first.select("asset_id", F.col("nth").cast("bigint").alias("nth"), F.when(F.col("label") % 4 == 0, F.col("app")).alias("label"))
 
 
 @query("emb11", """

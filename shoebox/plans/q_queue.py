@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoebox.functions.fixed import LEARNABLE
 from shoebox.operators import queue, settings
 from shoebox.plans import scan
 from shoebox.plans.duck_views import view
@@ -128,21 +129,31 @@ def restored(lib: Library) -> DataFrame:
     return queue.restore(rows, rows.filter("asset_id % 10 = 0"), ITEM).select("library_id", "asset_id", "bytes")
 
 
+# what an item was when it was marked: the last correction by then, else what the scan had made of it
 DUE_ITEMS = """
-due as (select p.library_id, p.asset_id, p.bytes, coalesce(c.category, 'other') as category from pending p left join candidates c using (asset_id)
- where p.marked_at + interval 7 day <= timestamp '2024-01-25 00:00:00')
+due as (select p.library_id, p.asset_id, p.bytes, coalesce((select arg_max(l.name, (d.ts, d.event_id)) from decisions d join learnable l on l.c = d.event_id % 8
+  where d.action = 'relabel' and d.library_id = p.library_id and d.asset_id = p.asset_id and d.ts <= p.marked_at), c.category, 'other') as category
+ from pending p left join candidates c using (asset_id) where p.marked_at + interval 7 day <= timestamp '2024-01-25 00:00:00')
 """
 
 
+def _named(lib: Library, marked: DataFrame) -> DataFrame:
+    """The categories of marked items over time: the scan's verdict from the start, then each correction."""
+    names = F.array(*map(F.lit, LEARNABLE))
+    start = marked.select(*ITEM).join(lib.candidates().select("asset_id", "category"), "asset_id").select(*ITEM, F.lit("1970-01-01").cast("timestamp").alias("named_at"), F.lit(-1).cast("bigint").alias("seq"), "category")
+    fixes = lib.decisions().filter("action = 'relabel'").select(*ITEM, F.col("ts").alias("named_at"), F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") % len(LEARNABLE) + 1).cast("int")).alias("category"))
+    return start.unionByName(fixes)
+
+
 def _due(lib: Library) -> DataFrame:
-    rows = queue.with_deadline(pending(lib)).filter(F.col("execute_after") <= F.lit(NOW).cast("timestamp"))
-    named = rows.join(lib.candidates().select("asset_id", "category"), "asset_id", "left")
-    return named.select("library_id", "asset_id", "bytes", F.coalesce("category", F.lit("other")).alias("category"))
+    rows = queue.category_at_mark(pending(lib), _named(lib, pending(lib)), ITEM)
+    due_rows = queue.with_deadline(rows).filter(F.col("execute_after") <= F.lit(NOW).cast("timestamp"))
+    return due_rows.select("library_id", "asset_id", "bytes", "category")
 
 
 @query("dec7", f""", {DUE_ITEMS}, c as (select library_id, category, sum(bytes) as b, count(*) as n from due group by 1, 2)
 select library_id, sum(n)::bigint as items, sum(b)::bigint as bytes, string_agg(category || '=' || b || '/' || n, ',' order by category) as categories from c group by 1
-""", ("pending", "candidates"))
+""", ("pending", "candidates", "decisions", "learnable"))
 def executed(lib: Library) -> DataFrame:
     from shoebox.operators import history
 
@@ -155,7 +166,7 @@ def executed(lib: Library) -> DataFrame:
 select 'pending' as what, count(*) as n from pending p where not exists (select 1 from due d where d.library_id = p.library_id and d.asset_id = p.asset_id)
 union all select 'candidates', count(*) from candidates where asset_id not in (select asset_id from due)
 union all select 'assets', count(*) from assets where asset_id not in (select asset_id from due)
-""", ("pending", "candidates", "assets"))
+""", ("pending", "candidates", "assets", "decisions", "learnable"))
 def remaining(lib: Library) -> DataFrame:
     due_rows = _due(lib)
     left = queue.without(pending(lib), due_rows, ITEM).select(F.lit("pending").alias("what"))

@@ -339,3 +339,15 @@ def test_pair_distances_within_blocks(spark):
     df = spark.createDataFrame(rows, "item_id bigint, content_hash string, stem string, is_burst boolean, is_screen_like boolean, dhash bigint, phash bigint, library_id bigint")
     total = evaluate.histogram(evaluate.pair_distances(df, block_col="library_id", tasks=9)).filter("kind in ('same content', 'same capture', 'different')").agg(F.sum("pairs")).first()[0]
     assert total == 2 * (30 * 29 // 2)
+
+
+def test_planes_of_libraries_are_those_of_each_alone(spark):
+    rows, one = planted(spark, groups=3, noise=0.3)
+    _, two = planted(spark, groups=4, noise=0.3, seed=5, library=1)
+    odd = spark.createDataFrame([(2, 900, [1.0, 2.0], 2, "x"), (2, 901, [1.0, 3.0], 2, "x"), (1, 902, None, 2, "x"), (1, 903, [1.0], 2, "x")], ITEMS)
+    got = {r.item_id + 10_000 * r.library_id: (r.px, r.py) for r in emb.pca_plane(one.unionByName(two).unionByName(odd), part=40).collect()}
+    assert len(got) == one.count() + two.count() + 4
+    for lib, alone in ((0, one), (1, two)):
+        for r in emb.pca_plane(alone.drop("library_id")).collect():
+            assert got[r.item_id + 10_000 * lib] == pytest.approx((r.px, r.py), abs=1e-9)
+    assert all(got[k] == (0.0, 0.0) for k in (20_900, 20_901, 10_902, 10_903))

@@ -196,3 +196,33 @@ def test_intermediates_need_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 7])
+def test_as_of_carries_the_last_and_the_next_event(spark, bound):
+    import random
+
+    from shoebox.operators.asof import as_of
+
+    rng = random.Random(2)
+    events = [(lib, rng.randrange(60), i, f"e{i}") for i in range(40) for lib in (0, 1)]
+    rows = [(lib, rng.randrange(-5, 70), i) for i in range(50) for lib in (0, 1, 2)]
+    left = spark.createDataFrame(rows, "library_id bigint, at bigint, item bigint")
+    right = spark.createDataFrame(events, "library_id bigint, happened bigint, seq bigint, name string")
+    for forward in (False, True):
+        got = {(r.library_id, r.item): (r.seq, r.name) for r in as_of(left, right, ["library_id"], "at", "happened", ["seq", "name"], forward, bound=bound).collect()}
+        assert len(got) == len(rows)
+        for lib, at, item in rows:
+            fits = [(h, seq, name) for own, h, seq, name in events if own == lib and (h >= at if forward else h <= at)]
+            best = (min(fits) if forward else max(fits))[1:] if fits else (None, None)
+            assert got[lib, item] == best
+
+
+def test_category_is_that_of_the_marking(spark):
+    pending = spark.createDataFrame([(0, 1, 5, 10), (0, 2, 5, 10), (1, 1, 5, 10), (0, 3, 5, 10)], "library_id bigint, asset_id bigint, at int, bytes bigint").withColumn("marked_at", F.timestamp_seconds("at")).drop("at")
+    named = [(0, 1, 0, -1, "blurry"), (0, 1, 5, 3, "webShot"), (0, 1, 5, 2, "blurry"), (0, 2, 0, -1, "receipt"), (1, 1, 6, 1, "late")]
+    frame = lambda rows: spark.createDataFrame(rows, "library_id bigint, asset_id bigint, at int, seq bigint, category string").withColumn("named_at", F.timestamp_seconds("at"))
+    want = {(0, 1): "webShot", (0, 2): "receipt", (1, 1): "other", (0, 3): "other"}
+    for later in ([], [(0, 1, 6, 9, "today"), (0, 2, 99, 9, "today")]):
+        got = queue.category_at_mark(pending, frame(named + later), ["library_id", "asset_id"]).collect()
+        assert {(r.library_id, r.asset_id): r.category for r in got} == want
