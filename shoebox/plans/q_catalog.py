@@ -9,6 +9,7 @@ from shoebox.functions import fixed, scalars, vectors
 from shoebox.plans.registry import query
 from shoebox.session import fresh_path
 from shoebox.sources import catalog
+from shoebox.sources import snapshots as versions
 from shoebox.sources.derived import Library, fingerprints
 
 
@@ -84,6 +85,22 @@ def incremental(lib: Library) -> DataFrame:
     return catalog.merge_fingerprints(cache, fresh).select("asset_id", "dhash", "origin", "version")
 
 
+@query("snk1_snapshots", """
+select f.asset_id, f.dhash, f.version from fingerprints f join assets a using (asset_id) where a.asset_id % 6 <> 0 and (not a.is_video or (f.asset_id % 3 <> 0 and f.asset_id % 7 <> 0))
+""", ("fingerprints", "assets"))
+def snapshots_of_the_cache(lib: Library) -> DataFrame:
+    """An old cache as the first version; a scan of a library that lost every sixth asset makes the second, a third scan finds nothing to do."""
+    root, living = fresh_path(lib.spark, "fingerprint-cache"), lib.assets().filter("asset_id % 6 <> 0")
+    versions.write(_cache(lib), root)
+
+    def compute(missing: DataFrame) -> DataFrame:
+        return fingerprints(lib.table("documents").join(missing.withColumnRenamed("asset_id", "doc_id"), "doc_id", "left_semi"))
+
+    for _ in range(2):
+        rows = versions.update_fingerprints(root, living, compute, fixed.FINGERPRINT_VERSION)
+    return rows.select("asset_id", "dhash", "version")
+
+
 @query("snk2", """
 select asset_id from fingerprints where asset_id in (select asset_id from assets where asset_id % 6 <> 0)
 """, ("fingerprints", "assets"))

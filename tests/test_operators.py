@@ -226,3 +226,38 @@ def test_category_is_that_of_the_marking(spark):
     for later in ([], [(0, 1, 6, 9, "today"), (0, 2, 99, 9, "today")]):
         got = queue.category_at_mark(pending, frame(named + later), ["library_id", "asset_id"]).collect()
         assert {(r.library_id, r.asset_id): r.category for r in got} == want
+
+
+def test_cache_versions_survive_killed_writes(spark, tmp_path, monkeypatch):
+    from shoebox.sources import snapshots
+
+    root, columns = str(tmp_path / "cache"), "asset_id bigint, dhash bigint, version int"
+    library = lambda ids: spark.createDataFrame([(i, i % 5 == 4) for i in ids], "asset_id bigint, is_video boolean")
+    asked = []
+
+    def compute(missing):
+        asked.append(sorted(r.asset_id for r in missing.collect()))
+        return missing.select("asset_id", (F.col("asset_id") * 10).alias("dhash"), F.lit(8).alias("version"))
+
+    rows = lambda: sorted(r.asset_id for r in snapshots.read(spark, root).collect())
+    assert snapshots.read(spark, root) is None
+    snapshots.update_fingerprints(root, library(range(6)), compute, 8)
+    assert rows() == [0, 1, 2, 3, 5] and snapshots.current(spark, root)[0] == 1
+    snapshots.update_fingerprints(root, library(range(6)), compute, 8)
+    assert snapshots.current(spark, root)[0] == 1 and len(asked) == 1  # nothing changed, nothing written
+    commit = snapshots._commit
+
+    def dies(*a):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(snapshots, "_commit", dies)
+    with pytest.raises(KeyboardInterrupt):
+        snapshots.update_fingerprints(root, library(range(2, 9)), compute, 8)
+    assert rows() == [0, 1, 2, 3, 5] and len(list((tmp_path / "cache/data").iterdir())) == 2
+    monkeypatch.setattr(snapshots, "_commit", commit)
+    snapshots.update_fingerprints(root, library(range(2, 9)), compute, 8)
+    assert rows() == [2, 3, 5, 6, 7, 8] and asked[-1] == [6, 7, 8]
+    assert len(list((tmp_path / "cache/data").iterdir())) == 1 and [p.name for p in (tmp_path / "cache/manifests").iterdir() if p.suffix != ".crc"] == ["000000000002"]
+    with pytest.raises(snapshots.Conflict):
+        snapshots.write(spark.createDataFrame([(1, 1, 8)], columns), root, base=1)
+    assert rows() == [2, 3, 5, 6, 7, 8]
