@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shoebox.functions import bits, scalars
 from shoebox.functions.fixed import TIERS
 from shoebox.operators.components import connected_components
-from shoebox.operators.distributed import attach, hot_keys
+from shoebox.operators.distributed import attach, hot_keys, owned, shared
 from shoebox.session import materialize
 
 SIGNATURE = ["library_id", "content_hash", "pixel_width", "pixel_height", "dhash", "phash", "is_screen_like"]
@@ -22,9 +22,8 @@ HASHES = ["library_id", "shape", "dhash", "phash"]
 
 def images(assets: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """Non-video assets that have a fingerprint, with the derived columns grouping needs."""
-    return scalars.with_derived(assets.filter(~F.col("is_video"))).join(
-        fingerprints.select("asset_id", "dhash", "phash", "sharpness"), "asset_id"
-    )
+    prints = fingerprints.select(*owned(fingerprints, "asset_id"), "dhash", "phash", "sharpness")
+    return scalars.with_derived(assets.filter(~F.col("is_video"))).join(prints, shared(assets, prints, "asset_id"))
 
 
 def signatures(image_rows: DataFrame) -> DataFrame:
@@ -109,7 +108,7 @@ def identical_edges(signature_rows: DataFrame) -> DataFrame:
     hubs = signature_rows.groupBy(*keys).agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return (
         signature_rows.join(hubs, keys).filter("node <> hub")
-        .select(F.col("hub").alias("src"), F.col("node").alias("dst"), F.lit(TIERS["identical"]).alias("tier"))
+        .select("library_id", F.col("hub").alias("src"), F.col("node").alias("dst"), F.lit(TIERS["identical"]).alias("tier"))
     )
 
 
@@ -124,19 +123,19 @@ def copy_edges(signature_rows: DataFrame, max_d: int = 2, max_p: int = 4) -> Dat
     stars = (
         attach(signature_rows.filter(~F.col("is_screen_like")), several, HASHES, "n")
         .filter("node <> hub")
-        .select(F.col("hub").alias("src"), F.col("node").alias("dst"), F.lit(TIERS["copy"]).alias("tier"))
+        .select("library_id", F.col("hub").alias("src"), F.col("node").alias("dst"), F.lit(TIERS["copy"]).alias("tier"))
     )
     near = (
         band_join(hubs, ["library_id", "shape"], max_d, max_p)
         .filter((scalars.hamming("da", "db") <= max_d) & (scalars.hamming("pa", "pb") <= max_p))
     )
     content = ["content_hash", "pixel_width", "pixel_height"]
-    sides = signature_rows.select("node", F.struct(*content).alias("content"))
+    sides = signature_rows.select("library_id", "node", F.struct(*content).alias("content"))
     same = F.col("ca") == F.col("cb")
     near = (
-        near.join(sides.toDF("a", "ca"), "a").join(sides.toDF("b", "cb"), "b")
+        near.join(sides.toDF("library_id", "a", "ca"), ["library_id", "a"]).join(sides.toDF("library_id", "b", "cb"), ["library_id", "b"])
         .select(
-            F.col("a").alias("src"), F.col("b").alias("dst"),
+            "library_id", F.col("a").alias("src"), F.col("b").alias("dst"),
             F.when(same, TIERS["identical"]).otherwise(TIERS["copy"]).alias("tier"),
         )
     )
@@ -144,23 +143,21 @@ def copy_edges(signature_rows: DataFrame, max_d: int = 2, max_p: int = 4) -> Dat
 
 
 def copy_labels(signature_rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label, tier) for every signature in a group of two or more assets.
+    """(library_id, node, label, tier) for every signature in a group of two or more assets.
 
     A group's tier is the loosest of its edges; a lone signature with copies is identical.
     """
-    labels = connected_components(edges)
-    tiers = (
-        edges.join(labels, edges.src == labels.node).groupBy("label").agg(F.max("tier").alias("tier"))
-    )
-    grouped = labels.join(tiers, "label").select("node", "label", "tier")
-    lone = signature_rows.filter("copies > 1").join(grouped, "node", "left_anti")
-    return grouped.union(lone.select("node", F.col("node").alias("label"), F.lit(TIERS["identical"])))
+    labels = connected_components(edges, keys=("library_id",))
+    tiers = edges.withColumnRenamed("src", "node").join(labels, ["library_id", "node"]).groupBy("library_id", "label").agg(F.max("tier").alias("tier"))
+    grouped = labels.join(tiers, ["library_id", "label"]).select("library_id", "node", "label", "tier")
+    lone = signature_rows.filter("copies > 1").join(grouped, ["library_id", "node"], "left_anti")
+    return grouped.union(lone.select("library_id", "node", F.col("node").alias("label"), F.lit(TIERS["identical"])))
 
 
 def copy_members(image_rows: DataFrame, signature_rows: DataFrame, labels: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """(group_key, tier, asset_id) of every asset in a copy group."""
-    named = signature_rows.join(labels, "node").select(*SIGNATURE, "copies", F.col("label").alias("group_key"), "tier")
-    return attach(image_rows, named, SIGNATURE, "copies", bound).select("group_key", "tier", "asset_id")
+    """(library_id, group_key, tier, asset_id) of every asset in a copy group."""
+    named = signature_rows.join(labels, ["library_id", "node"]).select(*SIGNATURE, "copies", F.col("label").alias("group_key"), "tier")
+    return attach(image_rows, named, SIGNATURE, "copies", bound).select("library_id", "group_key", "tier", "asset_id")
 
 
 def video_members(assets: DataFrame, bound: int = 1_000_000) -> DataFrame:
@@ -170,7 +167,7 @@ def video_members(assets: DataFrame, bound: int = 1_000_000) -> DataFrame:
         "tenths", (F.col("duration") * 10).cast("bigint")
     )
     repeated = videos.groupBy(*keys).agg(F.min("asset_id").alias("group_key"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return attach(videos, repeated, keys, "n", bound).select("group_key", F.lit(TIERS["identical"]).alias("tier"), "asset_id")
+    return attach(videos, repeated, keys, "n", bound).select("library_id", "group_key", F.lit(TIERS["identical"]).alias("tier"), "asset_id")
 
 
 def find_copies(assets: DataFrame, fingerprints: DataFrame, max_d: int = 2, max_p: int = 4) -> DataFrame:

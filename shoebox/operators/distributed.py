@@ -10,6 +10,16 @@ from shoebox.session import materialize, materialize_counted, shuffle_width
 BROADCAST_KEYS = 200_000  # more hot keys than this stay with the ordinary join
 
 
+def owned(df: DataFrame, *keys: str) -> list[str]:
+    """``keys`` within the library, where rows know theirs: ids repeat over libraries."""
+    return [*(["library_id"] if "library_id" in df.columns and "library_id" not in keys else []), *keys]
+
+
+def shared(a: DataFrame, b: DataFrame, *keys: str) -> list[str]:
+    """``keys`` to join two tables by, within the library if both know theirs."""
+    return owned(a, *keys) if "library_id" in b.columns else list(keys)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key, by aggregation (combined map-side)."""
     rest = [c for c in df.columns if c not in keys]

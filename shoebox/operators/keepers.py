@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import scalars
 from shoebox.functions.fixed import TIERS
-from shoebox.operators.distributed import attach, numbered
+from shoebox.operators.distributed import attach, numbered, owned, shared
 
 
 def member_rows(members: DataFrame, assets: DataFrame, fingerprints: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def member_rows(members: DataFrame, assets: DataFrame, fingerprints: DataFrame)
         "library_id", "asset_id", "creation_ts", "pixel_width", "pixel_height", "pixel_count", "byte_size", "content_hash",
         "is_favorite", "is_live", "is_portrait", "is_screenshot", "has_location",
     )
-    prints = fingerprints.select("asset_id", "sharpness", "dhash", "phash")
-    return members.join(facts, "asset_id").join(prints, "asset_id", "left")
+    prints = fingerprints.select(*owned(fingerprints, "asset_id"), "sharpness", "dhash", "phash")
+    return members.join(facts, shared(members, facts, "asset_id")).join(prints, shared(facts, prints, "asset_id"), "left")
 
 
 # Points of a member's score; shares of the group's best are scaled by theirs.
@@ -34,14 +34,14 @@ def with_scores(rows: DataFrame, protected: DataFrame | None = None, bound: int
     if protected is None:
         rows = rows.withColumn("is_protected", F.lit(False))
     else:
-        marks = protected.select("asset_id", F.lit(True).alias("is_protected")).distinct()
-        rows = rows.join(marks, "asset_id", "left").withColumn("is_protected", F.coalesce("is_protected", F.lit(False)))
-    stats = rows.groupBy("group_key").agg(
+        marks = protected.select(*owned(protected, "asset_id"), F.lit(True).alias("is_protected")).distinct()
+        rows = rows.join(marks, shared(rows, marks, "asset_id"), "left").withColumn("is_protected", F.coalesce("is_protected", F.lit(False)))
+    stats = rows.groupBy(*owned(rows, "group_key")).agg(
         F.count(F.lit(1)).alias("size"), F.max("pixel_count").alias("max_px"), F.min("pixel_count").alias("min_px"),
         F.max("byte_size").alias("max_bytes"), F.min("byte_size").alias("min_bytes"),
         F.max("creation_ts").alias("newest"), F.min("creation_ts").alias("oldest"),
     )
-    rows = attach(rows, stats, ["group_key"], "size", bound)
+    rows = attach(rows, stats, owned(rows, "group_key"), "size", bound)
     px = F.when(F.col("max_px") > 0, F.col("pixel_count") / F.col("max_px"))
     size = F.when(F.col("max_bytes") > 0, F.col("byte_size") / F.col("max_bytes"))
     span = F.unix_micros("newest") - F.unix_micros("oldest")
@@ -82,15 +82,16 @@ def keepers(scored: DataFrame) -> DataFrame:
     straddle a rounding edge could be ordered differently from a pairwise comparison.
     """
     best = F.min_by(F.struct("asset_id", "reason"), F.struct((-F.round("score", 9)).alias("s"), F.col("asset_id"))).alias("best")
-    return scored.groupBy("group_key").agg(best, F.count(F.lit(1)).alias("size")).select(
-        "group_key", F.col("best.asset_id").alias("keeper_id"), F.col("best.reason").alias("keeper_reason"), "size"
+    keys = owned(scored, "group_key")
+    return scored.groupBy(*keys).agg(best, F.count(F.lit(1)).alias("size")).select(
+        *keys, F.col("best.asset_id").alias("keeper_id"), F.col("best.reason").alias("keeper_reason"), "size"
     )
 
 
 def with_keepers(scored: DataFrame, bound: int = 1_000_000) -> DataFrame:
     """Members with ``group_id`` (the keeper's id) and ``is_keeper``."""
     return (
-        attach(scored, keepers(scored), ["group_key"], "size", bound)
+        attach(scored, keepers(scored), owned(scored, "group_key"), "size", bound)
         .withColumn("group_id", F.col("keeper_id"))
         .withColumn("is_keeper", F.col("asset_id") == F.col("keeper_id"))
     )
@@ -99,12 +100,12 @@ def with_keepers(scored: DataFrame, bound: int = 1_000_000) -> DataFrame:
 def member_order(grouped: DataFrame) -> DataFrame:
     """Adds ``position``: the keeper first, then newest first."""
     order = [F.col("is_keeper").desc(), F.col("creation_ts").desc(), F.col("asset_id")]
-    return numbered(grouped, ["group_id"], order, "position", "member-order")
+    return numbered(grouped, owned(grouped, "group_id"), order, "position", "member-order")
 
 
 def group_table(grouped: DataFrame) -> DataFrame:
     """One row per group: tier, size and the bytes its non-keepers hold."""
-    return grouped.groupBy("group_id", "tier").agg(
+    return grouped.groupBy(*owned(grouped, "group_id"), "tier").agg(
         F.count(F.lit(1)).alias("members"),
         F.sum(F.when(F.col("is_keeper"), 0).otherwise(F.col("byte_size"))).cast("bigint").alias("reclaimable"),
         F.first("keeper_reason").alias("keeper_reason"),
@@ -128,7 +129,7 @@ def leads(grouped: DataFrame) -> Column:
 def eligible(assets: DataFrame, protected: DataFrame, include_videos: bool = True) -> DataFrame:
     """Assets that may be grouped at all."""
     pool = assets if include_videos else assets.filter(~F.col("is_video"))
-    return pool.join(protected.select("asset_id"), "asset_id", "left_anti")
+    return pool.join(protected.select(*owned(protected, "asset_id")), shared(pool, protected, "asset_id"), "left_anti")
 
 
 def worthwhile(grouped: DataFrame, skip_favorites: bool = True) -> DataFrame:
@@ -136,11 +137,11 @@ def worthwhile(grouped: DataFrame, skip_favorites: bool = True) -> DataFrame:
     if not skip_favorites:
         return grouped
     keep = (
-        grouped.groupBy("group_id")
+        grouped.groupBy(*owned(grouped, "group_id"))
         .agg(F.max(discardable(grouped) & ~F.col("is_favorite")).alias("offers"))
-        .filter("offers").select("group_id")
+        .filter("offers").drop("offers")
     )
-    return grouped.join(keep, "group_id", "left_semi")
+    return grouped.join(keep, owned(grouped, "group_id"), "left_semi")
 
 
 def apply_selection(grouped: DataFrame, selection: DataFrame) -> DataFrame:
@@ -150,22 +151,23 @@ def apply_selection(grouped: DataFrame, selection: DataFrame) -> DataFrame:
     ``effective_keeper`` is the default keeper if still kept, else the first kept member
     in group order (newest, then smallest id).
     """
-    chosen = selection.filter("kept").select("group_id", "asset_id", F.lit(True).alias("chosen"))
-    touched = chosen.select("group_id", F.lit(True).alias("touched")).distinct()
-    rows = grouped.join(touched, "group_id", "left").join(chosen, ["group_id", "asset_id"], "left")
+    group = shared(grouped, selection, "group_id")
+    chosen = selection.filter("kept").select(*group, "asset_id", F.lit(True).alias("chosen"))
+    touched = chosen.select(*group, F.lit(True).alias("touched")).distinct()
+    rows = grouped.join(touched, group, "left").join(chosen, [*group, "asset_id"], "left")
     kept = F.when(F.coalesce("touched", F.lit(False)), F.coalesce("chosen", F.lit(False))).otherwise(F.col("is_keeper"))
     rows = rows.withColumn("kept", kept).drop("touched", "chosen")
     first_kept = F.struct((~F.col("is_keeper")).alias("k"), (-F.unix_micros("creation_ts")).alias("t"), F.col("asset_id"))
-    effective = rows.groupBy("group_id").agg(
+    effective = rows.groupBy(*owned(rows, "group_id")).agg(
         F.min_by(F.when(F.col("kept"), F.col("asset_id")), F.when(F.col("kept"), first_kept)).alias("effective_keeper"), F.count(F.lit(1)).alias("size")
     )
-    return attach(rows, effective, ["group_id"], "size")
+    return attach(rows, effective, owned(rows, "group_id"), "size")
 
 
 def tier_summary(grouped: DataFrame) -> DataFrame:
     """Groups, discardables and reclaimable bytes per tier, for copies together, and for all."""
     spare = discardable(grouped)
-    per_group = grouped.groupBy("group_id", "tier").agg(
+    per_group = grouped.groupBy(*owned(grouped, "group_id"), "tier").agg(
         F.count_if(spare).alias("discardable"),
         F.sum(F.when(spare, F.col("byte_size")).otherwise(0)).cast("bigint").alias("reclaimable"),
     )
@@ -187,36 +189,38 @@ def one_tap_items(grouped: DataFrame, unticked: DataFrame | None = None) -> Data
     """Discardables of identical groups, the only ones swept without a look."""
     rows = grouped.filter((F.col("tier") == TIERS["identical"]) & discardable(grouped))
     if unticked is not None:
-        rows = rows.join(unticked.select("group_id"), "group_id", "left_anti")
-    return rows.select("asset_id", "group_id", "byte_size", F.lit("duplicate").alias("category"))
+        rows = rows.join(unticked.select(*shared(rows, unticked, "group_id")), shared(rows, unticked, "group_id"), "left_anti")
+    return rows.select(*owned(rows, "asset_id"), "group_id", "byte_size", F.lit("duplicate").alias("category"))
 
 
 def skip_groups(grouped: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(remaining members, newly protected ids)."""
-    keys = skipped.select("group_id")
-    return grouped.join(keys, "group_id", "left_anti"), grouped.join(keys, "group_id", "left_semi").select("asset_id")
+    on = shared(grouped, skipped, "group_id")
+    keys = skipped.select(*on)
+    return grouped.join(keys, on, "left_anti"), grouped.join(keys, on, "left_semi").select(*owned(grouped, "asset_id"))
 
 
 def mark_groups(grouped: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(remaining members, items to put in the pending queue as duplicates)."""
-    keys = marked.select("group_id")
-    items = grouped.join(keys, "group_id", "left_semi").filter(discardable(grouped))
+    on = shared(grouped, marked, "group_id")
+    keys = marked.select(*on)
+    items = grouped.join(keys, on, "left_semi").filter(discardable(grouped))
     return (
-        grouped.join(keys, "group_id", "left_anti"),
-        items.select("asset_id", F.col("byte_size").alias("bytes"), F.lit("duplicate").alias("category")),
+        grouped.join(keys, on, "left_anti"),
+        items.select(*owned(items, "asset_id"), F.col("byte_size").alias("bytes"), F.lit("duplicate").alias("category")),
     )
 
 
 def quality_badges(grouped: DataFrame) -> DataFrame:
     """Up to two measurable hints per member."""
-    stats = grouped.groupBy("group_id").agg(
+    stats = grouped.groupBy(*owned(grouped, "group_id")).agg(
         F.max("sharpness").alias("best_sharp"), F.min("sharpness").alias("worst_sharp"), F.count("sharpness").alias("scored"),
         F.count(F.lit(1)).alias("size"), F.max("creation_ts").alias("last_ts"),
         F.max(F.struct("pixel_count", "byte_size")).alias("top"),
         F.min(F.struct((-F.col("pixel_count")).alias("px"), F.col("byte_size"))).alias("low_at_top"),
         F.min("pixel_count").alias("low_px"),
     )
-    rows = attach(grouped, stats.withColumn("rows", F.col("size")), ["group_id"], "rows")
+    rows = attach(grouped, stats.withColumn("rows", F.col("size")), owned(grouped, "group_id"), "rows")
     sharpest = (F.col("sharpness") >= F.col("best_sharp") - 0.001) & (F.col("scored") > 1) & (F.col("worst_sharp") < F.col("best_sharp") - 0.03)
     at_top = F.col("pixel_count") == F.col("top.pixel_count")
     # several members at top resolution with unequal sizes: low and high differ there
@@ -228,14 +232,14 @@ def quality_badges(grouped: DataFrame) -> DataFrame:
         F.when((F.col("creation_ts") == F.col("last_ts")) & (F.col("size") > 1), "last shot"),
         F.when(F.col("is_favorite"), "favorite"),
     ))
-    return rows.select("group_id", "asset_id", F.slice(badges, 1, 2).alias("badges"))
+    return rows.select(*owned(rows, "group_id"), "asset_id", F.slice(badges, 1, 2).alias("badges"))
 
 
 def difference_summary(grouped: DataFrame) -> DataFrame:
     """What differs between a group's versions, one row per group."""
     by_px = lambda pick: pick(F.struct("pixel_width", "pixel_height"), F.struct("pixel_count", "asset_id"))
     positive = F.when(F.col("byte_size") > 0, F.col("byte_size"))
-    stats = grouped.groupBy("group_id", "tier").agg(
+    stats = grouped.groupBy(*owned(grouped, "group_id"), "tier").agg(
         F.count(F.lit(1)).alias("size"), F.min("pixel_count").alias("low_px"), F.max("pixel_count").alias("high_px"),
         by_px(F.max_by).alias("hi"), by_px(F.min_by).alias("lo"),
         F.max(positive).alias("max_bytes"), F.min(positive).alias("min_bytes"),
@@ -252,14 +256,14 @@ def difference_summary(grouped: DataFrame) -> DataFrame:
         .when(F.size(lines) == 0, F.array(F.lit("looks the same, details differ slightly")))
         .otherwise(F.concat(F.array(F.lit("versions of one picture")), lines))
     )
-    return stats.select("group_id", F.array_join(summary, "; ").alias("summary"))
+    return stats.select(*owned(stats, "group_id"), F.array_join(summary, "; ").alias("summary"))
 
 
 def with_keeper_hashes(grouped: DataFrame) -> DataFrame:
     """Members with their keeper's hashes as ``kd`` and ``kp``."""
     kept = lambda c: F.max(F.when(leads(grouped), F.col(c)))
-    keeper = grouped.groupBy("group_id").agg(kept("dhash").alias("kd"), kept("phash").alias("kp"), F.count(F.lit(1)).alias("size"))
-    return attach(grouped, keeper, ["group_id"], "size")
+    keeper = grouped.groupBy(*owned(grouped, "group_id")).agg(kept("dhash").alias("kd"), kept("phash").alias("kp"), F.count(F.lit(1)).alias("size"))
+    return attach(grouped, keeper, owned(grouped, "group_id"), "size")
 
 
 def safety_evidence(grouped: DataFrame) -> DataFrame:
@@ -268,13 +272,13 @@ def safety_evidence(grouped: DataFrame) -> DataFrame:
     dims = F.format_string("%dx%d", "pixel_width", "pixel_height")
     # distinct dimensions first, so that the list collected per group has one entry per screen size, not per member
     rows = with_keeper_hashes(grouped)
-    per_dims = rows.withColumn("dims", dims).groupBy("group_id", "dims").agg(
+    per_dims = rows.withColumn("dims", dims).groupBy(*owned(rows, "group_id"), "dims").agg(
         F.count(F.lit(1)).alias("size"), F.count("dhash").alias("printed"),
         F.min("content_hash").alias("low"), F.max("content_hash").alias("high"),
         F.min("byte_size").alias("low_bytes"), F.max("byte_size").alias("high_bytes"),
         F.max(F.when(other, scalars.hamming("dhash", "kd"))).alias("d"), F.max(F.when(other, scalars.hamming("phash", "kp"))).alias("p"),
     )
-    return per_dims.groupBy("group_id").agg(
+    return per_dims.groupBy(*owned(per_dims, "group_id")).agg(
         ((F.sum("size") == F.sum("printed")) & (F.min("low") == F.max("high"))).alias("contents_match"),
         F.array_join(F.array_sort(F.collect_set("dims")), " / ").alias("dimensions"),
         (F.min("low_bytes") == F.max("high_bytes")).alias("sizes_match"),

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from shoebox.functions import scalars
 from shoebox.functions.fixed import TIERS
 from shoebox.operators.components import connected_components
-from shoebox.operators.distributed import Sequence, attach
+from shoebox.operators.distributed import Sequence, attach, owned, shared
 
 
 def unclaimed_photos(image_rows: DataFrame, claimed: DataFrame) -> DataFrame:
-    return image_rows.filter(~F.col("is_screen_like")).join(claimed.select("asset_id"), "asset_id", "left_anti")
+    return image_rows.filter(~F.col("is_screen_like")).join(claimed.select(*owned(claimed, "asset_id")), shared(image_rows, claimed, "asset_id"), "left_anti")
 
 
 def time_runs(photos: DataFrame, window: float | str = 10.0, bound: int = 1_000_000) -> DataFrame:
@@ -68,7 +68,7 @@ def moment_edges(runs: DataFrame, verdicts: DataFrame, max_d: int = 12, max_p: i
     bursts = verdicts.filter("verdict = 'vouched'").select("library_id", "run", "first_id", "members")
     vouched = (
         attach(runs, bursts, ["library_id", "run"], "members").filter("asset_id <> first_id")
-        .select(F.col("first_id").alias("src"), F.col("asset_id").alias("dst"))
+        .select("library_id", F.col("first_id").alias("src"), F.col("asset_id").alias("dst"))
     )
     small = runs.join(verdicts.filter("verdict = 'ok'").select("library_id", "run"), ["library_id", "run"])
     a = small.select("library_id", "run", F.struct("asset_id", "burst_id", "dhash", "phash").alias("a"))
@@ -76,12 +76,12 @@ def moment_edges(runs: DataFrame, verdicts: DataFrame, max_d: int = 12, max_p: i
     near = (scalars.hamming("a.phash", "b.phash") <= max_p) & (scalars.hamming("a.dhash", "b.dhash") <= max_d)
     same_burst = F.coalesce(F.col("a.burst_id") == F.col("b.burst_id"), F.lit(False))
     pairs = a.join(b, ["library_id", "run"]).filter("a.asset_id < b.asset_id").filter(same_burst | near)
-    return vouched.union(pairs.select(F.col("a.asset_id").alias("src"), F.col("b.asset_id").alias("dst")))
+    return vouched.union(pairs.select("library_id", F.col("a.asset_id").alias("src"), F.col("b.asset_id").alias("dst")))
 
 
 def moment_members(edges: DataFrame) -> DataFrame:
-    labels = connected_components(edges)
-    return labels.select(F.col("label").alias("group_key"), F.lit(TIERS["moment"]).alias("tier"), F.col("node").alias("asset_id"))
+    labels = connected_components(edges, keys=tuple(owned(edges)))
+    return labels.select(*owned(labels), F.col("label").alias("group_key"), F.lit(TIERS["moment"]).alias("tier"), F.col("node").alias("asset_id"))
 
 
 def run_metrics(verdicts: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def protected_scores(lib: Library) -> DataFrame:
 
 @query("kee4", "select group_key, asset_id as keeper_id, reason as keeper_reason from grouped where is_keeper", ("grouped",))
 def keeper_choice(lib: Library) -> DataFrame:
-    return keepers.keepers(scan.scored(lib)).drop("size")
+    return keepers.keepers(scan.scored(lib)).drop("size", "library_id")
 
 
 @query("kee5", """
@@ -216,7 +216,7 @@ select group_id, tier, count(*) as members, sum(case when is_keeper then 0 else
 
 @query("kee6", GROUP_TABLE, ("grouped",))
 def groups(lib: Library) -> DataFrame:
-    return scan.flagship(lib)
+    return scan.flagship(lib).drop("library_id")
 
 
 @query("kee7", "select group_key, tier, asset_id from members", ("members",))
@@ -260,7 +260,7 @@ select asset_id, group_id, byte_size, 'duplicate' as category from selected wher
 def one_tap(lib: Library) -> DataFrame:
     rows = scan.selected(lib)
     unticked = rows.filter("group_id % 5 = 0").select("group_id").distinct()
-    return keepers.one_tap_items(rows, unticked)
+    return keepers.one_tap_items(rows, unticked).drop("library_id")
 
 
 @query("kee12", """
@@ -298,7 +298,7 @@ select group_id, case when tier = 0 then 'the same picture stored ' || n || ' ti
  else 'versions of one picture; ' || array_to_string(lines, '; ') end as summary from l
 """, ("grouped",))
 def differences(lib: Library) -> DataFrame:
-    return keepers.difference_summary(scan.grouped(lib))
+    return keepers.difference_summary(scan.grouped(lib)).drop("library_id")
 
 
 @query("kee15", """
@@ -310,7 +310,7 @@ select m.group_id, count(m.dhash) = count(*) and count(distinct m.content_hash)
 from selected m join selected k on k.group_id = m.group_id and k.asset_id = m.effective_keeper group by m.group_id
 """, ("selected",))
 def evidence(lib: Library) -> DataFrame:
-    return keepers.safety_evidence(scan.selected(lib))
+    return keepers.safety_evidence(scan.selected(lib)).drop("library_id")
 
 
 @query("kee16", """
@@ -318,4 +318,4 @@ select asset_id, byte_size as bytes, 'duplicate' as category from selected where
 """, ("selected",))
 def marked(lib: Library) -> DataFrame:
     rows = scan.selected(lib)
-    return keepers.mark_groups(rows, rows.filter("group_id % 3 = 0").select("group_id").distinct())[1]
+    return keepers.mark_groups(rows, rows.filter("group_id % 3 = 0").select("group_id").distinct())[1].drop("library_id")

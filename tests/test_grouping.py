@@ -211,7 +211,7 @@ def test_protected_member_is_kept(spark):
     a, f = tables(spark, [asset(1, is_favorite=True), asset(2)], [mark(1), mark(2)])
     m = spark.createDataFrame([(1, 0, 1), (1, 0, 2)], "group_key bigint, tier int, asset_id bigint")
     scored = keepers.with_scores(keepers.member_rows(m, a, f), spark.createDataFrame([(2,)], "asset_id bigint"))
-    assert keepers.keepers(scored).first().asDict() == {"group_key": 1, "keeper_id": 2, "keeper_reason": "kept by you", "size": 2}
+    assert keepers.keepers(scored).first().asDict() == {"library_id": 0, "group_key": 1, "keeper_id": 2, "keeper_reason": "kept by you", "size": 2}
 
 
 def test_reclaimable_is_total_minus_keeper(lib):
@@ -258,3 +258,53 @@ def test_a_kept_picture_is_never_queued(lib):
     freed = queue.potential_savings(lib.candidates().limit(0), lib.candidates().limit(0), rows).first().bytes
     assert freed == rows.filter("not kept").agg(F.sum("byte_size")).first()[0]
     assert keepers.worthwhile(rows.withColumn("is_favorite", ~F.col("kept"))).isEmpty()
+
+
+def two_libraries(spark):
+    """Near copies 1-2 in library 0 and 2-3 in library 1, a moment 5-6 in both with other times, a video pair 8-9 in library 1."""
+    far = (1 << 40) - 1
+    moment = lambda lib, at: [asset(5, at=at, library_id=lib, burst="b"), asset(6, at=at + 1, library_id=lib, burst="b", size=7 + lib)]
+    video = dict(is_video=True, duration=2.0, size=50)
+    zero = [asset(1), asset(2, at=1), asset(3, at=500), *moment(0, 3000), asset(8, at=9000, **video), asset(9, at=9900, library_id=0, is_video=True, duration=9.0, size=51)]
+    one = [asset(1, at=700, library_id=1), asset(2, library_id=1), asset(3, at=1, library_id=1), *moment(1, 5000), asset(8, at=9000, library_id=1, **video), asset(9, at=9900, library_id=1, **video)]
+    prints = {0: {1: 0, 2: 1, 3: far}, 1: {1: far, 2: 0, 3: 1}}
+    rows = []
+    for lib, assets in ((0, zero), (1, one)):
+        a, f = tables(spark, assets, [mark(x["asset_id"], dhash=prints[lib].get(x["asset_id"], (x["asset_id"] * 0x9E3779B97F4A7C15) % 2**62), phash=prints[lib].get(x["asset_id"], x["asset_id"] << 50)) for x in assets])
+        rows.append((a, f.withColumn("library_id", F.lit(lib).cast("bigint"))))
+    return rows[0][0].unionByName(rows[1][0]), rows[0][1].unionByName(rows[1][1])
+
+
+def test_ids_that_repeat_over_libraries_never_meet(spark):
+    a, f = two_libraries(spark)
+    found = copies.find_copies(a, f)
+    assert {(r.library_id, r.group_key, r.asset_id) for r in found.collect()} == {(0, 1, 1), (0, 1, 2), (1, 2, 2), (1, 2, 3)}
+    runs = moments.time_runs(moments.unclaimed_photos(copies.images(a, f), found))
+    shots = moments.moment_members(moments.moment_edges(runs, moments.run_verdicts(runs)))
+    assert {(r.library_id, r.group_key, r.asset_id) for r in shots.collect()} == {(lib, 5, i) for lib in (0, 1) for i in (5, 6)}
+    videos = copies.video_members(a)
+    assert {(r.library_id, r.asset_id) for r in videos.collect()} == {(1, 8), (1, 9)}
+    members = found.unionByName(shots).unionByName(videos)
+    rows = keepers.member_rows(members, a, f)
+    assert rows.count() == members.count()
+    protected = spark.createDataFrame([(1, 3)], "library_id bigint, asset_id bigint")
+    grouped = keepers.with_keepers(keepers.with_scores(rows, protected)).cache()
+    keeps = {(r.library_id, r.group_key): r.keeper_id for r in grouped.collect()}
+    assert keeps[1, 2] == 3 and len(keeps) == 5
+    table = keepers.group_table(grouped).collect()
+    assert sorted((r.library_id, r.members) for r in table) == [(0, 2), (0, 2), (1, 2), (1, 2), (1, 2)]
+    picks = spark.createDataFrame([(0, keeps[0, 5], 11 - keeps[0, 5], True)], "library_id bigint, group_id bigint, asset_id bigint, kept boolean")
+    chosen = keepers.apply_selection(grouped, picks)
+    assert {(r.library_id, r.asset_id) for r in chosen.filter("group_key = 5 and kept").collect()} == {(0, 11 - keeps[0, 5]), (1, keeps[1, 5])}
+    left, marked = keepers.mark_groups(chosen, chosen.filter("library_id = 0 and group_key = 5").select("library_id", "group_id"))
+    assert left.count() == grouped.count() - 2 and [(r.library_id, r.asset_id) for r in marked.collect()] == [(0, keeps[0, 5])]
+    for report in (keepers.quality_badges, keepers.difference_summary, keepers.safety_evidence, keepers.member_order):
+        assert "library_id" in report(chosen).columns and report(chosen).count() in (5, 10)
+
+
+def test_components_of_equal_ids_in_other_libraries_and_a_wide_hub(spark):
+    edges = [(0, 1, 2), (1, 2, 3), (1, 4, 9), (0, 9, 4)] + [(2, 1000, i) for i in range(1001, 1600)] + [(2, 5, 1001)]
+    df = spark.createDataFrame(edges, "library_id bigint, src bigint, dst bigint")
+    got = {(r.library_id, r.node): r.label for r in connected_components(df, keys=("library_id",)).collect()}
+    want = {(0, 1): 1, (0, 2): 1, (1, 2): 2, (1, 3): 2, (1, 4): 4, (1, 9): 4, (0, 4): 4, (0, 9): 4} | {(2, n): 5 for n in (5, *range(1000, 1600))}
+    assert got == want
