@@ -12,11 +12,12 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from shoebox.functions import fixed, vectors
 from shoebox.operators.distributed import attach, top_k
-from shoebox.session import materialize
+from shoebox.session import materialize, materialize_counted
 
 MERGE_THRESHOLD = 0.93
 LABEL_THRESHOLD = 0.90
-MAX_CLUSTERS = 400
+MAX_CLUSTERS = 400  # what the app shows; more are counted as overflow
+BLOCK, LEADERS, FAN = 1024, 4096, 8  # items of a block, leaders of a pass, blocks of a group
 TEAM, CHUNK = 4096, 4096  # items and centroids of one block of the label match
 
 MAP_PART = 50_000  # items whose products one task adds up
@@ -166,7 +167,7 @@ class Leaders:
         return n, 1.0
 
 
-def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold: float = MERGE_THRESHOLD, ceiling: int = MAX_CLUSTERS) -> DataFrame:
+def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold: float = MERGE_THRESHOLD, ceiling: int = LEADERS) -> DataFrame:
     """The exact, order-dependent pass within each key.
 
     A key's rows stream through its task in order, batch by batch; what a task holds is the leaders,
@@ -204,58 +205,68 @@ def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold:
     return ordered.groupBy(*keys).applyInPandas(run, schema)
 
 
-def two_level_leaders(items: DataFrame, keys: list[str], threshold: float, ceiling: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(first pass, final leaders of the large keys).
+def leader_levels(items: DataFrame, keys: list[str], threshold: float = MERGE_THRESHOLD, ceiling: int = LEADERS, block: int = BLOCK, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """One rule at every size: (items with their cluster, clusters).
 
-    A key with at most ``block_rows`` items is one block and its pass is the exact one. A larger key is dealt
-    into blocks by item id; each block finds its leaders, and the blocks' leaders, at most
-    ceiling x blocks rows, are clustered among themselves, the best supported first.
+    A key's items are dealt into blocks of about ``block`` by a hash of their id. The ordered pass finds each block's leaders; the leaders of
+    ``fan`` blocks go through the same pass, the best supported first, then those of ``fan`` such groups, until one group is left. Blocks and groups
+    run in parallel, and none holds more than ``block`` items or ``fan`` times ``ceiling`` leaders. An item is in the cluster that its
+    block's leader ended in, its similarity the least of the joins that led there. A key of one block gets the plain ordered pass.
+    What found no place under the ``ceiling`` of a pass on the way has cluster -1. Items: keys, item_id, cluster, similarity. Clusters: keys, cluster,
+    weight (how many items), centroid.
     """
     sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    blocks = sizes.select(*keys, "n", F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("blocks"))
-    dealt = attach(items, blocks, keys, "n").withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int"))
-    first = materialize(leader_pass(dealt, [*keys, "blocks", "block"], ["item_id"], threshold, ceiling), "leaders")
-    seeds = first.filter("blocks > 1 and kind = 'leader'").select(
-        *keys, (F.col("block").cast("bigint") * ceiling + F.col("cluster")).alias("item_id"),
-        F.col("centroid").alias("embedding"), "weight", (-F.col("weight")).alias("light"),
-    )
-    final = leader_pass(seeds, keys, ["light", "item_id"], threshold, ceiling).filter("kind = 'leader'")
-    return first, materialize(final, "final-leaders")
-
-
-def leader_clusters(items: DataFrame, threshold: float = MERGE_THRESHOLD, ceiling: int = MAX_CLUSTERS, block_rows: int = 200_000) -> DataFrame:
-    """Clusters per library: (library_id, item_id, cluster, similarity), for every item.
-
-    A pass holds at most ``ceiling`` leaders. What finds no place in it is clustered in another pass, whose clusters
-    are numbered from the next multiple of the ceiling, until nothing is left over.
+    blocks = sizes.withColumn("parts", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    dealt = attach(items, blocks, keys, "n").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("bigint"))
+    number = F.col("part") * ceiling + F.col("cluster")
+    row = [*keys, "parts", "part", "cluster", "weight", "centroid"]
+    passed, seen = materialize_counted(leader_pass(dealt, [*keys, "parts", "part"], ["item_id"], threshold, ceiling), "leaders", parts=F.max("parts"))
+    leaders = passed.filter("kind = 'leader'").select(*row)
+    line = leaders.select(*keys, "parts", number.alias("first"), F.col("weight").alias("n"), number.alias("at"), F.lit(1.0).alias("loosest"))
+    parts = seen["parts"] or 1
+    fewer = F.ceil(F.col("parts") / F.lit(fan)).cast("int").alias("parts")
+    while parts > 1:
+        # keys with one part left are done and stay as they are
+        seeds = leaders.filter("parts > 1").select(*keys, fewer, F.floor(F.col("part") / fan).alias("part"), number.alias("item_id"), F.col("centroid").alias("embedding"), "weight", (-F.col("weight")).alias("light"))
+        merged = materialize(leader_pass(seeds, [*keys, "parts", "part"], ["light", "item_id"], threshold, ceiling), "merged-leaders")
+        moved = merged.filter("kind = 'member' and cluster >= 0").select(*keys, F.col("item_id").alias("at"), number.alias("to"), F.col("similarity").alias("met"))
+        going = line.filter("parts > 1").join(moved, [*keys, "at"], "left").select(*keys, fewer, "first", "n", F.coalesce("to", F.lit(-1)).alias("at"), F.least("loosest", F.coalesce("met", F.lit(0.0))).alias("loosest"))
+        line = line.filter("parts = 1").unionByName(going)
+        leaders = materialize(leaders.filter("parts = 1").unionByName(merged.filter("kind = 'leader'").select(*row)), "level-leaders")
+        parts = -(-parts // fan)
+    members = passed.filter("kind = 'member'").select(*keys, "item_id", F.when(F.col("cluster") >= 0, number).otherwise(-1).alias("first"), "similarity")
+    placed = attach(members.filter("first >= 0"), line.drop("parts"), [*keys, "first"], "n")
+    placed = placed.select(*keys, "item_id", F.col("at").cast("int").alias("cluster"), F.least("similarity", "loosest").alias("similarity"))
+    lost = members.filter("first < 0").select(*keys, "item_id", F.lit(-1).alias("cluster"), F.lit(0.0).alias("similarity"))
+    return placed.unionByName(lost), leaders.select(*keys, "cluster", "weight", "centroid")
+
+
+def clusters_and_centroids(items: DataFrame, keys: list[str], threshold: float = MERGE_THRESHOLD, ceiling: int = LEADERS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``leader_levels`` until every item has a cluster: what found no place is clustered again, its clusters numbered from the next
+    multiple of the ceiling. Each pass places the items of up to ``ceiling`` clusters, at least one, so it ends.
     """
-    rest, placed, base = items, None, 0
+    rest, placed, found, base = items, None, None, 0
     while True:
-        found = materialize(_cluster_pass(rest, threshold, ceiling, block_rows), "cluster-pass")
-        mine = found.filter("cluster >= 0").withColumn("cluster", F.col("cluster") + F.lit(base))
-        placed = mine if placed is None else placed.union(mine)
-        left = found.filter("cluster < 0").select("library_id", "item_id")
-        if left.isEmpty():
-            return placed
-        if mine.isEmpty():  # merged leaders drifted from all items: each library's rest in one ordered pass
-            block_rows = 1 << 60
-        rest = materialize(rest.join(left, ["library_id", "item_id"], "left_semi"), "cluster-rest")
+        now, clusters = leader_levels(rest, keys, threshold, ceiling, block)
+        now, seen = materialize_counted(now, "cluster-pass", left=F.count_if(F.col("cluster") < 0))
+        mine = now.filter("cluster >= 0").withColumn("cluster", F.col("cluster") + F.lit(base))
+        clusters = clusters.withColumn("cluster", F.col("cluster") + F.lit(base))
+        placed, found = (mine, clusters) if placed is None else (placed.union(mine), found.union(clusters))
+        if not seen["left"]:
+            return placed, found
+        left = now.filter("cluster < 0").select(*keys, "item_id")
+        rest = materialize(rest.join(left, [*keys, "item_id"], "left_semi"), "cluster-rest")
         base += ceiling
 
 
-def _cluster_pass(items: DataFrame, threshold: float, ceiling: int, block_rows: int) -> DataFrame:
-    """One pass over libraries of any size. Members of an exact pass keep the cluster they joined. In a larger library every
-    item joins the nearest final leader if it reaches the threshold. Cluster -1 is what this pass has no leader for.
-    """
-    first, final = two_level_leaders(items, ["library_id"], threshold, ceiling, block_rows)
-    exact = first.filter("blocks = 1 and kind = 'member'").select("library_id", "item_id", "cluster", "similarity")
-    if final.isEmpty():
-        return exact
-    named = final.select("library_id", F.col("cluster").cast("string").alias("name"), F.lit(fixed.EMBEDDING_REVISION).alias("revision"), "centroid")
-    large = first.filter("blocks > 1 and kind = 'member'").select("library_id", "item_id")
-    asked = items.select("library_id", "item_id", "embedding", F.lit(fixed.EMBEDDING_REVISION).alias("revision")).join(large, ["library_id", "item_id"], "left_semi")
-    joined = match_labels(asked, named, threshold)
-    return exact.union(joined.select("library_id", "item_id", F.coalesce(F.col("label").cast("int"), F.lit(-1)), F.coalesce("similarity", F.lit(0.0))))
+def comparable(items: DataFrame) -> DataFrame:
+    """Items of the current revision: vectors of another one mean something else."""
+    return items.filter(F.col("revision") == fixed.EMBEDDING_REVISION) if "revision" in items.columns else items
+
+
+def leader_clusters(items: DataFrame, threshold: float = MERGE_THRESHOLD, ceiling: int = LEADERS, block: int = BLOCK) -> DataFrame:
+    """Clusters per library: (library_id, item_id, cluster, similarity), for every item of the current revision."""
+    return clusters_and_centroids(comparable(items), ["library_id"], threshold, ceiling, block)[0]
 
 
 def cluster_summary(assigned: DataFrame, bytes_of: DataFrame) -> DataFrame:
@@ -314,17 +325,16 @@ def label_policies(edits: DataFrame) -> DataFrame:
     return state.filter(~F.col("deleted")).drop("deleted")
 
 
-def build_centroids(items: DataFrame, min_samples: int = 8, threshold: float = MERGE_THRESHOLD, block_rows: int = 200_000) -> DataFrame:
+def build_centroids(items: DataFrame, min_samples: int = 8, threshold: float = MERGE_THRESHOLD, ceiling: int = LEADERS, block: int = BLOCK) -> DataFrame:
     """Centroid library from vectors sorted by app: (name, sample_count, revision, centroid).
 
-    Apps below ``min_samples`` are skipped; an app's clusters give its centroids; an
-    app without clusters gets its normalised mean.
+    Apps below ``min_samples`` are skipped; an app's clusters of two or more give its centroids; an
+    app without such clusters gets its normalised mean.
     """
     sizes = items.groupBy("app").agg(F.count(F.lit(1)).alias("sample_count")).filter(F.col("sample_count") >= min_samples)
     enough = items.join(sizes.select("app"), "app", "left_semi")
-    first, final = two_level_leaders(enough, ["app"], threshold, MAX_CLUSTERS, block_rows)
-    leaders = first.filter("blocks = 1 and kind = 'leader'").select("app", "weight", "centroid").union(final.select("app", "weight", "centroid"))
-    clusters = leaders.filter("weight >= 2").select("app", "centroid")
+    found = clusters_and_centroids(enough, ["app"], threshold, ceiling, block)[1]
+    clusters = found.filter("weight >= 2").select("app", "centroid")
     rest = enough.join(clusters.select("app").distinct(), "app", "left_anti")
     centroids = clusters.union(mean_vectors(rest, ["app"]).select("app", vectors.normalise("mean")))
     return sizes.join(centroids, "app").select(F.col("app").alias("name"), "sample_count", F.lit(fixed.EMBEDDING_REVISION).alias("revision"), "centroid")

@@ -396,7 +396,7 @@ def purity(assigned: DataFrame) -> DataFrame:
     return per_cluster.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("low") == F.col("high")).alias("pure"))
 
 
-def merge_sweep(items: DataFrame, thresholds: tuple[float, ...] = MERGE_SWEEP, ceiling: int = embeddings.MAX_CLUSTERS) -> DataFrame:
+def merge_sweep(items: DataFrame, thresholds: tuple[float, ...] = MERGE_SWEEP, ceiling: int = embeddings.LEADERS) -> DataFrame:
     """Clusters and pure clusters per merge threshold. Items past the ceiling are counted, as in the clustering itself."""
     placed = None
     for t in thresholds:

@@ -112,7 +112,17 @@ def projection(lib: Library) -> DataFrame:
 
 
 def _clusters(lib: Library) -> DataFrame:
-    return lib.keep("clusters", lambda: emb.leader_clusters(items(lib), MERGE_AT))
+    return lib.keep("clusters", lambda: _found(lib)[0])
+
+
+_clustered: dict[Library, tuple[DataFrame, DataFrame]] = {}
+
+
+def _found(lib: Library) -> tuple[DataFrame, DataFrame]:
+    """(assigned, centroids) of the library's vectors."""
+    if lib not in _clustered:
+        _clustered[lib] = emb.clusters_and_centroids(emb.comparable(items(lib)), ["library_id"], MERGE_AT)
+    return _clustered[lib]
 
 
 @query("emb3")
@@ -122,8 +132,8 @@ def leaders(lib: Library) -> DataFrame:
 
 @query("emb3_blocks")
 def leaders_in_blocks(lib: Library) -> DataFrame:
-    """The route a library too large for one pass takes: leaders per block, leaders of leaders, assignment."""
-    return emb.leader_clusters(items(lib), MERGE_AT, block_rows=200).select("item_id", "cluster", F.round("similarity", 6).alias("similarity"))
+    """The same rule with blocks of 100, so that leaders are merged in levels."""
+    return emb.leader_clusters(items(lib), MERGE_AT, block=100).select("item_id", "cluster", F.round("similarity", 6).alias("similarity"))
 
 
 @query("emb4", """
@@ -139,19 +149,18 @@ def summary(lib: Library) -> DataFrame:
 
 @query("emb4_suggestions")
 def suggestions(lib: Library) -> DataFrame:
-    """Clusters found by leaders, largest first, each with the label its mean resembles most."""
+    """Clusters found by leaders, largest first, each with the label its centroid resembles most."""
     assigned = _clusters(lib)
     totals = emb.cluster_summary(assigned, items(lib).select("library_id", "item_id", (F.col("item_id") * 1000).alias("bytes")))
-    means = emb.mean_vectors(items(lib).join(assigned.filter("cluster >= 0"), ["library_id", "item_id"]), ["library_id", "cluster"])
-    centres = means.select("library_id", F.col("cluster").cast("bigint").alias("item_id"), vectors.normalise("mean").alias("embedding"), F.lit(2).alias("revision"))
+    centres = _found(lib)[1].select("library_id", F.col("cluster").cast("bigint").alias("item_id"), F.col("centroid").alias("embedding"), F.lit(2).alias("revision"))
     named = emb.match_labels(centres, centroids(lib), LABEL_AT).select("library_id", F.col("item_id").cast("int").alias("cluster"), "label", "similarity")
     return totals.join(named, ["library_id", "cluster"], "left").orderBy(F.desc("size"), "cluster")
 
 
 @query("emb5")
 def overflow(lib: Library) -> DataFrame:
-    """With a ceiling of 200 leaders, so that some items fall past it."""
-    return emb.overflow(emb.leader_clusters(items(lib), MERGE_AT, ceiling=200), 200)
+    """Against a limit of 200 clusters, so that some items fall past it."""
+    return emb.overflow(_clusters(lib), 200)
 
 
 @query("emb6", "select item_id, matched as label from matched where matched is not null", ("matched",))

@@ -59,7 +59,7 @@ def test_leader_pass_is_the_sequential_pass(spark, ceiling, threshold, noise):
 
 def test_blocks_of_a_large_library_find_the_planted_groups(spark):
     rows, items = planted(spark)
-    placed = emb.leader_clusters(items, 0.93, block_rows=40).join(items.select("item_id", "app"), "item_id")
+    placed = emb.leader_clusters(items, 0.93, block=40).join(items.select("item_id", "app"), "item_id")
     assert placed.filter("cluster >= 0 and similarity < 0.93").count() == 0 and placed.count() == len(rows)
     quality = evaluate.purity(placed.withColumnRenamed("app", "truth")).first()
     assert (quality.clusters, quality.pure) == (6, 6)
@@ -351,3 +351,32 @@ def test_planes_of_libraries_are_those_of_each_alone(spark):
         for r in emb.pca_plane(alone.drop("library_id")).collect():
             assert got[r.item_id + 10_000 * lib] == pytest.approx((r.px, r.py), abs=1e-9)
     assert all(got[k] == (0.0, 0.0) for k in (20_900, 20_901, 10_902, 10_903))
+
+
+def test_clustering_does_not_depend_on_partitions_or_on_other_libraries(spark):
+    _, one = planted(spark, groups=5, per_group=20)
+    _, two = planted(spark, groups=7, per_group=40, seed=3, library=1)
+    found = lambda df, **kw: {(r.library_id, r.item_id): (r.cluster, round(r.similarity, 9)) for r in emb.leader_clusters(df, 0.93, **kw).collect()}
+    whole = found(one.unionByName(two), block=30)
+    assert whole == found(one.unionByName(two).repartition(9), block=30)
+    assert {k: v for k, v in whole.items() if k[0] == 0} == found(one, block=30) and {k: v for k, v in whole.items() if k[0] == 1} == found(two, block=30)
+    both = found(one.unionByName(two), block=100)  # one block in library 0, three in library 1
+    assert {k: v for k, v in both.items() if k[0] == 0} == found(one)
+    for result in (whole, both):
+        assert len(result) == one.count() + two.count() and len(set((k[0], v[0]) for k, v in result.items())) == 12
+
+
+def test_an_app_of_500_clear_groups_has_500_centroids(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(500, 64))
+    rows = [(0, 2 * i + k, (c + 0.01 * rng.normal(size=64)).tolist(), 2, "many") for i, c in enumerate(centres / np.linalg.norm(centres, axis=1, keepdims=True)) for k in (0, 1)]
+    items = spark.createDataFrame(rows, ITEMS)
+    for options in ({}, {"block": 200}, {"ceiling": 150}):
+        built = emb.build_centroids(items, threshold=0.9, **options).collect()
+        assert len(built) == 500 and {r.sample_count for r in built} == {1000}
+
+
+def test_vectors_of_another_revision_are_not_clustered(spark):
+    _, items = planted(spark)
+    old = items.withColumn("revision", F.when(F.col("item_id") % 4 == 0, 1).otherwise(2))
+    assert {r.item_id % 4 for r in emb.leader_clusters(old, 0.93).collect()} == {1, 2, 3}
