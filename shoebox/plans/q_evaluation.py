@@ -270,7 +270,18 @@ def threshold_bits(lib: Library) -> DataFrame:
     return rows.select("asset_id", pixels.above_tail_median("e").alias("phash"))
 
 
-@query("fpr2_grid")
+view("dct", """
+select asset_id, list(c order by k, l) as c from
+ (select asset_id, k, l, list_sum(list_transform(range(32), lambda y: cos(pi() * (2 * y + 1) * k / 64) * list_dot_product(g[y * 32 + 1:y * 32 + 32], list_transform(range(32), lambda x: cos(pi() * (2 * x + 1) * l / 64))))) as c
+  from grids cross join range(8) a(k) cross join range(8) b(l)) group by asset_id
+""", ("grids",))
+BIT = "case when i = 63 then -9223372036854775808::hugeint else (1::bigint << least(i, 62))::hugeint end"
+view("grid_phash", f"""
+select asset_id, sum(case when c[i + 1] > list_sort(c[2:64])[32] then {BIT} else 0::hugeint end)::bigint as phash from dct cross join range(64) t(i) group by asset_id
+""", ("dct",))
+
+
+@query("fpr2_grid", "select asset_id, phash from grid_phash", ("grid_phash",))
 def grid_phash(lib: Library) -> DataFrame:
     """DCT and threshold together; the tests replay it by definition."""
     return prints(lib).select("asset_id", "phash")
@@ -315,7 +326,21 @@ def edges(lib: Library) -> DataFrame:
     return prints(lib).select("asset_id", F.round("edge_density", 6).alias("edge_density"))
 
 
-@query("fpr8")
+@query("fpr8", f"""
+, level as (select asset_id, g, list_transform(g, lambda v: greatest(0, least(255, trunc(v * 255)::int))) as q, list_transform(range(3072), lambda i: trunc(g[i // 3 + 1] * 255)::int) as rgb from grids),
+fnv as (select asset_id, list_reduce(list_concat(q, rgb)::hugeint[], lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint, 14695981039346656037::hugeint) as h from level),
+bits as (select asset_id, sum(case when g[(i // 8) * 32 + i % 8 + 1] > g[(i // 8) * 32 + i % 8 + 2] then {BIT} else 0::hugeint end)::bigint as dhash from grids cross join range(64) t(i) group by asset_id),
+sharp as (select asset_id, least(1.0::double, stddev_pop(4 * g[k + 1] - g[k] - g[k + 2] - g[k - 31] - g[k + 33]) / 0.15) as v
+ from grids cross join (select y * 32 + x as k from range(1, 31) a(y) cross join range(1, 31) b(x)) group by asset_id),
+edge as (select asset_id, count_if(abs(g[k + 2] - g[k + 1]) + abs(g[k + 33] - g[k + 1]) > 0.12)::bigint::double / 961 as v
+ from grids cross join (select y * 32 + x as k from range(0, 31) a(y) cross join range(0, 31) b(x)) group by asset_id),
+flat as (select asset_id, sum(n) / 1024.0::double as v from (select *, row_number() over (partition by asset_id order by n desc) as k from
+ (select asset_id, trunc(trunc(v * 255) / 255.0::double * 15) as bucket, count(*) as n from (select asset_id, unnest(g) as v from grids) group by 1, 2)) where k <= 8 group by asset_id),
+light as (select asset_id, avg(trunc(v * 255) / 255.0::double) as v from (select asset_id, unnest(g) as v from grids) group by asset_id)
+select asset_id, dhash, phash, (case when h >= 9223372036854775808::hugeint then h - 18446744073709551616::hugeint else h end)::bigint as content_hash, round(sharp.v, 6) as sharpness, 0.0::double as saturation,
+ round(flat.v, 6) as flatness, round(edge.v, 6) as edge_density, round(light.v, 6) as brightness, 8 as version
+from bits join grid_phash using (asset_id) join fnv using (asset_id) join sharp using (asset_id) join edge using (asset_id) join flat using (asset_id) join light using (asset_id)
+""", ("grids", "grid_phash"))
 def fingerprint_job(lib: Library) -> DataFrame:
     """The whole job over the images that have no current fingerprint yet."""
     from shoebox.sources import catalog
@@ -323,4 +348,6 @@ def fingerprint_job(lib: Library) -> DataFrame:
     cached = prints(lib).filter("asset_id % 3 <> 0")
     wanted = lib.vectors().select(F.col("vec_id").alias("asset_id"), F.lit(False).alias("is_video"))
     missing = catalog.missing_fingerprints(wanted, cached)
-    return catalog.merge_fingerprints(cached, pixels.fingerprint(grids(lib).join(missing, "asset_id", "left_semi")))
+    merged = catalog.merge_fingerprints(cached, pixels.fingerprint(grids(lib).join(missing, "asset_id", "left_semi")))
+    places = ("sharpness", "saturation", "flatness", "edge_density", "brightness")
+    return merged.select(*[F.round(c, 6).alias(c) if c in places else c for c in merged.columns])

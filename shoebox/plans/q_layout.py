@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import fixed
 from shoebox.operators import layout, rules
+from shoebox.operators import triage as triage_job
 from shoebox.plans import scan
-from shoebox.plans.duck_views import view
+from shoebox.plans.duck_views import VIEWS, view
 from shoebox.plans.registry import query
 from shoebox.sources.derived import Library
 
@@ -215,3 +216,40 @@ def triage(lib: Library) -> DataFrame:
 @query("cls13", "select asset_id, category from classified where confidence >= 0.35 and category <> 'documentShot'", ("classified",))
 def proposed(lib: Library) -> DataFrame:
     return rules.candidates(classified(lib)).select("asset_id", "category")
+
+
+# the whole scan: what was protected takes no part from the start
+view("all_assets", VIEWS["assets"][1])
+ELIGIBLE = {"assets": (("all_assets", "protected"), "select * from all_assets where asset_id not in (select asset_id from protected)")}
+SHOWN = """
+, offers as (select group_id from grouped group by group_id having bool_or(not is_keeper and not is_favorite)),
+shown as (select g.* from grouped g join offers using (group_id)),
+exact as (select l_orderkey as asset_id, sum(floor(l_extendedprice)::bigint)::bigint as bytes from lineitem group by l_orderkey having sum(floor(l_extendedprice)) > 0)
+"""
+
+
+def resources(lib: Library) -> DataFrame:
+    return lib.table("lineitem").select(F.col("l_orderkey").alias("asset_id"), F.floor("l_extendedprice").cast("bigint").alias("bytes"))
+
+
+def scan_groups(lib: Library) -> DataFrame:
+    return lib.keep("whole-scan", lambda: triage_job.find_groups(lib.assets(), lib.fingerprints(), scan.protected(lib), resources(lib)))
+
+
+@query("scan_groups", SHOWN + """
+select group_id, tier, asset_id, is_keeper, coalesce(bytes, byte_size)::bigint as byte_size from shown left join exact using (asset_id)
+""", ("grouped",), ELIGIBLE)
+def whole_scan_groups(lib: Library) -> DataFrame:
+    return scan_groups(lib).select("group_id", "tier", "asset_id", "is_keeper", "byte_size")
+
+
+@query("scan_candidates", SHOWN + """
+, targets as (select asset_id, byte_size from screens where asset_id not in (select asset_id from shown where not is_keeper)
+ and not is_favorite and asset_id % 17 <> 5 and creation_ts <= timestamp '2024-02-15 00:00:00' - interval 3 day and (is_screen_recording or not (is_video or is_panorama or is_portrait)))
+select t.asset_id, c.category, round(c.confidence, 6) as confidence, c.reasons, coalesce(bytes, t.byte_size)::bigint as byte_size
+from targets t join classified c using (asset_id) left join exact using (asset_id) where c.confidence >= 0.35 and c.category <> 'documentShot'
+""", ("grouped", "screens", "classified"), ELIGIBLE)
+def whole_scan_candidates(lib: Library) -> DataFrame:
+    assets = lib.assets().withColumn("has_adjustments", F.col("asset_id") % 17 == 5)
+    found = triage_job.find_candidates(analysed(lib), assets, scan_groups(lib), scan.protected(lib), NOW, resources(lib))
+    return found.select("asset_id", "category", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", "; ").alias("reasons"), "byte_size")

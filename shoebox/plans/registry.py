@@ -13,11 +13,11 @@ QUERIES: dict[str, Callable[[Library], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None, views: tuple[str, ...] = ()):
+def query(name: str, oracle: str | None = None, views: tuple[str, ...] = (), instead: dict | None = None):
     def register(fn: Callable[[Library], DataFrame]):
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = with_views(oracle, views)
+            ORACLES[name] = with_views(oracle, views, instead)
         return fn
 
     return register
