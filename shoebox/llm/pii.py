@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ _DIGITS = re.compile("[^0-9]+")
 _TRIGGER = re.compile("[0-9@]")
 _AT = r"[(\[ ]at[)\] ]"
 _SPELT = re.compile("[0-9@]|" + _AT)
-WIDEST = 1536  # an address has 320 characters at most, under 1,200 with every mark spelt out
+AT_ONCE = 4096 * 96  # characters of windows read together
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -397,8 +398,9 @@ def added_spans(tagger: Tagger | None, texts: list[str], base: list[list[Span]],
     width = WIDTH
     while places:
         cut: list[tuple[int, int, int]] = []
-        for lot in range(0, len(places), 4096):
-            part = places[lot : lot + 4096]
+        lots = max(1, AT_ONCE // width)
+        for lot in range(0, len(places), lots):
+            part = places[lot : lot + lots]
             for (n, at), spans in zip(part, window_spans(tagger, [texts[n][at : at + width] for n, at in part], width), strict=True):
                 length = len(texts[n])
                 for f in spans:
@@ -406,16 +408,16 @@ def added_spans(tagger: Tagger | None, texts: list[str], base: list[list[Span]],
                         found[n].append(Found(f.kind, at + f.start, at + f.end, f.score))
                     else:
                         cut.append((n, at + f.start, at + f.end))
-        width *= 2
-        places = _centred(cut, found, width) if width <= WIDEST else []
+        width *= 2  # until nothing is cut: a window as wide as its text cuts nothing
+        places = _centred(cut, found, width)
     out = []
     for text, own, spans in zip(texts, base, found, strict=True):
         taken = sorted((s, e) for _, s, e in own)
-        starts = [s for s, _ in taken]
+        starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
         keep = []
         for f in reconciled(spans):
-            near = int(np.searchsorted(starts, f.end))
-            if f.score >= sure and not any(e > f.start for _, e in taken[max(0, near - 4) : near]) and plausible(f.kind, text[f.start : f.end]):
+            near = bisect_left(starts, f.end)  # base spans that begin before this one ends
+            if f.score >= sure and not (near and reach[near - 1] > f.start) and plausible(f.kind, text[f.start : f.end]):
                 keep.append((f.kind, f.start, f.end))
         out.append(keep)
     return out

@@ -137,3 +137,30 @@ def test_masking(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.mask_personal_data(frame, 20, 5).collect()}
     assert got == {0: ("mail <EMAIL> now", 16), 1: (None, 0), 2: ("plain", 5), 3: ("mail <EMAIL> now", 16)}
     assert pii.mask_personal_data(frame.limit(0)).collect() == [] and pii.find_personal_data(frame.limit(0)).collect() == []
+
+
+def test_found_spans_stay_clear_of_every_base_span(monkeypatch):
+    """An e-mail with six addresses in it: what a tagger says inside it is not added, however many base spans begin in between."""
+    text = "write to 1.2.3.4-5.6.7.8-9.10.11.12-13.14.15.16-17.18.19.20-21.22.23.24-aaaa@mail.example.com or (x) at home dot org now"
+    inside, beside = text.index("aaaa"), text.index("(x)")
+    monkeypatch.setattr(pii, "window_spans", lambda tagger, parts, width: [[pii.Found(0, p.index("aaaa"), p.index("aaaa") + 4, 1.0)] if "aaaa" in p else [] for p in parts])
+    monkeypatch.setattr(pii, "plausible", lambda kind, t: True)
+    base = pii.base_spans(text)
+    assert sum(k == 1 for k, _, _ in base) >= 5 and pii.added_spans(object(), [text], [base]) == [[]]
+    monkeypatch.setattr(pii, "window_spans", lambda tagger, parts, width: [[pii.Found(0, p.index("(x)"), p.index("(x)") + 8, 1.0)] if "(x)" in p else [] for p in parts])
+    assert pii.added_spans(object(), [text], [base]) == [[(0, beside, beside + 8)]] and inside < beside
+
+
+def test_windows_widen_until_a_long_span_is_whole(monkeypatch):
+    text = "a" * 300 + "9" * 5000 + "b" * 300
+
+    def tag(tagger, parts, width):
+        out = []
+        for p in parts:
+            at, n = p.find("9"), p.count("9")
+            out.append([pii.Found(0, at, at + n, 1.0)] if n else [])
+        return out
+
+    monkeypatch.setattr(pii, "window_spans", tag)
+    monkeypatch.setattr(pii, "plausible", lambda kind, t: True)
+    assert pii.added_spans(object(), [text, ""], [[], []]) == [[(0, 300, 5300)], []]
