@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from shoebox.functions import fixed, vectors
-from shoebox.operators.distributed import attach, top_k
+from shoebox.operators.distributed import attach, owned, top_k
 from shoebox.session import materialize, materialize_counted
 
 MERGE_THRESHOLD = 0.93
@@ -295,15 +295,17 @@ def name_clusters(labels: DataFrame, centroids: DataFrame, namings: DataFrame) -
     """Applies namings (name, category, sample_count, revision, centroid, seq) to the label store.
 
     Names are trimmed and blank ones ignored. A taken name gains the centroid and the samples, and an
-    empty category is filled by the first one given; a new name becomes a new label.
+    empty category is filled by the first one given; a new name becomes a new label. Where all three tables have ``library_id``, names are
+    each library's own.
     """
     given = namings.withColumn("name", F.regexp_replace("name", r"^\s+|\s+$", "")).filter("name <> ''")
-    both = labels.select("name", "category", "sample_count", F.lit(-1).cast("bigint").alias("seq")).union(
-        given.select("name", "category", "sample_count", "seq")
+    keys = owned(labels, "name") if "library_id" in namings.columns else ["name"]
+    both = labels.select(*keys, "category", "sample_count", F.lit(-1).cast("bigint").alias("seq")).union(
+        given.select(*keys, "category", "sample_count", "seq")
     )
     first_category = F.min_by("category", F.when(F.col("category").isNotNull(), F.col("seq")))
-    merged = both.groupBy("name").agg(first_category.alias("category"), F.sum("sample_count").alias("sample_count"))
-    return merged, centroids.select("name", "revision", "centroid").union(given.select("name", "revision", "centroid"))
+    merged = both.groupBy(*keys).agg(first_category.alias("category"), F.sum("sample_count").alias("sample_count"))
+    return merged, centroids.select(*keys, "revision", "centroid").union(given.select(*keys, "revision", "centroid"))
 
 
 def label_policies(edits: DataFrame) -> DataFrame:

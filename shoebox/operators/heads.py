@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import vectors
 from shoebox.functions.fixed import LEARNABLE
+from shoebox.operators.distributed import shared
 
 # Learning rates, decays, warm-up counts and trust limits of the two heads.
 SOFTMAX_RATE, SOFTMAX_DECAY, SOFTMAX_WARM = 0.35, 1e-4, 12
@@ -244,6 +245,7 @@ def learning_summary(decisions: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def apply_corrections(candidates: DataFrame, corrections: DataFrame) -> DataFrame:
-    """The latest correction (asset_id, ts, event_id, corrected) replaces a candidate's category."""
-    latest = corrections.groupBy("asset_id").agg(F.max_by("corrected", F.struct("ts", "event_id")).alias("corrected"))
-    return candidates.join(latest, "asset_id", "left").withColumn("category", F.coalesce("corrected", "category")).drop("corrected")
+    """The latest correction (asset_id, ts, event_id, corrected) replaces a candidate's category, within its library where both know theirs."""
+    keys = shared(candidates, corrections, "asset_id")
+    last = corrections.groupBy(*keys).agg(F.max_by("corrected", F.struct("ts", "event_id")).alias("corrected"))
+    return candidates.join(last, keys, "left").withColumn("category", F.coalesce("corrected", "category")).drop("corrected")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.operators.asof import as_of
 from shoebox.functions.fixed import CATEGORIES
+from shoebox.operators.asof import as_of
 from shoebox.operators.distributed import latest, top_k
 
 
@@ -46,17 +46,18 @@ def daily_readings(readings: DataFrame, keep: int = 400) -> DataFrame:
     return top_k(last, ["library_id"], [F.desc("day")], keep).drop("rank")
 
 
-def freed_by_category(run_rows: DataFrame) -> DataFrame:
-    exploded = run_rows.select(F.explode(F.map_zip_with("bytes_by_category", "count_by_category", lambda k, b, n: F.struct(b.alias("bytes"), n.alias("n")))).alias("category", "v"))
+def freed_by_category(run_rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Bytes and items per category, over all libraries or per ``keys``."""
+    exploded = run_rows.select(*keys, F.explode(F.map_zip_with("bytes_by_category", "count_by_category", lambda k, b, n: F.struct(b.alias("bytes"), n.alias("n")))).alias("category", "v"))
     return (
-        exploded.filter(F.col("category").isin(*CATEGORIES)).groupBy("category")
+        exploded.filter(F.col("category").isin(*CATEGORIES)).groupBy(*keys, "category")
         .agg(F.sum("v.bytes").alias("bytes"), F.sum("v.n").alias("items"))
     )
 
 
-def category_share(freed: DataFrame) -> DataFrame:
-    """Whole percents, truncated. At most one row per category enters the window."""
-    total = F.greatest(F.sum("bytes").over(Window.partitionBy(F.lit(0))), F.lit(1))
+def category_share(freed: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Whole percents of the whole or of each of ``keys``, truncated. At most one row per category and key enters a window."""
+    total = F.greatest(F.sum("bytes").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))), F.lit(1))
     return freed.withColumn("percent", (F.col("bytes").cast("double") / total * 100).cast("bigint"))
 
 
@@ -67,16 +68,16 @@ def run_log(run_rows: DataFrame) -> DataFrame:
     return run_rows.select("library_id", "run_date", "items", "bytes", F.when(top.isin(*CATEGORIES), top).alias("top_category"))
 
 
-def daily_totals(run_rows: DataFrame, today: str, days: int | None = 30) -> DataFrame:
-    """Freed bytes per day from ``days`` before ``today`` on, with the busiest day marked."""
+def daily_totals(run_rows: DataFrame, today: str, days: int | None = 30, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Freed bytes per day from ``days`` before ``today`` on, with the busiest day marked, over all libraries or per ``keys``."""
     rows = run_rows
     if days is not None:
         rows = rows.filter(F.col("run_date") >= F.date_sub(F.lit(today).cast("date"), days))
-    per_day = rows.groupBy("run_date").agg(F.sum("bytes").alias("bytes"), F.sum("items").alias("items"))
-    every = Window.partitionBy(F.lit(0))  # one row per day: small
+    per_day = rows.groupBy(*keys, "run_date").agg(F.sum("bytes").alias("bytes"), F.sum("items").alias("items"))
+    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # one row per day: small
     busiest = F.max_by("run_date", F.struct(F.col("bytes"), (-F.unix_date("run_date")).alias("d"))).over(every)
     return per_day.select(
-        "run_date", "bytes", "items", F.count(F.lit(1)).over(every).alias("active_days"), (F.col("run_date") == busiest).alias("busiest")
+        *keys, "run_date", "bytes", "items", F.count(F.lit(1)).over(every).alias("active_days"), (F.col("run_date") == busiest).alias("busiest")
     )
 
 
@@ -100,6 +101,7 @@ def net_change(readings: DataFrame) -> DataFrame:
     return ends.filter("first_ts <> last_ts").withColumn("delta", F.col("to_bytes") - F.col("from_bytes"))
 
 
-def hero(run_rows: DataFrame) -> DataFrame:
-    totals = run_rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("lifetime_bytes"), F.coalesce(F.sum("items"), F.lit(0)).alias("lifetime_items"), F.count(F.lit(1)).alias("runs"))
+def hero(run_rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Lifetime totals and the mean of a run, over all libraries or per ``keys``."""
+    totals = run_rows.groupBy(*keys).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("lifetime_bytes"), F.coalesce(F.sum("items"), F.lit(0)).alias("lifetime_items"), F.count(F.lit(1)).alias("runs"))
     return totals.withColumn("mean_bytes", F.expr("lifetime_bytes div greatest(runs, 1)"))

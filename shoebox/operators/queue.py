@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions.fixed import GRACE_DAYS, HEAD_ONLY, TIERS
 from shoebox.operators.asof import as_of
-from shoebox.operators.distributed import Sequence, numbered, top_k
+from shoebox.operators.distributed import Sequence, numbered, owned, shared, top_k
 from shoebox.operators.keepers import discardable
 from shoebox.operators.settings import grace_days
 
@@ -135,46 +135,54 @@ def open_candidates(candidates: DataFrame, pending: DataFrame, protected: DataFr
     """Candidates neither marked, nor protected, nor under a keep-always label."""
     rows = candidates
     for gone in (pending, protected, prefer_keep):
-        rows = rows.join(gone.select("asset_id"), "asset_id", "left_anti")
+        on = shared(rows, gone, "asset_id")
+        rows = rows.join(gone.select(*on), on, "left_anti")
     return rows
 
 
 def decks(open_rows: DataFrame, size: int = 60) -> DataFrame:
-    """The first cards of every category in queue order."""
-    return top_k(open_rows, ["category"], [F.desc("priority"), F.col("asset_id")], size, "position")
+    """The first cards of every category of a library in queue order."""
+    return top_k(open_rows, owned(open_rows, "category"), [F.desc("priority"), F.col("asset_id")], size, "position")
 
 
 def top_up(deck: DataFrame, arrivals: DataFrame, size: int = 60) -> DataFrame:
-    """New cards per category (first come first), for decks still below three times the size."""
-    full = deck.groupBy("category").agg(F.count(F.lit(1)).alias("cards")).filter(F.col("cards") >= 3 * size)
-    fresh = arrivals.join(deck.select("asset_id"), "asset_id", "left_anti").join(full, "category", "left_anti")
-    return top_k(fresh, ["category"], [F.col("arrival"), F.col("asset_id")], size, "position")
+    """New cards per library and category (first come first), for decks still below three times the size."""
+    category, asset = shared(deck, arrivals, "category"), shared(deck, arrivals, "asset_id")
+    full = deck.groupBy(*category).agg(F.count(F.lit(1)).alias("cards")).filter(F.col("cards") >= 3 * size)
+    fresh = arrivals.join(deck.select(*asset), asset, "left_anti").join(full, category, "left_anti")
+    return top_k(fresh, owned(fresh, "category"), [F.col("arrival"), F.col("asset_id")], size, "position")
 
 
 def first_wins(arrivals: DataFrame) -> DataFrame:
     """One candidate per asset: the first to arrive."""
-    rest = [c for c in arrivals.columns if c != "asset_id"]
-    first = arrivals.groupBy("asset_id").agg(F.min_by(F.struct(*rest), "arrival").alias("_row"))
-    return first.select("asset_id", *[F.col(f"_row.{c}").alias(c) for c in rest])
+    keys = owned(arrivals, "asset_id")
+    rest = [c for c in arrivals.columns if c not in keys]
+    first = arrivals.groupBy(*keys).agg(F.min_by(F.struct(*rest), "arrival").alias("_row"))
+    return first.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def category_counts(open_rows: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Open candidates per category, plus the discardables of copy groups as ``duplicate``."""
-    counts = open_rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("byte_size").alias("bytes"))
+    """Open candidates per library and category, plus the discardables of copy groups as ``duplicate``."""
+    keys = shared(open_rows, grouped)
+    counts = open_rows.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("n"), F.sum("byte_size").alias("bytes"))
     spare = grouped.filter((F.col("tier") < TIERS["moment"]) & discardable(grouped))
-    duplicate = spare.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("bytes"))
-    return counts.union(duplicate.filter("n > 0").select(F.lit("duplicate"), "n", "bytes"))
+    duplicate = spare.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("bytes"))
+    return counts.union(duplicate.filter("n > 0").select(*keys, F.lit("duplicate"), "n", "bytes"))
 
 
 def potential_savings(candidates: DataFrame, pending: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Bytes of unmarked candidates plus bytes reclaimable from groups."""
-    unmarked = candidates.join(pending.select("asset_id"), "asset_id", "left_anti").select("byte_size")
-    spare = grouped.filter(discardable(grouped)).select("byte_size")
-    return unmarked.union(spare).agg(F.sum("byte_size").alias("bytes"))
+    """Bytes of unmarked candidates plus bytes reclaimable from groups, per library."""
+    on, keys = shared(candidates, pending, "asset_id"), shared(candidates, grouped)
+    unmarked = candidates.join(pending.select(*on), on, "left_anti").select(*keys, "byte_size")
+    spare = grouped.filter(discardable(grouped)).select(*keys, "byte_size")
+    return unmarked.union(spare).groupBy(*keys).agg(F.sum("byte_size").alias("bytes"))
 
 
 def untaught(open_rows: DataFrame) -> DataFrame:
-    """Categories only the learned head can give, of which there is no open candidate."""
-    spark = open_rows.sparkSession
-    names = spark.createDataFrame([(c,) for c in HEAD_ONLY], "category string")
-    return names.join(open_rows.select("category").distinct(), "category", "left_anti")
+    """Categories only the learned head can give, of which a library has no open candidate."""
+    if "library_id" in open_rows.columns:
+        wanted = open_rows.select("library_id").distinct().withColumn("category", F.explode(F.array(*map(F.lit, HEAD_ONLY))))
+    else:
+        wanted = open_rows.sparkSession.createDataFrame([(c,) for c in HEAD_ONLY], "category string")
+    keys = owned(wanted, "category")
+    return wanted.join(open_rows.select(*keys).distinct(), keys, "left_anti")

@@ -112,3 +112,34 @@ select sum(bytes)::bigint as lifetime_bytes, sum(items)::bigint as lifetime_item
 """, ("run_totals",))
 def hero(lib: Library) -> DataFrame:
     return history.hero(runs(lib))
+
+
+OWN = ("library_id",)
+
+
+@query("his3_libraries", "select library_id, category, sum(bytes)::bigint as bytes, sum(n)::bigint as items from run_categories group by library_id, category", ("run_categories",))
+def freed_per_library(lib: Library) -> DataFrame:
+    return history.freed_by_category(runs(lib), OWN)
+
+
+@query("his4_libraries", """
+select library_id, category, trunc(bytes::double / greatest(sum(bytes) over (partition by library_id), 1) * 100)::bigint as percent
+from (select library_id, category, sum(bytes)::bigint as bytes from run_categories group by library_id, category)
+""", ("run_categories",))
+def share_per_library(lib: Library) -> DataFrame:
+    return history.category_share(history.freed_by_category(runs(lib), OWN), OWN).select("library_id", "category", "percent")
+
+
+@query("his6_libraries", """
+select library_id, run_date, bytes, items, count(*) over (partition by library_id) as active_days, run_date = first_value(run_date) over (partition by library_id order by bytes desc, run_date) as busiest
+from (select library_id, run_date, sum(bytes)::bigint as bytes, sum(items)::bigint as items from run_totals where run_date >= date '2024-02-15' - 30 group by library_id, run_date)
+""", ("run_totals",))
+def daily_per_library(lib: Library) -> DataFrame:
+    return history.daily_totals(runs(lib), "2024-02-15", 30, OWN)
+
+
+@query("his9_libraries", """
+select library_id, sum(bytes)::bigint as lifetime_bytes, sum(items)::bigint as lifetime_items, count(*) as runs, (sum(bytes) // greatest(count(*), 1))::bigint as mean_bytes from run_totals group by library_id
+""", ("run_totals",))
+def hero_per_library(lib: Library) -> DataFrame:
+    return history.hero(runs(lib), OWN)

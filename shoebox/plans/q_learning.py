@@ -420,7 +420,7 @@ left join learnable l on l.c = r.k
 def corrected(lib: Library) -> DataFrame:
     names = F.array(*map(F.lit, LEARNABLE))
     fixes = lib.decisions().filter("action = 'relabel'").withColumn("corrected", F.element_at(names, (F.col("event_id") % len(LEARNABLE) + 1).cast("int")))
-    return heads.apply_corrections(lib.candidates(), fixes).select("asset_id", "category")
+    return heads.apply_corrections(lib.candidates(), fixes.drop("library_id")).select("asset_id", "category")
 
 
 @query("cls14", """

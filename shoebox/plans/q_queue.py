@@ -207,7 +207,7 @@ select category, count(*) as n, sum(byte_size)::bigint as bytes from open_candid
 union all select 'duplicate', count(*), sum(byte_size)::bigint from selected where tier < 2 and not kept having count(*) > 0
 """, ("open_candidates", "selected"))
 def counts(lib: Library) -> DataFrame:
-    return queue.category_counts(open_candidates(lib), scan.selected(lib))
+    return queue.category_counts(open_candidates(lib), scan.selected(lib)).drop("library_id")
 
 
 @query("dec12", """
@@ -215,11 +215,11 @@ select (select sum(byte_size) from candidates where asset_id not in (select asse
  + (select coalesce(sum(byte_size), 0) from selected where not kept)::bigint as bytes
 """, ("candidates", "pending_ids", "selected"))
 def savings(lib: Library) -> DataFrame:
-    return queue.potential_savings(lib.candidates(), pending_ids(lib), scan.selected(lib))
+    return queue.potential_savings(lib.candidates(), pending_ids(lib), scan.selected(lib)).drop("library_id")
 
 
 @query("dec13", """
 select category from (values ('mapScreenshot'), ('webShot'), ('other')) v(category) where category not in (select category from open_candidates)
 """, ("open_candidates",))
 def untaught(lib: Library) -> DataFrame:
-    return queue.untaught(open_candidates(lib))
+    return queue.untaught(open_candidates(lib)).drop("library_id")

@@ -261,3 +261,28 @@ def test_cache_versions_survive_killed_writes(spark, tmp_path, monkeypatch):
     with pytest.raises(snapshots.Conflict):
         snapshots.write(spark.createDataFrame([(1, 1, 8)], columns), root, base=1)
     assert rows() == [2, 3, 5, 6, 7, 8]
+
+
+def test_decks_counts_and_corrections_stay_in_their_library(spark):
+    from shoebox.operators import embeddings, heads
+
+    rows = [(lib, i, "blurry" if i % 2 else "webShot", 0.1 * i + lib, 100) for lib in (0, 1) for i in range(4)]
+    cards = spark.createDataFrame(rows, "library_id bigint, asset_id bigint, category string, priority double, byte_size bigint")
+    marked = spark.createDataFrame([(1, 3)], "library_id bigint, asset_id bigint")
+    free = queue.open_candidates(cards, marked, marked.limit(0), marked.limit(0))
+    assert free.count() == 7
+    deck = queue.decks(free, 1)
+    assert {(r.library_id, r.category, r.asset_id) for r in deck.collect()} == {(0, "blurry", 3), (0, "webShot", 2), (1, "blurry", 1), (1, "webShot", 2)}
+    more = queue.top_up(deck.drop("position"), free.withColumn("arrival", F.col("asset_id")), 1)
+    assert {(r.library_id, r.asset_id) for r in more.collect()} == {(0, 1), (0, 0), (1, 0)}
+    spare = spark.createDataFrame([(1, 9, 0, False, 7)], "library_id bigint, asset_id bigint, tier int, is_keeper boolean, byte_size bigint")
+    assert {(r.library_id, r.category): r.n for r in queue.category_counts(free, spare).collect()} == {(0, "blurry"): 2, (0, "webShot"): 2, (1, "blurry"): 1, (1, "webShot"): 2, (1, "duplicate"): 1}
+    assert {r.library_id: r.bytes for r in queue.potential_savings(cards, marked, spare).collect()} == {0: 400, 1: 307}
+    assert {(r.library_id, r.category) for r in queue.untaught(free).collect()} == {(lib, c) for lib in (0, 1) for c in fixed.HEAD_ONLY if c != "webShot"}
+    fixes = spark.createDataFrame([(1, 2, 5, 5, "other")], "library_id bigint, asset_id bigint, ts bigint, event_id bigint, corrected string")
+    assert {(r.library_id, r.asset_id) for r in heads.apply_corrections(cards, fixes).filter("category = 'other'").collect()} == {(1, 2)}
+    labels = spark.createDataFrame([(0, "a", None, 1)], "library_id bigint, name string, category string, sample_count bigint")
+    held = spark.createDataFrame([(0, "a", 2, [1.0])], "library_id bigint, name string, revision int, centroid array<double>")
+    given = spark.createDataFrame([(1, " a ", "webShot", 2, 2, [2.0], 1)], "library_id bigint, name string, category string, sample_count bigint, revision int, centroid array<double>, seq bigint")
+    merged, centres = embeddings.name_clusters(labels, held, given)
+    assert {(r.library_id, r.name, r.category, r.sample_count) for r in merged.collect()} == {(0, "a", None, 1), (1, "a", "webShot", 2)} and centres.count() == 2
