@@ -300,9 +300,11 @@ def _with_places(docs: DataFrame, length: int, window: int, batches: int, words:
 
 
 def word_spans(raw: bytes, places: list[dict], words: int) -> list[dict]:
-    """The covered words as (lo, hi) in bytes, from the first one's start to the last one's end."""
+    """The passages of each run of starts as (lo, hi) in bytes, from the first word's start to the last one's end. What stands between two
+    passages that only follow each other stays.
+    """
     at = [m.span() for m in _RUN.finditer(raw)]
-    return [{"lo": at[a][0], "hi": at[b - 1][1]} for a, b in covered(places, words)]
+    return [{"lo": at[p["lo"]][0], "hi": at[p["hi"] + words - 1][1]} for p in places]
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, batches: int = BATCHES, words: int | None = None) -> DataFrame:

@@ -51,3 +51,11 @@ def test_the_stage_cuts_passages_of_51_to_65_words(spark):
     got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs(spark, texts), SF).collect()}
     for i, (n, a, b) in enumerate(around):
         assert got[i].text.split() == (a + b if n > 50 else a + passages[n] + b) and got[i].n_chars == len(got[i].text), n
+
+
+def test_white_space_between_passages_that_follow_each_other_stays(spark):
+    rnd = random.Random(8)
+    one, two = " ".join(prose(rnd, 12)), " ".join(prose(rnd, 12))
+    texts = [f"{one} {two}", f"{one} and", f"so {two}"]
+    got = {r.doc_id: r.text for r in repeats.without_repeats(docs(spark, texts), words=12).collect()}
+    assert [got[i] for i in range(3)] == [" ", " and", "so "] == by_definition(texts, 12, 400)
