@@ -286,3 +286,15 @@ def test_decks_counts_and_corrections_stay_in_their_library(spark):
     given = spark.createDataFrame([(1, " a ", "webShot", 2, 2, [2.0], 1)], "library_id bigint, name string, category string, sample_count bigint, revision int, centroid array<double>, seq bigint")
     merged, centres = embeddings.name_clusters(labels, held, given)
     assert {(r.library_id, r.name, r.category, r.sample_count) for r in merged.collect()} == {(0, "a", None, 1), (1, "a", "webShot", 2)} and centres.count() == 2
+
+
+def test_moments_of_assets_with_large_ids(spark, tmp_path):
+    """From id 429,500 on, an asset lies more than 2^31 seconds after the first."""
+    from shoebox.sources.derived import Library
+
+    seconds = {429_499: 21_474 * 100_000 + 19 * 2, 429_500: 21_475 * 100_000, 512_819: 25_640 * 100_000 + 19 * 60, 30_000_007: 1_500_000 * 100_000 + 7 * 2}
+    rows = [(i, "a b", None, "web", 3) for i in seconds]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    assets = Library(spark, str(tmp_path)).assets()
+    got = {r.asset_id: r.at for r in assets.select("asset_id", (F.unix_seconds("creation_ts") - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))).alias("at")).collect()}
+    assert got == seconds
