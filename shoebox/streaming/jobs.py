@@ -24,16 +24,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def read_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A growing table as a stream: the files ``name.parquet`` and ``name-*.parquet`` of the folder. The schema is that of the table so far.
+    """A growing table as a stream: ``name.parquet`` and ``name-*.parquet`` of the folder, files or folders of files. The schema is that of the table so far.
 
     Every stream of the session keeps its state in RocksDB, off the heap.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    files = f"{name}{{.parquet,-*.parquet}}"
-    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{files}").schema).option("pathGlobFilter", files)
+    files = f"{folder}/{name}{{.parquet,-*.parquet}}"
+    reader = spark.readStream.schema(spark.read.parquet(files).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(files)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:

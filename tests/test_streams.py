@@ -215,3 +215,12 @@ def test_what_one_batch_taught_ranks_the_next(spark, tmp_path):
 
 def test_folder_given(spark):
     assert jobs.read_table(spark, SF, "events").isStreaming
+
+
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
+    spark.range(0, 6).repartition(3).write.parquet(f"{tmp_path}/rows.parquet")
+    spark.range(6, 8).coalesce(1).write.parquet(f"{tmp_path}/rows-1.parquet")
+    spark.range(100, 103).write.parquet(f"{tmp_path}/rowsother.parquet")
+    for _ in range(2):
+        jobs.run_to_end(jobs.read_table(spark, str(tmp_path), "rows"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(8))
