@@ -50,10 +50,17 @@ def _even_columns(centres: str) -> Column:
     ordered = F.array_sort(centres)
     gaps = F.zip_with(F.slice(ordered, 2, F.size(centres)), ordered, lambda b, a: b - a)
     known = F.filter(gaps, lambda g: g.isNotNull())
-    n = F.size(known)
-    mean = F.aggregate(known, F.lit(0.0), lambda s, g: s + g) / n
-    squares = F.aggregate(F.zip_with(known, F.array_repeat(mean, n), lambda g, m: (g - m) * (g - m)), F.lit(0.0), lambda s, q: s + q)
-    return F.when((F.size(centres) >= 3) & (mean > 0), F.sqrt(squares / n) / mean < 0.35).otherwise(False)
+    # mean and deviation as SQL adds them up (Welford): even gaps are hundredths, and ratios of exactly 0.35 hang on the last bit
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(s: Column, g: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (g - s["mean"]) / n
+        squares = s["squares"] + (g - mean) * (g - s["mean"])
+        return F.struct(n.alias("n"), (s["total"] + g).alias("total"), mean.alias("mean"), squares.alias("squares"))
+
+    ratio = F.aggregate(known, zero, step, lambda s: F.when(s["total"] > 0, F.sqrt(s["squares"] / s["n"]) / (s["total"] / s["n"])))
+    return F.when(F.size(centres) >= 3, F.coalesce(ratio < 0.35, F.lit(False))).otherwise(False)
 
 
 def _line_sums() -> dict[str, Column]:

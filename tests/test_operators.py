@@ -298,3 +298,29 @@ def test_moments_of_assets_with_large_ids(spark, tmp_path):
     assets = Library(spark, str(tmp_path)).assets()
     got = {r.asset_id: r.at for r in assets.select("asset_id", (F.unix_seconds("creation_ts") - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))).alias("at")).collect()}
     assert got == seconds
+
+
+def test_columns_whose_unevenness_lies_on_the_bound_go_as_in_sql(spark):
+    """Gaps of 27 : 13 deviate by exactly 0.35 of their mean, so the last bit decides."""
+    import duckdb
+
+    from shoebox.operators import layout
+    from shoebox.plans import q_layout  # noqa: F401
+    from shoebox.plans.duck_views import with_views
+
+    schema = "asset_id bigint, line_no bigint, x double, y double, w double, h double, text string, confidence double"
+    lines, places = [], range(0, 100)
+    for n, (a, low, unit) in enumerate((a, low, unit) for a in places for low in (13, 27) for unit in (1, 2, 3)):
+        gaps = (low * unit, (40 - low) * unit)  # in halves of hundredths, where a column's two lines lie apart
+        for odd in (0, 1):
+            centres = [2 * a + odd, 2 * a + odd + gaps[0], 2 * a + odd + sum(gaps)]
+            if centres[-1] < 199:
+                starts = [x for c in centres for x in ((c // 2) / 100, (c - c // 2) / 100)]
+                lines += [(2 * n + odd, i + 1, x, 0.1 * i, 0.02, 0.02, "a", 1.0) for i, x in enumerate(starts)]
+    con = duckdb.connect()
+    con.execute("create table given (asset_id bigint, line_no bigint, x double, y double, w double, h double, text varchar, confidence double)")
+    con.executemany("insert into given values (?, ?, ?, ?, ?, ?, ?, ?)", lines)
+    want = dict(con.execute(with_views("select asset_id, columns_even from lay_columns", ("lay_columns",), {"ocr_lines": ((), "select * from given")})).fetchall())
+    assert len(set(want.values())) == 2
+    got = {r.asset_id: r.columns_even for r in layout.features(spark.createDataFrame(lines, schema)).collect()}
+    assert got == want
