@@ -380,3 +380,15 @@ def test_vectors_of_another_revision_are_not_clustered(spark):
     _, items = planted(spark)
     old = items.withColumn("revision", F.when(F.col("item_id") % 4 == 0, 1).otherwise(2))
     assert {r.item_id % 4 for r in emb.leader_clusters(old, 0.93).collect()} == {1, 2, 3}
+
+
+def test_counts_of_codes_are_merged_as_they_double(monkeypatch):
+    monkeypatch.setattr(evaluate, "TILE", 2)
+    counts, rng, seen = evaluate._Counts(), np.random.default_rng(4), []
+    assert [len(v) for v in counts.merged()] == [0, 0]
+    for _ in range(30):
+        seen.append(rng.integers(0, 60, 12))
+        counts.add(seen[-1])
+    for got, want in zip(counts.merged(), np.unique(np.concatenate(seen), return_counts=True)):
+        assert got.tolist() == want.tolist()
+    assert evaluate._bins(np.array([-1.0, 0.0, 1.0, np.nan])).tolist() == [0, evaluate.MILLION, 2 * evaluate.MILLION, evaluate.BINS - 1]
