@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shoebox.functions.fixed import FINGERPRINT_VERSION
 
 SIDE, LOW = 32, 8
-CHUNK = 1000  # rows handled at once: bounds the colour histograms in memory
+CHUNK = 100  # rows handled at once: bounds the grids and colour histograms in memory
 
 # FNV-1a 64-bit offset and prime.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3

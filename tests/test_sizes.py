@@ -22,3 +22,7 @@ def test_words_of_a_batch_are_split_slice_by_slice():
     tracemalloc.stop()
     assert rows == len(texts)
     assert peak < 70 << 20
+
+
+def test_a_chunk_of_grids_is_small():
+    assert pixels.CHUNK * 4096 * 8 <= 4 << 20
