@@ -19,6 +19,7 @@ LABEL_THRESHOLD = 0.90
 MAX_CLUSTERS = 400  # what the app shows; more are counted as overflow
 BLOCK, LEADERS, FAN = 1024, 4096, 8  # items of a block, leaders of a pass, blocks of a group
 TEAM, CHUNK = 4096, 4096  # items and centroids of one block of the label match
+STRIP = 256  # rows of a product held at once
 
 MAP_PART = 50_000  # items whose products one task adds up
 
@@ -55,7 +56,12 @@ def project(block: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+    return np.stack(column.to_numpy()).astype(np.float64, copy=False)
+
+
+def _units(column: pd.Series) -> np.ndarray:
+    rows = _matrix(column)
+    return rows / np.where((n := np.linalg.norm(rows, axis=1)) > 0, n, 1)[:, None]
 
 
 def projected(items: DataFrame, column: str = "embedding") -> DataFrame:
@@ -63,7 +69,9 @@ def projected(items: DataFrame, column: str = "embedding") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(projected=list(project(_matrix(pdf[column]))))
+            for at in range(0, len(pdf), STRIP):
+                part = pdf.iloc[at : at + STRIP]
+                yield part.assign(projected=list(project(_matrix(part[column]))))
 
     return items.mapInPandas(run, StructType([*items.schema.fields, StructField("projected", ArrayType(DoubleType()))]))
 
@@ -106,11 +114,12 @@ def best_labels(items: DataFrame, centroids: DataFrame, keep: tuple[str, ...] =
         if len(asked) and len(known):
             # names in rising order: argmax takes the first of equal similarities, the smallest name
             known = known.sort_values("name", kind="stable")
-            units, block = _matrix(known["centroid"]), _matrix(asked["embedding"])
-            units, block = (m / np.where((n := np.linalg.norm(m, axis=1)) > 0, n, 1)[:, None] for m in (units, block))
-            cosine = np.round(block @ units.T, 12)
-            best = cosine.argmax(axis=1)
-            out["label"], out["similarity"] = known["name"].to_numpy()[best], cosine[np.arange(len(block)), best]
+            units = _units(known["centroid"])
+            best, near = np.empty(len(asked), dtype=np.int64), np.empty(len(asked))
+            for at in range(0, len(asked), STRIP):
+                cosine = np.round(_units(asked["embedding"].iloc[at : at + STRIP]) @ units.T, 12)
+                best[at : at + STRIP], near[at : at + STRIP] = cosine.argmax(axis=1), cosine.max(axis=1)
+            out["label"], out["similarity"] = known["name"].to_numpy()[best], near
         return out
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select("library_id", "item_id", *keep).schema)

@@ -26,3 +26,7 @@ def test_words_of_a_batch_are_split_slice_by_slice():
 
 def test_a_chunk_of_grids_is_small():
     assert pixels.CHUNK * 4096 * 8 <= 4 << 20
+
+
+def test_a_strip_of_a_product_is_small():
+    assert embeddings.STRIP * embeddings.CHUNK * 8 <= 8 << 20
