@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions.scalars import looks_like_clock
-from shoebox.operators.distributed import Sequence, hot_keys
+from shoebox.operators.distributed import Sequence, dealt, hot_keys
 
 KEY = "asset_id"
 COLUMN_GAP = 0.06
@@ -22,7 +22,7 @@ def placed(lines: DataFrame, bound: int = 20_000) -> DataFrame:
     chained until a gap above 0.06), ``nth`` of ``n`` by box height, and ``reach``, the rightmost start
     of any line at about the same height.
     """
-    rows = lines.withColumn("mid", F.col("y") + F.col("h") / 2).withColumn("_one", F.lit(1).cast("bigint"))
+    rows = dealt(lines, [KEY]).withColumn("mid", F.col("y") + F.col("h") / 2).withColumn("_one", F.lit(1).cast("bigint"))
     hot = hot_keys(lines.select(KEY), [KEY], "lines", bound)
     at = lambda df, by: Sequence(df, [KEY], [F.col(by), F.col("line_no")], f"lines-{by}", bound, hot)
     by_height = at(rows, "h").running_sum("_one", "nth").size("n").key_max(F.when(F.expr("nth = n div 2 + 1"), F.col("h")), "median_height")

@@ -66,7 +66,7 @@ def _register(name: str, columns: str, source: str) -> None:
     @query(name, f"select {_duck('asset_id ' + columns)} from {source}", (source,))
     def run(lib: Library) -> DataFrame:
         summed = source == "lay_agg"
-        return _spark(layout.aggregates(lib.ocr_lines()) if summed else layout.features(lib.ocr_lines()), "asset_id " + columns)
+        return _spark(layout.aggregates(lib.text_lines()) if summed else layout.features(lib.ocr_lines()), "asset_id " + columns)
 
 
 _register("lay1", "line_count text_area mean_confidence short_share", "lay_agg")

@@ -30,3 +30,14 @@ def test_a_chunk_of_grids_is_small():
 
 def test_a_strip_of_a_product_is_small():
     assert embeddings.STRIP * embeddings.CHUNK * 8 <= 8 << 20
+
+
+def test_large_tables_are_dealt_into_more_tasks(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") % 300)
+    assert distributed.dealt(df, ["k"], 50).rdd.getNumPartitions() == 20
+    assert distributed.dealt(df, ["k"]) is df
+
+
+def test_lines_that_only_add_up_are_not_numbered(spark):
+    plan = derived.Library(spark, "/root/testdata/sf0.001").text_lines()._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Exchange" not in plan
