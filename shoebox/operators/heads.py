@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from shoebox.functions import vectors
 from shoebox.functions.fixed import LEARNABLE
 from shoebox.operators.distributed import shared
+from shoebox.session import materialize
 
 # Learning rates, decays, warm-up counts and trust limits of the two heads.
 SOFTMAX_RATE, SOFTMAX_DECAY, SOFTMAX_WARM = 0.35, 1e-4, 12
@@ -35,6 +36,14 @@ class Softmax:
         self.weights, self.bias = np.zeros((classes, dim)), np.zeros(classes)
         self.per_class = np.zeros(classes, dtype=np.int64)
 
+    @classmethod
+    def restored(cls, state: np.ndarray, classes: int = len(LEARNABLE)) -> Softmax:
+        """From bias, examples per class and weights in one array."""
+        head = cls(len(state) // classes - 2, classes)
+        head.bias, head.per_class = np.array(state[:classes]), np.array(state[classes : 2 * classes], dtype=np.int64)
+        head.weights = np.array(state[2 * classes :]).reshape(classes, -1)
+        return head
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         z = self.weights @ x + self.bias
         e = np.exp(z - z.max())
@@ -83,10 +92,11 @@ class Logistic:
         return {"positives": self.positives, "negatives": self.negatives, "bias": self.bias, "weights": self.weights.tolist()}
 
 
-def fold(examples: DataFrame, keys: list[str], order: list[str], model: type, schema: str) -> DataFrame:
+def fold(examples: DataFrame, keys: list[str], order: list[str], model: type, schema: str, start: DataFrame | None = None) -> DataFrame:
     """One trained model row per key from (keys, order, embedding, target).
 
-    The first example fixes the dimension; others are skipped, as a head of another width would.
+    The first example fixes the dimension; others are skipped, as a head of another width would. ``start`` (keys, start) holds what
+    ``model.restored`` goes on from, for keys that were trained before.
     """
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in examples.select(*keys).schema)
     # loop variables of a nested function are not visible to the worker: bind them by name
@@ -95,6 +105,8 @@ def fold(examples: DataFrame, keys: list[str], order: list[str], model: type, sc
     def run(key, batches):
         head, last = None, None
         for pdf in batches:
+            if head is None and "start" in pdf and pdf["start"].iloc[0] is not None:
+                head, pdf = model.restored(pdf["start"].iloc[0]), pdf.iloc[1:]
             steps = list(zip(*[pdf[c] for c in position]))
             if steps and (last is not None and steps[0] < last or any(a > b for a, b in zip(steps, steps[1:]))):
                 raise ValueError("examples must arrive in order")
@@ -111,7 +123,12 @@ def fold(examples: DataFrame, keys: list[str], order: list[str], model: type, sc
 
     run.__annotations__ = {"key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     ready = examples.select(*keys, *position, "embedding", "target")
-    ordered = ready.repartition(*keys).sortWithinPartitions(*keys, *position)
+    first = []
+    if start is not None:  # one row ahead of the key's examples
+        empty = [v.cast(ready.schema[c].dataType).alias(c) for c, v in ((*((c, F.lit(0)) for c in (*position, "target")), ("embedding", F.array())))]
+        ready = ready.withColumn("start", F.lit(None).cast("array<double>")).unionByName(start.select(*keys, *empty, "start"))
+        first = [F.col("start").isNull()]
+    ordered = ready.repartition(*keys).sortWithinPartitions(*keys, *first, *position)
     return ordered.groupBy(*keys).applyInPandas(run, f"{key_schema}, {schema}")
 
 
@@ -226,7 +243,11 @@ def repeated_passes(members: DataFrame, keys: list[str], passes: int = 6, seed:
 
 def train_on_members(members: DataFrame, keys: list[str], passes: int = 6) -> DataFrame:
     """Cluster-supervised training: all members of a named cluster, several shuffled passes."""
-    return train_softmax(repeated_passes(members, keys, passes), keys, ["pass", "shuffle", "item_id"])
+    rows, model = repeated_passes(members, keys, passes), None
+    for p in range(1, passes + 1):  # one pass goes on from the other, so a task sorts its members once and not ``passes`` times
+        start = None if model is None else model.select(*keys, F.concat("bias", F.col("per_class").cast("array<double>"), F.flatten("weights")).alias("start"))
+        model = materialize(fold(rows.filter(F.col("pass") == p), keys, ["pass", "shuffle", "item_id"], Softmax, SOFTMAX_SCHEMA, start), "model-pass")
+    return model
 
 
 def learning_summary(decisions: DataFrame, keys: list[str]) -> DataFrame:

@@ -41,3 +41,16 @@ def test_large_tables_are_dealt_into_more_tasks(spark):
 def test_lines_that_only_add_up_are_not_numbered(spark):
     plan = derived.Library(spark, "/root/testdata/sf0.001").text_lines()._jdf.queryExecution().toString()
     assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_passes_that_go_on_from_each_other_are_one_fold(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i % 2, i, rng.normal(size=6).tolist(), i % 3) for i in range(80)]
+    members = spark.createDataFrame(rows, "library_id bigint, item_id bigint, embedding array<float>, target int")
+    whole = heads.train_softmax(heads.repeated_passes(members, ["library_id"], 3), ["library_id"], ["pass", "shuffle", "item_id"])
+    flat = lambda df: sorted((r.library_id, r.samples, r.per_class, r.bias, r.weights) for r in df.collect())
+    assert flat(heads.train_on_members(members, ["library_id"], 3)) == flat(whole)
+    model = heads.Softmax(6)
+    model.step(np.arange(6.0), 2)
+    again = heads.Softmax.restored(np.concatenate([model.bias, model.per_class, model.weights.ravel()]))
+    assert again.row() == model.row()
