@@ -176,8 +176,8 @@ class Leaders:
         return n, 1.0
 
 
-def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold: float = MERGE_THRESHOLD, ceiling: int = LEADERS) -> DataFrame:
-    """The exact, order-dependent pass within each key.
+def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold: float | str = MERGE_THRESHOLD, ceiling: int = LEADERS) -> DataFrame:
+    """The exact, order-dependent pass within each key. ``threshold`` is one for all, or the name of a key that holds it.
 
     A key's rows stream through its task in order, batch by batch; what a task holds is the leaders,
     at most ``ceiling``. Rows: kind 'member' (item_id, cluster, similarity, weight) and
@@ -186,7 +186,7 @@ def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold:
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*keys).schema)
 
     def run(key, batches):
-        state = Leaders(threshold, ceiling)
+        state = Leaders(key[keys.index(threshold)] if isinstance(threshold, str) else threshold, ceiling)
         for pdf in batches:
             full = _matrix(pdf["embedding"])
             small = project(full)
@@ -214,7 +214,7 @@ def leader_pass(items: DataFrame, keys: list[str], order: list[str], threshold:
     return ordered.groupBy(*keys).applyInPandas(run, schema)
 
 
-def leader_levels(items: DataFrame, keys: list[str], threshold: float = MERGE_THRESHOLD, ceiling: int = LEADERS, block: int = BLOCK, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+def leader_levels(items: DataFrame, keys: list[str], threshold: float | str = MERGE_THRESHOLD, ceiling: int = LEADERS, block: int = BLOCK, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """One rule at every size: (items with their cluster, clusters).
 
     A key's items are dealt into blocks of about ``block`` by a hash of their id. The ordered pass finds each block's leaders; the leaders of
@@ -250,7 +250,7 @@ def leader_levels(items: DataFrame, keys: list[str], threshold: float = MERGE_TH
     return placed.unionByName(lost), leaders.select(*keys, "cluster", "weight", "centroid")
 
 
-def clusters_and_centroids(items: DataFrame, keys: list[str], threshold: float = MERGE_THRESHOLD, ceiling: int = LEADERS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def clusters_and_centroids(items: DataFrame, keys: list[str], threshold: float | str = MERGE_THRESHOLD, ceiling: int = LEADERS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``leader_levels`` until every item has a cluster: what found no place is clustered again, its clusters numbered from the next
     multiple of the ceiling. Each pass places the items of up to ``ceiling`` clusters, at least one, so it ends.
     """

@@ -54,3 +54,17 @@ def test_passes_that_go_on_from_each_other_are_one_fold(spark):
     model.step(np.arange(6.0), 2)
     again = heads.Softmax.restored(np.concatenate([model.bias, model.per_class, model.weights.ravel()]))
     assert again.row() == model.row()
+
+
+def test_thresholds_swept_side_by_side_equal_each_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, i, rng.normal(size=4).tolist(), f"app{i % 3}") for i in range(60)]
+    items = spark.createDataFrame(rows, "library_id bigint, item_id bigint, embedding array<double>, app string")
+    got = {r.threshold: (r.clusters, r.pure, r.overflow) for r in evaluate.merge_sweep(items, (0.3, 0.8), 7).collect()}
+    for t in (0.3, 0.8):
+        alone = evaluate.merge_sweep(items, (t,), 7).collect()[0]
+        found = embeddings.leader_clusters(items, t, 7)
+        assert got[t] == (alone.clusters, alone.pure, alone.overflow)
+        assert got[t][0] == found.filter("cluster >= 0").select("cluster").distinct().count()
+    keyed = embeddings.leader_pass(items.withColumn("t", F.lit(0.3)), ["library_id", "t"], ["item_id"], "t")
+    assert keyed.filter("kind = 'leader'").count() == embeddings.leader_pass(items, ["library_id"], ["item_id"], 0.3).filter("kind = 'leader'").count()
