@@ -28,10 +28,10 @@ def slots(data: np.ndarray, n: int, dims: int) -> np.ndarray:
     return (code * np.uint32(2654435761)) >> np.uint32(32 - (dims.bit_length() - 1))
 
 
-def frequencies(texts: list[str], dims: int, orders: tuple[int, ...]) -> np.ndarray:
-    """One dense row per text; for bounded training samples."""
+def frequencies(texts: list[str], dims: int, orders: tuple[int, ...], out: np.ndarray | None = None) -> np.ndarray:
+    """One dense row per text, in ``out`` (zeros) if given; for bounded training samples."""
     data, ends = joined(texts)
-    out = np.zeros((len(texts), dims), dtype=np.float32)
+    out = np.zeros((len(texts), dims), dtype=np.float32) if out is None else out
     for n in orders:
         s = slots(data, n, dims)
         for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):

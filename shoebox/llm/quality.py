@@ -145,9 +145,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLAS
     if not ((y == 1).sum() >= 4 and (y == 0).sum() >= 4):
         return None
     texts = [r["text"] or "" for r in rows]
-    grams, stats = frequencies(texts, DIMS, ORDERS), text_stats(texts)
     scale = np.float32(len(ORDERS) * 10)
-    text_x = np.hstack([grams * scale, stats])
+    text_x = np.zeros((len(texts), DIMS + 8), dtype=np.float32)  # filled in place: the driver holds it once
+    frequencies(texts, DIMS, ORDERS, text_x[:, :DIMS])
+    text_x[:, :DIMS] *= scale
+    text_x[:, DIMS:] = text_stats(texts)
     page_x = _one_hot(page_slots([r["source"] for r in rows], [r["lang"] for r in rows], [r["n_chars"] for r in rows]))
     text, page, blend = co_train(text_x, page_x, y)
     all_weights = text.weights

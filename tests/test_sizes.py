@@ -68,3 +68,11 @@ def test_thresholds_swept_side_by_side_equal_each_alone(spark):
         assert got[t][0] == found.filter("cluster >= 0").select("cluster").distinct().count()
     keyed = embeddings.leader_pass(items.withColumn("t", F.lit(0.3)), ["library_id", "t"], ["item_id"], "t")
     assert keyed.filter("kind = 'leader'").count() == embeddings.leader_pass(items, ["library_id"], ["item_id"], 0.3).filter("kind = 'leader'").count()
+
+
+def test_the_fitting_sample_is_filled_in_place():
+    from shoebox.llm.features import frequencies
+
+    out = np.zeros((2, 20), dtype=np.float32)
+    frequencies(["one text", "another"], 16, (1, 2), out[:, :16])
+    assert np.array_equal(out[:, :16], frequencies(["one text", "another"], 16, (1, 2))) and not out[:, 16:].any()
