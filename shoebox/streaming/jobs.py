@@ -6,6 +6,7 @@ through everything available and stops, which is also how an interrupted scan re
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,7 +166,7 @@ class PendingQueue(StatefulProcessor):
 
     Rows wait in a list until the watermark has passed them and are then applied in the order (ts, event_id), whatever batches they came in.
     The grace is a setting of the library, the same for all its marks, so they fall due in the order they were made: a queue, numbered
-    from ``head`` to ``tail``, whose entries count only while their asset's mark is still theirs. The stack is kept by depth. Push, pop and expiry
+    from ``head`` to ``tail``, whose entries count only while their asset's mark is still theirs. The stack is kept by depth, both in pages. Push, pop and expiry
     each touch one entry; one timer waits for the next row and one for the head of the queue.
     """
 
@@ -177,8 +178,8 @@ class PendingQueue(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.ROW)
         self.counts = handle.getValueState("counts", "head bigint, tail bigint, depth bigint")
         self.marks = handle.getMapState("marks", "asset_id bigint", "event_id bigint")
-        self.line = handle.getMapState("line", "place bigint", self.ROW)
-        self.stack = handle.getMapState("stack", "depth bigint", "event_id bigint, asset_id bigint, action string")
+        self.line = handle.getMapState("line", "page bigint", "entries string")
+        self.stack = handle.getMapState("stack", "page bigint", "entries string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
@@ -188,14 +189,15 @@ class PendingQueue(StatefulProcessor):
             first = int(micros.min()) if first is None else min(first, int(micros.min()))
         if first is not None:
             self.handle.registerTimer(_millis(first))
-        yield self._frame([])
+        return iter(())  # an empty frame per library and batch costs more than its rows
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         ready, later = sorted(r for r in rows if r[0] <= now), [r for r in rows if r[0] > now]
-        head, tail, depth = self.counts.get() if self.counts.exists() else (0, 0, 0)
-        marks, line, stack = _Overlay(self.marks), _Overlay(self.line), _Overlay(self.stack)
+        known = self.counts.exists()
+        head, tail, depth = self.counts.get() if known else (0, 0, 0)
+        marks, line, stack = _Overlay(self.marks, not known), _Pages(self.line, tail), _Pages(self.stack, depth)
         due = []
 
         def expire(before: int) -> int:
@@ -237,7 +239,8 @@ class PendingQueue(StatefulProcessor):
             self.handle.registerTimer(_millis(min(r[0] for r in later)))
         if head < tail:
             self.handle.registerTimer(_millis(line[head][0] + line[head][5]))
-        yield self._frame(due)
+        if due:
+            yield self._frame(due)
 
     @staticmethod
     def _frame(due: list[tuple]) -> pd.DataFrame:
@@ -249,14 +252,16 @@ class PendingQueue(StatefulProcessor):
 
 
 class _Overlay:
-    """Map state with the changes of one call in front of it: what comes and goes within the call never reaches the store."""
+    """Map state with the changes of one call in front of it: what comes and goes within the call never reaches the store. An ``empty``
+    store is not asked.
+    """
 
-    def __init__(self, state):
-        self.state, self.seen, self.stored = state, {}, {}
+    def __init__(self, state, empty: bool = False):
+        self.state, self.empty, self.seen, self.stored = state, empty, {}, {}
 
     def __getitem__(self, key):
         if key not in self.seen:
-            kept = self.state.getValue((key,)) if self.state.containsKey((key,)) else None
+            kept = self.state.getValue((key,)) if not self.empty and self.state.containsKey((key,)) else None
             self.seen[key] = self.stored[key] = None if kept is None else tuple(kept)
         return self.seen[key]
 
@@ -268,10 +273,47 @@ class _Overlay:
             if value is not None:
                 if self.stored.get(key) != value:
                     self.state.updateValue((key,), value)
-            elif self.stored.get(key, self) is not None and self.state.containsKey((key,)):
+            elif not self.empty and self.stored.get(key, self) is not None and self.state.containsKey((key,)):
                 self.state.removeKey((key,))
 
 
+class _Pages:
+    """Numbered entries in map state, ``PAGE`` to a value, with the changes of one call in front of it: a call to the store costs far more
+    than an entry. Places from ``end`` on were never stored.
+    """
+
+    PAGE = 256
+
+    def __init__(self, state, end: int):
+        self.state, self.end, self.pages, self.stored, self.changed = state, end, {}, set(), set()
+
+    def _page(self, number: int) -> dict:
+        if number not in self.pages:
+            kept = number * self.PAGE < self.end and self.state.containsKey((number,))
+            self.pages[number] = {at: tuple(entry) for at, entry in json.loads(self.state.getValue((number,))[0])} if kept else {}
+            if kept:
+                self.stored.add(number)
+        return self.pages[number]
+
+    def __getitem__(self, place: int):
+        return self._page(place // self.PAGE).get(place)
+
+    def __setitem__(self, place: int, value) -> None:
+        page = self._page(place // self.PAGE)
+        if value is None:
+            page.pop(place, None)
+        else:
+            page[place] = value
+        self.changed.add(place // self.PAGE)
+
+    def write(self) -> None:
+        for number in self.changed:
+            if self.pages[number]:
+                self.state.updateValue((number,), (json.dumps(list(self.pages[number].items())),))
+            elif number in self.stored:
+                self.state.removeKey((number,))
+
+
 def _millis(micros: int) -> int:
     return -(-micros // 1000)
 

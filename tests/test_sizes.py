@@ -76,3 +76,35 @@ def test_the_fitting_sample_is_filled_in_place():
     out = np.zeros((2, 20), dtype=np.float32)
     frequencies(["one text", "another"], 16, (1, 2), out[:, :16])
     assert np.array_equal(out[:, :16], frequencies(["one text", "another"], 16, (1, 2))) and not out[:, 16:].any()
+
+
+def test_queue_entries_are_stored_by_the_page():
+    class Store(dict):
+        calls = 0
+
+        def containsKey(self, key):  # noqa: N802
+            self.calls += 1
+            return key in self
+
+        def getValue(self, key):  # noqa: N802
+            return self[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):  # noqa: N802
+            del self[key]
+
+    store = Store()
+    pages = jobs._Pages(store, 0)
+    for i in range(1000):
+        pages[i] = (i, "delete")
+    pages.write()
+    assert store.calls == 4
+    later = jobs._Pages(store, 1000)
+    assert [later[i] for i in (0, 999, 1000)] == [(0, "delete"), (999, "delete"), None]
+    for i in range(256):
+        later[i] = None
+    later.write()
+    assert sorted(store) == [(1,), (2,), (3,)]
