@@ -3,14 +3,16 @@
 Both views start from a bounded sample of labelled documents. In each round either view labels those documents of a bounded
 unlabelled pool it is confident about, and hands them to the *other* view's training set; then both are fitted
 again. At the end each view is calibrated on labelled documents kept out of the fit (a logistic curve over its value), and the
-calibrated views are added up as log-odds, weighted by what they explain there. Every whole document is scored.
+calibrated views are added up as log-odds, weighted by what they explain there. Every whole document is scored. The sample is fitted in a task,
+so the driver sees the weights only.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from operator import eq
 
 import numpy as np
@@ -124,8 +126,8 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return np.maximum(w, 0.0), b
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, per_class: int, pool: int) -> list:
-    """At most 2 * per_class labelled and ``pool`` unlabelled documents, each the first by a hash of the id."""
+def _sampled(docs: DataFrame, labels: DataFrame, per_class: int, pool: int) -> DataFrame:
+    """At most 2 * per_class labelled and ``pool`` unlabelled documents, each the first by a hash of the id; one row for a doc_id."""
     known = labels.filter("doc_id is not null and quality in (0, 1)").select("doc_id", "quality")
     chosen = sample_per_key(known, "quality", ["doc_id"], per_class).groupBy("doc_id").agg(F.min("quality").alias("y"))
     by = [F.col("doc_id"), F.lit(1)]
@@ -134,29 +136,43 @@ def _sampled(docs: DataFrame, labels: DataFrame, per_class: int, pool: int) -> l
     fresh = some.join(seen, "doc_id", "left_anti").withColumn("y", F.lit(-1))
     keys = chosen.unionByName(fresh)
     fields = [c for c in ("text", "source", "lang", "n_chars") if c in docs.columns]
-    rows = docs.join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*fields, "y")).alias("row")).select("doc_id", "row.*").collect()
-    return sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
+    return docs.join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*fields, "y")).alias("row")).select("doc_id", "row.*")
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLASS, pool: int = POOL) -> CoTrained | None:
-    """None unless both classes have labelled documents."""
-    rows = _sampled(docs, labels, per_class, pool)
-    y = np.array([r["y"] for r in rows], dtype=float)
+def fitted(rows: pa.Table) -> CoTrained | None:
+    """The model of a sample (doc_id, text, source, lang, n_chars, y), taken by doc_id."""
+    rows = rows.sort_by("doc_id")
+    y = np.array(rows["y"].to_pylist(), dtype=float)
     if not ((y == 1).sum() >= 4 and (y == 0).sum() >= 4):
         return None
-    texts = [r["text"] or "" for r in rows]
+    texts = [t or "" for t in rows["text"].to_pylist()]
     scale = np.float32(len(ORDERS) * 10)
-    text_x = np.zeros((len(texts), DIMS + 8), dtype=np.float32)  # filled in place: the driver holds it once
+    text_x = np.zeros((len(texts), DIMS + 8), dtype=np.float32)  # filled in place: the task holds it once
     frequencies(texts, DIMS, ORDERS, text_x[:, :DIMS])
     text_x[:, :DIMS] *= scale
     text_x[:, DIMS:] = text_stats(texts)
-    page_x = _one_hot(page_slots([r["source"] for r in rows], [r["lang"] for r in rows], [r["n_chars"] for r in rows]))
+    page_x = _one_hot(page_slots(*(rows[c].to_pylist() for c in ("source", "lang", "n_chars"))))
     text, page, blend = co_train(text_x, page_x, y)
     all_weights = text.weights
     text.weights = (all_weights[:DIMS] * scale).astype(np.float32)[:, None]
     return CoTrained(text, page, all_weights[DIMS:], blend)
 
 
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLASS, pool: int = POOL) -> CoTrained | None:
+    """None unless both classes have labelled documents. Only the bounded sample meets in one task."""
+
+    def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        parts = list(slices)
+        if parts and (model := fitted(pa.concat_tables(parts))):
+            yield pa.table({"model": pa.array([pickle.dumps(astuple(model))], "binary")})
+
+    found = map_arrow(_sampled(docs, labels, per_class, pool).repartition(1), run, "model binary").collect()
+    if not found:
+        return None
+    text, page, stats, blend = pickle.loads(found[0]["model"])
+    return CoTrained(View(*text), View(*page), stats, blend)
+
+
 def score_texts(model: CoTrained, texts, source, lang, n_chars) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chances of being good: by both views, by the text, by the page."""
     z = mean_weights(texts, model.text.weights, ORDERS)[:, 0] + text_stats(texts) @ model.stats + model.text.intercept

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -72,6 +73,18 @@ def test_quality(spark):
     assert blank and all(r.score == 0 and not r.keep for r in blank)
 
 
+def test_the_sample_is_fitted_in_a_task(spark):
+    """The driver holds neither the sample nor its features."""
+    texts, labels = labelled(spark, 400)
+    frame = docs(spark, texts)
+    tracemalloc.start()
+    model = quality.learn(frame, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.text.weights.shape == (quality.DIMS, 1)
+    assert peak < len(texts) * quality.DIMS * 4 / 2  # half of the features
+
+
 def test_quality_needs_both_classes(spark):
     frame = docs(spark, ["a b", None])
     none = spark.createDataFrame([(0, 1, 0), (1, None, None), (None, 0, 0)], "doc_id bigint, quality int, toxic int")
