@@ -28,7 +28,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more), the document with the smallest id."""
+    """Of each group of near copies, the document with the smallest id. Candidates come from SimHash and from MinHash bands; what counts
+    is a Jaccard similarity of 0.8 or more of the five-word shingles, tested exactly."""
     return near_copies.one_per_group(docs.select(*COLUMNS))
 
 

@@ -1,13 +1,15 @@
 """Near copies by five-word shingles: Jaccard similarity of at least 4/5, verified exactly on the shingle sets.
 
-A text is the set of its shingles' hashes; equal sets are one node. Candidates share a band of MinHash values: ``BANDS`` bands of
+A text is the set of its shingles' hashes; equal sets are one node. Candidates first come from SimHash by segment popcounts (``simhash``): the
+fingerprints of the shingles, linked at ``DISTANCE`` bits, form components, and those of a component are tried. Edits of a few words
+soon change more bits than that, so candidates also share a band of MinHash values: ``BANDS`` bands of
 ``ROWS`` minima each, so a pair at similarity s is tried with chance 1 - (1 - s ** ROWS) ** BANDS: 0.9994 at 0.8 and more above, but
 0.15 at 0.5. A node that shares a band also has a sketch, ``PLANES`` bits of each of ``SKETCH`` further minima. Two sets of similarity 4/5 agree in at
 least ``AGREE`` of them but for a chance of about 3 in a million, and sets of similarity 0.7 hardly ever do; so pairs that agree in fewer are
 settled where they meet, in the condition of the join, and a large group that stays below 4/5 gives no rows. No candidate counts without
 the exact test.
 
-Each node of a band's bucket is first tried against the bucket's least and greatest nodes, which gathers dense groups with a
+A bucket is what shares a band, or a component of fingerprints. Each node of a bucket is first tried against the bucket's least and greatest nodes, which gathers dense groups with a
 number of trials linear in their size; only nodes outside a bucket's largest group so far are then tried against all nodes
 of other groups in the bucket, each pair in the first bucket the two share. Two nodes of one group need no trial, as their link adds nothing.
 """
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoebox.llm import simhash
 from shoebox.llm.common import drop_written, map_arrow, materialize
 from shoebox.operators.components import connected_components
 
@@ -31,8 +34,8 @@ FEWEST = 4  # sets of fewer shingles reach 4/5 only with equal ones
 SHINGLES_AT_ONCE = 1 << 13
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The distinct hashes of a text's five-word shingles in order; a text of fewer words is one shingle, without words none."""
+def hashed(text: str | None) -> np.ndarray:
+    """The hashes of a text's five-word shingles, repeats included; a text of fewer words is one shingle, without words none."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "replace").lower().split()
@@ -41,7 +44,12 @@ def shingles(text: str | None) -> np.ndarray:
     line = memoryview(b" ".join(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts, last = [0, *(ends[:-1] + 1).tolist()], ends[WIDTH - 1 :].tolist() or [int(ends[-1])]
-    return np.unique(np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, last, strict=False)], dtype=np.uint64))
+    return np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, last, strict=False)], dtype=np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles in order."""
+    return np.unique(hashed(text))
 
 
 def digest(own: np.ndarray) -> int:
@@ -104,20 +112,25 @@ def agreeing(a: str, b: str) -> str:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, node, n, keys) of every row (doc_id, row, text): the digest of its set, the set's size and its band keys (none for sets
-    too small to have near copies that are not equal).
+    """(doc_id, row, node, n, bits, keys) of every row (doc_id, row, text): the digest of its set, the set's size, the fingerprint of its
+    shingles and its band keys (none for sets too small to have near copies that are not equal).
     """
 
     def run(slices: Iterator[pa.Table]) -> Iterator[pa.Table]:
         bands = Bands()
         for rows in slices:
-            sets = [shingles(t) for t in rows["text"].to_pylist()]
+            sets, bits = [], []
+            for text in rows["text"].to_pylist():
+                every = hashed(text)
+                sets.append(np.unique(every))
+                bits.append(simhash.majority(every))
             yield pa.table({
                 "doc_id": rows["doc_id"], "row": rows["row"], "node": pa.array([digest(s) for s in sets], "int64"), "n": pa.array([len(s) for s in sets], "int32"),
+                "bits": pa.array(np.array(bits, dtype=np.uint64).view(np.int64)),
                 "keys": pa.array([bands.keys(s) for s in sets], pa.list_(pa.int64())),
             })
 
-    return map_arrow(docs.select("doc_id", "row", "text"), run, "doc_id bigint, row bigint, node bigint, n int, keys array<bigint>")
+    return map_arrow(docs.select("doc_id", "row", "text"), run, "doc_id bigint, row bigint, node bigint, n int, bits bigint, keys array<bigint>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -141,6 +154,15 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter("9 * size(array_intersect(own_a, own_b)) >= 4 * (size(own_a) + size(own_b))").select(pairs.columns)
 
 
+def with_families(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node, bits, keys, ...) with one key more: the component of its fingerprint, by the links of SimHash. Nodes without keys keep none."""
+    prints = materialize(nodes.filter("size(keys) > 0").select("bits").distinct(), "copies-prints")
+    families = materialize(simhash.linked_nodes(prints).filter("bits <> label"), "copies-families")
+    family = F.xxhash64(F.lit("family"), F.coalesce("label", "bits"))
+    keys = F.when(F.size("keys") > 0, F.concat("keys", F.array(family))).otherwise(F.col("keys"))
+    return nodes.join(families, "bits", "left").withColumn("keys", keys).drop("label")
+
+
 def linked_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label) for each of ``nodes`` (node, n, row, keys) that shares a bucket; equal labels within a component."""
     cells = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
@@ -191,8 +213,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
     marked = materialize(marks(docs), "copies-marks")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = materialize(nodes, "copies-sets-of")
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.min("bits").alias("bits"), F.first("keys").alias("keys"))
+    plain = materialize(nodes, "copies-sets-of")
+    nodes = materialize(with_families(plain), "copies-with-families")
+    drop_written(plain)
     labels = nodes.select("node", "least").join(linked_nodes(docs, nodes), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     labels = materialize(labels, "copies-labels")
     drop_written(nodes)

@@ -51,10 +51,22 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
         upto = min(n, at + SHINGLES_AT_ONCE)
         last = [ends[-1]] if len(words) < width else ends[at + width - 1 : upto + width - 1]
         hashes = np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[at:upto], last, strict=True)], dtype="<u8")
-        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits += _set_bits(hashes)
     return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
 
 
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles by their hashes, as in ``fingerprint``."""
+    parts = range(0, len(hashes), SHINGLES_AT_ONCE)
+    bits = sum((_set_bits(hashes[at : at + SHINGLES_AT_ONCE]) for at in parts), np.zeros(64, dtype=np.int64))
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, bits) of every whole text; ``bits`` is the fingerprint as a signed 64-bit integer."""
 

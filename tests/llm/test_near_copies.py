@@ -3,9 +3,10 @@ from itertools import combinations
 
 from conftest import SF
 from llm.helpers import DOC_SCHEMA, ODD, docs
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shoebox.llm import near_copies
+from shoebox.llm import near_copies, simhash
 from shoebox.llm.common import table
 
 
@@ -60,6 +61,24 @@ def test_a_dense_group_is_gathered(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_fingerprints_alone_link_what_is_near_and_similar(spark):
+    """Without any band, exactly the similar pairs within 4 bits are linked (alone or through others of their component)."""
+    plain = edited(7, 60, 1, 0)
+    texts = plain + [f"{t} more" for t in plain] + edited(8, 20) + ODD
+    frame = docs(spark, texts).select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    nodes = near_copies.marks(frame).withColumn("keys", F.when(F.size("keys") > 0, F.array("doc_id")).otherwise(F.array().cast("array<bigint>"))).dropDuplicates(["node"]).cache()
+    bits = {r.doc_id: r.bits % (1 << 64) for r in nodes.collect()}
+    assert all(bits[i] == simhash.fingerprint(texts[i], near_copies.WIDTH) for i in bits)
+    sets = {i: set_of(texts[i]) for i in bits}
+    near = [(i, j) for i, j in combinations(sorted(bits), 2) if len(sets[i]) > 3 < len(sets[j]) and (bits[i] ^ bits[j]).bit_count() <= 4]
+    similar = [(i, j) for i, j in near if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(similar) > 5
+    of = {r.node: r.doc_id for r in nodes.collect()}
+    label = {of[r.node]: r.label for r in near_copies.linked_nodes(frame, near_copies.with_families(nodes)).collect()}
+    got = {(i, j) for i, j in combinations(sorted(label), 2) if label[i] == label[j]}
+    assert got == set(similar)
+
+
 def test_recall_of_bands():
     """Share of the pairs between 0.8 and 0.85 that some band brings together."""
     rnd, bands, met, n = random.Random(4), near_copies.Bands(), 0, 0
