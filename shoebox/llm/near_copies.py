@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm import simhash
-from shoebox.llm.common import drop_written, map_arrow, materialize
+from shoebox.llm.common import dealt_for, drop_written, map_arrow, materialize
 from shoebox.operators.components import connected_components
 
 WIDTH, SEED = 5, 42
@@ -165,7 +165,7 @@ def with_families(nodes: DataFrame) -> DataFrame:
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label) for each of ``nodes`` (node, n, row, keys) that shares a bucket; equal labels within a component."""
-    cells = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    cells = dealt_for(nodes.select("node", "n", "keys"), nodes.count(), BANDS + 1, "node").select("node", "n", F.posexplode("keys").alias("band", "key"))
     shared = cells.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).filter("low.node < high.node")
     placed = materialize(cells.join(shared, "key"), "copies-cells")
     ends = materialize(placed.select("node").distinct(), "copies-nodes")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import map_arrow, materialize
+from shoebox.llm.common import dealt_for, map_arrow, materialize
 from shoebox.operators.components import connected_components
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
@@ -101,10 +101,10 @@ def cell_masks(blocks: int, distance: int = DISTANCE) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in (sum(c) for c in combinations(own, blocks - distance))]
 
 
-def within_grid(nodes: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """(cell, place, bits, center): every node in each of its grid cells that hold more than one, with the cell's least fingerprint."""
+def within_grid(nodes: DataFrame, count: int, distance: int, blocks: int) -> DataFrame:
+    """(cell, place, bits, center): every one of ``count`` nodes in each of its grid cells that hold more than one, with the cell's least fingerprint."""
     masks = F.array(*[F.lit(m) for m in cell_masks(blocks, distance)])
-    placed = nodes.select("bits", embedded("bits").alias("counts")).select("bits", "counts", F.posexplode(masks).alias("cell", "mask"))
+    placed = dealt_for(nodes, count, math.comb(blocks, distance), "bits").select("bits", embedded("bits").alias("counts")).select("bits", "counts", F.posexplode(masks).alias("cell", "mask"))
     placed = placed.select("cell", (F.col("counts").bitwiseAND(F.col("mask"))).alias("place"), "bits")
     shared = placed.groupBy("cell", "place").agg(F.min("bits").alias("center"), F.max("bits").alias("_most")).filter("center < _most").drop("_most")
     return placed.join(shared, ["cell", "place"])
@@ -118,7 +118,8 @@ def _near(a: str, b: str, distance: int) -> Column:
 
 def linked_nodes(nodes: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
     """(bits, label) for each distinct fingerprint that has a link; equal labels within a component."""
-    placed = materialize(within_grid(nodes, distance, blocks or blocks_for(nodes.count(), distance)), "simhash-cells")
+    count = nodes.count()
+    placed = materialize(within_grid(nodes, count, distance, blocks or blocks_for(count, distance)), "simhash-cells")
     stars = placed.filter((F.col("bits") != F.col("center")) & _near("bits", "center", distance)).select("bits", "center").distinct()
     first = materialize(connected_components(stars, "bits", "center").select(F.col("node").alias("bits"), "label"), "simhash-first")
     own = placed.join(first, "bits", "left").select("cell", "place", "bits", F.coalesce("label", "bits").alias("label"))

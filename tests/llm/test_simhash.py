@@ -94,3 +94,13 @@ def test_repeated_rows_nulls_and_stage(spark):
     assert got == [(-1, -1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (7, 7)]
     assert sorted(r.doc_id or -1 for r in simhash.one_per_group(frame).collect()) == [-1, 1, 3, 7]
     assert simhash.near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_tasks_that_spread_cells_are_bounded(spark):
+    from shoebox.llm.common import KEYS_A_TASK
+    from shoebox.llm.simhash import within_grid
+
+    count, cells = 100_000, 70  # 8 blocks, 4 of which may differ
+    grid = within_grid(spark.range(0, count, 1, 1).selectExpr("xxhash64(id) bits"), count, 4, 8)
+    needed = -(-count * cells // KEYS_A_TASK)
+    assert "hashpartitioning(bits#" in (plan := grid._jdf.queryExecution().toString()) and f", {needed}), REPARTITION_BY_NUM" in plan
