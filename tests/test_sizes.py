@@ -108,3 +108,25 @@ def test_queue_entries_are_stored_by_the_page():
         later[i] = None
     later.write()
     assert sorted(store) == [(1,), (2,), (3,)]
+
+
+def test_shuffle_files_of_written_tables_go(spark):
+    """Else those of all steps lie on the disks at once until the driver collects its garbage."""
+    import time
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+    from shoebox.session import CLEANUP, materialize, materialize_counted
+
+    top = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {p.name for p in top.rglob("shuffle_*.data")}
+    rows = spark.range(1000).withColumn("key", F.col("id") % 10)
+    before = files()
+    written = materialize(rows.groupBy("key").count(), "shuffles")
+    counted, seen = materialize_counted(rows.repartition(3, "key"), "shuffles", n=F.count(F.lit(1)))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(CLEANUP) == "false"
+    assert seen["n"] == 1000 and counted.count() == 1000 and {r["count"] for r in written.collect()} == {100}
