@@ -102,12 +102,15 @@ def cell_masks(blocks: int, distance: int = DISTANCE) -> list[int]:
 
 
 def within_grid(nodes: DataFrame, count: int, distance: int, blocks: int) -> DataFrame:
-    """(cell, place, bits, center): every one of ``count`` nodes in each of its grid cells that hold more than one, with the cell's least fingerprint."""
+    """(cell, place, bits, center): every one of ``count`` nodes in each of its grid cells that hold more than one, with the cell's least fingerprint.
+
+    Spark takes the spread nodes for as few bytes as the nodes themselves and would send them to every task by way of the driver, so the join is told to sort.
+    """
     masks = F.array(*[F.lit(m) for m in cell_masks(blocks, distance)])
     placed = dealt_for(nodes, count, math.comb(blocks, distance), "bits").select("bits", embedded("bits").alias("counts")).select("bits", "counts", F.posexplode(masks).alias("cell", "mask"))
     placed = placed.select("cell", (F.col("counts").bitwiseAND(F.col("mask"))).alias("place"), "bits")
     shared = placed.groupBy("cell", "place").agg(F.min("bits").alias("center"), F.max("bits").alias("_most")).filter("center < _most").drop("_most")
-    return placed.join(shared, ["cell", "place"])
+    return placed.join(shared.hint("merge"), ["cell", "place"])
 
 
 def _near(a: str, b: str, distance: int) -> Column:

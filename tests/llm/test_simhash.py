@@ -104,3 +104,9 @@ def test_tasks_that_spread_cells_are_bounded(spark):
     grid = within_grid(spark.range(0, count, 1, 1).selectExpr("xxhash64(id) bits"), count, 4, 8)
     needed = -(-count * cells // KEYS_A_TASK)
     assert "hashpartitioning(bits#" in (plan := grid._jdf.queryExecution().toString()) and f", {needed}), REPARTITION_BY_NUM" in plan
+
+
+def test_spread_nodes_are_not_broadcast(spark):
+    nodes = spark.range(2000).selectExpr("xxhash64(id) bits")
+    plan = simhash.within_grid(nodes, 2000, 4, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
