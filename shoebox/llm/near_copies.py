@@ -163,11 +163,18 @@ def with_families(nodes: DataFrame) -> DataFrame:
     return nodes.join(families, "bits", "left").withColumn("keys", keys).drop("label")
 
 
+def in_buckets(nodes: DataFrame, count: int) -> DataFrame:
+    """(node, n, band, key, low, high): every one of ``count`` nodes in each of its buckets that hold more than one, with the bucket's least and
+    greatest nodes. The join is told to sort, as Spark sizes the spread nodes too low and would broadcast them.
+    """
+    cells = dealt_for(nodes.select("node", "n", "keys"), count, BANDS + 1, "node").select("node", "n", F.posexplode("keys").alias("band", "key"))
+    shared = cells.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).filter("low.node < high.node")
+    return cells.join(shared.hint("merge"), "key")
+
+
 def linked_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label) for each of ``nodes`` (node, n, row, keys) that shares a bucket; equal labels within a component."""
-    cells = dealt_for(nodes.select("node", "n", "keys"), nodes.count(), BANDS + 1, "node").select("node", "n", F.posexplode("keys").alias("band", "key"))
-    shared = cells.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).filter("low.node < high.node")
-    placed = materialize(cells.join(shared, "key"), "copies-cells")
+    placed = materialize(in_buckets(nodes, nodes.count()), "copies-cells")
     ends = materialize(placed.select("node").distinct(), "copies-nodes")
     whose = nodes.join(ends, "node", "left_semi").select("row")
     sets = materialize(shingle_sets(docs.join(whose, "row", "left_semi").dropDuplicates(["row"])), "copies-sets")

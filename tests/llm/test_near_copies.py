@@ -118,3 +118,9 @@ def test_on_the_table(spark):
     want = components(len(rows), pairs_by_definition([r.text for r in rows]))
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(table(spark, SF, "documents")).collect()}
     assert [got[i] for i in ids] == [ids[c] for c in want]
+
+
+def test_spread_nodes_are_not_broadcast(spark):
+    nodes = spark.range(2000).selectExpr("id node", "9 n", "array(id % 7, id % 11) keys")
+    plan = near_copies.in_buckets(nodes, 2000)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
