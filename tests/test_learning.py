@@ -392,3 +392,27 @@ def test_counts_of_codes_are_merged_as_they_double(monkeypatch):
     for got, want in zip(counts.merged(), np.unique(np.concatenate(seen), return_counts=True)):
         assert got.tolist() == want.tolist()
     assert evaluate._bins(np.array([-1.0, 0.0, 1.0, np.nan])).tolist() == [0, evaluate.MILLION, 2 * evaluate.MILLION, evaluate.BINS - 1]
+
+
+def test_pair_distances_over_many_tiles_and_copies(spark):
+    rng = random.Random(3)
+    prints = [(rng.getrandbits(62), rng.getrandbits(62)) for _ in range(500)]
+    rows = [(i, "copy" if i % 3 == 0 else f"c{rng.randrange(3000)}", f"s{i // 3}", i % 5 == 0, i % 4 == 0, *(prints[0] if i % 3 == 0 else rng.choice(prints))) for i in range(4500)]
+    df = spark.createDataFrame(rows, "item_id bigint, content_hash string, stem string, is_burst boolean, is_screen_like boolean, dhash bigint, phash bigint")
+    got = evaluate.pair_distances(df, tasks=2)
+    # tasks of few rows are long here, so they may not be merged
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    ids, content, stem, burst, screen = (np.array([r[k] for r in rows]) for k in range(5))
+    i, j = np.triu_indices(len(rows), 1)
+    code = sum((65, 1)[k] * np.bitwise_count((h := np.array([r[5 + k] for r in rows]))[i] ^ h[j]).astype(np.int64) for k in range(2))
+    same, capture, photos, bursts = content[i] == content[j], stem[i] == stem[j], ~screen[i] & ~screen[j], burst[i] & burst[j]
+    masks = {
+        "same content": same, "same capture": ~same & capture, "different": ~same & ~capture,
+        "burst frames": photos & bursts, "different photographs": photos & ~bursts & ~capture,
+    }
+    cells, best = evaluate.histogram(got).collect(), evaluate.closest_pairs(got).collect()
+    for kind, mask in masks.items():
+        counts = np.bincount(code[mask], minlength=65 * 65)
+        assert {(r.d, r.p): r.pairs for r in cells if r.kind == kind} == {(c // 65, c % 65): counts[c] for c in np.flatnonzero(counts).tolist()}
+        first = np.flatnonzero(mask)[np.lexsort((j[mask], i[mask], code[mask]))[:12]]
+        assert [(r.d * 65 + r.p, r.a, r.b) for r in sorted(best, key=lambda r: r.nth) if r.kind == kind] == list(zip(code[first].tolist(), i[first].tolist(), j[first].tolist()))
