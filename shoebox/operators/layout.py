@@ -19,19 +19,21 @@ COLUMN_GAP = 0.06
 
 def placed(lines: DataFrame, bound: int = 20_000) -> DataFrame:
     """Lines with their surroundings: ``gap`` to the line below (by mid height), ``chain`` (left edges
-    chained until a gap above 0.06), ``nth`` of ``n`` by box height, and ``reach``, the rightmost start
-    of any line at about the same height.
+    chained until a gap above 0.06), ``nth`` of ``n`` by box height, ``covered``, the area of the lines up to
+    this one, and ``reach``, the rightmost start of any line at about the same height.
     """
     rows = dealt(lines, [KEY]).withColumn("mid", F.col("y") + F.col("h") / 2).withColumn("_one", F.lit(1).cast("bigint"))
     hot = hot_keys(lines.select(KEY), [KEY], "lines", bound)
     at = lambda df, by: Sequence(df, [KEY], [F.col(by), F.col("line_no")], f"lines-{by}", bound, hot)
     by_height = at(rows, "h").running_sum("_one", "nth").size("n").key_max(F.when(F.expr("nth = n div 2 + 1"), F.col("h")), "median_height")
-    rows = by_height.derive("_level", F.col("mid") / F.greatest(F.lit(0.004), F.col("median_height") * 0.45)).result()
+    # covered by the lines so far, in their order: whole areas lie on the rules' bounds, and the last bit hangs on the order of the sum
+    summed = at(by_height.result().withColumn("_area", F.col("w") * F.col("h")), "line_no").running_sum("_area", "covered")
+    rows = summed.derive("_level", F.col("mid") / F.greatest(F.lit(0.004), F.col("median_height") * 0.45)).result()
     # heights exactly a tolerance apart are not level: the margin keeps rounding out of that decision
     level = at(rows, "mid").previous("mid").derive("gap", F.col("mid") - F.col("prev_mid")).nearby_max("_level", "x", 1 - 1e-9, "reach")
     starts = F.coalesce(F.col("x") - F.col("prev_x") > COLUMN_GAP, F.lit(True)).cast("bigint")
     rows = at(level.result(), "x").previous("x").derive("_start", starts).running_sum("_start", "chain").result()
-    return rows.drop("prev_mid", "prev_x", "_start", "_one", "_level")
+    return rows.drop("prev_mid", "prev_x", "_start", "_one", "_level", "_area")
 
 
 def _spread(name: str) -> Column:
@@ -113,10 +115,10 @@ def layout_of(rows: DataFrame) -> DataFrame:
     sums = {**_line_sums(), "paired": F.count_if(F.col("reach") - (F.col("x") + F.col("w")) > 0.02)}
     per_chain = rows.groupBy(KEY, "chain").agg(
         *_named(sums), *_named(flags), *_named(gaps), F.avg("x").alias("centre"),
-        F.max("median_height").alias("median_height"),
+        F.max("median_height").alias("median_height"), F.max(F.struct("line_no", "covered")).alias("last"),
     )
     per_asset = per_chain.groupBy(KEY).agg(
-        *[F.sum(c).alias(c) for c in (*sums, *gaps)], *[F.bool_or(c).alias(c) for c in flags], F.max("median_height").alias("median_height"),
+        *[F.sum(c).alias(c) for c in (*sums, *gaps) if c != "area"], F.max("last")["covered"].alias("area"), *[F.bool_or(c).alias(c) for c in flags], F.max("median_height").alias("median_height"),
         # chains lie more than 0.06 of the width apart: a handful per asset
         F.array_compact(F.collect_list(F.when(F.col("line_count") >= 2, F.col("centre")))).alias("centres"),
     )

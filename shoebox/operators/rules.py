@@ -21,9 +21,9 @@ def inputs(assets: DataFrame, fingerprints: DataFrame, layout: DataFrame, labels
     return rows.join(labels.select("asset_id", "labels"), "asset_id", "left")
 
 
-def _points(*terms: tuple[Column, Column | float]) -> Column:
-    """Sum of the values whose condition holds; unknown counts as false."""
-    total = F.lit(0.0)
+def _points(*terms: tuple[Column, Column | float], start: Column | None = None) -> Column:
+    """``start`` and the values whose condition holds, added one after another as SQL does; unknown counts as false."""
+    total = F.lit(0.0) if start is None else start
     for condition, value in terms:
         total = total + F.when(condition, value).otherwise(0.0)
     return total
@@ -63,9 +63,9 @@ def looks_like_screen() -> Column:
 def chat_score() -> Column:
     flush = F.least(F.lit(1.0), C("right_hugging") * 2.5)
     bubbles = C("bimodality") * flush * 1.9 * not_tabular() + C("bimodality") * 0.25 * not_tabular()
-    return bubbles + C("short_share") * 0.5 + _points(
+    return _points(
         (C("has_clock"), 0.22), (C("line_count") >= 8, 0.35), (C("has_top_bar") & C("has_bottom_bar"), 0.45),
-        (C("flatness") > 0.55, 0.35), (C("saturation") < 0.22, 0.25),
+        (C("flatness") > 0.55, 0.35), (C("saturation") < 0.22, 0.25), start=bubbles + C("short_share") * 0.5,
     )
 
 
@@ -76,9 +76,10 @@ def _busy_without_text() -> Column:
 def game_score() -> Column:
     wide = C("aspect") > 1.2
     hint = F.arrays_overlap("labels", F.array(*map(F.lit, fixed.GAME_LABELS)))
-    return _known("saturation") * 1.3 + _known("edge_density") * 0.9 + _points(
+    return _points(
         (C("flatness") < 0.28, 0.4), (C("has_clock"), -0.85), (~C("has_clock") & wide, 0.35),
         (_busy_without_text(), 0.5), (~_busy_without_text() & (C("text_area") < 0.06), 0.2), (wide, 0.45), (hint, 0.3),
+        start=_known("saturation") * 1.3 + _known("edge_density") * 0.9,
     )
 
 
@@ -90,9 +91,9 @@ def document_score() -> Column:
     dense = C("text_area") > 0.06
     hint = F.arrays_overlap("labels", F.array(*map(F.lit, fixed.DOCUMENT_LABELS)))
     white = (C("brightness") > 0.75) & (C("saturation") < 0.15) & (C("digit_share") > 0.15)
-    return C("paired_rows") * 1.1 + _points(
+    return _points(
         (_digits_count(), C("digit_share") * 1.5), (dense, C("gap_regularity") * 0.6), (dense & (not_tabular() < 0.5), 0.5),
-        (white, 0.4), (hint, 0.45), (C("has_clock"), 0.18),
+        (white, 0.4), (hint, 0.45), (C("has_clock"), 0.18), start=C("paired_rows") * 1.1,
     )
 
 

@@ -324,3 +324,16 @@ def test_columns_whose_unevenness_lies_on_the_bound_go_as_in_sql(spark):
     assert len(set(want.values())) == 2
     got = {r.asset_id: r.columns_even for r in layout.features(spark.createDataFrame(lines, schema)).collect()}
     assert got == want
+
+
+def test_area_is_summed_in_the_order_of_the_lines(spark):
+    lines = [(1, 1, 0.0, 0.1, 0.1, 1.0), (1, 2, 0.5, 0.5, 0.2, 1.0), (1, 3, 0.5, 0.9, 0.3, 1.0)]
+    df = spark.createDataFrame(lines, "asset_id bigint, line_no int, x double, y double, w double, h double").selectExpr("*", "'a' text", "1.0D confidence")
+    assert [layout.features(df, bound).first().text_area for bound in (20_000, 2)] == [0.1 + 0.2 + 0.3] * 2  # by columns it would be 0.1 + (0.2 + 0.3)
+
+
+def test_scores_are_summed_from_left_to_right(spark):
+    from shoebox.operators import rules
+
+    df = spark.sql("select 0.1D saturation, 0.8D edge_density, 0.0D flatness, false has_clock, 1.3D aspect, 0.02D text_area, array('receipt') labels")
+    assert df.select(rules.game_score().alias("s")).first().s == 0.1 * 1.3 + 0.8 * 0.9 + 0.4 + 0.35 + 0.5 + 0.45
