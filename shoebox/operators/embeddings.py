@@ -87,26 +87,40 @@ def _repeated(rows: DataFrame, keys: list[str], times: str, out: str) -> DataFra
     return high.repartition(*keys, "_high").withColumn(out, F.explode(low)).drop("_side", "_high")
 
 
+def _places(numbers: pd.Series) -> list[np.ndarray]:
+    """Where each number stands, in rising order."""
+    order = np.argsort(numbers.to_numpy(), kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(numbers.to_numpy()[order])) + 1)
+
+
+def _label_blocks(items: DataFrame, centroids: DataFrame, keep: tuple[str, ...], team: int, chunk: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Items and centroids dealt for ``best_labels``, with their team or chunk, and the keys of what meets in one task."""
+    key = ["library_id", "revision", "dim"]
+    mine = items.select("library_id", "item_id", *keep, "revision", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dim"), "embedding")
+    theirs = centroids.select("library_id", "revision", F.coalesce(F.size("centroid"), F.lit(-1)).alias("dim"), "name", "centroid").filter("dim > 0")
+    sizes = mine.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(theirs.groupBy(*key).agg(F.count(F.lit(1)).alias("c")), key, "left")
+    plan = sizes.select(*key, "n", F.ceil(F.col("n") / team).cast("int").alias("teams"), F.greatest(F.lit(1), F.ceil(F.coalesce("c", F.lit(0)) / chunk)).cast("int").alias("chunks"))
+    together = {"teams": max(1, TEAM // team), "chunks": max(1, CHUNK // chunk)}
+    plan = materialize(plan.select("*", *[F.ceil(F.col(c) / n).cast("int").alias(f"{c}_at") for c, n in together.items()]), "label-blocks")
+    left = attach(mine, plan, key, "n").withColumn("team", F.pmod(F.xxhash64("item_id"), F.col("teams")).cast("int"))
+    left = left.withColumn("team_at", F.floor(F.col("team") / together["teams"]).cast("int")).withColumn("chunk_at", F.explode(F.sequence(F.lit(0), F.col("chunks_at") - 1)))
+    right = theirs.join(plan.drop("n"), key).withColumn("chunk", F.pmod(F.xxhash64("name", "centroid"), F.col("chunks")).cast("int"))
+    right = _repeated(right.withColumn("chunk_at", F.floor(F.col("chunk") / together["chunks"]).cast("int")), [*key, "chunk_at"], "teams_at", "team_at")
+    plans = ("teams", "chunks", "teams_at", "chunks_at")
+    return left.drop(*plans), right.drop(*plans), [*key, "team_at", "chunk_at"]
+
+
 def best_labels(items: DataFrame, centroids: DataFrame, keep: tuple[str, ...] = (), team: int = TEAM, chunk: int = CHUNK) -> DataFrame:
     """Each item's most similar label of its library: (library_id, item_id, *keep, label, similarity), by cosine over the label's centroids of the
     same revision and length. Equal similarities (to twelve places) go to the smaller name; an item without anything to compare with has nulls.
 
     items: library_id, item_id, embedding, revision, and the scalar columns in ``keep``. centroids: library_id, name, revision, centroid.
-    A matrix product in blocks: a library's items are dealt into teams of about ``team``, its centroids into chunks of about ``chunk``, and
-    each task multiplies one by the other. Only the best of a chunk leaves a task, so no pair is ever a row and no vector is
+    A matrix product in blocks: a library's items are dealt into teams of about ``team``, its centroids into chunks of about ``chunk``. A
+    task multiplies as many neighbouring blocks one by one as hold about ``TEAM`` items and ``CHUNK`` centroids, so small blocks copy no more rows than
+    large ones. Only the best of a task's chunks leaves it, so no pair is ever a row and no vector is
     joined back; what a task holds does not depend on the sizes of the tables.
     """
-    key = ["library_id", "revision", "dim"]
-    mine = items.select("library_id", "item_id", *keep, "revision", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dim"), "embedding")
-    theirs = centroids.select("library_id", "revision", F.coalesce(F.size("centroid"), F.lit(-1)).alias("dim"), "name", "centroid").filter("dim > 0")
-    sizes = mine.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(theirs.groupBy(*key).agg(F.count(F.lit(1)).alias("c")), key, "left")
-    plan = materialize(sizes.select(
-        *key, "n", F.ceil(F.col("n") / team).cast("int").alias("teams"), F.greatest(F.lit(1), F.ceil(F.coalesce("c", F.lit(0)) / chunk)).cast("int").alias("chunks")
-    ), "label-blocks")
-    left = attach(mine, plan, key, "n").withColumn("team", F.pmod(F.xxhash64("item_id"), F.col("teams")).cast("int"))
-    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("teams", "chunks")
-    right = theirs.join(plan.select(*key, "teams", "chunks"), key).withColumn("chunk", F.pmod(F.xxhash64("name", "centroid"), F.col("chunks")).cast("int"))
-    right = _repeated(right, [*key, "chunk"], "teams", "team").drop("teams", "chunks")
+    left, right, blocks = _label_blocks(items, centroids, keep, team, chunk)
 
     def multiply(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         out = asked[["library_id", "item_id", *keep]].copy()
@@ -114,16 +128,20 @@ def best_labels(items: DataFrame, centroids: DataFrame, keep: tuple[str, ...] =
         if len(asked) and len(known):
             # names in rising order: argmax takes the first of equal similarities, the smallest name
             known = known.sort_values("name", kind="stable")
-            units = _units(known["centroid"])
-            best, near = np.empty(len(asked), dtype=np.int64), np.empty(len(asked))
-            for at in range(0, len(asked), STRIP):
-                cosine = np.round(_units(asked["embedding"].iloc[at : at + STRIP]) @ units.T, 12)
-                best[at : at + STRIP], near[at : at + STRIP] = cosine.argmax(axis=1), cosine.max(axis=1)
+            chunks = [(at, _units(known["centroid"].iloc[at])) for at in _places(known["chunk"])]
+            best, near = np.zeros(len(asked), dtype=np.int64), np.full(len(asked), -np.inf)
+            for own in _places(asked["team"]):
+                for part in (own[i : i + STRIP] for i in range(0, len(own), STRIP)):
+                    units = _units(asked["embedding"].iloc[part])
+                    for at, theirs in chunks:
+                        cosine = np.round(units @ theirs.T, 12)
+                        first, value = at[cosine.argmax(axis=1)], cosine.max(axis=1)
+                        better = (value > near[part]) | (value == near[part]) & (first < best[part])
+                        best[part], near[part] = np.where(better, first, best[part]), np.where(better, value, near[part])
             out["label"], out["similarity"] = known["name"].to_numpy()[best], near
         return out
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select("library_id", "item_id", *keep).schema)
-    blocks = [*key, "team", "chunk"]
     met = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(multiply, f"{kinds}, label string, similarity double")
     found = F.when(F.col("label").isNotNull(), F.struct((-F.col("similarity")).alias("less"), "label"))
     best = met.groupBy("library_id", "item_id", *keep).agg(F.min(found).alias("best"))

@@ -416,3 +416,24 @@ def test_pair_distances_over_many_tiles_and_copies(spark):
         assert {(r.d, r.p): r.pairs for r in cells if r.kind == kind} == {(c // 65, c % 65): counts[c] for c in np.flatnonzero(counts).tolist()}
         first = np.flatnonzero(mask)[np.lexsort((j[mask], i[mask], code[mask]))[:12]]
         assert [(r.d * 65 + r.p, r.a, r.b) for r in sorted(best, key=lambda r: r.nth) if r.kind == kind] == list(zip(code[first].tolist(), i[first].tolist(), j[first].tolist()))
+
+
+def test_small_label_blocks_copy_no_more_rows_than_large_ones(spark):
+    rng = random.Random(2)
+    rows = [(0, i, [rng.gauss(0, 1) for _ in range(4)], 2, "x") for i in range(600)]
+    items = spark.createDataFrame(rows, ITEMS)
+    known = spark.createDataFrame([(0, f"n{i % 70}", 2, x) for _, i, x, _, _ in rows if i % 10 == 0], "library_id bigint, name string, revision int, centroid array<double>")
+    left, right, _ = emb._label_blocks(items, known, (), 50, 3)
+    assert (left.count(), right.count()) == (600, 60)
+    whole, cut = (sorted(map(tuple, emb.best_labels(items, known, **size).collect())) for size in ({}, {"team": 50, "chunk": 3}))
+    assert whole == cut
+
+
+def test_passes_of_a_judged_fold_are_not_all_sorted_at_once(spark, monkeypatch):
+    _, items = planted(spark, groups=3, per_group=6)
+    df = items.withColumn("target", F.regexp_extract("app", "([0-9]+)", 1).cast("int"))
+    sorted_at_once, fold = [], heads.fold
+    monkeypatch.setattr(heads, "fold", lambda examples, *a: sorted_at_once.append(examples.groupBy("fold", "item_id").count().agg(F.max("count")).first()[0]) or fold(examples, *a))
+    at_once = sorted(map(tuple, evaluate.half_hold_out(df, epochs=5).collect()))
+    monkeypatch.setattr(evaluate, "PASS_ROWS", 250)  # nine items learn for all of eight folds and nine for seven: 135 examples
+    assert sorted(map(tuple, evaluate.half_hold_out(df, epochs=5).collect())) == at_once and sorted_at_once == [5, 1, 1, 1, 1, 1]
