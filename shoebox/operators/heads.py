@@ -235,18 +235,23 @@ def influence(positives: Column, negatives: Column) -> Column:
     return F.when(warm, F.least(F.lit(LOGISTIC_INFLUENCE_LIMIT), (positives + negatives) / LOGISTIC_INFLUENCE_SAMPLES)).otherwise(0.0)
 
 
+def one_pass(members: DataFrame, keys: list[str], number: Column, seed: int = 0) -> DataFrame:
+    """Every member in the order of a pass (columns pass, shuffle, item_id)."""
+    return members.withColumn("pass", number).withColumn("shuffle", F.xxhash64(F.lit(seed), "pass", *keys, "item_id"))
+
+
 def repeated_passes(members: DataFrame, keys: list[str], passes: int = 6, seed: int = 0) -> DataFrame:
     """Every member once per pass, each pass in its own seeded order (columns pass, shuffle, item_id)."""
-    rows = members.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
-    return rows.withColumn("shuffle", F.xxhash64(F.lit(seed), "pass", *keys, "item_id"))
+    return one_pass(members, keys, F.explode(F.sequence(F.lit(1), F.lit(passes))), seed)
 
 
-def train_on_members(members: DataFrame, keys: list[str], passes: int = 6) -> DataFrame:
-    """Cluster-supervised training: all members of a named cluster, several shuffled passes."""
-    rows, model = repeated_passes(members, keys, passes), None
-    for p in range(1, passes + 1):  # one pass goes on from the other, so a task sorts its members once and not ``passes`` times
+def train_on_members(members: DataFrame, keys: list[str], passes: int = 6, at_once: int = 1) -> DataFrame:
+    """Cluster-supervised training: all members of a named cluster, several shuffled passes, of which ``at_once`` are sorted at once."""
+    model = None
+    for p in range(1, passes + 1, at_once):  # they go on from the passes before, so a task does not sort its members ``passes`` times
+        rows = one_pass(members, keys, F.explode(F.sequence(F.lit(p), F.lit(min(passes, p + at_once - 1)))))
         start = None if model is None else model.select(*keys, F.concat("bias", F.col("per_class").cast("array<double>"), F.flatten("weights")).alias("start"))
-        model = materialize(fold(rows.filter(F.col("pass") == p), keys, ["pass", "shuffle", "item_id"], Softmax, SOFTMAX_SCHEMA, start), "model-pass")
+        model = materialize(fold(rows, keys, ["pass", "shuffle", "item_id"], Softmax, SOFTMAX_SCHEMA, start), "model-pass")
     return model
 
 
